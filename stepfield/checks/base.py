@@ -95,11 +95,10 @@ pts AS (SELECT mesh_id, pid, pid // 81 + (pid * 7 % 11) / 50.0::DOUBLE AS x, pid
     pid % 9 + (pid * 3 % 7) / 40.0::DOUBLE AS z FROM (SELECT DISTINCT mesh_id, pid FROM corn))"""
 
 # Coordinates of the four vertices, signed volume, faces, edges and regions of points.
-_XYZ = ", ".join(f"p{k}.{a} AS {a}{k}" for k in range(4) for a in "xyz")
+_XYZ = ", ".join(f"max({a}) FILTER (k = {k}) AS {a}{k}" for k in range(4) for a in "xyz")
+_PIDS = ", ".join(f"max(pid) FILTER (k = {k}) AS v{k}" for k in range(4))
 LOC = MESH + f""",
-loc AS (SELECT s.*, {_XYZ} FROM simp s JOIN pts p0 ON p0.mesh_id = s.mesh_id AND p0.pid = v0
-    JOIN pts p1 ON p1.mesh_id = s.mesh_id AND p1.pid = v1 JOIN pts p2 ON p2.mesh_id = s.mesh_id AND p2.pid = v2
-    JOIN pts p3 ON p3.mesh_id = s.mesh_id AND p3.pid = v3),
+loc AS (SELECT mesh_id, sid, region, {_PIDS}, {_XYZ} FROM corn JOIN pts USING (mesh_id, pid) GROUP BY mesh_id, sid, region),
 vol AS (SELECT *, ((x1-x0)*((y2-y0)*(z3-z0)-(z2-z0)*(y3-y0)) - (y1-y0)*((x2-x0)*(z3-z0)-(z2-z0)*(x3-x0))
     + (z1-z0)*((x2-x0)*(y3-y0)-(y2-y0)*(x3-x0))) / 6.0 AS svol FROM loc)"""
 

@@ -35,10 +35,10 @@ def _(spark, sf):
 
 
 @query("w04_crossings", f"""WITH {EVENTS}, a AS (SELECT *, lag(time) OVER {W} AS px, lag(value) OVER {W} AS py FROM ev)
- SELECT run_id, event_id, round(CASE WHEN value = 10 THEN time ELSE px + (10 - py) * (time - px) / (value - py) END, 3) AS crossing FROM a
+ SELECT run_id, event_id, round(CASE WHEN value = 10 THEN time ELSE px + (10 - py) * (time - px) / (value - py) END, 2) AS crossing FROM a
  WHERE value = 10 OR (value > 10 AND py < 10) OR (value < 10 AND py > 10)""")
 def _(spark, sf):
-    return R.crossings(event_runs(spark, sf), "time", "value", 10.0, BY, ORDER).select("run_id", "event_id", r("crossing", 3))
+    return R.crossings(event_runs(spark, sf), "time", "value", 10.0, BY, ORDER).select("run_id", "event_id", r("crossing", 2))
 
 
 @query("w05_convergence")

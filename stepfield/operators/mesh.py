@@ -470,9 +470,9 @@ def interface_mismatch(mesh: Mesh) -> DataFrame:
     a = touch.withColumnRenamed("body", "body_a")
     b = touch.withColumnRenamed("body", "body_b")
     common = a.join(b, ["mesh_id", "pid"]).filter("body_a < body_b")
-    bodies = common.select("mesh_id", "body_a", "body_b").distinct()
-    sided = shell.join(bodies, (shell.mesh_id == bodies.mesh_id) & shell.body.isin(bodies.body_a, bodies.body_b)).select(
-        shell.mesh_id, "body_a", "body_b", F.col("body").alias("side"), "face")
+    bodies = common.select("mesh_id", "body_a", "body_b").distinct().withColumn("body", F.explode(F.array("body_a", "body_b")))
+    sided = shell.join(bodies, ["mesh_id", "body"]).select(
+        "mesh_id", "body_a", "body_b", F.col("body").alias("side"), "face")
     keys = ["mesh_id", "body_a", "body_b"]
     whole = (sided.withColumn("pid", F.explode("face")).join(common, [*keys, "pid"], "left_semi")
              .groupBy(*keys, "side", "face").count().filter(F.col("count") == d).drop("count"))
@@ -534,7 +534,7 @@ def mirror(mesh: Mesh, directions: list[int], e1: float = 1e-6, e2: float = 1e-6
         if direction not in (1, -1):
             raise ValueError("directions are 0, 1 or -1")
         x = F.col("pos")[axis]
-        ext = mesh.points.groupBy("mesh_id").agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.count(F.lit(1)).alias("_np"))
+        ext = mesh.points.groupBy("mesh_id").agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"), (F.max("pid") + 1).alias("_np"))
         plane, other = ("_hi", "_lo") if direction == 1 else ("_lo", "_hi")
         rows = mesh.points.join(ext, "mesh_id").withColumn("_m", 2 * F.col(plane) - x)
         rows = rows.withColumn("_weld", F.abs(x - F.col("_m")) < e1)

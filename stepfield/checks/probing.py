@@ -218,9 +218,9 @@ def _(spark, sf):
     return out.select("vec_id", *[r(F.col("out")[i]).alias(f"h{i}") for i in range(3)])
 
 
-@query("f07_derive", "SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) AS charge, round(l_extendedprice * (1 - l_discount) / l_quantity, 6) AS unit FROM lineitem")
+@query("f07_derive", "SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge, l_extendedprice * (1 - l_discount) / l_quantity AS unit FROM lineitem")
 def _(spark, sf):
     registry = {"net": (["l_extendedprice", "l_discount"], lambda p, d: p * (1 - d)), "charge": (["net", "l_tax"], lambda n, t: n * (1 + t)),
                 "unit": (["net", "l_quantity"], lambda n, q: n / q), "unused": (["charge"], lambda c: c * 2)}
     out = K.derive(table(spark, sf, "lineitem"), registry, ["charge", "unit"])
-    return out.select("l_orderkey", "l_linenumber", "l_partkey", r("charge"), r("unit"))
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "charge", "unit")

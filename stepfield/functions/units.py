@@ -71,17 +71,25 @@ def general(x, digits: int = 6) -> Column:
     """The C ``%g`` text of a double: ``digits`` significant digits, exponent form when needed,
     no trailing zeros."""
     x = col(x)
-    sci = F.format_string(f"%.{digits - 1}e", x)
-    exponent = F.element_at(F.split(sci, "e"), -1).cast("int")
-    trim = lambda s: F.when(F.instr(s, ".") > 0, F.regexp_replace(s, r"\.?0+$", "")).otherwise(s)
-    mantissa = trim(F.element_at(F.split(sci, "e"), 1))
-    exp_text = F.concat(F.when(exponent < 0, "-").otherwise("+"), F.lpad(F.abs(exponent).cast("string"), 2, "0"))
-    fixed = F.lit(None).cast("string")
-    for e in range(-4, digits):
-        fixed = F.when(exponent == e, trim(F.format_string(f"%.{digits - 1 - e}f", x))).otherwise(fixed)
+
+    def layout(sci):
+        exponent = F.split(sci, "e")[1].cast("int")
+        mantissa = F.regexp_extract(sci, r"^-?([0-9.]+)e", 1)
+        figures = F.regexp_replace(F.translate(mantissa, ".", ""), "0+$", "")
+        sign = F.when(F.startswith(sci, F.lit("-")), "-").otherwise("")
+        whole = F.rpad(F.substring(figures, F.lit(1), exponent + 1), exponent + 1, F.lit("0"))
+        rest = F.substring(figures, exponent + 2, F.lit(400))
+        fixed = F.when(exponent >= 0, F.concat(whole, F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(""))).otherwise(
+            F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), figures))
+        tail = F.substring(figures, F.lit(2), F.lit(400))
+        power = F.concat(F.when(exponent < 0, "-").otherwise("+"), F.when(F.abs(exponent) < 10, "0").otherwise(""), F.abs(exponent).cast("string"))
+        short = F.concat(F.substring(figures, F.lit(1), F.lit(1)), F.when(tail != "", F.concat(F.lit("."), tail)).otherwise(""), F.lit("e"), power)
+        return F.concat(sign, F.when((exponent < -4) | (exponent >= digits), short).otherwise(fixed))
+
+    # The inner function binds the formatted text, so that it is made once.
+    text = F.transform(F.array(F.format_string(f"%.{digits - 1}e", x)), layout)[0]
     return (F.when(x.isNull(), None).when(x == 0, "0").when(F.isnan(x), "nan")
-            .when(F.abs(x) == float("inf"), F.when(x > 0, "inf").otherwise("-inf"))
-            .when((exponent < -4) | (exponent >= digits), F.concat(mantissa, F.lit("e"), exp_text)).otherwise(fixed))
+            .when(F.abs(x) == float("inf"), F.when(x > 0, "inf").otherwise("-inf")).otherwise(text))
 
 
 def quantity(value, dims) -> Column:

@@ -40,7 +40,7 @@ def read_grids(spark: SparkSession, path, folder: str | None = None) -> DataFram
     """Text data blocks of many grid files as rows grid_id, ix, iy, iz, x, y, z, v."""
     lines = numbered_lines(spark, path, folder)
     heads = _headers(lines.filter(F.col("value").rlike(r"^#\s*[^#:]+:")))
-    body = lines.filter(is_data()).select(file_stem().alias("grid_id"), "line", F.transform(tokens(), lambda t: t.cast("double")).alias("v"))
+    body = lines.filter(is_data()).select(file_stem().alias("grid_id"), "line", F.transform(tokens(), lambda t: t.try_cast("double")).alias("v"))
     start = body.groupBy("grid_id").agg(F.min("line").alias("_first"))
     return _place(body.join(start, "grid_id").withColumn("n", F.col("line") - F.col("_first")).join(heads, "grid_id"))
 

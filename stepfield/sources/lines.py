@@ -29,7 +29,7 @@ def numbered_lines(spark: SparkSession, path, folder: str | None = None) -> Data
 
 
 def tokens(c="value"):
-    return F.split(F.trim(F.col(c)), r"\s+")
+    return F.split(F.btrim(F.col(c), F.lit(" \t\r")), r"\s+")
 
 
 def is_data(c="value"):

@@ -31,11 +31,11 @@ def _lines(spark, path, folder=None) -> DataFrame:
 
 
 def _floats(start: int = 0):
-    return F.transform(F.slice("t", start + 1, F.greatest(F.size("t") - start, F.lit(0))), lambda x: x.cast("double"))
+    return F.transform(F.slice("t", start + 1, F.greatest(F.size("t") - start, F.lit(0))), lambda x: x.try_cast("double"))
 
 
 def _ints(start: int, shift: int = 0):
-    return F.transform(F.slice("t", start + 1, F.greatest(F.size("t") - start, F.lit(0))), lambda x: x.cast("bigint") - shift)
+    return F.transform(F.slice("t", start + 1, F.greatest(F.size("t") - start, F.lit(0))), lambda x: x.try_cast("bigint") - shift)
 
 
 def read_meshes(spark: SparkSession, path, fmt: str = "text", dim: int = 3, folder: str | None = None) -> M.Mesh:

@@ -34,7 +34,7 @@ def read_headers(spark: SparkSession, path, fmt: str = "text", names_line: int =
     listed = heads.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("mark", "value"))).alias("_h"))
 
     def line(k):
-        return F.split(F.trim(_bare(F.get(F.col("_h"), F.lit(k))["value"])), r"\s+")
+        return F.split(F.btrim(_bare(F.get(F.col("_h"), F.lit(k))["value"]), F.lit(" \t\r")), r"\s+")
 
     return listed.select("file", line(names_line).alias("names"), line(units_line).alias("units"))
 

@@ -10,6 +10,9 @@ from stepfield.operators import runs as R
 
 BY, ORDER = ["run_id"], ["us", "event_id"]
 W = "(PARTITION BY run_id ORDER BY us, event_id)"
+THROTTLE = f"""WITH RECURSIVE {EVENTS}, keep(run_id, time) AS (SELECT run_id, min(time) FROM ev GROUP BY run_id
+ UNION ALL SELECT keep.run_id, min(ev.time) FROM keep JOIN ev ON ev.run_id = keep.run_id AND ev.time >= keep.time + 86400 GROUP BY keep.run_id)
+ SELECT run_id, event_id, us FROM ev JOIN keep USING (run_id, time)"""
 
 
 @query("w01_last_of", f"""WITH {EVENTS}, n AS (SELECT *, lead(event_type) OVER {W} AS nx FROM ev)
@@ -77,7 +80,7 @@ def _(spark, sf):
     return R.last_n(event_runs(spark, sf), 5, BY, ORDER).select("run_id", "event_id")
 
 
-@query("w09_throttle")
+@query("w09_throttle", THROTTLE)
 def _(spark, sf):
     return R.throttle(event_runs(spark, sf), "time", 86400.0, BY, ORDER).select("run_id", "event_id", "us")
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from stepfield.checks.base import EVENTS, epoch_us, event_runs, query, r, table
+from stepfield.checks.runs import THROTTLE
 from stepfield.functions.when import at, every
 from stepfield.operators import calls as K
 from stepfield.session import shared_folder
@@ -55,7 +56,7 @@ def _(spark, sf):
     return drain(spark, L.skip_saved(s, ["run_id", "step"]))
 
 
-@query("st04_throttle_stream")
+@query("st04_throttle_stream", THROTTLE)
 def _(spark, sf):
     s = stream(spark, sf).select("run_id", "event_id", "us", "time")
     return drain(spark, L.throttle_stream(s, "time", 86400.0, BY, ORDER)).select("run_id", "event_id", "us")

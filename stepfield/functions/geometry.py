@@ -42,6 +42,11 @@ def det(m) -> Column:
     return out
 
 
+def over(a, b) -> Column:
+    """Quotient, NULL for a zero divisor."""
+    return a / F.nullif(b, F.lit(0.0))
+
+
 def signed_volume(verts) -> Column:
     """Determinant of the edges from the first vertex, over d!."""
     return det([sub(v, verts[0]) for v in verts[1:]]) / float(math.factorial(len(verts) - 1))
@@ -54,7 +59,7 @@ def volume(verts) -> Column:
 def bary(p, verts) -> list[Column]:
     """Barycentric coordinates as ratios of signed volumes."""
     whole = signed_volume(verts)
-    return [signed_volume([p if i == k else v for i, v in enumerate(verts)]) / whole for k in range(len(verts))]
+    return [over(signed_volume([p if i == k else v for i, v in enumerate(verts)]), whole) for k in range(len(verts))]
 
 
 def tri_area(a, b, c) -> Column:
@@ -77,25 +82,25 @@ def _facets(verts) -> list[Column]:
 
 
 def in_radius(verts) -> Column:
-    return (len(verts) - 1.0) * volume(verts) / total(_facets(verts))
+    return over((len(verts) - 1.0) * volume(verts), total(_facets(verts)))
 
 
 def in_centre(verts) -> list[Column]:
     w = _facets(verts)
-    return [total(a * v[i] for a, v in zip(w, verts)) / total(w) for i in range(len(verts) - 1)]
+    return [over(total(a * v[i] for a, v in zip(w, verts)), total(w)) for i in range(len(verts) - 1)]
 
 
 def circum_radius(verts) -> Column:
-    """From the edge products; a flat simplex gives infinity or NULL."""
+    """From the edge products; a flat simplex gives NULL."""
     d = len(verts) - 1
     if d == 1:
         return length(sub(verts[1], verts[0])) / 2.0
     edge = lambda i, j: length(sub(verts[i], verts[j]))
     if d == 2:
-        return edge(0, 1) * edge(1, 2) * edge(0, 2) / (4.0 * volume(verts))
+        return over(edge(0, 1) * edge(1, 2) * edge(0, 2), 4.0 * volume(verts))
     p, q, r = edge(0, 1) * edge(2, 3), edge(0, 2) * edge(1, 3), edge(0, 3) * edge(1, 2)
     square = (p + q + r) * (p + q - r) * (p - q + r) * (q + r - p)
-    return F.sqrt(F.greatest(square, F.lit(0.0))) / (24.0 * volume(verts))
+    return over(F.sqrt(F.greatest(square, F.lit(0.0))), 24.0 * volume(verts))
 
 
 def circum_centre(verts) -> list[Column]:
@@ -107,7 +112,7 @@ def circum_centre(verts) -> list[Column]:
     out = []
     for k in range(d):
         swapped = [[half[i] if j == k else x for j, x in enumerate(r)] for i, r in enumerate(rows)]
-        out.append(verts[0][k] + det(swapped) / whole)
+        out.append(verts[0][k] + over(det(swapped), whole))
     return out
 
 

@@ -170,8 +170,8 @@ def vector_text(quantities) -> Column:
     qs = col(quantities)
     live = F.filter(qs, lambda q: q["value"] != 0)
     dims = F.when(F.size(live) > 0, live[0]["dims"]).otherwise(
-        F.coalesce(F.filter(qs, lambda q: q["dims"] != zero())[0]["dims"], zero()))
-    same = F.forall(live, lambda q: q["dims"] == live[0]["dims"])
+        F.coalesce(F.get(F.filter(qs, lambda q: q["dims"] != zero()), F.lit(0))["dims"], zero()))
+    same = F.forall(live, lambda q: q["dims"] == F.get(live, F.lit(0))["dims"])
     numbers = F.concat(F.lit("["), F.array_join(F.transform(qs, lambda q: general(q["value"])), " "), F.lit("]"))
     mixed = F.concat(F.lit("["), F.array_join(
         F.transform(qs, lambda q: F.concat(general(q["value"]), unit_text(q["dims"]))), ", "), F.lit("]"))

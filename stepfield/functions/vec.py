@@ -60,7 +60,7 @@ normalise = unit
 
 def project(axis, v, d=None) -> Column:
     """Length of ``v`` along ``axis``."""
-    return dot(axis, v, d) / norm(axis, d)
+    return dot(axis, v, d) / F.nullif(norm(axis, d), F.lit(0.0))
 
 
 def cross(a, b) -> Column:

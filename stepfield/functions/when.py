@@ -159,7 +159,7 @@ class AllOf(When):
         steps = F.sequence(F.lit(0), F.lit(int(period / deltas[0]) + int(period / Fraction(str(coarse.delta))) + 2))
         points = F.transform(steps, lambda k: base + k * float(coarse.delta))
         here = lambda t: (lambda name: t if name == var else value(name))
-        return F.filter(points, lambda t: (t > value(var)) & coarse.matches(here(t)) & fine.matches(here(t)))[0]
+        return F.get(F.filter(points, lambda t: (t > value(var)) & coarse.matches(here(t)) & fine.matches(here(t))), F.lit(0))
 
 
 class Never(When):

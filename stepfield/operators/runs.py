@@ -69,6 +69,7 @@ def convergence(df: DataFrame, column: str, stop: float, by: list[str], order: l
     scan.map(lambda d: d.withColumn(
         "converged", F.col("_below") & ((F.col("_row") - F.coalesce("_above", F.lit(0))) % countdown == 0)))
     scan.running(_resets=("count", F.when(F.col("converged"), F.lit(1))))
+    kw["size"] = scan.size
     base = scan.df.drop("_above", "_below")
     above = base.filter(F.col(column) >= stop).select(*by, "_resets", "_row", F.col(column).alias("_v"))
     segment = [*by, "_resets"]
@@ -82,12 +83,12 @@ def convergence(df: DataFrame, column: str, stop: float, by: list[str], order: l
     last = dev.df.select(*segment, "_row", "_dev", "_k", "_live", "_n")
     last = last.withColumn("_end", F.greatest(F.col("_live"), F.col("_k") + (statistics - 1))).withColumn("_end", F.when(F.col("_live").isNotNull() & (F.col("_end") <= F.col("_n")), F.col("_end")))
     starts = on_path(last.withColumn("_next", F.when(F.col("_end") < F.col("_n"), F.col("_end") + 1)),
-                     segment, "_k", "_next", rows_per_task)
+                     segment, "_k", "_next", rows_per_task, scan.size)
     marked = last.join(starts.withColumn("_start", F.lit(True)), [*segment, "_k"], "left")
     blocks = Ordered(marked, segment, ["_k"], **kw).running(
         _block=("count", F.when(F.col("_start"), F.lit(1))), _close=("last", F.when(F.col("_start"), F.col("_end"))))
     quality = (
-        blocks.df.filter("_close is not null").groupBy(*segment, "_block")
+        blocks.df.filter("_k <= _close").groupBy(*segment, "_block")
         .agg(F.max("_row").alias("_row"), F.sum("_dev").alias("_d"), F.sum(F.abs("_dev")).alias("_o"))
         .select(*by, "_row", F.abs(F.col("_d") / F.col("_o")).alias("quality"))
     )
@@ -125,16 +126,19 @@ def last_n(df: DataFrame, n: int, by: list[str], order: list[str], **kw) -> Data
 
 def throttle(df: DataFrame, time: str, seconds: float, by: list[str], order: list[str],
              rows_per_task: int | None = None) -> DataFrame:
-    """Keep a row when at least ``seconds`` passed since the row kept before it; the first row stays."""
+    """Keep a row when at least ``seconds`` (above 0) passed since the row kept before it; the first row stays."""
+    if seconds <= 0:
+        return df
     kw = {"rows_per_task": rows_per_task}
-    rows = Ordered(df, by, order, **kw).position("_pos").df
+    first = Ordered(df, by, order, **kw).position("_pos")
+    rows, (largest, every) = first.df, first.size
     marks = rows.select(*by, F.col(time).alias("_t"), F.lit(1).alias("_kind"), F.col("_pos"), F.col("_pos").alias("_o"))
     asks = rows.select(*by, (F.col(time) + seconds).alias("_t"), F.lit(0).alias("_kind"),
                        F.lit(None).cast("bigint").alias("_pos"), F.col("_pos").alias("_o"))
-    scan = Ordered(marks.unionByName(asks), by, ["_t", "_kind", "_o"], **kw)
+    scan = Ordered(marks.unionByName(asks), by, ["_t", "_kind", "_o"], rows_per_task, (2 * largest, 2 * every))
     scan.running(backwards=True, _next=("last", F.col("_pos")))
     pointers = scan.df.filter("_kind = 0").select(*by, F.col("_o").alias("_pos"), "_next")
-    kept = on_path(pointers, by, "_pos", "_next", rows_per_task)
+    kept = on_path(pointers, by, "_pos", "_next", rows_per_task, first.size)
     return rows.join(kept, [*by, "_pos"], "left_semi").drop("_pos")
 
 

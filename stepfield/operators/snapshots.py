@@ -17,7 +17,7 @@ from stepfield.functions import geometry as g
 from stepfield.functions.vec import parts, unit
 from stepfield.operators import mesh as M
 from stepfield.plans.ordered import dense_ids
-from stepfield.plans.skewed import demand, lookup
+from stepfield.plans.skewed import demand, lookup, need
 
 SAVE = ["run_id", "mesh_id", "field", "id"]
 KEY = ["run_id", "mesh_id", "field", "subfield", "id"]
@@ -25,8 +25,8 @@ CLOCK = ["step", "stage", "time"]
 
 
 def node(snap: DataFrame) -> DataFrame:
-    """First-order snapshots with the node id as ``pid``."""
-    return snap.withColumn("pid", F.col("site")[0])
+    """First-order snapshots with the node id as ``pid``; a site of several nodes is an error."""
+    return snap.withColumn("pid", need(F.col("site")[0], "only first-order fields have one value per point", "bigint", F.size("site") == 1))
 
 
 def _summed(width: int, weight: Column | float = 1.0, value="value") -> Column:
@@ -143,7 +143,6 @@ def site_positions(sites: DataFrame, points: DataFrame, dim: int = 3, factor: fl
 
 def to_point_order(snap: DataFrame, points: DataFrame, width: int) -> DataFrame:
     """A value for every point of the mesh in each save, zeros where the subfield is undefined."""
-    demand(snap, F.size("site") != 1, "only first-order fields have one value per point")
     each = snap.select(*KEY).distinct()
     grid = points.select("mesh_id", "pid").join(each, "mesh_id")
     have = node(snap).select(*KEY, "pid", "value")
@@ -186,8 +185,8 @@ def variation(snap: DataFrame, t0: float, width: int) -> DataFrame:
 def _paired(a: DataFrame, b: DataFrame) -> DataFrame:
     both = a.select(*KEY, "site", F.col("value").alias("_a")).join(
         b.select(*KEY, "site", F.col("value").alias("_b")), [*KEY, "site"], "full")
-    demand(both, "_a is null or _b is null", "the two fields have different sites")
-    return both
+    paired = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    return both.withColumns({c: need(F.col(c), "the two fields have different sites", "array<double>", paired) for c in ("_a", "_b")})
 
 
 def diff_norm(a: DataFrame, b: DataFrame, width: int) -> DataFrame:
@@ -253,7 +252,7 @@ def average(snap: DataFrame, mesh: M.Mesh, where: DataFrame, width: int) -> Data
     size = (M.region_volumes(mesh).join(where, ["mesh_id", "region"])
             .groupBy("mesh_id", "subfield").agg(F.sum("volume").alias("_v")))
     return integrate(snap, subfield_volumes(mesh, where), width).join(size, ["mesh_id", "subfield"]).select(
-        *KEY, *CLOCK, "comp", (F.col("integral") / F.col("_v")).alias("average"))
+        *KEY, *CLOCK, "comp", (F.col("integral") / F.nullif("_v", F.lit(0.0))).alias("average"))
 
 
 def max_angle(snap: DataFrame, mesh: M.Mesh, where: DataFrame, width: int = 3) -> DataFrame:

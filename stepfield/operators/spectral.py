@@ -61,11 +61,12 @@ def transform_line(df: DataFrame, keys: list[str], i: str, n: int, inverse: bool
     a = _factor(n, line)
     if a is not None:
         b = n // a
-        rows = df.withColumns({"_p": F.floor(F.col(i) / b).cast("bigint"), "_q": (F.col(i) % b).cast("bigint")}).drop(i)
-        first = transform_line(rows, [*keys, "_q"], "_p", a, inverse, line)
-        turned = _turn(first, sign * math.pi / n * ((F.col("_p") * F.col("_q")) % n))
-        second = transform_line(turned, [*keys, "_p"], "_q", b, inverse, line)
-        return second.withColumn(i, (F.col("_p") + a * F.col("_q")).cast("bigint")).select(*keys, i, "re", "im")
+        p, q = i + "_p", i + "_q"
+        rows = df.withColumns({p: F.floor(F.col(i) / b).cast("bigint"), q: (F.col(i) % b).cast("bigint")}).drop(i)
+        first = transform_line(rows, [*keys, q], p, a, inverse, line)
+        turned = _turn(first, sign * math.pi / n * ((F.col(p) * F.col(q)) % n))
+        second = transform_line(turned, [*keys, p], q, b, inverse, line)
+        return second.withColumn(i, (F.col(p) + a * F.col(q)).cast("bigint")).select(*keys, i, "re", "im")
     m = 1 << (2 * n - 1).bit_length()
     # exp(∓i·pi·k²/n); k² is taken modulo 2n to stay exact.
     chirp = (sign / 2.0) * math.pi / n * ((F.col(i) * F.col(i)) % (2 * n))
@@ -114,7 +115,7 @@ def fit_oscillation(df: DataFrame, by: list[str], time: str, columns: list[str],
     if frequency is None:
         smooth = R.smooth5(df, columns[0], by, order, out="_s", **kw)
         flips = R.sign_flips(smooth, "_s", by, order, **kw)
-        centre = flips.join(span, by).withColumn("_f", F.greatest(F.col("flips"), F.lit(1)) * 0.5 / (F.col("_t1") - F.col("_t0")))
+        centre = flips.join(span, by).withColumn("_f", F.greatest(F.col("flips"), F.lit(1)) * 0.5 / F.nullif(F.col("_t1") - F.col("_t0"), F.lit(0.0))).filter("_f is not null")
     else:
         centre = span.withColumn("_f", F.lit(float(frequency)))
     centre = cut_lineage(centre.select(*by, "_f", (F.col("_f") * 0.6).alias("_half"), "_t0"))

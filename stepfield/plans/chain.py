@@ -20,7 +20,7 @@ from stepfield.plans.ordered import ROWS_PER_TASK, largest_group
 from stepfield.session import cut_lineage
 
 
-def on_path(df: DataFrame, by: list[str], pos: str, nxt: str, rows_per_task: int | None = None) -> DataFrame:
+def on_path(df: DataFrame, by: list[str], pos: str, nxt: str, rows_per_task: int | None = None, size=None) -> DataFrame:
     """Keep the rows reached from position 1 of each run.
 
     ``pos`` numbers the rows of a run 1, 2, …; ``nxt`` is a larger position or NULL.
@@ -28,7 +28,7 @@ def on_path(df: DataFrame, by: list[str], pos: str, nxt: str, rows_per_task: int
     """
     limit = rows_per_task or ROWS_PER_TASK
     keys = df.select(*by, pos, nxt).withColumn("_piece", F.floor((F.col(pos) - 1) / limit).cast("bigint"))
-    largest, _ = largest_group(df, by)
+    largest, _ = size or largest_group(df, by)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by, pos).schema)
     if largest <= limit:
         entries = keys.withColumn("_entry", F.col(pos) == 1)

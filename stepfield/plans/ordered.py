@@ -28,23 +28,28 @@ def largest_group(df: DataFrame, by: list[str]) -> tuple[int, int]:
 
 
 class Ordered:
-    """Rows of ``df`` in runs ``by``, each totally ordered by ``order`` (unique inside a run)."""
+    """Rows of ``df`` in runs ``by``, each totally ordered by ``order`` (unique inside a run).
 
-    def __init__(self, df, by, order, rows_per_task=None):
+    ``size`` may pass on the (largest run, all rows) known from a scan over at least these rows, so
+    that they need not be counted again.
+    """
+
+    def __init__(self, df, by, order, rows_per_task=None, size=None):
         self.by, self.order = list(by), list(order)
         limit = rows_per_task or ROWS_PER_TASK
-        largest, total = largest_group(df, self.by)
+        self.size = size or largest_group(df, self.by)
+        largest, total = self.size
         self.pieces = largest > limit
         if self.pieces:
             n = max(2, math.ceil(total / limit))
             df = cut_lineage(
-                df.repartitionByRange(n, *self.by, *self.order).withColumn("_piece", F.spark_partition_id())
+                df.repartitionByRange(n, *self.by, *self.order).withColumn("__piece", F.spark_partition_id())
             )
         self._df = df
 
     @property
     def df(self) -> DataFrame:
-        return self._df.drop("_piece") if self.pieces else self._df
+        return self._df.drop("__piece") if self.pieces else self._df
 
     def map(self, fn) -> "Ordered":
         """Apply a row-wise step (projection or filter) and stay ordered."""
@@ -52,7 +57,7 @@ class Ordered:
         return self
 
     def _keys(self) -> list:
-        return self.by + (["_piece"] if self.pieces else [])
+        return self.by + (["__piece"] if self.pieces else [])
 
     def _window(self, backwards: bool):
         cols = [F.col(c).desc() if backwards else F.col(c).asc() for c in self.order]
@@ -64,18 +69,18 @@ class Ordered:
         so the table is bounded by the number of pieces and can be broadcast."""
         per_piece = self._df.groupBy(*self._keys()).agg(*[c.alias(k) for k, c in aggregates.items()])
         run = Window.partitionBy(*(self.by or [F.lit(0)]))
-        along = run.orderBy(F.col("_piece").desc() if backwards else F.col("_piece").asc())
+        along = run.orderBy(F.col("__piece").desc() if backwards else F.col("__piece").asc())
         return (
-            per_piece.withColumn("_n", F.count(F.lit(1)).over(run))
-            .filter("_n > 1")
+            per_piece.withColumn("__pieces", F.count(F.lit(1)).over(run))
+            .filter("__pieces > 1")
             .select(*self._keys(), *[c(along).alias(k) for k, c in carried.items()])
         )
 
     def _join_neighbours(self, extra: DataFrame) -> DataFrame:
-        renamed = extra.select(*[F.col(k).alias("_k_" + k) for k in self._keys()],
+        renamed = extra.select(*[F.col(k).alias("__key_" + k) for k in self._keys()],
                                *[c for c in extra.columns if c not in self._keys()])
-        cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col("_k_" + k)) for k in self._keys()])
-        return self._df.join(F.broadcast(renamed), cond, "left").drop(*["_k_" + k for k in self._keys()])
+        cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col("__key_" + k)) for k in self._keys()])
+        return self._df.join(F.broadcast(renamed), cond, "left").drop(*["__key_" + k for k in self._keys()])
 
     def _shift(self, columns: dict[str, Column], backwards: bool) -> "Ordered":
         w = self._window(backwards)
@@ -85,12 +90,12 @@ class Ordered:
         edge = F.max_by if not backwards else F.min_by
         packed = F.struct(*[c.alias(k) for k, c in columns.items()])
         extra = self._neighbours(
-            {"_edge": edge(packed, F.struct(*self.order))}, {"_edge": lambda a: F.lag("_edge").over(a)}, backwards
+            {"__edge": edge(packed, F.struct(*self.order))}, {"__edge": lambda a: F.lag("__edge").over(a)}, backwards
         )
-        local = self._df.select("*", F.lag(packed).over(w).alias("_local"))
+        local = self._df.select("*", F.lag(packed).over(w).alias("__local"))
         self._df, keep = local, self._df.columns
         self._df = self._join_neighbours(extra).select(
-            *keep, *[F.when(F.col("_local").isNotNull(), F.col("_local")[k]).otherwise(F.col("_edge")[k]).alias(k)
+            *keep, *[F.when(F.col("__local").isNotNull(), F.col("__local")[k]).otherwise(F.col("__edge")[k]).alias(k)
                      for k in columns]
         )
         return self
@@ -117,16 +122,16 @@ class Ordered:
         order = F.struct(*self.order)
         aggregates = {k: _total(kind, c, order, backwards) for k, (kind, c) in columns.items()}
         carried = {
-            "_c_" + k: (lambda a, k=k, kind=kind:
+            "__carry_" + k: (lambda a, k=k, kind=kind:
                         _scan("sum" if kind == "count" else kind, F.col(k))
                         .over(a.rowsBetween(Window.unboundedPreceding, -1)))
             for k, (kind, _) in columns.items()
         }
         extra = self._neighbours(aggregates, carried, backwards)
         keep = self._df.columns
-        self._df = self._df.select("*", *[c.alias("_i_" + k) for k, c in inside.items()])
+        self._df = self._df.select("*", *[c.alias("__inside_" + k) for k, c in inside.items()])
         self._df = self._join_neighbours(extra).select(
-            *keep, *[_combine(kind, F.col("_c_" + k), F.col("_i_" + k)).alias(k) for k, (kind, _) in columns.items()]
+            *keep, *[_combine(kind, F.col("__carry_" + k), F.col("__inside_" + k)).alias(k) for k, (kind, _) in columns.items()]
         )
         return self
 
@@ -158,9 +163,9 @@ def _combine(kind, carry, inside):
     return (F.greatest if kind == "max" else F.least)(carry, inside)
 
 
-def dense_ids(df: DataFrame, by, order, out: str, rows_per_task=None) -> DataFrame:
+def dense_ids(df: DataFrame, by, order, out: str, rows_per_task=None, size=None) -> DataFrame:
     """Number the rows of each group 0, 1, 2, … along ``order`` without gathering a group."""
     return (
-        Ordered(df, by, order, rows_per_task).position("_pos").df
+        Ordered(df, by, order, rows_per_task, size).position("_pos").df
         .withColumn(out, (F.col("_pos") - 1).cast("bigint")).drop("_pos")
     )

@@ -1,10 +1,10 @@
-"""Key lookups that survive hot keys."""
+"""Key lookups that survive hot keys, and checks that ride along with the work."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepfield.plans.ordered import ROWS_PER_TASK
@@ -13,22 +13,26 @@ from stepfield.plans.ordered import ROWS_PER_TASK
 def lookup(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner", rows_per_task=None) -> DataFrame:
     """Join ``rows`` to ``table``, which holds each key once.
 
-    Keys with more than ``rows_per_task`` rows are spread over several salts; only their table
-    rows are repeated. There are at most ``count / rows_per_task`` such keys.
+    With adaptive execution Spark itself splits the partitions of hot keys by their real sizes, so the
+    join is left as it is. Without it, or when ``rows_per_task`` is given, the keys with more rows than
+    that are spread over several salts and only their table rows are repeated; there are at most
+    ``count / rows_per_task`` such keys.
     """
-    limit = rows_per_task or ROWS_PER_TASK
-    counts = rows.groupBy(*on).count()
-    if not counts.filter(F.col("count") > limit).limit(1).count():
+    conf = rows.sparkSession.conf
+    adaptive = all(conf.get(k, "true") == "true" for k in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled"))
+    if adaptive and rows_per_task is None:
         return rows.join(table, on, how)
-    hot = counts.filter(F.col("count") > limit).select(
-        *[F.col(c).alias("_h_" + c) for c in on], F.ceil(F.col("count") / limit).cast("int").alias("_salts")
-    )
+    return salted(rows, table, on, how, rows_per_task or ROWS_PER_TASK)
+
+
+def salted(rows: DataFrame, table: DataFrame, on: list[str], how: str, limit: int) -> DataFrame:
+    hot = rows.groupBy(*on).count().filter(F.col("count") > limit).select(
+        *[F.col(c).alias("_h_" + c) for c in on], F.ceil(F.col("count") / limit).cast("int").alias("_salts"))
     same = reduce(lambda a, b: a & b, [F.col(c) == F.col("_h_" + c) for c in on])
     drop = ["_h_" + c for c in on] + ["_salts"]
     spread = (
         rows.join(F.broadcast(hot), same, "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(*rows.columns, F.monotonically_increasing_id()),
-                                    F.coalesce("_salts", F.lit(1))).cast("int"))
+        .withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("_salts", F.lit(1))).cast("int"))
         .drop(*drop)
     )
     repeated = (
@@ -40,6 +44,12 @@ def lookup(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner",
 
 
 def demand(df: DataFrame, bad, message: str) -> None:
-    """Raise when any row satisfies ``bad``; reads no more than the first such row."""
+    """Raise when any row satisfies ``bad``; for small tables, as it runs their plan."""
     if df.filter(bad).limit(1).count():
         raise ValueError(message)
+
+
+def need(value: Column, message: str, kind: str, ok: Column | None = None) -> Column:
+    """The value itself; a row where it is NULL (or ``ok`` fails) stops the job that computes it."""
+    good = value.isNotNull() if ok is None else ok
+    return F.when(good, value).otherwise(F.raise_error(F.lit(message)).cast(kind))

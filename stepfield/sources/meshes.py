@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stepfield.operators import mesh as M
 from stepfield.plans.ordered import dense_ids
-from stepfield.plans.skewed import demand
+from stepfield.plans.skewed import need
 from stepfield.sources.lines import file_stem, numbered_lines, tokens
 
 _ROW = ["mesh_id", "line", "t"]
@@ -45,6 +45,10 @@ def read_meshes(spark: SparkSession, path, fmt: str = "text", dim: int = 3, fold
     return readers[fmt](_lines(spark, path, folder), dim)
 
 
+def _needed(head: DataFrame, columns: list[str], message: str) -> DataFrame:
+    return head.withColumns({c: need(F.col(c), message, "bigint") for c in columns})
+
+
 def _blocks(lines: DataFrame, head: DataFrame) -> DataFrame:
     # The table has one row per file; a file may hold any share of the lines, the join spreads them.
     return lines.join(head, "mesh_id")
@@ -55,8 +59,7 @@ def _read_text(lines, dim):
     region and vertices; two regions and a face; periodic group and its points."""
     found = F.regexp_extract_all(F.col("value"), F.lit(r"=\s*(\d+)"), F.lit(1))
     head = _counts(lines, {n: _at(1, F.get(found, F.lit(i)).cast("bigint")) for i, n in enumerate(["dim", "np", "ns", "nf", "ng"])})
-    demand(head, "np is null or ns is null", "not a mesh file: the line with the counts is missing")
-    rows = _blocks(lines, head)
+    rows = _blocks(lines, _needed(head, ["np", "ns"], "not a mesh file: the line with the counts is missing"))
     first = {"p": F.lit(3), "s": 4 + F.col("np"), "f": 5 + F.col("np") + F.col("ns"), "g": 6 + F.col("np") + F.col("ns") + F.col("nf")}
     size = {"p": F.col("np"), "s": F.col("ns"), "f": F.col("nf"), "g": F.col("ng")}
     pick = lambda b: rows.withColumn("_i", F.col("line") - first[b]).filter((F.col("_i") >= 0) & (F.col("_i") < size[b]))
@@ -70,8 +73,7 @@ def _read_netgen(lines, dim):
     """Count and points, count and (region, vertices from 1)."""
     np_ = _at(0, _number(0))
     head = _counts(lines, {"np": np_})
-    demand(head, "np is null", "the first line must be the number of points")
-    rows = _blocks(lines, head)
+    rows = _blocks(lines, _needed(head, ["np"], "the first line must be the number of points"))
     count = rows.filter(F.col("line") == F.col("np") + 1).select("mesh_id", _number(0).alias("ns"))
     points = rows.filter(F.col("line").between(1, F.col("np"))).select("mesh_id", (F.col("line") - 1).alias("pid"), _floats().alias("pos"))
     body = rows.join(count, "mesh_id").withColumn("_i", F.col("line") - F.col("np") - 2).filter("_i >= 0 and _i < ns")
@@ -83,8 +85,7 @@ def _read_gambit(lines, dim):
     vertices from 1) after two lines; element numbers of the groups, ten to a line, after five more.
     A fall in those numbers begins a new group, and the groups are the regions 1, 2, …"""
     head = _counts(lines, {"np": _at(6, _number(0)), "ne": _at(6, _number(1))})
-    demand(head, "np is null or ne is null", "line 7 must hold the counts")
-    rows = _blocks(lines, head)
+    rows = _blocks(lines, _needed(head, ["np", "ne"], "line 7 must hold the counts"))
     points = rows.withColumn("_i", F.col("line") - 9).filter("_i >= 0 and _i < np").select("mesh_id", F.col("_i").alias("pid"), _floats(1).alias("pos"))
     body = rows.withColumn("_i", F.col("line") - 11 - F.col("np")).filter("_i >= 0 and _i < ne").select(
         "mesh_id", _number(0).alias("number"), _ints(3, 1).alias("v"))
@@ -103,12 +104,11 @@ def _read_gmsh1(lines, dim):
     size, vertices) between their markers; only tetrahedra (type 4) stay."""
     mark = lambda s: F.max(F.when(F.col("value").startswith(s), F.col("line")))
     head = _counts(lines, {"n0": mark("$NOD"), "n1": mark("$ENDNOD"), "e0": mark("$ELM"), "e1": mark("$ENDELM")})
-    demand(head, "n0 is null or n1 is null or e0 is null or e1 is null", "a section marker is missing (only format 1 is read)")
-    rows = _blocks(lines, head)
+    rows = _blocks(lines, _needed(head, ["n0", "n1", "e0", "e1"], "a section marker is missing (only format 1 is read)"))
     nodes = rows.filter("line > n0 + 1 and line < n1").select("mesh_id", (F.col("line") - F.col("n0") - 2).alias("pid"), _number(0).alias("old"), _floats(1).alias("pos"))
     body = rows.filter("line > e0 + 1 and line < e1").select("mesh_id", "line", _number(0).alias("number"), _number(1).alias("type"), _number(2).cast("int").alias("region"), _ints(5).alias("ends"))
     tets = body.filter("type = 4").select("mesh_id", "number", "line", "region", "ends")
-    demand(tets, F.size("ends") != 4, "only tetrahedra of first order can be read")
+    tets = tets.withColumn("ends", need(F.col("ends"), "only tetrahedra of first order can be read", "array<bigint>", F.size("ends") == 4))
     numbered = dense_ids(tets, ["mesh_id"], ["line"], "sid").withColumnRenamed("ends", "v")
     mapping = nodes.select("mesh_id", F.col("old").alias("pid"), F.col("pid").alias("new_pid"))
     simplices = M.remap(numbered, mapping, ["mesh_id"], dim).select("mesh_id", "sid", "region", "v")

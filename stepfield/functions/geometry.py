@@ -62,6 +62,18 @@ def bary(p, verts) -> list[Column]:
     return [over(signed_volume([p if i == k else v for i, v in enumerate(verts)]), whole) for k in range(len(verts))]
 
 
+def inverse(m) -> list[list[Column]]:
+    """Inverse of a small matrix by its cofactors; NULL entries for a singular one."""
+    n, whole = len(m), det(m)
+    if n == 1:
+        return [[over(F.lit(1.0), whole)]]
+
+    def minor(i, j):
+        return det([[x for c, x in enumerate(row) if c != j] for k, row in enumerate(m) if k != i])
+
+    return [[over(minor(j, i) * (1.0 if (i + j) % 2 == 0 else -1.0), whole) for j in range(n)] for i in range(n)]
+
+
 def tri_area(a, b, c) -> Column:
     """Area of a triangle in two or three dimensions."""
     u, v = sub(b, a), sub(c, a)

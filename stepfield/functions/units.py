@@ -49,21 +49,27 @@ def parse_unit(text) -> Column:
     return F.aggregate(rows, zero(), add)
 
 
+def bind(value: Column, fn) -> Column:
+    """``fn(value)`` with the value computed once: the expression holds it in one place."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def unit_text(dims, value=1.0) -> Column:
     """Dense text, ``<A/m>`` or ``<1e+06A/m>``: positive powers, then the negative ones after a slash."""
-    dims = col(dims)
+    value = value if isinstance(value, Column) else F.lit(float(value))
 
-    def powers(sign):
+    def powers(dims, sign):
         named = [F.when(dims[i] * sign == 1, F.lit(u))
                  .when(dims[i] * sign > 1, F.concat(F.lit(u + "^"), (dims[i] * sign).cast("string")))
                  .otherwise(F.lit("")) for i, u in enumerate(BASE_UNITS)]
         return F.concat(*named)
 
-    up, down = powers(1), powers(-1)
-    unit = F.concat(up, F.when(down != "", F.concat(F.lit("/"), down)).otherwise(F.lit("")))
-    value = value if isinstance(value, Column) else F.lit(float(value))
-    body = F.when(value == 1.0, F.when(unit == "", F.lit("1")).otherwise(unit)).otherwise(
-        F.concat(general(value), unit))
+    def join(up, down):
+        return F.concat(up, F.when(down != "", F.concat(F.lit("/"), down)).otherwise(F.lit("")))
+
+    unit = bind(col(dims), lambda d: join(powers(d, 1), powers(d, -1)))
+    body = bind(unit, lambda u: F.when(value == 1.0, F.when(u == "", F.lit("1")).otherwise(u)).otherwise(
+        F.concat(general(value), u)))
     return F.concat(F.lit("<"), body, F.lit(">"))
 
 
@@ -87,7 +93,7 @@ def general(x, digits: int = 6) -> Column:
         return F.concat(sign, F.when((exponent < -4) | (exponent >= digits), short).otherwise(fixed))
 
     # The inner function binds the formatted text, so that it is made once.
-    text = F.transform(F.array(F.format_string(f"%.{digits - 1}e", x)), layout)[0]
+    text = bind(F.format_string(f"%.{digits - 1}e", x), layout)
     return (F.when(x.isNull(), None).when(x == 0, "0").when(F.isnan(x), "nan")
             .when(F.abs(x) == float("inf"), F.when(x > 0, "inf").otherwise("-inf")).otherwise(text))
 
@@ -166,14 +172,20 @@ def convert_units(df: DataFrame, columns: dict[str, str], scales: dict[str, floa
 
 
 def vector_text(quantities) -> Column:
-    """``[0 123 0]<A/m>`` for an array of quantities; numbers in brackets alone when units differ."""
-    qs = col(quantities)
-    live = F.filter(qs, lambda q: q["value"] != 0)
-    dims = F.when(F.size(live) > 0, live[0]["dims"]).otherwise(
-        F.coalesce(F.get(F.filter(qs, lambda q: q["dims"] != zero()), F.lit(0))["dims"], zero()))
-    same = F.forall(live, lambda q: q["dims"] == F.get(live, F.lit(0))["dims"])
-    numbers = F.concat(F.lit("["), F.array_join(F.transform(qs, lambda q: general(q["value"])), " "), F.lit("]"))
-    mixed = F.concat(F.lit("["), F.array_join(
-        F.transform(qs, lambda q: F.concat(general(q["value"]), unit_text(q["dims"]))), ", "), F.lit("]"))
-    suffix = F.when(dims == zero(), F.lit("")).otherwise(unit_text(dims))
-    return F.when(same, F.concat(numbers, suffix)).otherwise(mixed)
+    """``[0 123 0]<A/m>`` for an array of quantities; every one with its unit when they differ."""
+    def number(q):
+        return general(q["value"])
+
+    def text(qs):
+        live = F.filter(qs, lambda q: q["value"] != 0)
+        first = F.coalesce(F.get(live, F.lit(0))["dims"], F.get(F.filter(qs, lambda q: q["dims"] != zero()), F.lit(0))["dims"], zero())
+
+        def with_unit(dims):
+            same = F.forall(live, lambda q: q["dims"] == dims)
+            numbers = F.concat(F.lit("["), F.array_join(F.transform(qs, number), " "), F.lit("]"))
+            mixed = F.concat(F.lit("["), F.array_join(F.transform(qs, lambda q: F.concat(number(q), unit_text(q["dims"]))), ", "), F.lit("]"))
+            return F.when(same, F.concat(numbers, F.when(dims == zero(), F.lit("")).otherwise(unit_text(dims)))).otherwise(mixed)
+
+        return bind(first, with_unit)
+
+    return bind(col(quantities), text)

@@ -14,6 +14,7 @@ from stepfield.operators import mesh as M
 from stepfield.operators.snapshots import CLOCK, KEY, node
 from stepfield.plans.ordered import Ordered
 from stepfield.plans.skewed import lookup
+from stepfield.session import cut_lineage
 
 
 # Time
@@ -103,21 +104,29 @@ def locate(probes: DataFrame, mesh: M.Mesh, slack: float = 1e-12) -> DataFrame:
     """
     d = mesh.dim
     v = M.vertices(d)
-    low = [F.least(*[p[a] for p in v]) for a in range(d)]
-    high = [F.greatest(*[p[a] for p in v]) for a in range(d)]
-    extent = F.greatest(*[h - l for h, l in zip(high, low)]) if d > 1 else high[0] - low[0]
-    pad = extent * slack
-    shapes = M.located(mesh).withColumn("_lv", _level(extent + 2 * pad))
-    for a in range(d):
-        span = F.sequence(_cell(low[a] - pad, F.col("_lv")), _cell(high[a] + pad, F.col("_lv")))
-        shapes = shapes.withColumn(f"_c{a}", F.explode(span))
+    axes = range(d)
+    rows = g.inverse([g.sub(p, v[0]) for p in v[1:]])
+    sizes = {f"lo{a}": F.least(*[p[a] for p in v]) for a in axes} | {f"hi{a}": F.greatest(*[p[a] for p in v]) for a in axes}
+    linear = {f"g{k}{a}": rows[a][k] for k in axes for a in axes}
+    shapes = M.located(mesh).select("mesh_id", "sid", "region", *[f"v{k}" for k in range(d + 1)], *[F.col(f"x0{a}").alias(f"o{a}") for a in axes],
+                                    *[c.alias(n) for n, c in {**sizes, **linear}.items()])
+    extents = [F.col(f"hi{a}") - F.col(f"lo{a}") for a in axes]
+    shapes = shapes.withColumn("_e", F.greatest(*extents) if d > 1 else extents[0]).withColumn("_pad", F.col("_e") * slack)
+    shapes = shapes.withColumn("_lv", _level(F.col("_e") + 2 * F.col("_pad"))).drop("_e")
+    shapes = shapes.withColumns({f"lo{a}": F.col(f"lo{a}") - F.col("_pad") for a in axes} | {f"hi{a}": F.col(f"hi{a}") + F.col("_pad") for a in axes}).drop("_pad")
+    # Stored once: both the list of grids in use and the cells are made from it.
+    shapes = cut_lineage(shapes)
     levels = shapes.select("mesh_id", "_lv").distinct()
+    for a in axes:
+        shapes = shapes.withColumn(f"_c{a}", F.explode(F.sequence(_cell(F.col(f"lo{a}"), F.col("_lv")), _cell(F.col(f"hi{a}"), F.col("_lv")))))
     asked = probes.select("mesh_id", "probe", *[p.alias(f"p{a}") for a, p in enumerate(parts("pos", d))]).join(levels, "mesh_id")
-    asked = asked.withColumns({f"_c{a}": _cell(F.col(f"p{a}"), F.col("_lv")) for a in range(d)})
-    pairs = asked.join(shapes, ["mesh_id", "_lv", *[f"_c{a}" for a in range(d)]])
-    weights = g.bary([F.col(f"p{a}") for a in range(d)], v)
-    inside = pairs.withColumns({f"w{k}": w for k, w in enumerate(weights)}).filter(
-        reduce(lambda x, y: x & y, [F.col(f"w{k}") >= -slack for k in range(d + 1)]))
+    asked = asked.withColumns({f"_c{a}": _cell(F.col(f"p{a}"), F.col("_lv")) for a in axes})
+    pairs = asked.join(shapes, ["mesh_id", "_lv", *[f"_c{a}" for a in axes]])
+    pairs = pairs.filter(reduce(lambda x, y: x & y, [F.col(f"p{a}").between(F.col(f"lo{a}"), F.col(f"hi{a}")) for a in axes]))
+    # Weights are linear in the position: one row of the inverse edge matrix per vertex but the first.
+    pairs = pairs.withColumns({f"w{k + 1}": reduce(lambda x, y: x + y, [F.col(f"g{k}{a}") * (F.col(f"p{a}") - F.col(f"o{a}")) for a in axes]) for k in axes})
+    pairs = pairs.withColumn("w0", 1.0 - reduce(lambda x, y: x + y, [F.col(f"w{k + 1}") for k in axes]))
+    inside = pairs.filter(reduce(lambda x, y: x & y, [F.col(f"w{k}") >= -slack for k in range(d + 1)]))
     return inside.groupBy("mesh_id", "probe").agg(
         F.min("sid").alias("sid"),
         *[F.min_by("region", "sid").alias("region")],

@@ -8,10 +8,32 @@ from pyspark.sql import functions as F
 from stepfield.functions.vec import col
 
 
+def fixed(x, digits: int) -> Column:
+    """The C ``%.<digits>f`` text of a double, rounded by its exact binary value (at most 6 digits).
+
+    Java rounds the shortest decimal text instead, which differs at apparent ties. Here the product
+    with 10^digits is taken together with its rounding error, so the comparison with one half is exact.
+    """
+    negative = col(x) < 0
+    x, ten = F.abs(col(x)), 10.0 ** digits
+    product = x * ten
+    spread = x * 134217729.0
+    high = spread - (spread - x)
+    error = (high * ten - product) + (x - high) * ten
+    whole = F.floor(product).cast("double")
+    excess = product - whole - 0.5
+    up = (excess > -error) | ((excess == -error) & (whole % 2 == 1))
+    n = (whole + F.when(up, 1.0).otherwise(0.0)).cast("bigint")
+    base = int(ten)
+    text = F.concat(F.floor((n - n % base) / base).cast("string"), F.lit("."), F.lpad((n % base).cast("string"), digits, "0"))
+    sign = F.when(negative, "-").otherwise("")
+    return F.when(product < 2.0**52, F.concat(sign, text)).otherwise(F.concat(sign, F.format_string(f"%.{digits}f", x)))
+
+
 def fmt_time(t) -> Column:
     """Seconds as ``12.50 ps`` below 100 ps, else ``0.25 ns``."""
     ps = col(t) / 1e-12
-    return F.when(ps < 100.0, F.format_string("%.2f ps", ps)).otherwise(F.format_string("%.2f ns", ps / 1000.0))
+    return F.when(ps < 100.0, F.concat(fixed(ps, 2), F.lit(" ps"))).otherwise(F.concat(fixed(ps / 1000.0, 2), F.lit(" ns")))
 
 
 def norm_key(c) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stepfield.functions.text import fixed
 from stepfield.functions.units import general
 from stepfield.operators.snapshots import CLOCK, KEY, convert, saves, site_positions
 from stepfield.plans.ordered import Ordered
@@ -109,7 +110,7 @@ def write_probe_text(df: DataFrame, path: str, axes: list[str], order: list[str]
 
 def site_lines(df: DataFrame, width: int = 3) -> DataFrame:
     """``time x y z v0 v1 v2`` per row of (time, pos, value)."""
-    cells = [general("time")] + [F.format_string("%f", F.col("pos")[i]) for i in range(3)] + [general(F.col("value")[i]) for i in range(width)]
+    cells = [general("time")] + [fixed(F.col("pos")[i], 6) for i in range(3)] + [general(F.col("value")[i]) for i in range(width)]
     return df.select(*[c for c in df.columns if c not in ("pos", "value")], F.concat_ws(" ", *cells).alias("line"))
 
 

@@ -126,3 +126,10 @@ def test_unit_errors(spark):
 def test_norm_key(spark):
     got = spark.createDataFrame([("Save  Fields",), ("save_fields",)], "k string").select(text.norm_key("k")).collect()
     assert {r[0] for r in got} == {"save_fields"}
+
+
+def test_fixed_format(spark):
+    xs = [0.105, 0.115, 2.675, 1.005, -0.125, 0.375, 12345.678, 0.0, 99.995, -3.14159, 0.004999, 1e12 + 0.125]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    assert [r[0] for r in df.select(text.fixed("x", 2)).collect()] == ["%.2f" % x for x in xs]
+    assert [r[0] for r in df.select(text.fixed("x", 6)).collect()] == ["%.6f" % x for x in xs]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from stepfield.functions.units import bind
 from stepfield.functions.vec import col
 
 
@@ -14,20 +15,25 @@ def fixed(x, digits: int) -> Column:
     Java rounds the shortest decimal text instead, which differs at apparent ties. Here the product
     with 10^digits is taken together with its rounding error, so the comparison with one half is exact.
     """
-    negative = col(x) < 0
-    x, ten = F.abs(col(x)), 10.0 ** digits
-    product = x * ten
-    spread = x * 134217729.0
-    high = spread - (spread - x)
-    error = (high * ten - product) + (x - high) * ten
-    whole = F.floor(product).cast("double")
-    excess = product - whole - 0.5
-    up = (excess > -error) | ((excess == -error) & (whole % 2 == 1))
-    n = (whole + F.when(up, 1.0).otherwise(0.0)).cast("bigint")
-    base = int(ten)
-    text = F.concat(F.floor((n - n % base) / base).cast("string"), F.lit("."), F.lpad((n % base).cast("string"), digits, "0"))
-    sign = F.when(negative, "-").otherwise("")
-    return F.when(product < 2.0**52, F.concat(sign, text)).otherwise(F.concat(sign, F.format_string(f"%.{digits}f", x)))
+    ten, base = 10.0 ** digits, 10 ** digits
+
+    def rounded(p):
+        whole = F.floor(p["product"]).cast("double")
+        excess = p["product"] - whole - 0.5
+        up = (excess > -p["error"]) | ((excess == -p["error"]) & (whole % 2 == 1))
+        return (whole + F.when(up, 1.0).otherwise(0.0)).cast("bigint")
+
+    def digits_of(n):
+        return F.concat(((n - n % base) / base).cast("bigint").cast("string"), F.lit("."), F.lpad((n % base).cast("string"), digits, "0"))
+
+    def text(x):
+        size = F.abs(x)
+        high = size * 134217729.0 - (size * 134217729.0 - size)
+        exact = F.struct((size * ten).alias("product"), ((high * ten - size * ten) + (size - high) * ten).alias("error"))
+        plain = bind(bind(exact, rounded), digits_of)
+        return F.concat(F.when(x < 0, "-").otherwise(""), F.when(size * ten < 2.0**52, plain).otherwise(F.format_string(f"%.{digits}f", size)))
+
+    return bind(col(x), text)
 
 
 def fmt_time(t) -> Column:

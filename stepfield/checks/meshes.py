@@ -98,10 +98,9 @@ def _(spark, sf):
 
 def region_names(spark, sf):
     """Bridge region → names: the nations of region 1, 2, 3 of the star schema, for every mesh."""
-    meshes = table(spark, sf, "part").select((F.col("p_partkey") % 4).alias("mesh_id")).distinct()
     n = table(spark, sf, "nation").filter("n_regionkey between 1 and 3").select(F.col("n_regionkey").alias("region"), F.col("n_name").alias("prop"))
     magnetic = n.filter("region <= 2").select("region", F.lit("magnetic").alias("prop")).distinct()
-    return n.unionByName(magnetic).crossJoin(meshes)
+    return n.unionByName(magnetic).withColumn("mesh_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(3).cast("bigint"))))
 
 
 PROPS = """props AS (SELECT mesh_id, region, prop FROM (SELECT n_regionkey AS region, n_name AS prop FROM nation WHERE n_regionkey BETWEEN 1 AND 3

@@ -52,7 +52,7 @@ def _(spark, sf):
     # One header per file: each file gets its own copy in front.
     n = 3
     parts = rows.withColumn("f", F.pmod(F.hash("value"), F.lit(n)))
-    heads = head.crossJoin(spark.range(n).select(F.col("id").cast("int").alias("f")))
+    heads = head.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     both = heads.withColumn("k", F.lit(0)).unionByName(parts.withColumn("k", F.lit(1)))
     both.repartition(n, "f").sortWithinPartitions("f", "k").select("value", "f").write.partitionBy("f").text(path)
     return RU.read_runs(spark, path + "/f=*", fmt="odt").select("`Oxs_Driver::Iteration`", "My_Value_x")

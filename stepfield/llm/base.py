@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stepfield.session import shared_folder
+
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 
@@ -56,6 +59,13 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back: cuts lineage and is not made twice."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def byte_view(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of an Arrow string or binary array and the n+1 offsets of its rows; null rows are empty."""
     import pyarrow as pa
@@ -71,12 +81,12 @@ def byte_view(column) -> tuple[np.ndarray, np.ndarray]:
     return buf, offsets.astype(np.int64)
 
 
-def slabs(offsets: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
-    """Consecutive row ranges of about ``size`` bytes, at least one row each."""
+def slabs(offsets: np.ndarray, size: int, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Consecutive row ranges of about ``size`` bytes and at most ``rows`` rows, at least one row each."""
     n, a = len(offsets) - 1, 0
     while a < n:
         b = int(np.searchsorted(offsets, offsets[a] + size, side="right")) - 1
-        b = min(n, max(a + 1, b))
+        b = min(n, a + rows, max(a + 1, b))
         yield a, b
         a = b
 

@@ -46,21 +46,24 @@ class Model:
         self.share = share
         self.trained = False
         self.p = {"e": rng.normal(0, 0.3, (256, EMBED)), "k": rng.normal(0, 0.15, (WIDTH * EMBED, FILTERS)), "c": np.zeros(FILTERS),
-                  "h": rng.normal(0, 0.3, (FILTERS, HIDDEN)), "d": np.zeros(HIDDEN), "o": rng.normal(0, 0.3, HIDDEN), "z": np.zeros(1)}
+                  "h": rng.normal(0, 0.3, (FILTERS + 1, HIDDEN)), "d": np.zeros(HIDDEN), "o": rng.normal(0, 0.3, HIDDEN), "z": np.zeros(1)}
         self.p = {name: v.astype(np.float32) for name, v in self.p.items()}
 
-    def dense(self, top: np.ndarray) -> np.ndarray:
-        return np.maximum(top @ self.p["h"] + self.p["d"], 0) @ self.p["o"] + self.p["z"]
+    def dense(self, top: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Logits of chunks from their filters' maxima and how full they are."""
+        act = np.concatenate([np.tanh(top), places[:, None] / np.float32(_PLACES)], 1)
+        return np.maximum(act @ self.p["h"] + self.p["d"], 0) @ self.p["o"] + self.p["z"]
 
     def _gradients(self, chunks: np.ndarray, doc: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-        """chunks: bytes (m, CHUNK); doc: the text of each; y, weight: of each text."""
+        """chunks: bytes (m, CHUNK) and a last byte, their filter places; doc: the text of each; y, weight: of each text."""
         p, m = self.p, len(chunks)
+        full = chunks[:, CHUNK:] / np.float32(_PLACES)
         at = np.arange(_PLACES)[:, None] * STRIDE + np.arange(WIDTH)
         own = chunks[:, at]
         conv = p["e"][own].reshape(m, _PLACES, -1) @ p["k"] + p["c"]
         place = conv.argmax(1)
         top = np.take_along_axis(conv, place[:, None], 1)[:, 0]
-        act = np.tanh(top)
+        act = np.concatenate([np.tanh(top), full], 1)
         hidden = act @ p["h"] + p["d"]
         on = np.maximum(hidden, 0)
         many = np.bincount(doc, minlength=len(y)).astype(np.float32)
@@ -70,7 +73,7 @@ class Model:
         out = {"o": (on * g).sum(0), "z": g.sum(0)}
         gh = g * p["o"] * (hidden > 0)
         out |= {"h": act.T @ gh, "d": gh.sum(0)}
-        gt = (gh @ p["h"].T) * (1 - act * act)
+        gt = ((gh @ p["h"].T) * (1 - act * act))[:, :FILTERS]
         out["c"] = gt.sum(0)
         bytes_at = own[np.arange(m)[:, None], place]  # (m, FILTERS, WIDTH): what each maximum saw
         seen = p["e"][bytes_at].reshape(m, FILTERS, -1)
@@ -80,7 +83,7 @@ class Model:
         return out
 
     def fit(self, texts: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> None:
-        """texts: the chunks (n, CHUNK) of each."""
+        """texts: the chunks (n, CHUNK + 1) of each."""
         rng = np.random.default_rng(5)
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -122,7 +125,7 @@ class Model:
         start = at[doc] // STRIDE + low
         end = at[doc] // STRIDE + np.minimum(low + _PLACES, n[doc])
         top = np.maximum.reduceat(conv, np.stack([start, end], 1).ravel())[::2]
-        logit = np.bincount(doc, self.dense(np.tanh(top)), minlength=len(sizes)) / many
+        logit = np.bincount(doc, self.dense(top, end - start), minlength=len(sizes)) / many
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
@@ -146,10 +149,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
                 places = (padded_size(b - a) - WIDTH) // STRIDE + 1
                 many = int(chunk_count(places))
                 picked = np.unique(np.linspace(0, many - 1, min(many, CHUNKS)).astype(int))
-                out = np.zeros((len(picked), CHUNK), np.uint8)
+                out = np.zeros((len(picked), CHUNK + 1), np.uint8)
                 for i, c in enumerate(picked):  # a short chunk is repeated, so that it has no other bytes
                     part = buf[a + c * STEP:min(b, a + c * STEP + CHUNK)]
-                    out[i] = np.resize(np.pad(part, (0, max(0, WIDTH - len(part)))), CHUNK)
+                    out[i, CHUNK] = min(_PLACES, places - c * _HOP)
+                    out[i, :CHUNK] = np.resize(np.pad(part, (0, max(0, WIDTH - len(part)))), CHUNK)
                 rows.append(out.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(rows, pa.binary())], ["quality", "chunks"])
 
@@ -160,7 +164,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         return model
     # Each label weighs as much as it has rows among all labels, whatever its part of the sample.
     weight = np.where(y == 1, model.share / max(1, (y == 1).sum()), (1 - model.share) / max(1, (y == 0).sum())) * len(y)
-    model.fit([np.frombuffer(r.chunks, np.uint8).reshape(-1, CHUNK) for r in rows], y, weight.astype(np.float32))
+    model.fit([np.frombuffer(r.chunks, np.uint8).reshape(-1, CHUNK + 1) for r in rows], y, weight.astype(np.float32))
     return model
 
 

@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame
 
 from stepfield.llm import repeats
 from stepfield.llm.base import mix64
-from stepfield.llm.suffix_tree import hashed_grams
 
 WINDOW = 50
 _LEFT = WINDOW - repeats.K
@@ -46,10 +45,11 @@ class Bytes(repeats.Symbols):
         super().__init__(gram, starts)
 
     def hashes(self, first: np.ndarray, size: int) -> np.ndarray:
-        return hashed_grams(self.grams, first, size)
+        return repeats.hashed_grams(self.grams, first, size)
 
-    def cut(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return repeats._gather(self.plain, first, last - first), np.concatenate([[0], np.cumsum(last - first)])
+    def cut(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+        return (repeats.gather(self.plain, first, last - first), np.concatenate([[0], np.cumsum(last - first)]),
+                repeats.slice_hashes(self.plain, first, last), repeats.slice_hashes(self.plain, first, last, 1))
 
 
 def longest_previous(order_lcp: np.ndarray, position: np.ndarray, enough: int) -> np.ndarray:

@@ -168,10 +168,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row; only the text is looked at."""
+def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+    """``keep`` (doc_id, if not given), held_out, score, predicted of every row; only the text is looked at."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -181,8 +180,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             buf, offsets = byte_view(batch.column("text"))
             parts = [m.scores(buf, offsets[a:b + 1], tables) for a, b in slabs(offsets, SLAB, ROWS)]
             out = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held"), pa.array(out), pa.array((out >= 0.5).astype(np.int32))],
-                                             ["doc_id", "held_out", "score", "predicted"])
-
-    own = docs.select("doc_id", held_out().alias("held"), F.coalesce("text", F.lit("")).alias("text"))
-    return own.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+            yield pa.RecordBatch.from_arrays([batch.column("rest"), batch.column("held"), pa.array(out), pa.array((out >= 0.5).astype(np.int32))],
+                                             ["rest", "held_out", "score", "predicted"])
+
+    keep = keep or ["doc_id"]
+    own = docs.select(F.struct(*keep).alias("rest"), held_out().alias("held"), F.coalesce("text", F.lit("")).alias("text"))
+    kind = own.schema["rest"].dataType.simpleString()
+    out = own.mapInArrow(run, f"rest {kind}, held_out boolean, score double, predicted int")
+    return out.select("rest.*", "held_out", "score", "predicted")

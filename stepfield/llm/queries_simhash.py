@@ -8,4 +8,4 @@ from stepfield.llm.simhash import near_duplicates
 
 @query("op4_simhash_near")
 def op4_simhash_near(spark, sf):
-    return near_duplicates(table(spark, sf, "documents"))
+    return near_duplicates(table(spark, sf, "documents")).drop("sig")

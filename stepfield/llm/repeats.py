@@ -19,6 +19,7 @@ stay apart. Rows without doc_id neither lose text nor count as earlier copies.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,7 +29,9 @@ from pyspark.sql import functions as F
 from stepfield.llm.base import byte_view, mix64, partitions, slabs
 
 #: Symbols of an anchor; documents' bytes worked on at a time; entries of an anchor beyond which its prefix grows.
-K, SLAB, CROWD = 16, 1 << 20, 4096
+K, SLAB, CROWD = 16, 1 << 19, 4096
+#: Slabs that are combined before rows leave a task, and entries that are settled at a time.
+TOGETHER, SETTLED = 16, 1 << 15
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -43,11 +46,34 @@ class Symbols:
         """Hash of ``size`` symbols from each place in ``first``."""
         raise NotImplementedError
 
-    def cut(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes of the symbols from first to last (not included), packed, and their n + 1 offsets."""
+    def cut(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of the symbols from first to last (not included), packed, their n + 1 offsets, two fingerprints of each."""
         raise NotImplementedError
 
 
+_BASE = 0x9E3779B97F4A7C15
+_VALUES = [mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(seed)) for seed in (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)]
+_POWERS: list[np.ndarray] = []
+
+
+def slice_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """64-bit hashes of slices of bytes: polynomials modulo 2^64 from running sums."""
+    if not _POWERS or len(_POWERS[0]) <= len(data):
+        n = max(2 * SLAB, len(data))
+        _POWERS[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, b, np.uint64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_VALUES[which][data] * _POWERS[0][:len(data)], out=total[1:])
+    return mix64((total[end] - total[start]) * _POWERS[1][start] + (end - start).astype(np.uint64))
+
+
+def hashed_grams(grams: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
+    """Hash of ``size`` symbols from the grams that cover them."""
+    out = np.zeros(len(first), np.uint64)
+    for at in [*range(0, size - K, K), size - K]:
+        out = mix64(out * np.uint64(_BASE) + grams[first + at])
+    return out
+
+
 def _slide(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     """pick over x[i:i+width] for each i that has all of them."""
     have = 1
@@ -108,9 +134,10 @@ def least_in_run(new: np.ndarray, value: np.ndarray) -> np.ndarray:
 ASKS, WITNESS, KNOWN = 1, 2, 4
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """doc_id, uid, text: uid tells rows with one id and different texts apart."""
-    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), F.coalesce("text", F.lit("")).alias("text"))
+def identified(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """doc_id, uid, text, rest: uid tells rows with one id and different texts apart, rest has the columns to keep."""
+    rest = F.struct(*keep) if keep else F.lit(0)
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), F.coalesce("text", F.lit("")).alias("text"), rest.alias("rest"))
 
 
 def sieve(own: DataFrame, symbols: Callable, n: int, buckets: int) -> DataFrame:
@@ -121,37 +148,39 @@ def sieve(own: DataFrame, symbols: Callable, n: int, buckets: int) -> DataFrame:
         for batch in batches:
             buf, offsets = byte_view(batch.column("text"))
             uids = batch.column("uid").to_numpy()
-            hs, docs = [], []
-            for a, b in slabs(offsets, SLAB):
-                s = symbols(buf, offsets[a:b + 1])
-                at = anchors(s.grams, s.starts, n)
-                hs.append(s.grams[at])
-                docs.append(np.searchsorted(s.starts, at, side="right") - 1 + a)
-            if not hs:
-                continue
-            h, doc = np.concatenate(hs) & ~np.uint64(1), np.concatenate(docs).astype(np.uint32)
-            order = np.lexsort((doc, h))
-            h, doc = h[order], doc[order]
-            once = runs_of(h)
-            once[1:] |= doc[1:] != doc[:-1]
-            h, doc = h[once], doc[once]
-            new = runs_of(h)
-            many = np.diff(np.append(np.flatnonzero(new), len(h)))[np.cumsum(new) - 1]
-            flag = np.where(many == 1, ASKS | WITNESS, np.where(new, KNOWN | WITNESS, KNOWN)).astype(np.uint8)
-            # Of a hash that many documents of the batch have, the count goes along for the choice of the prefix.
-            count = np.where(new, np.minimum(many, 65535), 0).astype(np.uint16)
-            bucket = (h >> np.uint64(48)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-            keys, rows = [], []
-            for k in np.flatnonzero(np.diff(edges)):
-                part = order[edges[k]:edges[k + 1]]
-                used, local = np.unique(doc[part], return_inverse=True)
-                rest = h[part] & np.uint64(0xFFFFFFFFFFFF)
-                keys.append(k)
-                rows.append(_pack((rest >> np.uint64(1)).astype(np.uint32), (rest >> np.uint64(33)).astype(np.uint16), (h[part] >> np.uint64(48)).astype(np.uint16),
-                                  local.astype(np.uint32 if len(used) > 65535 else np.uint16), flag[part], count[part], uids[used].astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(rows, pa.binary())], ["bucket", "entries"])
+            for some in _groups(slabs(offsets, SLAB)):
+                yield from combined(buf, offsets, uids, some)
+
+    def combined(buf, offsets, uids, some) -> Iterator:
+        hs, docs = [], []
+        for a, b in some:
+            s = symbols(buf, offsets[a:b + 1])
+            at = anchors(s.grams, s.starts, n)
+            hs.append(s.grams[at])
+            docs.append(np.searchsorted(s.starts, at, side="right") - 1 + a)
+        h, doc = np.concatenate(hs) & ~np.uint64(1), np.concatenate(docs).astype(np.uint32)
+        order = np.lexsort((doc, h))
+        h, doc = h[order], doc[order]
+        once = runs_of(h)
+        once[1:] |= doc[1:] != doc[:-1]
+        h, doc = h[once], doc[once]
+        new = runs_of(h)
+        many = np.diff(np.append(np.flatnonzero(new), len(h)))[np.cumsum(new) - 1]
+        flag = np.where(many == 1, ASKS | WITNESS, np.where(new, KNOWN | WITNESS, KNOWN)).astype(np.uint8)
+        # Of a hash that many documents of the batch have, the count goes along for the choice of the prefix.
+        count = np.where(new, np.minimum(many, 65535), 0).astype(np.uint16)
+        bucket = (h >> np.uint64(48)) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+        keys, rows = [], []
+        for k in np.flatnonzero(np.diff(edges)):
+            part = order[edges[k]:edges[k + 1]]
+            used, local = np.unique(doc[part], return_inverse=True)
+            rest = h[part] & np.uint64(0xFFFFFFFFFFFF)
+            keys.append(k)
+            rows.append(_pack((rest >> np.uint64(1)).astype(np.uint32), (rest >> np.uint64(33)).astype(np.uint16), (h[part] >> np.uint64(48)).astype(np.uint16),
+                              local.astype(np.uint32 if len(used) > 65535 else np.uint16), flag[part], count[part], uids[used].astype(np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(rows, pa.binary())], ["bucket", "entries"])
 
     def meet(batches: Iterator) -> Iterator:
         hs, uid, flags, counts = [], [], [], []
@@ -209,6 +238,18 @@ class Entries:
         self.offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
         self.data, self.place = np.concatenate(data), np.concatenate(place)
 
+    def by_key(self, size: int) -> Iterator[Entries]:
+        """The entries in pieces of about ``size``, entries of a key together."""
+        order = np.argsort(self.key, kind="stable")
+        edges = np.append(np.flatnonzero(runs_of(self.key[order])), len(order))
+        first, sizes, at = np.cumsum(self.many) - self.many, np.diff(self.offsets), 0
+        while at < len(order):
+            end = max(int(edges[np.searchsorted(edges, at + size, side="right") - 1]), int(edges[np.searchsorted(edges, at, side="right")]))
+            i = order[at:end]
+            yield Entries([[self.key[i], self.doc[i], self.uid[i], self.many[i], self.left[i], self.right[i], self.near[i], self.far[i], sizes[i],
+                            gather(self.data, self.offsets[:-1][i], sizes[i]), self.place[_runs(first[i], self.many[i])]]])
+            at = end
+
 
 def contexts(own: DataFrame, kept: DataFrame, symbols: Callable, n: int, buckets: int) -> DataFrame:
     """bucket, entries: packed contexts of the anchors in ``kept``, and spans that need nothing else."""
@@ -224,38 +265,34 @@ def contexts(own: DataFrame, kept: DataFrame, symbols: Callable, n: int, buckets
             hs = batch.column("hs")
             h_at = hs.offsets.to_numpy()
             h_all = hs.values.to_numpy().view(np.uint64)
-            parts: list[list] = []
-            for a, b in slabs(offsets, SLAB):
-                s = symbols(buf, offsets[a:b + 1])
-                at = anchors(s.grams, s.starts, n)
-                doc = np.searchsorted(s.starts, at, side="right") - 1
-                h = s.grams[at] & ~np.uint64(1)
-                # Which of a document's anchors are kept, and which of those are crowded.
-                wanted = np.sort(np.concatenate([_tag(h_all[h_at[i]:h_at[i + 1]], i - a) for i in range(a, b)]))
-                plain = _tag(h, doc)
-                found = np.isin(plain, wanted) if len(wanted) else np.zeros(len(at), bool)
-                crowd = np.isin(plain | np.uint64(1), wanted) if len(wanted) else found
-                take = found | crowd
-                at, doc, h, crowd = at[take], doc[take], h[take], crowd[take]
-                left = np.minimum(at - s.starts[doc], w - 1)
-                right = np.minimum(s.starts[doc + 1] - at, n)
-                data, cuts = s.cut(at - left, at + right)
-                key = h.copy()
-                near, far = np.zeros(len(at), np.uint8), np.full(len(at), w - 1, np.uint8)
-                parts.append([key, ids[a + doc], uids[a + doc], at - s.starts[doc], left, right, near, far, np.diff(cuts), data])
-                if crowd.any():
-                    # A crowded anchor becomes two longer prefixes: with what follows it, and with what precedes it.
-                    c = np.flatnonzero(crowd)
-                    after = c[right[c] >= K + half]
-                    before = c[left[c] > half]
-                    parts[-1] = _split(parts[-1], crowd, data, cuts, after, before, s, at, half)
-            if not parts:
-                continue
-            key, doc, uid, place, left, right, near, far, size = (np.concatenate([p[i] for p in parts]) for i in range(9))
-            data = np.concatenate([p[9] for p in parts])
-            yield from _bucketed(key, doc, uid, place, left, right, near, far, size, data, buckets, n)
-
-    joined = own.join(kept, "uid").select("doc_id", "uid", "text", "hs")
+            for some in _groups(slabs(offsets, SLAB)):
+                yield from _bucketed([around(buf, offsets, ids, uids, h_at, h_all, a, b) for a, b in some], buckets, n)
+
+    def around(buf, offsets, ids, uids, h_at, h_all, a, b) -> list[np.ndarray]:
+        s = symbols(buf, offsets[a:b + 1])
+        at = anchors(s.grams, s.starts, n)
+        doc = np.searchsorted(s.starts, at, side="right") - 1
+        h = s.grams[at] & ~np.uint64(1)
+        # Which of a document's anchors are kept, and which of those are crowded.
+        wanted = np.sort(np.concatenate([_tag(h_all[h_at[i]:h_at[i + 1]], i - a) for i in range(a, b)]))
+        plain = _tag(h, doc)
+        found = np.isin(plain, wanted) if len(wanted) else np.zeros(len(at), bool)
+        crowd = np.isin(plain | np.uint64(1), wanted) if len(wanted) else found
+        take = found | crowd
+        at, doc, h, crowd = at[take], doc[take], h[take], crowd[take]
+        left = np.minimum(at - s.starts[doc], w - 1)
+        right = np.minimum(s.starts[doc + 1] - at, n)
+        data, cuts, *prints = s.cut(at - left, at + right)
+        key = h.copy()
+        near, far = np.zeros(len(at), np.uint8), np.full(len(at), w - 1, np.uint8)
+        part = [key, ids[a + doc], uids[a + doc], at - s.starts[doc], left, right, near, far, np.diff(cuts), *prints, data]
+        if crowd.any():
+            # A crowded anchor becomes two longer prefixes: with what follows it, and with what precedes it.
+            c = np.flatnonzero(crowd)
+            part = _split(part, crowd, data, cuts, c[right[c] >= K + half], c[left[c] > half], s, at, half)
+        return part
+
+    joined = own.join(kept, "uid").select("doc_id", "uid", "text", "hs", "rest")
     return joined.mapInArrow(send, "bucket int, entries binary, spans binary")
 
 
@@ -268,20 +305,17 @@ def _tag(h: np.ndarray, doc) -> np.ndarray:
 def _split(part, crowd, data, cuts, after, before, s: Symbols, at, half):
     """Replaces crowded entries by their two halves."""
     from_ = np.concatenate([np.flatnonzero(~crowd), after, before])
-    out = [x[from_] for x in part[:9]]
+    out = [x[from_] for x in part[:-1]]
     plain = int((~crowd).sum())
     a, b = slice(plain, plain + len(after)), slice(plain + len(after), None)
     out[0][a] = mix64(s.hashes(at[after], K + half) + np.uint64(1))
     out[7][a] = half
     out[0][b] = mix64(s.hashes(at[before] - half - 1, K + half + 1) + np.uint64(2))
     out[6][b] = half + 1
-    sizes = np.diff(cuts)[from_]
-    out[8] = sizes
-    out.append(_gather(data, cuts[:-1][from_], sizes))
-    return out
+    return [*out, gather(data, cuts[:-1][from_], out[8])]
 
 
-def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """data[start:start+size] of each, one after the other."""
     total = int(size.sum())
     if not total:
@@ -290,13 +324,17 @@ def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
     return data[np.repeat(start - first, size) + np.arange(total)]
 
 
-def _bucketed(key, doc, uid, place, left, right, near, far, size, data, buckets, n):
-    """Equal contexts once, for the smallest id of the batch; the rest is settled; packed rows by bucket."""
+def _groups(items: Iterator) -> Iterator[list]:
+    return iter(lambda: list(itertools.islice(items, TOGETHER)), [])
+
+
+def _bucketed(parts: list[list[np.ndarray]], buckets: int, n: int) -> Iterator:
+    """Equal contexts once, for the smallest id among ``parts``; the rest is settled; packed rows by bucket."""
     import pyarrow as pa
 
+    key, doc, uid, place, left, right, near, far, size, *prints, data = (np.concatenate(x) for x in zip(*parts))
     cuts = np.concatenate([[0], np.cumsum(size)])
-    # Equal contexts have equal keys, sides and bytes; a 128-bit fingerprint of the bytes stands for them.
-    prints = _prints(data, cuts)
+    # Equal contexts have equal keys, sides and bytes; a 128-bit fingerprint stands for the bytes.
     order = np.lexsort((place, uid, doc, prints[1], prints[0], far, right, left, key))
     same = np.ones(len(order), bool)
     same[0:1] = False
@@ -331,7 +369,7 @@ def _bucketed(key, doc, uid, place, left, right, near, far, size, data, buckets,
         places = place[own][_runs(heads[e], many[e])]
         keys.append(int(k))
         rows.append(_pack(key[i], doc[i], uid[i], many[e], left[i].astype(np.uint8), right[i].astype(np.uint8), near[i].astype(np.uint8),
-                          far[i].astype(np.uint8), size[i].astype(np.int64), _gather(data, cuts[:-1][i], size[i]), places.astype(np.int64)))
+                          far[i].astype(np.uint8), size[i].astype(np.int64), gather(data, cuts[:-1][i], size[i]), places.astype(np.int64)))
         extra.append(b"")
     if len(spans[0]):
         keys.append(int(mix64(spans[1][:1].view(np.uint64))[0] % np.uint64(buckets)))
@@ -347,18 +385,6 @@ def _runs(start: np.ndarray, many: np.ndarray) -> np.ndarray:
     return np.repeat(start - first, many) + np.arange(int(many.sum()))
 
 
-def _prints(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit fingerprints of each slice of ``data``."""
-    size = np.diff(cuts)
-    at = np.arange(len(data), dtype=np.uint64) - np.repeat(cuts[:-1], size).astype(np.uint64)
-    out = []
-    for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-        x = mix64(at * np.uint64(seed) + data.astype(np.uint64) + np.uint64(1))
-        total = np.concatenate([[np.uint64(0)], np.cumsum(x)])
-        out.append(mix64(total[cuts[1:]] - total[cuts[:-1]] + size.astype(np.uint64)))
-    return out[0], out[1]
-
-
 def _merged(doc, uid, start, end):
     """Union of spans by document."""
     if not len(doc):
@@ -392,8 +418,7 @@ def settled(sent: DataFrame, settle: Callable, n: int) -> DataFrame:
                     parts.append(_unpack(e.as_py(), *Entries.KINDS, np.int64))
                 if len(s.as_py()):
                     spans.append(_unpack(s.as_py(), np.int64, np.int64, np.int64, np.int64))
-        if parts:
-            e = Entries(parts)
+        for e in Entries(parts).by_key(SETTLED) if parts else ():
             row, j = settle(e)
             # Each place of an entry, for each of its windows.
             first = np.cumsum(e.many) - e.many
@@ -408,16 +433,16 @@ def settled(sent: DataFrame, settle: Callable, n: int) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(_whole(group, ["doc_id", "uid", "start", "end"]), "doc_id bigint, uid bigint, start bigint, end bigint")
 
 
-def repeated_spans(docs: DataFrame, symbols: Callable, settle: Callable, n: int) -> DataFrame:
-    """doc_id, text, spans: every row with the spans (doc_id, start, end, in symbols, sorted) to remove from it."""
-    own = identified(docs)
-    buckets = partitions(docs.sparkSession)
+def repeated_spans(docs: DataFrame, symbols: Callable, settle: Callable, n: int, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, text, rest (a struct of the columns in ``keep``), spans: every row with the spans (doc_id, start, end, in symbols, sorted) to remove from it."""
+    own = identified(docs, keep or [])
+    buckets = 2 * partitions(docs.sparkSession)
     kept = sieve(own, symbols, n, buckets)
-    # Both joins use this one exchange of the texts.
+    # Both joins use this one exchange of the texts (with the same columns, or it would be made twice).
     dealt = own.repartition("uid")
     spans = settled(contexts(dealt, kept, symbols, n, buckets), settle, n)
     spans = spans.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("doc_id", "start", "end"))).alias("spans"))
-    return dealt.join(spans, "uid", "left").select("doc_id", "text", "spans")
+    return dealt.join(spans, "uid", "left").select("doc_id", "text", "rest", "spans")
 
 
 def of_document(doc_id, spans) -> list[tuple[int, int]]:

@@ -21,10 +21,10 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepfield.llm.base import stored, texts
+from stepfield.llm.base import keyed, stored
 from stepfield.operators.graph import components
 
 SHINGLE, SEED, NEAR = 3, 42, 2
@@ -54,16 +54,16 @@ def fingerprint(text: bytes, n: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the bits as a long)."""
+    """doc_id, sig (a hash of the text), fp (the bits as a long)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         for batch in batches:
             fp = np.array([fingerprint((t.as_py() or "").encode(), n) for t in batch.column("text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("sig"), pa.array(fp)], ["doc_id", "sig", "fp"])
 
-    return texts(docs).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return keyed(docs).mapInArrow(run, f"doc_id {kind}, sig bigint, fp bigint")
 
 
 def lists(near: int) -> list[int]:
@@ -98,7 +98,7 @@ def links(distinct: DataFrame, near: int = NEAR) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, near: int = NEAR) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id of every row."""
+    """doc_id, sig (a hash of the text), fingerprint (16 hex digits), component_id of every row."""
     own = stored(docs.sparkSession, fingerprints(docs, n), "fingerprints")
     distinct = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
     label = components(links(distinct.select("fp"), near).distinct()).select(F.col("node").alias("fp"), F.col("component").alias("c"))
@@ -106,4 +106,18 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, near: int = NEAR) -> Data
     least = known.groupBy("c").agg(F.min("first").alias("component_id"))
     classes = known.join(least, "c").select("fp", "component_id")
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return own.join(classes, "fp").select("doc_id", text.alias("fingerprint"), "component_id")
+    return own.join(classes, "fp").select("doc_id", "sig", text.alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, n: int = SHINGLE, near: int = NEAR) -> DataFrame:
+    """The rows of ``docs`` that stay: of each group the row with the group's id, once.
+
+    Rows without doc_id in groups that have no id stay once for each text.
+    """
+    found = near_duplicates(docs, n, near).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    alone = F.when(F.col("doc_id").isNull(), F.col("sig"))
+    stay = found.groupBy("doc_id", alone.alias("alone")).agg(F.min("sig").alias("s")).select(F.col("doc_id").alias("d"), "s")
+    own = docs.withColumn("_sig", F.xxhash64("text"))
+    own = own.join(stay, own.doc_id.eqNullSafe(stay.d) & (own["_sig"] == stay.s), "left_semi")
+    once = F.row_number().over(Window.partitionBy("doc_id", "_sig").orderBy("doc_id"))
+    return own.withColumn("_n", once).filter(F.col("_n") == 1).select(*docs.columns)

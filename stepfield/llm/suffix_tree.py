@@ -25,26 +25,6 @@ from stepfield.llm.base import mix64
 WINDOW = 50
 _W = WINDOW - repeats.K + 1
 _BASE = 0x9E3779B97F4A7C15
-_VALUE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2^64."""
-    with np.errstate(over="ignore"):
-        up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BASE, np.uint64)]))
-        down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)]))
-    return up, down
-
-
-_POWERS: list[np.ndarray] = []
-
-
-def slice_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of slices of bytes."""
-    if not _POWERS or len(_POWERS[0]) <= len(data):
-        _POWERS[:] = _powers(max(2 * repeats.SLAB, len(data)))
-    total = np.concatenate([[np.uint64(0)], np.cumsum(_VALUE[data] * _POWERS[0][:len(data)])])
-    return mix64((total[end] - total[start]) * _POWERS[1][start] + (end - start).astype(np.uint64))
 
 
 class Words(repeats.Symbols):
@@ -59,7 +39,7 @@ class Words(repeats.Symbols):
         self.ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         self.begins = np.concatenate([[0], self.ends + 1])[:-1] if words else np.zeros(0, np.int64)
         starts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-        gram = slice_hashes(self.plain, self.begins, self.ends)
+        gram = repeats.slice_hashes(self.plain, self.begins, self.ends)
         size = 1
         while size < repeats.K:
             short = gram[:max(0, len(gram) - size)] * np.uint64(_BASE) + gram[size:]
@@ -71,19 +51,12 @@ class Words(repeats.Symbols):
         super().__init__(gram, starts)
 
     def hashes(self, first: np.ndarray, size: int) -> np.ndarray:
-        return hashed_grams(self.grams, first, size)
+        return repeats.hashed_grams(self.grams, first, size)
 
-    def cut(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def cut(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
         a, b = (self.begins[first], self.ends[last - 1]) if len(first) else (first, last)
-        return repeats._gather(self.plain, a, b - a), np.concatenate([[0], np.cumsum(b - a)])
-
-
-def hashed_grams(grams: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
-    """Hash of ``size`` symbols from the grams that cover them."""
-    out = np.zeros(len(first), np.uint64)
-    for at in [*range(0, size - repeats.K, repeats.K), size - repeats.K]:
-        out = mix64(out * np.uint64(_BASE) + grams[first + at])
-    return out
+        return (repeats.gather(self.plain, a, b - a), np.concatenate([[0], np.cumsum(b - a)]),
+                repeats.slice_hashes(self.plain, a, b), repeats.slice_hashes(self.plain, a, b, 1))
 
 
 def subtrees(e: repeats.Entries) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +64,7 @@ def subtrees(e: repeats.Entries) -> tuple[np.ndarray, np.ndarray]:
     space = np.flatnonzero(e.data == 32)
     begins = np.sort(np.concatenate([e.offsets[:-1], space + 1]))
     ends = np.sort(np.concatenate([space, e.offsets[1:]]))
-    word = slice_hashes(e.data, begins, ends)
+    word = repeats.slice_hashes(e.data, begins, ends)
     left, right = e.left.astype(np.int64), e.right.astype(np.int64)
     at = np.cumsum(left + right) - right  # the word at which each suffix begins
     col = np.arange(WINDOW)
@@ -127,11 +100,12 @@ def subtrees(e: repeats.Entries) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(rows), np.concatenate(back)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def kept_words(docs: DataFrame) -> DataFrame:
-    """doc_id, text, kept, n_words, n_removed of every row; kept: the words left, joined by one space."""
+def kept_words(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, text, rest (``keep`` as a struct), kept, n_words, n_removed of every row; kept: the words left, joined by one space."""
     import pyarrow as pa
 
-    found = repeats.repeated_spans(docs, Words, subtrees, WINDOW)
+    found = repeats.repeated_spans(docs, Words, subtrees, WINDOW, keep)
+    rest = found.schema["rest"].dataType.simpleString()
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator) -> Iterator:
@@ -144,9 +118,9 @@ def kept_words(docs: DataFrame) -> DataFrame:
                     del words[a:b]
                 gone.append(all_words[-1] - len(words))
                 kept.append(b" ".join(words).decode())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(kept, pa.string()), pa.array(all_words, pa.int64()),
-                                              pa.array(gone, pa.int64())], ["doc_id", "text", "kept", "n_words", "n_removed"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), batch.column("rest"), pa.array(kept, pa.string()), pa.array(all_words, pa.int64()),
+                                              pa.array(gone, pa.int64())], ["doc_id", "text", "rest", "kept", "n_words", "n_removed"])
 
-    return found.mapInArrow(cut, f"doc_id {kind}, text string, kept string, n_words bigint, n_removed bigint")
+    return found.mapInArrow(cut, f"doc_id {kind}, text string, rest {rest}, kept string, n_words bigint, n_removed bigint")
 
 

@@ -8,8 +8,8 @@ k rows for each query leave it.
 
 Edge cases: vectors that are null, empty or hold null or non-finite components take no part, neither as query
 nor as candidate; vectors of different length don't meet. Rows that share a vec_id are candidates of their own, and
-none of them is a candidate of its own id; a query id that is repeated is answered for its first vector in
-order. Rows without vec_id take no part. Scores must stay below 2^53 to be exact.
+none of them is a candidate of its own id; a query id that is repeated is answered for the least of its
+vectors. Rows without vec_id take no part. Scores must stay below 2^53 to be exact.
 """
 
 from __future__ import annotations
@@ -101,7 +101,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     spark = vectors.sparkSession
     file = stored(spark, blocks(integers(vectors), BLOCK), "va-file")
-    asked = integers(queries).dropDuplicates(["vec_id", "dim"])
+    asked = integers(queries).groupBy("vec_id", "dim").agg(F.min("v").alias("v"))
     asked = stored(spark, blocks(asked, QUERIES), "va-queries").select(
         "dim", F.col("ids").alias("q_ids"), F.col("exact").alias("q"))
     # Query blocks are numbered; each goes once to every slice of the file, and each file block to every query block.

@@ -31,7 +31,7 @@ from stepfield.llm.base import byte_view, mix64, partitions, slabs
 #: Symbols of an anchor; documents' bytes worked on at a time; entries of an anchor beyond which its prefix grows.
 K, SLAB, CROWD = 16, 1 << 19, 4096
 #: Slabs that are combined before rows leave a task, and entries that are settled at a time.
-TOGETHER, SETTLED = 16, 1 << 15
+TOGETHER, SETTLED = 32, 1 << 14
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -57,13 +57,23 @@ _POWERS: list[np.ndarray] = []
 
 
 def slice_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-    """64-bit hashes of slices of bytes: polynomials modulo 2^64 from running sums."""
-    if not _POWERS or len(_POWERS[0]) <= len(data):
-        n = max(2 * SLAB, len(data))
-        _POWERS[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, b, np.uint64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUES[which][data] * _POWERS[0][:len(data)], out=total[1:])
-    return mix64((total[end] - total[start]) * _POWERS[1][start] + (end - start).astype(np.uint64))
+    """64-bit hashes of slices of bytes (starts and ends rise): polynomials modulo 2^64 from running sums.
+
+    About ``SLAB`` bytes are summed at a time; a slice may be longer.
+    """
+    out, a = np.zeros(len(start), np.uint64), 0
+    while a < len(start):
+        b = max(a + 1, int(np.searchsorted(end, start[a] + SLAB, side="right")))
+        base, part = start[a], data[start[a]:end[b - 1]]
+        if not _POWERS or len(_POWERS[0]) <= len(part):
+            n = max(2 * SLAB, len(part))
+            _POWERS[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, x, np.uint64)])) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_VALUES[which][part] * _POWERS[0][:len(part)], out=total[1:])
+        i, k = start[a:b] - base, end[a:b] - base
+        out[a:b] = mix64((total[k] - total[i]) * _POWERS[1][i] + (k - i).astype(np.uint64))
+        a = b
+    return out
 
 
 def hashed_grams(grams: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
@@ -103,11 +113,17 @@ def anchors(grams: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of known kinds, each behind its length."""
-    return b"".join(np.int64(a.nbytes).tobytes() + a.tobytes() for a in arrays)
+    """Arrays of known kinds, each behind its length; compressed."""
+    import pyarrow as pa
+
+    plain = b"".join(np.int64(a.nbytes).tobytes() + a.tobytes() for a in arrays)
+    return np.int64(len(plain)).tobytes() + pa.compress(plain, codec="zstd", asbytes=True)
 
 
 def _unpack(data: bytes, *kinds) -> list[np.ndarray]:
+    import pyarrow as pa
+
+    data = pa.decompress(data[8:], int(np.frombuffer(data, np.int64, 1)[0]), codec="zstd", asbytes=True)
     out, at = [], 0
     for kind in kinds:
         size = int(np.frombuffer(data, np.int64, 1, at)[0])
@@ -141,7 +157,10 @@ def identified(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def sieve(own: DataFrame, symbols: Callable, n: int, buckets: int) -> DataFrame:
-    """uid, hs: of each document the anchors (hashes) that another batch or document has too; odd hashes are crowded."""
+    """uid, hs: of each document the anchors (short hashes) that another document has too; odd ones are crowded.
+
+    A short hash that fits another anchor of the document as well only sends a context too many.
+    """
     import pyarrow as pa
 
     def split(batches: Iterator) -> Iterator:
@@ -202,20 +221,25 @@ def sieve(own: DataFrame, symbols: Callable, n: int, buckets: int) -> DataFrame:
         witnesses = np.bincount(run, (f & WITNESS) > 0)[run]
         total = np.bincount(run, c)[run]
         stay = ((f & KNOWN) > 0) | (((f & ASKS) > 0) & (witnesses > 1))
-        out = h[stay] | (total[stay] > CROWD).astype(np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(u[stay]), pa.array(out.view(np.int64))], ["uid", "h"])
+        out = _short(h[stay]) | (total[stay] > CROWD).astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array(u[stay]), pa.array(out.view(np.int32))], ["uid", "h"])
 
     packed = own.select("uid", "text").filter(F.col("doc_id").isNotNull()).mapInArrow(split, "bucket int, entries binary")
-    met = packed.groupBy("bucket").applyInArrow(_whole(meet, ["uid", "h"]), "uid bigint, h bigint")
+    met = packed.groupBy("bucket").applyInArrow(_whole(meet, {"uid": "int64", "h": "int32"}), "uid bigint, h int")
     return met.groupBy("uid").agg(F.collect_set("h").alias("hs"))
 
 
-def _whole(fn: Callable, longs: list[str]) -> Callable:
-    """A function on batches, whose columns are ``longs``, as one on a group's table."""
+def _short(h: np.ndarray) -> np.ndarray:
+    """31 bits of a hash, enough to tell the anchors of one document apart, and a free last bit."""
+    return ((h >> np.uint64(1)) << np.uint64(1)).astype(np.uint32)
+
+
+def _whole(fn: Callable, columns: dict[str, str]) -> Callable:
+    """A function on batches, that yields such columns, as one on a group's table."""
     import pyarrow as pa
 
     def run(table):
-        return pa.Table.from_batches(fn(iter(table.to_batches())), pa.schema([(name, pa.int64()) for name in longs]))
+        return pa.Table.from_batches(fn(iter(table.to_batches())), pa.schema([(name, pa.type_for_alias(kind)) for name, kind in columns.items()]))
     return run
 
 
@@ -229,7 +253,7 @@ class Entries:
     """Contexts that came to a bucket: key (of the prefix), ids, uids, anchor places, symbols left and right of
     the anchor's place, range of window places (how far before the anchor a window may begin), packed bytes."""
 
-    KINDS = (np.uint64, np.int64, np.int64, np.int32, np.uint8, np.uint8, np.uint8, np.uint8, np.int64, np.uint8)
+    KINDS = (np.uint64, np.int64, np.int64, np.int32, np.uint8, np.uint8, np.uint8, np.uint8, np.int32, np.uint8)
 
     def __init__(self, parts: list[list[np.ndarray]]):
         key, doc, uid, many, left, right, near, far, sizes, data, place = ([p[i] for p in parts] for i in range(11))
@@ -238,16 +262,19 @@ class Entries:
         self.offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
         self.data, self.place = np.concatenate(data), np.concatenate(place)
 
+    def only(self, i: np.ndarray) -> Entries:
+        first, sizes = np.cumsum(self.many) - self.many, np.diff(self.offsets)
+        return Entries([[self.key[i], self.doc[i], self.uid[i], self.many[i], self.left[i], self.right[i], self.near[i], self.far[i], sizes[i],
+                         gather(self.data, self.offsets[:-1][i], sizes[i]), self.place[_runs(first[i], self.many[i])]]])
+
     def by_key(self, size: int) -> Iterator[Entries]:
         """The entries in pieces of about ``size``, entries of a key together."""
         order = np.argsort(self.key, kind="stable")
         edges = np.append(np.flatnonzero(runs_of(self.key[order])), len(order))
-        first, sizes, at = np.cumsum(self.many) - self.many, np.diff(self.offsets), 0
+        at = 0
         while at < len(order):
             end = max(int(edges[np.searchsorted(edges, at + size, side="right") - 1]), int(edges[np.searchsorted(edges, at, side="right")]))
-            i = order[at:end]
-            yield Entries([[self.key[i], self.doc[i], self.uid[i], self.many[i], self.left[i], self.right[i], self.near[i], self.far[i], sizes[i],
-                            gather(self.data, self.offsets[:-1][i], sizes[i]), self.place[_runs(first[i], self.many[i])]]])
+            yield self.only(order[at:end])
             at = end
 
 
@@ -264,7 +291,7 @@ def contexts(own: DataFrame, kept: DataFrame, symbols: Callable, n: int, buckets
             ids, uids = batch.column("doc_id").fill_null(0).to_numpy().astype(np.int64), batch.column("uid").to_numpy()
             hs = batch.column("hs")
             h_at = hs.offsets.to_numpy()
-            h_all = hs.values.to_numpy().view(np.uint64)
+            h_all = hs.values.to_numpy().view(np.uint32)
             for some in _groups(slabs(offsets, SLAB)):
                 yield from _bucketed([around(buf, offsets, ids, uids, h_at, h_all, a, b) for a, b in some], buckets, n)
 
@@ -275,7 +302,7 @@ def contexts(own: DataFrame, kept: DataFrame, symbols: Callable, n: int, buckets
         h = s.grams[at] & ~np.uint64(1)
         # Which of a document's anchors are kept, and which of those are crowded.
         wanted = np.sort(np.concatenate([_tag(h_all[h_at[i]:h_at[i + 1]], i - a) for i in range(a, b)]))
-        plain = _tag(h, doc)
+        plain = _tag(_short(h), doc)
         found = np.isin(plain, wanted) if len(wanted) else np.zeros(len(at), bool)
         crowd = np.isin(plain | np.uint64(1), wanted) if len(wanted) else found
         take = found | crowd
@@ -297,9 +324,8 @@ def contexts(own: DataFrame, kept: DataFrame, symbols: Callable, n: int, buckets
 
 
 def _tag(h: np.ndarray, doc) -> np.ndarray:
-    """Hash and document in one number; the last bit stays."""
-    mixed = mix64((h & ~np.uint64(1)) + np.asarray(doc, np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return (mixed & ~np.uint64(1)) | (h & np.uint64(1))
+    """Short hash and document in one number; the last bit stays."""
+    return np.asarray(doc, np.uint64) << np.uint64(32) | h.astype(np.uint64)
 
 
 def _split(part, crowd, data, cuts, after, before, s: Symbols, at, half):
@@ -334,23 +360,9 @@ def _bucketed(parts: list[list[np.ndarray]], buckets: int, n: int) -> Iterator:
 
     key, doc, uid, place, left, right, near, far, size, *prints, data = (np.concatenate(x) for x in zip(*parts))
     cuts = np.concatenate([[0], np.cumsum(size)])
-    # Equal contexts have equal keys, sides and bytes; a 128-bit fingerprint stands for the bytes.
-    order = np.lexsort((place, uid, doc, prints[1], prints[0], far, right, left, key))
-    same = np.ones(len(order), bool)
-    same[0:1] = False
-    for x in (key, left, right, far, prints[0], prints[1]):
-        same[1:] &= x[order][1:] == x[order][:-1]
-    new = ~same
-    group = np.cumsum(new) - 1
-    d = doc[order]
-    first = np.flatnonzero(new)
-    later = d > d[first][group]
-    # Copies with a larger id: each window around the anchor is in a document with a smaller one.
+    order, group, later = copies(key, doc, uid, place, left, right, far, prints)
     gone = order[later]
-    low, high = np.maximum(place[gone] - np.minimum(far[gone], left[gone]), 0), place[gone] - near[gone]
-    high = np.minimum(high, place[gone] + right[gone].astype(np.int64) - n)
-    fine = low <= high
-    spans = _merged(doc[gone][fine], uid[gone][fine], low[fine], high[fine] + n)
+    spans = whole(doc[gone], uid[gone], place[gone], left[gone], right[gone], near[gone], far[gone], n)
     # What stays: one context per (group, uid), with all its places.
     stay = np.flatnonzero(~later)
     own = order[stay]
@@ -369,7 +381,7 @@ def _bucketed(parts: list[list[np.ndarray]], buckets: int, n: int) -> Iterator:
         places = place[own][_runs(heads[e], many[e])]
         keys.append(int(k))
         rows.append(_pack(key[i], doc[i], uid[i], many[e], left[i].astype(np.uint8), right[i].astype(np.uint8), near[i].astype(np.uint8),
-                          far[i].astype(np.uint8), size[i].astype(np.int64), gather(data, cuts[:-1][i], size[i]), places.astype(np.int64)))
+                          far[i].astype(np.uint8), size[i].astype(np.int32), gather(data, cuts[:-1][i], size[i]), places.astype(np.int64)))
         extra.append(b"")
     if len(spans[0]):
         keys.append(int(mix64(spans[1][:1].view(np.uint64))[0] % np.uint64(buckets)))
@@ -380,6 +392,29 @@ def _bucketed(parts: list[list[np.ndarray]], buckets: int, n: int) -> Iterator:
                                          ["bucket", "entries", "spans"])
 
 
+def copies(key, doc, uid, place, left, right, far, prints) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of entries by context, their group in it, and which of them a smaller document has exactly so.
+
+    Equal contexts have equal keys, sides and bytes; a 128-bit fingerprint stands for the bytes.
+    """
+    order = np.lexsort((place, uid, doc, prints[1], prints[0], far, right, left, key))
+    same = np.ones(len(order), bool)
+    same[0:1] = False
+    for x in (key, left, right, far, prints[0], prints[1]):
+        same[1:] &= x[order][1:] == x[order][:-1]
+    group = np.cumsum(~same) - 1
+    d = doc[order]
+    return order, group, d > d[np.flatnonzero(~same)][group] if len(order) else np.zeros(0, bool)
+
+
+def whole(doc, uid, place, left, right, near, far, n):
+    """Spans of all windows around anchors at ``place``."""
+    low = place.astype(np.int64) - np.minimum(far, left)
+    high = np.minimum(place - near.astype(np.int64), place + right.astype(np.int64) - n)
+    fine = low <= high
+    return _merged(doc[fine], uid[fine], low[fine], high[fine] + n)
+
+
 def _runs(start: np.ndarray, many: np.ndarray) -> np.ndarray:
     first = np.cumsum(many) - many
     return np.repeat(start - first, many) + np.arange(int(many.sum()))
@@ -419,6 +454,21 @@ def settled(sent: DataFrame, settle: Callable, n: int) -> DataFrame:
                 if len(s.as_py()):
                     spans.append(_unpack(s.as_py(), np.int64, np.int64, np.int64, np.int64))
         for e in Entries(parts).by_key(SETTLED) if parts else ():
+            first = np.cumsum(e.many) - e.many
+            # Contexts that a smaller document has exactly so lose all their windows.
+            prints = [slice_hashes(e.data, e.offsets[:-1], e.offsets[1:], k) for k in (0, 1)]
+            order, group, later = copies(e.key, e.doc, e.uid, e.many, e.left, e.right, e.far, prints)
+            i = order[later]
+            again = np.repeat(i, e.many[i])
+            spans.append(whole(e.doc[again], e.uid[again], e.place[_runs(first[i], e.many[i])], e.left[again], e.right[again], e.near[again], e.far[again], n))
+            # The others are compared within their prefix, if it has several contexts.
+            key = e.key[order]
+            new = runs_of(key)
+            run = np.cumsum(new) - 1
+            kinds = np.bincount(run, np.append(True, group[1:] != group[:-1]))[run]
+            e = e.only(np.sort(order[~later & (kinds > 1)]))
+            if not len(e.key):
+                continue
             row, j = settle(e)
             # Each place of an entry, for each of its windows.
             first = np.cumsum(e.many) - e.many
@@ -430,7 +480,7 @@ def settled(sent: DataFrame, settle: Callable, n: int) -> DataFrame:
             out = [np.concatenate(x) for x in zip(*spans)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["doc_id", "uid", "start", "end"])
 
-    return sent.groupBy("bucket").applyInArrow(_whole(group, ["doc_id", "uid", "start", "end"]), "doc_id bigint, uid bigint, start bigint, end bigint")
+    return sent.groupBy("bucket").applyInArrow(_whole(group, dict.fromkeys(["doc_id", "uid", "start", "end"], "int64")), "doc_id bigint, uid bigint, start bigint, end bigint")
 
 
 def repeated_spans(docs: DataFrame, symbols: Callable, settle: Callable, n: int, keep: list[str] | None = None) -> DataFrame:

@@ -10,52 +10,58 @@ from pyspark.sql import functions as F
 from stepfield.functions.vec import col
 
 
-def _continue(first, second, last) -> Column:
-    """Values after ``second`` up to ``last`` in steps of ``second - first``; ``last`` is exact."""
-    step, width = second - first, last - first
-    q = width / step
-    whole = F.rint(q)
-    off = F.abs(width / whole - step) / 64.0 + width != width
-    n = F.when(off, F.floor(q) + 1).otherwise(whole).cast("int")
-    inner = F.when(n > 2, F.transform(F.sequence(F.lit(2), F.greatest(n - 1, F.lit(2))), lambda i: first + i * step))
-    bad = F.raise_error(F.lit("the second value must lie between first and last")).cast("array<double>")
-    return F.when(q <= 1.0, bad).otherwise(F.concat(F.coalesce(inner, F.array().cast("array<double>")), F.array(last)))
+#: A quotient this close to a whole number (relative to it) counts as whole: a few units in the last place.
+_WHOLE = 2.0**-50
+
+
+def _points(spec: list) -> tuple[list[Column], list]:
+    """The numbers of a sequence, and what stands in each gap between two of them: None, ``...`` or a count."""
+    numbers, gaps, gap = [], [], None
+    for entry in spec:
+        if isinstance(entry, (list, str)):
+            if gap is not None or not numbers:
+                raise ValueError("a marker needs a number on either side")
+            gap = "..." if entry in ([], "...") else entry[0] if len(entry) == 1 else None
+            if gap != "..." and (not isinstance(gap, int) or gap < 1):
+                raise ValueError("a subdivision is a list of one positive integer")
+        else:
+            if numbers:
+                gaps.append(gap)
+            numbers.append(entry if isinstance(entry, Column) else F.lit(float(entry)))
+            gap = None
+    if gap is not None:
+        raise ValueError("a marker needs a number on either side")
+    return numbers, gaps
 
 
-def _subdivide(first, n, last) -> Column:
-    step = (last - first) / n
-    return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.when(i == n, last).otherwise(first + i * step))
+def _grid(start: Column, step: Column, first: int, n: Column, end: Column) -> Column:
+    """start + i * step for i from ``first`` to n, where the n-th value is ``end`` itself."""
+    return F.transform(F.sequence(F.lit(first).cast("int"), n), lambda i: F.when(i == n, end).otherwise(start + i * step))
 
 
 def float_set(spec: list, unit: float = 1.0) -> Column:
-    """Array column from ``[0, 1, [], 5]`` (continue), ``[0, [5], 1]`` (subdivide) or a mix.
+    """Array column from ``[0, 1, [], 5]`` (go on in equal steps), ``[0, [5], 1]`` (equal parts) or a mix.
 
-    Entries may be numbers or columns; ``[]`` and ``"..."`` mean the same.
+    Entries may be numbers or columns; ``[]`` and ``"..."`` mean the same. The last number of a stretch is
+    always met exactly, if need be by a shorter last step.
     """
-    pieces, seen, mode = [], [], None
-    for token in spec:
-        if isinstance(token, list) or (isinstance(token, str) and token == "..."):
-            if mode is not None:
-                raise ValueError("two markers in a row")
-            if token in ([], "..."):
-                if len(seen) < 2:
-                    raise ValueError("two numbers are needed before a continuation")
-                mode = ("continue", None)
-            elif len(token) == 1 and isinstance(token[0], int) and token[0] > 0 and seen:
-                mode = ("divide", token[0])
-            else:
-                raise ValueError("a subdivision is a list of one positive integer after a number")
-            continue
-        value = token if isinstance(token, Column) else F.lit(float(token))
-        if mode is None:
-            pieces.append(F.array(value))
-            seen = seen[-1:] + [value]
+    numbers, gaps = _points(spec)
+    pieces = [F.array(numbers[0])] if numbers else []
+    for i, gap in enumerate(gaps):
+        here, end = numbers[i], numbers[i + 1]
+        if gap is None:
+            pieces.append(F.array(end))
+        elif gap == "...":
+            if i == 0 or gaps[i - 1] is not None:
+                raise ValueError("two numbers are needed before a continuation")
+            start, step = numbers[i - 1], here - numbers[i - 1]
+            steps = (end - start) / step
+            whole = F.abs(steps - F.rint(steps)) <= steps * _WHOLE
+            n = F.when(whole, F.rint(steps)).otherwise(F.ceil(steps)).cast("int")
+            short = F.raise_error(F.lit("the second value must lie between first and last")).cast("array<double>")
+            pieces.append(F.when(n >= 2, _grid(start, step, 2, F.greatest(n, F.lit(2)), end)).otherwise(short))
         else:
-            pieces.append(_continue(seen[-2], seen[-1], value) if mode[0] == "continue"
-                          else _subdivide(seen[-1], mode[1], value))
-            seen, mode = [value], None
-    if mode is not None:
-        raise ValueError("a sequence cannot end with a marker")
+            pieces.append(_grid(here, (end - here) / gap, 1, F.lit(gap), end))
     out = F.concat(*pieces) if pieces else F.array().cast("array<double>")
     return out if unit == 1.0 else F.transform(out, lambda x: x * unit)
 
@@ -120,14 +126,12 @@ class Lattice:
 
     def rows(self, spark: SparkSession) -> DataFrame:
         """All grid points with indices and positions, made on the executors from one number range."""
-        out = spark.range(self.count).withColumnRenamed("id", "_n")
-        left = F.col("_n")
-        cols = {}
-        for axis, name in list(enumerate(self.names)):
+        stride, cols = 1, []
+        for axis, name in enumerate(self.names):
             n = self.axes[axis][2]
-            cols["i" + name] = left % n
-            left = F.floor(left / n).cast("bigint") if self.count < 2**52 else F.expr("_n").cast("bigint")
-        out = out.select(*[c.cast("bigint").alias(k) for k, c in cols.items()])
+            cols.append(f"(id div {stride}) % {n} AS i{name}")
+            stride *= n
+        out = spark.range(self.count).selectExpr(*cols)
         return out.withColumns({n: self.position(i, "i" + n) for i, n in enumerate(self.names)})
 
 

@@ -33,8 +33,12 @@ def zero() -> Column:
 
 def parse_unit(text) -> Column:
     """Seven exponents of a unit text such as ``A/m`` or ``kg m^2 s^(-2)``; ``<…>`` is allowed,
-    an unknown name is an error. A slash acts on the one unit after it."""
-    text = F.regexp_replace(F.trim(F.regexp_replace(col(text), "[<>]", "")), r"^1?\s*", "")
+    an unknown name is an error, and so is anything that isn't a unit with a whole power. A slash acts on the
+    one unit after it."""
+    given = col(text)
+    text = F.regexp_replace(F.trim(F.regexp_replace(given, "^<(.*)>$", "$1")), r"^1(?![0-9.])\s*", "")
+    readable = text.rlike(rf"^(?:{_PART}[\s*]*)*$")
+    text = F.when(readable | text.isNull(), text).otherwise(F.raise_error(F.concat(F.lit("not a unit: "), given)).cast("string"))
     table = F.create_map(*[x for u, d in _DIMS.items() for x in (F.lit(u), dims_literal(d))])
     marks = [F.regexp_extract_all(text, F.lit(_PART), F.lit(k)) for k in (1, 2, 3)]
     rows = F.arrays_zip(*[m.alias(n) for m, n in zip(marks, "sup")])

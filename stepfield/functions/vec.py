@@ -117,7 +117,9 @@ def gcd(a, b) -> Column:
 
 def lcm(a, b) -> Column:
     g = gcd(a, b)
-    return F.when(g == 0, F.lit(0).cast("bigint")).otherwise(F.abs(col(a) * col(b)).cast("bigint") / g).cast("bigint")
+    # a over g is exact; as decimals, so that no step goes through a double.
+    part = F.abs(col(a)).cast("decimal(19,0)") / F.nullif(g, F.lit(0)).cast("decimal(19,0)")
+    return F.when(g == 0, F.lit(0).cast("bigint")).otherwise(part.cast("bigint") * F.abs(col(b)).cast("bigint"))
 
 
 def shift(pos, by: list[float]) -> Column:
@@ -153,34 +155,33 @@ def rotate_about(pos, axis: list[float], angle: float) -> Column:
     return F.array(*[x * c + t * s + a * along * (1 - c) for x, t, a in zip(p, turned, u)])
 
 
+# The words that users type for an axis and for a part of a complex number.
+_AXES = {"x": 0, "y": 1, "z": 2}
+_COMPLEX = {"complex": "all", "identity": "all", "abs": "size", "norm": "size", "mod": "size", "modulus": "size",
+            "real": "re", "imag": "im", "imaginary": "im"}
+
+
+def _without(v, axis: int, d: int | None) -> Column:
+    """Norm of a vector without one of its components."""
+    return F.sqrt(F.greatest(norm2(v, d) - col(v)[axis] * col(v)[axis], F.lit(0.0))) if d is None else F.sqrt(
+        total(p * p for p in parts(v, d)[:axis] + parts(v, d)[axis + 1:]))
+
+
 def vec_filter(v, spec: str, d: int | None = None) -> Column:
     """``identity``, ``norm``, ``component,n`` (or x, y, z), ``projection,n`` (norm without axis n)."""
-    name, _, arg = spec.partition(",")
-    arg = arg.strip().lower()
-    if name == "identity":
-        return col(v)
-    if name == "norm":
-        return norm(v, d)
-    if name == "component":
-        return col(v)[{"x": 0, "y": 1, "z": 2}.get(arg) if arg in ("x", "y", "z") else int(arg)]
-    if name in ("projection", "proj"):
-        n = int(arg)
-        if d:
-            return F.sqrt(total(p * p for i, p in enumerate(parts(v, d)) if i != n))
-        kept = F.filter(F.transform(col(v), lambda x, i: F.when(i != n, x * x)), lambda x: x.isNotNull())
-        return F.sqrt(F.aggregate(kept, F.lit(0.0), lambda s, x: s + x))
-    raise ValueError(f"unknown vector filter {spec!r}")
+    words = [w.strip().lower() for w in spec.split(",")]
+    axis = _AXES.get(words[1], words[1]) if len(words) == 2 else None
+    made = {("identity", False): lambda: col(v), ("norm", False): lambda: norm(v, d), ("component", True): lambda: col(v)[int(axis)],
+            ("projection", True): lambda: _without(v, int(axis), d), ("proj", True): lambda: _without(v, int(axis), d)}
+    if (words[0], axis is not None) not in made:
+        raise ValueError(f"unknown vector filter {spec!r}")
+    return made[words[0], axis is not None]()
 
 
 def complex_filter(c, mode: str) -> Column:
     """Struct (re, im) to a real number, or unchanged for ``complex``."""
+    part = _COMPLEX.get(mode)
+    if part is None:
+        raise ValueError(f"unknown complex filter {mode!r}")
     c = col(c)
-    if mode in ("complex", "identity"):
-        return c
-    if mode in ("abs", "norm", "mod", "modulus"):
-        return F.hypot(c["re"], c["im"])
-    if mode == "real":
-        return c["re"]
-    if mode in ("imag", "imaginary"):
-        return c["im"]
-    raise ValueError(f"unknown complex filter {mode!r}")
+    return c if part == "all" else F.hypot(c["re"], c["im"]) if part == "size" else c[part]

@@ -25,6 +25,25 @@ def test_runs_with_different_columns(spark, tmp_path):
     assert ("two", "E", 1, "J") in cols and ("one", "m_1", 2, "") in cols
 
 
+def test_text_and_time_columns_stay(spark, tmp_path):
+    put(tmp_path / "a.ndt", "# step  localtime  note\n# <> <> <>\n\n 1 2024/02/03-04:05:06 cold\n 2 2024/02/03-04:05:07 **\n")
+    rows = RU.read_runs(spark, str(tmp_path)).orderBy("step").collect()
+    assert [(r.step, str(r.localtime), r.note) for r in rows] == [(1.0, "2024-02-03 04:05:06", "cold"), (2.0, "2024-02-03 04:05:07", "**")]
+    df = spark.createDataFrame([("r", 1.0, rows[0].localtime, "x"), ("r", None, None, None)], "run_id string, v double, at timestamp_ntz, note string")
+    RU.write_runs_text(df, str(tmp_path / "out"), ["v"])
+    back = {(str(r.v), str(r.at), r.note) for r in RU.read_runs_text(spark, str(tmp_path / "out"), {"at": "string"}).collect()}
+    assert back == {("1.0", "2024/02/03-04:05:06", "x"), ("nan", "-", "-")}
+
+
+@pytest.mark.parametrize("row,reason", [("3", "width"), ("3 4 5", "width"), ("3 **", "number")])
+def test_broken_rows_are_told(spark, tmp_path, row, reason):
+    put(tmp_path / "a.ndt", f"#t v\n#<s> <>\n1 2\n{row}\n")
+    with pytest.raises(Exception):
+        RU.read_runs(spark, str(tmp_path)).collect()
+    got = RU.rejected_rows(spark, str(tmp_path)).collect()
+    assert [(r.line, r.value, r.reason) for r in got] == [(3, row, reason)]
+
+
 def test_odt_needs_one_header(spark, tmp_path):
     put(tmp_path / "a.odt", "# ODT 1.0\n# Columns: {A b} c\n# Columns: d\n# Units: s m\n1 2\n")
     with pytest.raises(ValueError):

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from stepfield.checks.base import EDGES, FACES, LOC, MESH, SNAP, event_runs, part_mesh, query, r, snapshots, table, xyz_out
+from stepfield.checks.base import EDGES, FACES, LOC, MESH, SNAP, epoch_us, event_runs, part_mesh, query, r, snapshots, table, xyz_out
 from stepfield.checks.probing import part_grid
 from stepfield.operators import mesh as M
 from stepfield.session import shared_folder
@@ -17,7 +17,8 @@ from stepfield.sources import snapshots as SN
 from stepfield.sources.lines import numbered_lines
 
 WS = f"WITH {MESH}, {SNAP}"
-RUNS = "SELECT 'u' || (user_id % 5) AS run_id, event_id::DOUBLE AS id, round(epoch_us(ts) / 1e6 - 1700000000, 4) AS time, value AS v_0 FROM events"
+RUNS = """SELECT 'u' || (user_id % 5) AS run_id, event_id::DOUBLE AS id, round(epoch_us(ts) / 1e6 - 1700000000, 4) AS time, value AS v_0,
+ date_trunc('second', ts)::TIMESTAMP AS localtime, event_type AS note FROM events"""
 
 
 def scratch(spark) -> str:
@@ -25,23 +26,29 @@ def scratch(spark) -> str:
 
 
 def short_runs(spark, sf):
-    return event_runs(spark, sf).select(F.concat(F.lit("u"), (F.col("run_id") % 5).cast("string")).alias("run_id"), F.col("event_id").cast("double").alias("id"),
-                                        F.round(F.col("time") - 1700000000, 4).alias("time"), F.col("value").alias("v_0"))
+    return table(spark, sf, "events").select(
+        F.concat(F.lit("u"), (F.col("user_id") % 5).cast("string")).alias("run_id"), F.col("event_id").cast("double").alias("id"),
+        F.round(epoch_us("ts") / 1e6 - 1700000000, 4).alias("time"), F.col("value").alias("v_0"),
+        F.date_trunc("second", "ts").cast("timestamp_ntz").alias("localtime"), F.col("event_type").alias("note"))
 
 
 @query("s01_read_runs", RUNS)
 def _(spark, sf):
     path = scratch(spark)
     RU.write_runs_text(short_runs(spark, sf), path, ["id"], {"time": "s"}, fmt="%25.16g")
-    return RU.read_runs_text(spark, path).select("run_id", "id", "time", "v_0")
+    return RU.read_runs_text(spark, path).select("run_id", "id", "time", "v_0", "localtime", "note")
 
 
-@query("s05_write_runs_text", "SELECT 'u' || (user_id % 5) AS run_id, count(*) AS n, 25 * 3 + 2 AS width FROM events GROUP BY ALL")
+@query("s05_write_runs_text", f"""SELECT run_id, printf('%25.13g %25.13g %25.13g ', id, time, v_0) || lpad(strftime(localtime, '%Y/%m/%d-%H:%M:%S'), 25, ' ') || ' ' || lpad(note, 25, ' ') AS line
+ FROM ({RUNS}) UNION ALL SELECT DISTINCT 'u' || (user_id % 5), '# ' || lpad('time', 24, ' ') FROM events""")
 def _(spark, sf):
+    """All lines of rows, and once per run the place of a name in the header."""
     path = scratch(spark)
     RU.write_runs_text(short_runs(spark, sf), path, ["id"], {"time": "s"})
-    lines = numbered_lines(spark, path + "/run_id=*", r"run_id=([^/]+)/").filter(~F.col("value").startswith("#"))
-    return lines.groupBy(F.col("file").alias("run_id")).agg(F.count(F.lit(1)).alias("n"), F.max(F.length("value")).alias("width"))
+    lines = numbered_lines(spark, path + "/run_id=*", r"run_id=([^/]+)/").select(F.col("file").alias("run_id"), "value")
+    rows = lines.filter(~F.col("value").startswith("#")).select("run_id", F.col("value").alias("line"))
+    heads = lines.filter("value like '#%time%' and value not like '#%<%'").select("run_id", F.concat(F.lit("# "), F.substring("value", 29, 24)).alias("line"))
+    return rows.unionByName(heads.distinct())
 
 
 @query("s02_read_odt", "SELECT event_id::DOUBLE AS \"Oxs_Driver::Iteration\", value AS My_Value_x FROM events")
@@ -138,18 +145,16 @@ def _(spark, sf):
     return SN.probe_text(g, ["ix", "iy", "iz"], ["iz", "iy", "ix"])
 
 
-@query("s20_append_sites", f"""{WS} SELECT s.run_id, s.subfield, s.id, s.pid, printf('%.6f', x) AS x, printf('%.6f', z) AS z FROM snap s JOIN pts USING (mesh_id, pid)""")
+@query("s20_append_sites", f"""{WS} SELECT printf('%g %.6f %.6f %.6f', s.time, x, y, z) AS line, count(*) AS n FROM snap s JOIN pts USING (mesh_id, pid) GROUP BY ALL""")
 def _(spark, sf):
     m = part_mesh(spark, sf)
     s = snapshots(spark, sf, m).withColumn("pid", F.col("site")[0]).join(m.points, ["mesh_id", "pid"])
     path = scratch(spark)
     SN.append_sites(s.filter("id < 1"), path)
     SN.append_sites(s.filter("id >= 1"), path)
-    # The text has no keys: it is compared by the lines kept next to them.
-    lines = SN.site_lines(s.select("run_id", "subfield", "id", "pid", "time", "pos", "value"))
-    stored = spark.read.text(path).select(F.col("value").alias("line")).distinct()
-    t = F.split("line", " ")
-    return lines.join(stored, "line", "left_semi").select("run_id", "subfield", "id", "pid", t[1].alias("x"), t[3].alias("z"))
+    # The stored lines themselves, up to the values.
+    stored = spark.read.text(path)
+    return stored.select(F.substring_index("value", " ", 4).alias("line")).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("s21_provenance", "SELECT p_brand AS name, arg_max(p_name, p_partkey) AS value FROM part GROUP BY p_brand")
@@ -161,11 +166,21 @@ def _(spark, sf):
     return SN.get_attr(spark, path)
 
 
-@query("s21_attach_files", "SELECT 'nation.parquet' AS name, 64 AS width UNION ALL SELECT 'part.parquet', 64")
+@query("s21_attach_files", "SELECT doc_id, sha256(text) AS sha2, strlen(text)::BIGINT AS length, md5(text) AS content FROM documents WHERE text <> ''")
 def _(spark, sf):
+    """Each text as a file of its own; what is kept is put together again from small chunks."""
     path = scratch(spark)
-    SN.attach_files(spark, f"{sf}/{{nation,part}}.parquet", path)
-    return spark.read.parquet(path + "/_files").select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.length("sha2").alias("width"))
+    docs = table(spark, sf, "documents").filter("text <> ''")
+    files = docs.repartitionByRange("doc_id").select("doc_id", F.concat_ws("", "text").alias("value"))
+    files.write.partitionBy("doc_id").option("lineSep", "\x01").text(path + "/in")
+    SN.attach_files(spark, path + "/in/doc_id=*/*", path, chunk=1000)
+    # Each file ends with the writer's separator.
+    kept = SN.attached_files(spark, path).groupBy("path", "length", "sha2").agg(F.array_sort(F.collect_list(F.struct("chunk", F.hex("content").alias("h")))).alias("c"))
+    whole = F.unhex(F.array_join(F.transform("c", lambda x: x["h"]), ""))
+    text = F.substring(whole, F.lit(1), (F.col("length") - 1).cast("int"))
+    good = F.sha2(whole, 256) == F.col("sha2")
+    return kept.select(F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("bigint").alias("doc_id"), F.when(good, F.sha2(text, 256)).alias("sha2"),
+                       (F.col("length") - 1).alias("length"), F.md5(text).alias("content"))
 
 
 _V4 = "v0 AS a, v1 AS b, v2 AS c, v3 AS d"

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from stepfield.plans.skewed import lookup
 from stepfield.session import cut_lineage
 
-MAX_ROUNDS = 200
-
 
 def components(edges: DataFrame, keys: list[str] | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """Label every node with the smallest node of its component: keys, node, component.
@@ -27,7 +25,7 @@ def components(edges: DataFrame, keys: list[str] | None = None, nodes: DataFrame
     every = cut_lineage(every.distinct())
     e = cut_lineage(e.filter("u <> v").select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = _fingerprint(e)
-    for _ in range(MAX_ROUNDS):
+    while True:
         both = e.unionByName(e.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(*keys, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = lookup(both, low, [*keys, "u"]).filter("v > u").select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
@@ -41,8 +39,6 @@ def components(edges: DataFrame, keys: list[str] | None = None, nodes: DataFrame
         if now == mark:
             break
         mark = now
-    else:
-        raise RuntimeError("components did not settle")
     roots = e.groupBy(*keys, F.col("u").alias("node")).agg(F.min("v").alias("component"))
     return every.join(roots, [*keys, "node"], "left").select(
         *keys, "node", F.coalesce("component", "node").alias("component"))

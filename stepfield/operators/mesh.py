@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from stepfield.functions import geometry as g
 from stepfield.plans.ordered import Ordered, dense_ids
-from stepfield.plans.skewed import demand, lookup
+from stepfield.plans.skewed import demand, lookup, matched
 from stepfield.session import cut_lineage
 
 
@@ -45,7 +45,7 @@ def xyz(points: DataFrame, dim: int) -> DataFrame:
 def located(mesh: Mesh) -> DataFrame:
     """Simplices with the coordinates of vertex k on axis a in column ``x<k><a>``."""
     d = mesh.dim
-    rows = lookup(corners(mesh), xyz(mesh.points, d), ["mesh_id", "pid"])
+    rows = matched(corners(mesh), xyz(mesh.points, d), ["mesh_id", "pid"], "a simplex with an unknown point")
     return rows.groupBy("mesh_id", "sid", "region").agg(*[
         F.max(F.when(F.col("k") == k, F.col(f"x{a}"))).alias(f"x{k}{a}") for k in range(d + 1) for a in range(d)
     ] + [F.max(F.when(F.col("k") == k, F.col("pid"))).alias(f"v{k}") for k in range(d + 1)])
@@ -302,7 +302,7 @@ def triangle_angles(mesh: Mesh) -> DataFrame:
 def remap(simplices: DataFrame, mapping: DataFrame, keys: list[str], dim: int, extra=("region",)) -> DataFrame:
     """Replace vertex ids through ``mapping(keys, pid, new_pid)``; a vertex without a new id is an error."""
     rows = simplices.select(*keys, "sid", *extra, F.posexplode("v").alias("k", "pid"))
-    rows = lookup(rows, mapping, [*keys, "pid"])
+    rows = matched(rows, mapping.select(*keys, "pid", "new_pid"), [*keys, "pid"], "a vertex without a new id")
     put = [F.max(F.when(F.col("k") == k, F.col("new_pid"))) for k in range(dim + 1)]
     return rows.groupBy(*keys, "sid", *extra).agg(F.array(*put).alias("v"))
 

@@ -13,7 +13,7 @@ from stepfield.functions.vec import parts
 from stepfield.operators import mesh as M
 from stepfield.operators.snapshots import CLOCK, KEY, node
 from stepfield.plans.ordered import Ordered
-from stepfield.plans.skewed import lookup
+from stepfield.plans.skewed import lookup, matched
 from stepfield.session import cut_lineage
 
 
@@ -178,7 +178,7 @@ def grid_interp(points: DataFrame, grid: DataFrame, spec: Lattice, width: int) -
     index = [F.col(f"_e{a}.i").alias("i" + spec.names[a]) for a in range(d)]
     asked = rows.select("grid_id", "point", *index, weight.alias("_w"))
     on = ["grid_id", *["i" + n for n in spec.names]]
-    sums = lookup(asked, grid.select(*on, "v"), on).groupBy("grid_id", "point").agg(
+    sums = matched(asked, grid.select(*on, "v"), on, "a grid node is missing").groupBy("grid_id", "point").agg(
         *[F.sum(F.col("_w") * v).alias(f"_{i}") for i, v in enumerate(parts("v", width))])
     return sums.select("grid_id", "point", F.array(*[f"_{i}" for i in range(width)]).alias("value"))
 

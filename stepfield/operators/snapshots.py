@@ -17,7 +17,7 @@ from stepfield.functions import geometry as g
 from stepfield.functions.vec import parts, unit
 from stepfield.operators import mesh as M
 from stepfield.plans.ordered import dense_ids
-from stepfield.plans.skewed import demand, lookup, need
+from stepfield.plans.skewed import demand, lookup, matched, need
 
 SAVE = ["run_id", "mesh_id", "field", "id"]
 KEY = ["run_id", "mesh_id", "field", "subfield", "id"]
@@ -57,19 +57,15 @@ def total(snap: DataFrame, fields: list[str], width: int, catalog: DataFrame | N
 
 def select_ids(df: DataFrame, spec) -> DataFrame:
     """Rows of the ids in an int, list or range; -1 stands for the highest id."""
-    wanted = [spec] if isinstance(spec, int) else list(spec)
-    plain = [i for i in wanted if i != -1]
-    keep = df.filter(F.col("id").isin(*plain)) if plain else None
-    if isinstance(spec, range) and spec.step == 1 and spec.start >= 0:
-        keep = df.filter(F.col("id").between(spec.start, spec.stop - 1))
-    if -1 not in wanted:
-        return keep
-    last = df.agg(F.max("id").alias("id"))
-    tail = df.join(last, "id", "left_semi")
-    if keep is None:
-        return tail
-    ids = keep.select("id").unionByName(last).distinct()
-    return df.join(ids, "id", "left_semi")
+    if isinstance(spec, range):
+        low, high = (min(spec), max(spec)) if len(spec) else (1, 0)
+        listed = F.col("id").between(max(low, 0), high) & ((F.col("id") - spec.start) % spec.step == 0)
+    else:
+        spec = [spec] if isinstance(spec, int) else list(spec)
+        listed = F.col("id").isin(*[i for i in spec if i != -1])
+    if -1 not in spec:
+        return df.filter(listed)
+    return df.filter(listed | (F.col("id") == df.agg(F.max("id")).scalar()))
 
 
 def ids_by_field(snap: DataFrame) -> DataFrame:
@@ -117,9 +113,10 @@ def saves(snap: DataFrame) -> DataFrame:
 def convert(snap: DataFrame, catalog: DataFrame, factors: DataFrame, width: int, divide: bool = False) -> DataFrame:
     """Multiply (or divide) the values of a field by the factor of its unit: catalog (run_id, field,
     subfield, unit) ⋈ factors (unit, factor)."""
-    table = catalog.join(factors, "unit").select("run_id", "field", "subfield", "factor")
+    known = matched(catalog, factors.select("unit", "factor"), ["unit"], "a unit without a factor")
+    table = known.select("run_id", "field", "subfield", "factor")
     op = (lambda v: v / F.col("factor")) if divide else (lambda v: v * F.col("factor"))
-    return lookup(snap, table, ["run_id", "field", "subfield"]).withColumn(
+    return matched(snap, table, ["run_id", "field", "subfield"], "a field that the catalog does not know").withColumn(
         "value", F.array(*[op(v) for v in parts("value", width)])).select(snap.columns)
 
 
@@ -136,7 +133,7 @@ def rescale_pos(df: DataFrame, mesh_unit: float, factor: float, dim: int = 3) ->
 def site_positions(sites: DataFrame, points: DataFrame, dim: int = 3, factor: float = 1.0) -> DataFrame:
     """Mean position of the nodes of each distinct site (mesh_id, site)."""
     rows = sites.select("mesh_id", "site").distinct().withColumn("pid", F.explode("site"))
-    found = lookup(rows, M.xyz(points, dim), ["mesh_id", "pid"]).groupBy("mesh_id", "site").agg(
+    found = matched(rows, M.xyz(points, dim), ["mesh_id", "pid"], "a site with an unknown node").groupBy("mesh_id", "site").agg(
         *[(F.avg(f"x{a}") * factor).alias(f"x{a}") for a in range(dim)])
     return found.select("mesh_id", "site", F.array(*[f"x{a}" for a in range(dim)]).alias("pos"))
 
@@ -159,7 +156,8 @@ def realign(snap: DataFrame, perm_saved: DataFrame, perm_now: DataFrame) -> Data
     a = perm_saved.select("mesh_id", F.col("new_pid").alias("pid"), "orig_pid")
     b = perm_now.select("mesh_id", F.col("new_pid").alias("now_pid"), "orig_pid")
     table = a.join(b, ["mesh_id", "orig_pid"]).select("mesh_id", "pid", "now_pid")
-    return lookup(node(snap), table, ["mesh_id", "pid"]).withColumn("site", F.array("now_pid")).select(snap.columns)
+    found = matched(node(snap), table, ["mesh_id", "pid"], "a site that the permutations do not have")
+    return found.withColumn("site", F.array("now_pid")).select(snap.columns)
 
 
 # Combining snapshots

@@ -2,45 +2,21 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepfield.plans.ordered import ROWS_PER_TASK
-
-
-def lookup(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner", rows_per_task=None) -> DataFrame:
-    """Join ``rows`` to ``table``, which holds each key once.
-
-    With adaptive execution Spark itself splits the partitions of hot keys by their real sizes, so the
-    join is left as it is. Without it, or when ``rows_per_task`` is given, the keys with more rows than
-    that are spread over several salts and only their table rows are repeated; there are at most
-    ``count / rows_per_task`` such keys.
-    """
-    conf = rows.sparkSession.conf
-    adaptive = all(conf.get(k, "true") == "true" for k in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled"))
-    if adaptive and rows_per_task is None:
-        return rows.join(table, on, how)
-    return salted(rows, table, on, how, rows_per_task or ROWS_PER_TASK)
-
-
-def salted(rows: DataFrame, table: DataFrame, on: list[str], how: str, limit: int) -> DataFrame:
-    hot = rows.groupBy(*on).count().filter(F.col("count") > limit).select(
-        *[F.col(c).alias("_h_" + c) for c in on], F.ceil(F.col("count") / limit).cast("int").alias("_salts"))
-    same = reduce(lambda a, b: a & b, [F.col(c) == F.col("_h_" + c) for c in on])
-    drop = ["_h_" + c for c in on] + ["_salts"]
-    spread = (
-        rows.join(F.broadcast(hot), same, "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("_salts", F.lit(1))).cast("int"))
-        .drop(*drop)
-    )
-    repeated = (
-        table.join(F.broadcast(hot), same, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
-        .drop(*drop)
-    )
-    return spread.join(repeated, on + ["_salt"], how).drop("_salt")
+
+def lookup(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join ``rows`` to ``table``, which holds each key once; adaptive execution splits the partitions of hot keys."""
+    return rows.join(table, on, how)
+
+
+def matched(rows: DataFrame, table: DataFrame, on: list[str], message: str) -> DataFrame:
+    """``lookup`` in which a row without a partner stops the job as soon as one of the table's columns is used."""
+    out = lookup(rows, table.withColumn("_hit", F.lit(True)), on, "left")
+    found = F.col("_hit").isNotNull()
+    return out.withColumns({f.name: need(F.col(f.name), message, f.dataType.simpleString(), found)
+                            for f in table.schema if f.name not in on}).drop("_hit")
 
 
 def demand(df: DataFrame, bad, message: str) -> None:

@@ -118,11 +118,18 @@ def append_sites(df: DataFrame, path: str, width: int = 3) -> None:
     site_lines(df, width).select("line").write.mode("append").text(path)
 
 
-def attach_files(spark: SparkSession, glob: str, store: str, max_bytes: int = 64 << 20) -> None:
-    """Keep source files with their hash next to the data; a file is one row, so large ones are refused."""
+def attach_files(spark: SparkSession, glob: str, store: str, chunk: int = 1 << 20) -> None:
+    """Keep source files next to the data as numbered chunks, each with the hash of the whole file."""
     files = spark.read.format("binaryFile").load(glob)
-    demand(files.select("path", "length"), F.col("length") > max_bytes, "a source file is too large to attach")
-    files.select("path", "content", F.sha2("content", 256).alias("sha2")).write.mode("append").parquet(store + "/_files")
+    places = F.sequence(F.lit(0).cast("bigint"), F.floor(F.greatest(F.col("length") - 1, F.lit(0)) / chunk))
+    rows = files.select("path", "length", F.sha2("content", 256).alias("sha2"), "content", F.explode(places).alias("chunk"))
+    part = F.substring(F.col("content"), (F.col("chunk") * chunk + 1).cast("int"), F.lit(chunk))
+    rows.select("path", "length", "sha2", "chunk", part.alias("content")).write.mode("append").parquet(store + "/_files")
+
+
+def attached_files(spark: SparkSession, store: str) -> DataFrame:
+    """path, length, sha2, chunk, content of the files kept; their chunks in order are the file."""
+    return spark.read.parquet(store + "/_files")
 
 
 def set_attr(df_attrs: DataFrame, store: str) -> None:

@@ -9,7 +9,6 @@ from stepfield.operators import columns as C
 from stepfield.operators import probe as P
 from stepfield.operators import runs as R
 from stepfield.plans.ordered import Ordered, dense_ids
-from stepfield.plans.skewed import lookup
 
 SMALL = {"rows_per_task": 40}
 
@@ -139,11 +138,6 @@ def test_interp1_in_pieces(spark, rows):
     assert same(a, b) == 900
 
 
-def test_salted_lookup(spark, rows):
-    table = rows.select("run").distinct().withColumn("w", F.length("run"))
-    for how in ("inner", "left"):
-        same(rows.join(table, ["run"], how), lookup(rows, table, ["run"], how, rows_per_task=40))
-
 
 def test_columns_by_token(spark):
     df = spark.createDataFrame([(1.0, 3.0, 4.0, 9.0)], "time double, m_Py_0 double, m_Py_1 double, maxangle_m_Py double")

@@ -44,7 +44,18 @@ def _(spark, sf):
     return R.crossings(event_runs(spark, sf), "time", "value", 10.0, BY, ORDER).select("run_id", "event_id", r("crossing", 2))
 
 
-@query("w05_convergence")
+CONVERGE = f"""WITH RECURSIVE {EVENTS}, o AS (SELECT run_id, event_id, round(value, 0) AS v, row_number() OVER {W} AS k FROM ev),
+s AS (SELECT run_id, 0::BIGINT AS k, NULL::BIGINT AS event_id, 0 AS low, 0 AS n, 0::DOUBLE AS dev, 0::DOUBLE AS osc, NULL::DOUBLE AS seen, false AS converged, NULL::DOUBLE AS quality FROM (SELECT DISTINCT run_id FROM o)
+ UNION ALL SELECT run_id, k, event_id, CASE WHEN v < 10 AND NOT done THEN low + 1 ELSE 0 END,
+  CASE WHEN done OR closes THEN 0 WHEN counts THEN n + 1 ELSE n END, CASE WHEN done OR closes THEN 0 WHEN counts THEN dev + v - seen ELSE dev END,
+  CASE WHEN done OR closes THEN 0 WHEN counts THEN osc + abs(v - seen) ELSE osc END, CASE WHEN done THEN NULL WHEN v < 10 THEN seen ELSE v END, done,
+  CASE WHEN closes THEN abs((dev + v - seen) / (osc + abs(v - seen))) END
+ FROM (SELECT *, counts AND n + 1 >= 5 AND osc + abs(v - seen) > 0 AS closes FROM (
+  SELECT o.*, low, n, dev, osc, seen, v < 10 AND low = 1 AS done, v >= 10 AND seen IS NOT NULL AS counts FROM s JOIN o ON o.run_id = s.run_id AND o.k = s.k + 1)))
+SELECT run_id, event_id, converged, round(quality, 6) AS quality FROM s WHERE k > 0"""
+
+
+@query("w05_convergence", CONVERGE)
 def _(spark, sf):
     df = event_runs(spark, sf).withColumn("value", F.round("value", 0))
     return R.convergence(df, "value", 10.0, BY, ORDER).select("run_id", "event_id", "converged", r("quality"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from stepfield.checks.base import EVENTS, epoch_us, event_runs, query, r, table
-from stepfield.checks.runs import THROTTLE
+from stepfield.checks.runs import CONVERGE, THROTTLE
 from stepfield.functions.when import at, every
 from stepfield.operators import calls as K
 from stepfield.session import shared_folder
@@ -44,7 +44,7 @@ def _(spark, sf):
     return drain(spark, out).select("run_id", "event_id", "action")
 
 
-@query("st02_converge_stream")
+@query("st02_converge_stream", CONVERGE)
 def _(spark, sf):
     s = stream(spark, sf).withColumn("value", F.round("value", 0))
     return drain(spark, L.converge_stream(s, "value", 10.0, BY, ORDER)).select("run_id", "event_id", "converged", r("quality"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,9 +76,12 @@ def scheduled_changes(sdf: DataFrame, schedule: list[tuple[str, When]], by: list
 def dispatch(sdf: DataFrame, checkpoint: str, available_now: bool = False):
     """Call the registered action (see ``register_action``) on its rows of each batch."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        names = [row.action for row in batch.select("action").distinct().collect()]
-        for name in names:
-            ACTIONS[name](batch.filter(F.col("action") == name), batch_id)
+        batch = batch.persist()
+        try:
+            for row in batch.select("action").distinct().collect():
+                ACTIONS[row.action](batch.filter(F.col("action") == row.action), batch_id)
+        finally:
+            batch.unpersist()
 
     writer = sdf.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -85,35 +89,58 @@ def dispatch(sdf: DataFrame, checkpoint: str, available_now: bool = False):
 
 # Detectors
 
+def _blocks(v: np.ndarray, carried: tuple, statistics: int) -> tuple[tuple, list[int], list[float]]:
+    """Cut the changes between values into blocks that have ``statistics`` changes and are not all zero.
+
+    Returns what is left for later (changes, their sum, the sum of their sizes, last value), and of each block
+    that closes the place of its last value and its quality.
+    """
+    n, dev, osc, before = carried
+    v = v if before is None else np.concatenate([[before], v])
+    shift = 0 if before is None else 1
+    change = np.diff(v)
+    total, size = np.concatenate([[0.0], np.cumsum(change)]), np.concatenate([[0.0], np.cumsum(np.abs(change))])
+    start, closed, values = 0, [], []
+    while True:
+        moved = start if osc > 0 else int(np.searchsorted(size, size[start], side="right"))
+        end = max(start + max(statistics - n, 1), moved)
+        if end > len(change):
+            break
+        closed.append(end - shift)
+        values.append(abs((dev + total[end] - total[start]) / (osc + size[end] - size[start])))
+        start, n, dev, osc = end, 0, 0.0, 0.0
+    rest = (n + len(change) - start, float(dev + total[-1] - total[start]), float(osc + size[-1] - size[start]), float(v[-1]))
+    return rest, closed, values
+
+
 def converge_stream(sdf: DataFrame, column: str, stop: float, by: list[str], order: list[str], countdown: int = 2, statistics: int = 5) -> DataFrame:
     """Convergence flag and quality per row, as ``convergence`` gives them on a table."""
     fields = {f.name: f.dataType.simpleString() for f in sdf.schema}
     schema = ", ".join(f"{c} {fields[c]}" for c in [*by, *order]) + ", converged boolean, quality double"
 
     def detect(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        left, n, dev, osc, before = state.get if state.exists else (countdown, 0, 0.0, 0.0, None)
+        low, n, dev, osc, before = state.get if state.exists else (0, 0, 0.0, 0.0, None)
         pdf = pd.concat(list(batches)).sort_values(order, ignore_index=True)
-        flags, qualities = [], []
-        for value in pdf[column]:
-            done, quality = False, None
-            if value < stop:
-                left -= 1
-                if left < 1:
-                    done, left, n, dev, osc, before = True, countdown, 0, 0.0, 0.0, None
-            else:
-                left = countdown
-                if before is not None:
-                    dev, osc, n = dev + value - before, osc + abs(value - before), n + 1
-                    if n >= statistics and osc > 0:
-                        quality, n, dev, osc = abs(dev / osc), 0, 0.0, 0.0
-                before = float(value)
-            flags.append(done)
-            qualities.append(quality)
-        state.update((left, n, dev, osc, before))
-        yield pdf[[*by, *order]].assign(converged=flags, quality=pd.Series(qualities, dtype="float64"))
+        v = pdf[column].to_numpy(dtype="float64", na_value=np.nan)
+        row, high = np.arange(len(v)), ~(v < stop)
+        # How long the values have been low; every countdown-th of them converges and opens a new part.
+        last = np.maximum.accumulate(np.where(high, row, -1 - low))
+        done = ~high & ((row - last) % countdown == 0)
+        part = np.cumsum(done)
+        quality = np.full(len(v), np.nan)
+        places = np.flatnonzero(high)
+        tail = (n, dev, osc, before)
+        for at in np.split(places, np.flatnonzero(np.diff(part[places])) + 1) if len(places) else ():
+            carried = tail if part[at[0]] == 0 else (0, 0.0, 0.0, None)
+            tail, closed, values = _blocks(v[at], carried, statistics)
+            quality[at[closed]] = values
+        if done.any() and (not len(places) or part[places[-1]] < part[-1]):
+            tail = (0, 0.0, 0.0, None)
+        state.update((int(row[-1] - last[-1]), *tail))
+        yield pdf[[*by, *order]].assign(converged=done, quality=quality)
 
     return sdf.groupBy(*by).applyInPandasWithState(
-        detect, schema, "left int, n int, dev double, osc double, before double", "append", GroupStateTimeout.NoTimeout)
+        detect, schema, "low int, n int, dev double, osc double, before double", "append", GroupStateTimeout.NoTimeout)
 
 
 def throttle_stream(sdf: DataFrame, time: str, seconds: float, by: list[str], order: list[str]) -> DataFrame:
@@ -155,7 +182,8 @@ def last_of_stream(sdf: DataFrame, column: str, by: list[str], order: list[str],
         pdf = pd.concat(list(batches)).sort_values(order, ignore_index=True)
         if state.exists:
             pdf = pd.concat([pd.DataFrame([state.get], columns=names), pdf], ignore_index=True)
-        change = pdf[column].ne(pdf[column].shift(-1))
+        after = pdf[column].shift(-1)
+        change = pdf[column].ne(after) & ~(pdf[column].isna() & after.isna())
         change.iloc[-1] = False
         state.update(tuple(v.item() if hasattr(v, "item") else v for v in pdf.iloc[-1]))
         if idle_ms is not None:

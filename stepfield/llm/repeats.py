@@ -117,7 +117,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
     import pyarrow as pa
 
     plain = b"".join(np.int64(a.nbytes).tobytes() + a.tobytes() for a in arrays)
-    return np.int64(len(plain)).tobytes() + pa.compress(plain, codec="zstd", asbytes=True)
+    return np.int64(len(plain)).tobytes() + pa.Codec("zstd", compression_level=6).compress(plain, asbytes=True)
 
 
 def _unpack(data: bytes, *kinds) -> list[np.ndarray]:
@@ -195,10 +195,9 @@ def sieve(own: DataFrame, symbols: Callable, n: int, buckets: int) -> DataFrame:
         for k in np.flatnonzero(np.diff(edges)):
             part = order[edges[k]:edges[k + 1]]
             used, local = np.unique(doc[part], return_inverse=True)
-            rest = h[part] & np.uint64(0xFFFFFFFFFFFF)
             keys.append(k)
-            rows.append(_pack((rest >> np.uint64(1)).astype(np.uint32), (rest >> np.uint64(33)).astype(np.uint16), (h[part] >> np.uint64(48)).astype(np.uint16),
-                              local.astype(np.uint32 if len(used) > 65535 else np.uint16), flag[part], count[part], uids[used].astype(np.int64)))
+            # Within a bucket 31 bits are enough: two anchors taken for one only send contexts in vain.
+            rows.append(_pack(_short(h[part]), local.astype(np.uint32 if len(used) > 65535 else np.uint16), flag[part], count[part], uids[used].astype(np.int64)))
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(rows, pa.binary())], ["bucket", "entries"])
 
     def meet(batches: Iterator) -> Iterator:
@@ -206,8 +205,8 @@ def sieve(own: DataFrame, symbols: Callable, n: int, buckets: int) -> DataFrame:
         for batch in batches:
             for row in batch.column("entries"):
                 data = row.as_py()
-                low, mid, top, local, flag, count, used = _sieve_parts(data)
-                hs.append((top.astype(np.uint64) << np.uint64(48)) | (mid.astype(np.uint64) << np.uint64(33)) | (low.astype(np.uint64) << np.uint64(1)))
+                short, local, flag, count, used = _sieve_parts(data)
+                hs.append(short)
                 uid.append(used[local])
                 flags.append(flag)
                 counts.append(count)
@@ -221,7 +220,7 @@ def sieve(own: DataFrame, symbols: Callable, n: int, buckets: int) -> DataFrame:
         witnesses = np.bincount(run, (f & WITNESS) > 0)[run]
         total = np.bincount(run, c)[run]
         stay = ((f & KNOWN) > 0) | (((f & ASKS) > 0) & (witnesses > 1))
-        out = _short(h[stay]) | (total[stay] > CROWD).astype(np.uint32)
+        out = h[stay] | (total[stay] > CROWD).astype(np.uint32)
         yield pa.RecordBatch.from_arrays([pa.array(u[stay]), pa.array(out.view(np.int32))], ["uid", "h"])
 
     packed = own.select("uid", "text").filter(F.col("doc_id").isNotNull()).mapInArrow(split, "bucket int, entries binary")
@@ -244,16 +243,16 @@ def _whole(fn: Callable, columns: dict[str, str]) -> Callable:
 
 
 def _sieve_parts(data: bytes) -> list[np.ndarray]:
-    low, mid, top, local, flag, count, used = _unpack(data, np.uint32, np.uint16, np.uint16, np.uint8, np.uint8, np.uint16, np.int64)
-    wide = len(local) // max(1, len(low))
-    return [low, mid, top, local.view(np.uint32 if wide == 4 else np.uint16), flag, count, used]
+    short, local, flag, count, used = _unpack(data, np.uint32, np.uint8, np.uint8, np.uint16, np.int64)
+    wide = len(local) // max(1, len(short))
+    return [short, local.view(np.uint32 if wide == 4 else np.uint16), flag, count, used]
 
 
 class Entries:
     """Contexts that came to a bucket: key (of the prefix), ids, uids, anchor places, symbols left and right of
     the anchor's place, range of window places (how far before the anchor a window may begin), packed bytes."""
 
-    KINDS = (np.uint64, np.int64, np.int64, np.int32, np.uint8, np.uint8, np.uint8, np.uint8, np.int32, np.uint8)
+    KINDS = (np.uint32, np.int64, np.int64, np.int32, np.uint8, np.uint8, np.uint8, np.uint8, np.int32, np.uint8)
 
     def __init__(self, parts: list[list[np.ndarray]]):
         key, doc, uid, many, left, right, near, far, sizes, data, place = ([p[i] for p in parts] for i in range(11))
@@ -371,7 +370,11 @@ def _bucketed(parts: list[list[np.ndarray]], buckets: int, n: int) -> Iterator:
     heads = np.flatnonzero(head)
     many = np.diff(np.append(heads, len(stay))).astype(np.int32)
     entry = own[heads]
-    bucket = (mix64(key[entry]) >> np.uint64(20)) % np.uint64(buckets)
+    mixed = mix64(key[entry])
+    bucket = (mixed & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)
+    # Within a bucket 32 bits of the key are enough: what is taken for one prefix is compared in full anyway.
+    key = np.zeros(len(key), np.uint32)
+    key[entry] = mixed >> np.uint64(32)
     by = np.argsort(bucket, kind="stable")
     edges = np.searchsorted(bucket[by], np.arange(buckets + 1, dtype=np.uint64))
     keys, rows, extra = [], [], []

@@ -3,7 +3,8 @@
 Bytes are embedded; learned filters of ``WIDTH`` bytes slide by ``STRIDE`` over overlapping chunks that cover the
 whole text; each filter's maximum over a chunk goes through a small dense layer to the chunk's logit; the mean
 of a document's logits is its logit. Learning (Adam, backwards through the maxima) takes a bounded sample: at
-most ``PER_LABEL`` rows of each label, chosen by a hash of the id, and ``CHUNKS`` evenly spread chunks of each.
+most ``PER_LABEL`` rows of each label, chosen by a hash of the id; of each, ``CHUNKS`` evenly spread chunks and a
+few words by themselves.
 In scoring every byte of every text is read: two bytes at a time look up their part of all filters at once.
 
 Edge cases: null and empty texts are one chunk of zero bytes and get a score like any other; without labels of
@@ -26,7 +27,9 @@ PER_LABEL, CHUNKS = 1500, 8
 EMBED, WIDTH, STRIDE, FILTERS, HIDDEN = 8, 8, 2, 16, 16
 #: Bytes of a chunk, and from one chunk to the next.
 CHUNK, STEP = 256, 224
-STEPS, BATCH, RATE, SLAB, ROWS = 400, 64, 4e-3, 1 << 18, 2048
+STEPS, BATCH, RATE, SLAB, ROWS = 600, 96, 4e-3, 1 << 18, 2048
+#: Weight in learning of a few words against that of their text.
+SNIPPET = 0.3
 _PLACES, _HOP, _PAIRS = (CHUNK - WIDTH) // STRIDE + 1, STEP // STRIDE, WIDTH // 2
 
 
@@ -129,6 +132,29 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
+def _chunks(text: np.ndarray) -> np.ndarray:
+    """At most CHUNKS evenly spread chunks (n, CHUNK + 1) of a text; the last byte has the number of filter places."""
+    places = (padded_size(np.int64(len(text))) - WIDTH) // STRIDE + 1
+    many = int(chunk_count(places))
+    picked = np.unique(np.linspace(0, many - 1, min(many, CHUNKS)).astype(int))
+    out = np.zeros((len(picked), CHUNK + 1), np.uint8)
+    for i, c in enumerate(picked):  # a short chunk is repeated, so that it has no other bytes
+        part = text[c * STEP:c * STEP + CHUNK]
+        out[i, CHUNK] = min(_PLACES, places - c * _HOP)
+        out[i, :CHUNK] = np.resize(np.pad(part, (0, max(0, WIDTH - len(part)))), CHUNK)
+    return out
+
+
+def _snippet(text: np.ndarray) -> np.ndarray:
+    """A few words from within a text; texts this short are rare in a sample, and few words say little about quality."""
+    n = len(text)
+    spaces = np.flatnonzero(text[n // 3:n // 3 + 400] == 32)
+    start = n // 3 + (int(spaces[0]) + 1 if len(spaces) else 0)
+    size = 5 + n * 7919 % 70
+    after = np.flatnonzero(text[start + size:start + size + 40] == 32)
+    return text[start:start + size + (int(after[0]) if len(after) else 0)]
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from rows (doc_id, text) with a label (doc_id, quality) that are not held out."""
     marks = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "quality").distinct()
@@ -144,26 +170,20 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         import pyarrow as pa
         for batch in batches:
             buf, offsets = byte_view(batch.column("text"))
-            rows = []
-            for a, b in zip(offsets[:-1], offsets[1:]):
-                places = (padded_size(b - a) - WIDTH) // STRIDE + 1
-                many = int(chunk_count(places))
-                picked = np.unique(np.linspace(0, many - 1, min(many, CHUNKS)).astype(int))
-                out = np.zeros((len(picked), CHUNK + 1), np.uint8)
-                for i, c in enumerate(picked):  # a short chunk is repeated, so that it has no other bytes
-                    part = buf[a + c * STEP:min(b, a + c * STEP + CHUNK)]
-                    out[i, CHUNK] = min(_PLACES, places - c * _HOP)
-                    out[i, :CHUNK] = np.resize(np.pad(part, (0, max(0, WIDTH - len(part)))), CHUNK)
-                rows.append(out.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(rows, pa.binary())], ["quality", "chunks"])
+            texts = [buf[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+            for part, snippet in ((texts, False), ([_snippet(t) for t in texts], True)):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("quality"), pa.array([_chunks(t).tobytes() for t in part], pa.binary()), pa.array([snippet] * len(part), pa.bool_())],
+                    ["quality", "chunks", "snippet"])
 
     kind = labels.schema["quality"].dataType.simpleString()
-    rows = sample.mapInArrow(cut, f"quality {kind}, chunks binary").limit(4 * PER_LABEL).collect()
+    rows = sample.mapInArrow(cut, f"quality {kind}, chunks binary, snippet boolean").limit(8 * PER_LABEL).collect()
     y = np.array([float(r.quality) for r in rows], np.float32)
     if len(set(y)) < 2:
         return model
     # Each label weighs as much as it has rows among all labels, whatever its part of the sample.
     weight = np.where(y == 1, model.share / max(1, (y == 1).sum()), (1 - model.share) / max(1, (y == 0).sum())) * len(y)
+    weight *= np.where([r.snippet for r in rows], SNIPPET, 1.0)
     model.fit([np.frombuffer(r.chunks, np.uint8).reshape(-1, CHUNK + 1) for r in rows], y, weight.astype(np.float32))
     return model
 

@@ -21,15 +21,18 @@ def _(spark, sf):
     return C.select_cols(line_runs(spark, sf), 0, "l_linenumber", "extended", "tax")
 
 
-@query("p02_describe_cols", """SELECT * FROM (VALUES (0, 'l_orderkey', 'key'), (1, 'l_partkey', ''), (2, 'l_suppkey', ''),
- (3, 'l_linenumber', ''), (4, 'l_quantity', 'pieces'), (5, 'l_extendedprice', ''), (6, 'l_discount', ''), (7, 'l_tax', '')) t(pos, name, unit)
- JOIN (UNPIVOT (SELECT l_orderkey::DOUBLE AS l_orderkey, l_partkey::DOUBLE AS l_partkey, l_suppkey::DOUBLE AS l_suppkey,
- l_linenumber::DOUBLE AS l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem
- ORDER BY lineitem.l_orderkey, lineitem.l_linenumber, lineitem.l_partkey, lineitem.l_suppkey, lineitem.l_extendedprice LIMIT 1)
- ON COLUMNS(*) INTO NAME name VALUE first) USING (name)""")
+_KEYS = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
+_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("p02_describe_cols", f"""WITH c AS (SELECT column_name AS name, (row_number() OVER (ORDER BY column_index) - 1)::INTEGER AS pos FROM duckdb_columns() WHERE table_name = 'lineitem'),
+ f AS (SELECT * FROM lineitem ORDER BY {_KEYS} LIMIT 1),
+ v AS (UNPIVOT (SELECT COLUMNS(*)::VARCHAR FROM f) ON COLUMNS(*) INTO NAME name VALUE v)
+ SELECT pos, name, CASE name WHEN 'l_orderkey' THEN 'key' WHEN 'l_quantity' THEN 'pieces' ELSE '' END AS unit,
+ CASE WHEN name IN ({", ".join(f"'{n}'" for n in _NUMBERS)}) THEN v::DOUBLE END AS first, CASE WHEN name NOT IN ({", ".join(f"'{n}'" for n in _NUMBERS)}) THEN v END AS text
+ FROM c JOIN v USING (name)""")
 def _(spark, sf):
-    return C.describe_cols(line_runs(spark, sf), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"],
-                           {"l_orderkey": "key", "l_quantity": "pieces"})
+    return C.describe_cols(line_runs(spark, sf), _KEYS.split(", "), {"l_orderkey": "key", "l_quantity": "pieces"})
 
 
 @query("p03_scale_cols", """SELECT l_orderkey, l_linenumber, round(l_quantity * 2.5, 6) AS l_quantity,
@@ -94,9 +97,10 @@ def _(spark, sf):
     return C.occurrences(line_runs(spark, sf), "l_suppkey")
 
 
-@query("a29_sample_max_mean")
+@query("a29_sample_max_mean", """SELECT round(max(value) * 1.12, 6) AS max, round(avg(value), 6) AS mean
+ FROM (SELECT value FROM events ORDER BY md5('7-' || event_id), event_id LIMIT 1000)""")
 def _(spark, sf):
-    return C.sample_max_mean(table(spark, sf, "events"), "value", ["event_id"], 1000, seed=7)
+    return C.sample_max_mean(table(spark, sf, "events"), "value", ["event_id"], 1000, seed=7).select(r("max"), r("mean"))
 
 
 # Scheduling

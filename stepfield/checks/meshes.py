@@ -325,11 +325,11 @@ def _(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", M.owner("l_partkey", [100, 250, 650]).alias("part"))
 
 
-@query("a17_components", """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, 1000000000 + l_partkey * 1000000 + (l_orderkey // 50) AS b FROM lineitem WHERE l_quantity > 47),
+@query("a17_components", """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, 1000000000 + l_partkey * 1000000 + (l_orderkey // 50) AS b FROM lineitem),
  adj AS (SELECT a, b FROM e UNION SELECT b, a FROM e), walk(n, c) AS (SELECT a, a FROM adj UNION SELECT adj.b, walk.c FROM walk JOIN adj ON adj.a = walk.n WHERE walk.c < adj.b)
  SELECT n AS node, min(c) AS component FROM walk GROUP BY n""")
 def _(spark, sf):
-    e = table(spark, sf, "lineitem").filter("l_quantity > 47").select(
+    e = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("src"), (F.lit(1000000000) + F.col("l_partkey") * 1000000 + F.floor(F.col("l_orderkey") / 50)).cast("bigint").alias("dst"))
     return G.components(e)
 

@@ -89,12 +89,13 @@ def _(spark, sf):
     return P.asof_interp(s, times, 3).select("run_id", "subfield", "t", F.col("site")[0].alias("pid"), *xyz_out())
 
 
-@query("j09_asof_runs", f"""WITH {EVENTS}, q AS (SELECT o_orderkey, o_custkey % 150 AS run_id, epoch_us(o_orderdate) / 1e6 AS time FROM orders),
+@query("j09_asof_runs", f"""WITH {EVENTS}, q AS (SELECT o_orderkey, o_custkey % (SELECT max(user_id) + 1 FROM events) AS run_id, epoch_us(o_orderdate) / 1e6 AS time FROM orders),
  lo AS (SELECT q.*, ev.time AS tl, value AS vl FROM q ASOF LEFT JOIN ev ON q.run_id = ev.run_id AND q.time >= ev.time),
  hi AS (SELECT o_orderkey, ev.time AS th, value AS vh FROM q ASOF LEFT JOIN ev ON q.run_id = ev.run_id AND q.time <= ev.time)
  SELECT o_orderkey, run_id, round(CASE WHEN tl IS NULL THEN vh WHEN th IS NULL OR tl = time THEN vl ELSE vl + (vh - vl) * (time - tl) / (th - tl) END, 4) AS value FROM lo JOIN hi USING (o_orderkey)""")
 def _(spark, sf):
-    q = table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 150).alias("run_id"), (epoch_us("o_orderdate") / 1e6).alias("time"))
+    runs = table(spark, sf, "events").agg(F.max("user_id") + 1).scalar()
+    q = table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % runs).alias("run_id"), (epoch_us("o_orderdate") / 1e6).alias("time"))
     tab = event_runs(spark, sf).select("run_id", "time", "value")
     return P.interp1(q, tab, ["run_id"], "time", "value", "value").select("o_orderkey", "run_id", r("value", 4))
 

@@ -96,7 +96,7 @@ def _(spark, sf):
     return R.throttle(event_runs(spark, sf), "time", 86400.0, BY, ORDER).select("run_id", "event_id", "us")
 
 
-@query("a24_timer_totals", f"""WITH {EVENTS}, k AS (SELECT *, CASE event_type WHEN 'view' THEN 'start' ELSE 'stop' END AS kind FROM ev WHERE event_type IN ('view', 'click')),
+@query("a24_timer_totals", f"""WITH {EVENTS}, k AS (SELECT *, CASE WHEN event_type IN ('view', 'signup') THEN 'start' ELSE 'stop' END AS kind FROM ev),
  a AS (SELECT *, lag(kind) OVER {W} AS pk, lead(kind) OVER {W} AS nk FROM k),
  b AS (SELECT *, last_value(CASE WHEN kind = 'start' AND (pk IS NULL OR pk = 'stop') THEN time END IGNORE NULLS) OVER {W} AS t0 FROM a)
  SELECT run_id, round(sum(CASE WHEN kind = 'stop' AND pk = 'start' THEN time - t0 ELSE 0 END), 2) AS seconds,
@@ -104,7 +104,7 @@ def _(spark, sf):
  count(CASE WHEN kind = 'stop' AND (pk IS NULL OR pk = 'stop') THEN 1 END) AS unmatched_stops,
  count(CASE WHEN kind = 'start' AND pk = 'start' THEN 1 END) AS double_starts, bool_or(nk IS NULL AND kind = 'start') AS open FROM b GROUP BY run_id""")
 def _(spark, sf):
-    df = event_runs(spark, sf).filter(F.col("event_type").isin("view", "click")).withColumn("kind", F.when(F.col("event_type") == "view", "start").otherwise("stop"))
+    df = event_runs(spark, sf).withColumn("kind", F.when(F.col("event_type").isin("view", "signup"), "start").otherwise("stop"))
     return R.timer_totals(df, BY, ORDER).withColumn("seconds", r("seconds", 2))
 
 

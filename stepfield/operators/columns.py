@@ -52,12 +52,13 @@ def magnitude(df: DataFrame, names: str, prefix: str = "mod_") -> DataFrame:
 
 
 def describe_cols(df: DataFrame, order: list[str], units: dict[str, str] | None = None) -> DataFrame:
-    """Position, name, unit and first value (in ``order``) of every numeric column; one aggregate."""
-    names = [f.name for f in df.schema if f.dataType.typeName() in ("double", "float", "integer", "long")]
-    first = df.agg(*[F.min_by(F.col(c).cast("double"), F.struct(*order)).alias(c) for c in names])
-    table = {c: (i, (units or {}).get(c, "")) for i, c in enumerate(df.columns)}
-    rows = [F.struct(F.lit(table[c][0]).alias("pos"), F.lit(c).alias("name"), F.lit(table[c][1]).alias("unit"),
-                     F.col(c).alias("first")) for c in names]
+    """Position, name, unit and first value (in ``order``) of every column: ``first`` for numbers, ``text`` for
+    all others; one aggregate."""
+    numbers = {f.name for f in df.schema if f.dataType.typeName() in ("double", "float", "integer", "long", "short", "byte", "decimal")}
+    first = df.agg(*[F.min_by(F.col(c).cast("double" if c in numbers else "string"), F.struct(*order)).alias(c) for c in df.columns])
+    rows = [F.struct(F.lit(i).alias("pos"), F.lit(c).alias("name"), F.lit((units or {}).get(c, "")).alias("unit"),
+                     (F.col(c) if c in numbers else F.lit(None).cast("double")).alias("first"),
+                     (F.lit(None).cast("string") if c in numbers else F.col(c)).alias("text")) for i, c in enumerate(df.columns)]
     return first.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
@@ -82,5 +83,5 @@ def order_fields(df: DataFrame, column: str = "field") -> DataFrame:
 
 def sample_max_mean(df: DataFrame, value: str, key: list[str], n: int, seed: int = 0, margin: float = 1.12) -> DataFrame:
     """Maximum times ``margin`` and mean over a repeatable sample of ``n`` rows chosen by key hash."""
-    drawn = df.select(*key, value).orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
+    drawn = df.select(*key, value).orderBy(F.md5(F.concat_ws("-", F.lit(seed), *key)), *key).limit(n)
     return drawn.agg((F.max(value) * margin).alias("max"), F.avg(value).alias("mean"))

@@ -119,7 +119,8 @@ def append_sites(df: DataFrame, path: str, width: int = 3) -> None:
 
 
 def attach_files(spark: SparkSession, glob: str, store: str, chunk: int = 1 << 20) -> None:
-    """Keep source files next to the data as numbered chunks, each with the hash of the whole file."""
+    """Keep source files next to the data as numbered chunks, each with the hash of the whole file; empty files
+    are passed over by the reader."""
     files = spark.read.format("binaryFile").load(glob)
     places = F.sequence(F.lit(0).cast("bigint"), F.floor(F.greatest(F.col("length") - 1, F.lit(0)) / chunk))
     rows = files.select("path", "length", F.sha2("content", 256).alias("sha2"), "content", F.explode(places).alias("chunk"))

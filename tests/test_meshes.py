@@ -1,6 +1,7 @@
 """Closed forms on cubes cut into tetrahedra, and graphs against small loops."""
 
 import itertools
+import random
 import math
 
 import pytest
@@ -144,35 +145,55 @@ def test_two_dimensions(spark):
     assert P.locate(probes, m).first().sid == 1
 
 
-def test_one_dimensional_subfields(spark):
-    """Points 0, 0.5 … 9; region 1 below 5, region 2 above: a on 1, b on 2, ab on both."""
-    p = spark.createDataFrame([(0, i, [i * 0.5]) for i in range(19)], "mesh_id bigint, pid bigint, pos array<double>")
-    s = spark.createDataFrame([(0, i, 1 if i < 10 else 2, [i, i + 1]) for i in range(18)], "mesh_id bigint, sid bigint, region int, v array<bigint>")
+def test_subfields_on_a_line(spark):
+    """Points 0 … 12 on a line in three regions; fields on the left, on the right two and on all."""
+    p = spark.createDataFrame([(0, i, [i * i / 8]) for i in range(13)], "mesh_id bigint, pid bigint, pos array<double>")
+    s = spark.createDataFrame([(0, i, 1 + (i >= 4) + (i >= 9), [i, i + 1]) for i in range(12)], "mesh_id bigint, sid bigint, region int, v array<bigint>")
     m = M.Mesh(p, s, 1)
 
     def snap(subfield, ids):
-        return spark.createDataFrame([("r", 0, "v", subfield, 0, 0, 0, 0.0, [i], [1.0]) for i in ids],
+        return spark.createDataFrame([("r", 0, "v", subfield, 0, 0, 0, 0.0, [i], [2.0 * i]) for i in ids],
                                      "run_id string, mesh_id bigint, field string, subfield string, id bigint, step bigint, stage bigint, time double, site array<bigint>, value array<double>")
 
-    for name, ids, regions in (("a", range(11), [1]), ("b", range(10, 19), [2]), ("ab", range(19), [1, 2])):
+    for name, ids, regions in (("left", range(5), [1]), ("right", range(4, 13), [2, 3]), ("all", range(13), [1, 2, 3])):
         assert sorted(r.region for r in S.defined_regions(snap(name, ids), m).collect()) == regions
     with pytest.raises(ValueError):
-        S.defined_regions(snap("part", range(13)), m)
+        S.defined_regions(snap("torn", [0, 1, 2, 3, 4, 6]), m)
     with pytest.raises(ValueError):
         S.set_field(p, [1.0, 2.0], width=3)
-    assert abs(S.average(snap("a", range(11)), m, spark.createDataFrame([(0, "a", 1)], "mesh_id bigint, subfield string, region int"), 1).first().average - 1) < 1e-12
-
-
-def test_components_example(spark):
-    """A node with only a self-loop is a component of its own."""
-    edges = [(1, 4, 2.0), (2, 3, 5.0), (12, 11, 3.0), (4, 5, 2.2), (1, 2, 8.0), (3, 4, 4.0), (2, 4, 9.0), (10, 11, 7.0),
-             (10, 12, 1.0), (17, 17, 1.0), (3, 5, 1.2), (20, 21, 1.0), (1, 3, 1.8), (23, 22, 1.0)]
+    where = spark.createDataFrame([(0, "left", 1)], "mesh_id bigint, subfield string, region int")
+    x = [i * i / 8 for i in range(5)]
+    want = sum((x[i + 1] - x[i]) * (2 * i + 1) for i in range(4)) / (x[4] - x[0])
+    assert abs(S.average(snap("left", range(5)), m, where, 1).first().average - want) < 1e-12
+
+
+def test_components_by_brute_force(spark):
+    """Random forests with loops on single nodes; a node that only has a loop is its own component."""
+    rng = random.Random(8)
+    edges = [(a, rng.randint(0, a), rng.random()) for a in range(1, 60) if rng.random() < 0.7] + [(90, 90, 0.5)]
+    group = {n: n for a, b, _ in edges for n in (a, b)}
+    for _ in edges:
+        for a, b, _ in edges:
+            group[a] = group[b] = min(group[a], group[b])
     df = spark.createDataFrame(edges, "src bigint, dst bigint, w double")
     labels = G.components(df)
-    out = {r.node: r.component for r in labels.collect()}
-    assert out[17] == 17 and len(set(out.values())) == 5
+    assert {r.node: r.component for r in labels.collect()} == group
+    best = {}
+    for a, b, w in edges:
+        best[group[a]] = max(best.get(group[a], (0,)), (w, a, b))
     heaviest = G.reduce_components(df, labels, [F.max_by(F.struct("src", "dst"), "w").alias("e")]).collect()
-    assert {r.component: tuple(r.e) for r in heaviest} == {1: (2, 4), 10: (10, 11), 17: (17, 17), 20: (20, 21), 22: (23, 22)}
+    assert {r.component: tuple(r.e) for r in heaviest} == {k: v[1:] for k, v in best.items()}
+
+
+def test_missing_partners_are_errors(spark, cube):
+    holes = M.Mesh(cube.points.filter("pid <> 0"), cube.simplices, cube.dim)
+    with pytest.raises(Exception):
+        M.volumes(holes).collect()
+    mapping = cube.points.filter("pid <> 0").select("mesh_id", "pid", F.col("pid").alias("new_pid"))
+    with pytest.raises(Exception):
+        M.remap(cube.simplices, mapping, ["mesh_id"], 3).collect()
+    with pytest.raises(Exception):
+        S.site_positions(spark.createDataFrame([(0, [1, 10**6])], "mesh_id bigint, site array<bigint>"), cube.points).collect()
 
 
 def test_components_long_path_and_star(spark):
@@ -204,14 +225,15 @@ def test_partition_sizes(spark, cube):
 
 
 def test_rules(spark):
-    rules = RU.rules_frame(spark, [(3, None), (1, "Py"), (2, "Co")])
-    mats = spark.createDataFrame([("Fe",), ("Py",), ("Co",), ("Dy",)], "material string")
-    assert {r.material: r.value for r in RU.set_plan(rules, mats).collect()} == {"Fe": 3, "Py": 1, "Co": 2, "Dy": 3}
+    """A default and two exceptions; rules for materials that are missing, or materials without a rule, are errors."""
+    rules = RU.rules_frame(spark, [(0.5, None), (7, "steel"), (9, "glass")])
+    mats = spark.createDataFrame([("glass",), ("steel",), ("wood",)], "material string")
+    assert {r.material: r.value for r in RU.set_plan(rules, mats).collect()} == {"glass": 9, "steel": 7, "wood": 0.5}
     with pytest.raises(ValueError):
-        RU.set_plan(rules, mats.filter("material <> 'Co'"))
+        RU.set_plan(rules, mats.filter("material <> 'glass'"))
     with pytest.raises(ValueError):
-        RU.set_plan(RU.rules_frame(spark, [(1, "Py")]), mats)
-    assert RU.as_constant(rules, "Py").first().value == 1 and RU.as_constant(rules, "Fe").first().value == 3
+        RU.set_plan(RU.rules_frame(spark, [(7, "steel")]), mats)
+    assert RU.as_constant(rules, "steel").first().value == 7 and RU.as_constant(rules, "wood").first().value == 0.5
     with pytest.raises(ValueError):
         RU.as_constant(rules)
 

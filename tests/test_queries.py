@@ -26,4 +26,4 @@ def test_registry():
 @pytest.mark.parametrize("name", list(entry.queries()))
 def test_query(spark, con, name):
     verdict = compare.compare(spark, con, name, SF)
-    assert verdict.startswith(("ok", "rows")), verdict
+    assert verdict.startswith("ok" if name in entry.oracle_sql() else "rows"), verdict

@@ -115,7 +115,8 @@ def learn(docs: DataFrame) -> Model:
         return Model([], np.zeros((0, CELLS), np.float32), np.zeros(0, np.int64))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     keys = own.filter(F.col("lang").isin(common)).select("doc_id", "lang").withColumn("r", rank).filter(F.col("r") <= PER_LANGUAGE)
-    sample = own.join(keys.select("doc_id", "lang").distinct(), ["doc_id", "lang"], "left_semi")
+    # At most PER_LANGUAGE ids of each language: sent to the texts, which stay where they are.
+    sample = own.join(F.broadcast(keys.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi")
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa

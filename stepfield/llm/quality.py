@@ -164,7 +164,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         return model
     rank = F.row_number().over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id"))
     keys = marks.withColumn("r", rank).filter(F.col("r") <= PER_LABEL).select("doc_id", "quality")
-    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(keys, "doc_id")
+    # At most 2 * PER_LABEL ids: sent to the texts, which stay where they are.
+    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(keys), "doc_id")
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa

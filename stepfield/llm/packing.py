@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from stepfield.llm.base import stored, texts
 
 #: Pieces of a length that are numbered by one task.
-RANKED_TOGETHER = 50_000
+RANKED_TOGETHER = 2_000
 
 
 def _bytes_of() -> dict[str, int]:
@@ -133,9 +133,10 @@ def packed(pieces: DataFrame, size: int) -> DataFrame:
     spark = pieces.sparkSession
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
     slots = spark.createDataFrame(plan(counts, size), "length bigint, low bigint, high bigint, wide bigint, first bigint, at bigint")
-    salts = max([1, *(-(-n // RANKED_TOGETHER) for n in counts.values())])
-    # The rank within a length: numbered per salt, after the counts of the salts before it.
-    own = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    # The rank within a length: numbered per salt, after the counts of the salts before it. A length has as many
+    # salts as it has rows for; the table of lengths has a row for each possible one at most.
+    salts = spark.createDataFrame([(k, -(-n // RANKED_TOGETHER)) for k, n in counts.items()], "length bigint, salts bigint")
+    own = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts"))).drop("salts")
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = own.groupBy("length", "salt").count().withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")

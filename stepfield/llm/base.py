@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stepfield.session import shared_folder
@@ -54,6 +54,19 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
+def sampled(rows: DataFrame, label: str, counts: dict, most: int) -> DataFrame:
+    """doc_id and label of at most ``most`` rows of each label: those whose ids have the smallest hashes.
+
+    ``counts`` has the rows of each label (a few labels); hashes far beyond the smallest ones go before the shuffle,
+    so the tasks that rank a label get some multiple of ``most`` rows, whatever the size of the table.
+    """
+    h = F.shiftrightunsigned(F.xxhash64("doc_id"), 11)
+    enough = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, 4 * most / n) * 2**53))])
+    near = rows.select("doc_id", label, h.alias("h")).filter(F.col("h") <= enough[F.col(label)])
+    order = Window.partitionBy(label).orderBy("h", "doc_id")
+    return near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most).select("doc_id", label).distinct()
+
+
 def partitions(spark: SparkSession) -> int:
     """The number of shuffle partitions the submitter chose for the data's size."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -17,10 +17,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepfield.llm.base import byte_view, held_out, slabs
+from stepfield.llm.base import byte_view, held_out, sampled, slabs
 
 #: Bounds of the sample that is learned from.
 PER_LANGUAGE, MAX_LANGUAGES = 400, 64
@@ -110,13 +110,12 @@ class Model:
 def learn(docs: DataFrame) -> Model:
     """A model from rows (doc_id, text, lang) that are not held out."""
     own = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    common = [r[0] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    if not common:
+    counts = {r[0]: r[1] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    if not counts:
         return Model([], np.zeros((0, CELLS), np.float32), np.zeros(0, np.int64))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    keys = own.filter(F.col("lang").isin(common)).select("doc_id", "lang").withColumn("r", rank).filter(F.col("r") <= PER_LANGUAGE)
+    keys = sampled(own.filter(F.col("lang").isin(list(counts))), "lang", counts, PER_LANGUAGE)
     # At most PER_LANGUAGE ids of each language: sent to the texts, which stay where they are.
-    sample = own.join(F.broadcast(keys.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi")
+    sample = own.join(F.broadcast(keys), ["doc_id", "lang"], "left_semi")
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -127,8 +126,8 @@ def learn(docs: DataFrame) -> Model:
                 yield pa.RecordBatch.from_arrays([batch.column("lang").slice(a, b - a), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
 
     # What comes to the driver has a fixed size for each row, and rows that repeat an id can't make it more.
-    rows = sample.mapInArrow(count, "lang string, x binary").limit(2 * PER_LANGUAGE * len(common)).collect()
-    languages = sorted(common)
+    rows = sample.mapInArrow(count, "lang string, x binary").limit(2 * PER_LANGUAGE * len(counts)).collect()
+    languages = sorted(counts)
     x = np.array([np.frombuffer(r.x, np.float16) for r in rows], np.float32).reshape(-1, CELLS)
     y = np.array([languages.index(r.lang) for r in rows], np.int64)
     return Model(languages, x, y)

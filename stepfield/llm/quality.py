@@ -17,10 +17,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepfield.llm.base import byte_view, held_out, slabs
+from stepfield.llm.base import byte_view, held_out, sampled, slabs
 
 #: Bounds of the sample that is learned from: rows of a label, chunks of a row.
 PER_LABEL, CHUNKS = 1500, 8
@@ -162,8 +162,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     model = Model(shares.get(1, 0) / sum(shares.values()) if shares else 0.5)
     if len(shares) < 2:
         return model
-    rank = F.row_number().over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    keys = marks.withColumn("r", rank).filter(F.col("r") <= PER_LABEL).select("doc_id", "quality")
+    keys = sampled(marks, "quality", shares, PER_LABEL)
     # At most 2 * PER_LABEL ids: sent to the texts, which stay where they are.
     sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(keys), "doc_id")
 

@@ -79,11 +79,11 @@ def _(spark, sf):
     return R.assign(p, R.rules_frame(spark, _RULES))
 
 
-@query("p16_as_constant", "SELECT p_brand AS material, max(p_retailprice * 0 + 3)::DOUBLE AS value FROM part WHERE p_brand = 'Brand#4' GROUP BY p_brand")
+@query("p16_as_constant", "SELECT p_brand AS material, max(p_retailprice) AS value FROM part WHERE p_brand = 'Brand#4' GROUP BY p_brand")
 def _(spark, sf):
-    # The rules come from the table: every part of a brand carries the brand's value.
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("ord"), F.col("p_brand").alias("material"), (F.col("p_retailprice") * 0 + 3).alias("value"))
-    return R.as_constant(p, "Brand#4").withColumn("material", F.lit("Brand#4"))
+    # The rules come from the table: the highest price of each brand.
+    p = table(spark, sf, "part").groupBy(F.col("p_brand").alias("material")).agg(F.min("p_partkey").alias("ord"), F.max("p_retailprice").alias("value"))
+    return R.as_constant(p.select("ord", "material", "value"), "Brand#4").withColumn("material", F.lit("Brand#4"))
 
 
 @query("p17_set_field", f"""WITH {MESH} SELECT mesh_id, pid, round(2 * (x + 1) / sqrt((x+1)**2 + y**2 + z**2), 6) AS a, round(2 * y / sqrt((x+1)**2 + y**2 + z**2), 6) AS b,

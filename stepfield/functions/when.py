@@ -142,24 +142,51 @@ class AllOf(When):
         return na & nb
 
     def _common(self, var, value):
-        """First common point: step through the coarser schedule until the other one matches.
-
-        The number of steps needed is known beforehand: one common period of the two deltas."""
-        coarse, fine = sorted((self.a, self.b), key=lambda w: -(w.delta or 0) if isinstance(w, Every) else 1)
-        if not isinstance(coarse, Every) or coarse.delta is None:
+        """Common points of two schedules over one variable: the rules of the one, each narrowed to the other."""
+        plain, other = sorted((self.a, self.b), key=lambda w: not isinstance(w, Every))
+        if not isinstance(plain, Every) or plain.delta is None:
             raise ValueError("& over one variable needs a plain every() on one side")
-        deltas = [Fraction(str(w.delta)) for w in _leaves(self) if isinstance(w, Every) and w.delta]
-        period = deltas[0]
-        for d in deltas[1:]:
-            period = Fraction(math.lcm(period.numerator * d.denominator, d.numerator * period.denominator),
-                              period.denominator * d.denominator)
-        start = F.greatest(value(var).cast("double"),
-                           *[F.lit(float(w.first) - float(coarse.delta)) for w in _leaves(self) if isinstance(w, Every)])
-        base = Every(coarse.var, coarse.delta, coarse.first).next_time(var, lambda _: start)
-        steps = F.sequence(F.lit(0), F.lit(int(period / deltas[0]) + int(period / Fraction(str(coarse.delta))) + 2))
-        points = F.transform(steps, lambda k: base + k * float(coarse.delta))
-        here = lambda t: (lambda name: t if name == var else value(name))
-        return F.get(F.filter(points, lambda t: (t > value(var)) & coarse.matches(here(t)) & fine.matches(here(t))), F.lit(0))
+        both = _narrowed(other, plain)
+        return both.next_time(var, value) if _timed(both, var) else F.lit(None).cast("double")
+
+
+def _narrowed(w: When, rule: Every) -> When:
+    """The points of ``w`` at which ``rule`` holds too, as a schedule again."""
+    if isinstance(w, AnyOf):
+        return AnyOf(_narrowed(w.a, rule), _narrowed(w.b, rule))
+    if isinstance(w, AllOf):
+        inner, outer = (w.a, w.b) if _timed(w.a, rule.var) else (w.b, w.a)
+        return AllOf(_narrowed(inner, rule), outer)
+    if not _timed(w, rule.var):
+        return AllOf(w, rule)
+    return _meeting(w, rule) if isinstance(w, Every) else w if _holds(rule, w.point) else never
+
+
+def _exact(x) -> Fraction:
+    return Fraction(str(x))
+
+
+def _holds(rule: Every, point) -> bool:
+    t, inside = _exact(point), rule.last is None or point <= rule.last
+    return t >= _exact(rule.first) and inside and (t - _exact(rule.first)) % _exact(rule.delta) == 0
+
+
+def _meeting(a: Every, b: Every) -> When:
+    """Two progressions meet in one progression or nowhere (Chinese remainders, in exact fractions)."""
+    parts = [_exact(x) for x in (a.first, a.delta, b.first, b.delta)]
+    scale = math.lcm(*[x.denominator for x in parts])
+    f, d, g, e = [int(x * scale) for x in parts]
+    common = math.gcd(d, e)
+    if (g - f) % common:
+        return never
+    step = d * e // common
+    first = f + (g - f) // common * pow(d // common, -1, e // common) % (e // common) * d
+    first += max(0, -(-(max(f, g) - first) // step)) * step
+    ends = [x for x in (a.last, b.last) if x is not None]
+    start, last = first / scale, min(ends) if ends else None
+    if last is not None and last <= start:
+        return At(a.var, start) if last == start else never
+    return Every(a.var, step / scale, start, last)
 
 
 class Never(When):

@@ -46,6 +46,15 @@ def test_and_of_one_variable(spark):
     w = every("x", 4, first=2) & every("x", 6)
     for row in next_time(spark.range(60).withColumnRenamed("id", "x"), w, "x").collect():
         assert row.next == min(n for n in range(row.x + 1, 200) if n >= 2 and (n - 2) % 4 == 0 and n % 6 == 0)
+    rng = random.Random(77)
+    for _ in range(4):
+        a, b, c, d, top = rng.randint(1, 12), rng.randint(0, 9), rng.randint(1, 12), rng.randint(0, 9), rng.randint(20, 60)
+        w = every("x", a, first=b) & (every("x", c, first=d, last=top) | at("x", 33))
+        due = lambda n: n >= b and (n - b) % a == 0 and (d <= n <= top and (n - d) % c == 0 or n == 33)
+        for row in next_time(spark.range(50).withColumnRenamed("id", "x"), w, "x").collect():
+            assert row.next == brute_next(due, row.x)
+    far = every("x", 1) & every("x", 10**6, first=7)
+    assert [r.next for r in next_time(spark.range(3).select((F.col("id") * 10**6).alias("x")), far, "x").collect()] == [7, 1000007, 2000007]
     odd = every("x", 2) & every("x", 2, first=1)
     assert all(r.next is None for r in next_time(spark.range(5).withColumnRenamed("id", "x"), odd, "x").collect())
 

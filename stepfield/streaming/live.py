@@ -166,29 +166,38 @@ def throttle_stream(sdf: DataFrame, time: str, seconds: float, by: list[str], or
     return sdf.groupBy(*by).applyInPandasWithState(accept, schema, "last double", "append", GroupStateTimeout.NoTimeout)
 
 
-def last_of_stream(sdf: DataFrame, column: str, by: list[str], order: list[str], idle_ms: int | None = None) -> DataFrame:
-    """Last row of each stretch of equal values, as soon as the next stretch begins; with ``idle_ms``
-    the last row of a run comes when nothing more arrived for so long."""
-    schema = sdf.schema
-    names = schema.names
+def last_of_stream(sdf: DataFrame, column: str, by: list[str], order: list[str], idle_ms: int | None = None, ended: str | None = None) -> DataFrame:
+    """Last row of each stretch of equal values, as soon as the next stretch begins.
+
+    The last row of a run comes when a row with a true ``ended`` column tells that the run is over (such a row is
+    a marker only), or with ``idle_ms`` when nothing more arrived for so long.
+    """
+    kept = sdf.drop(ended) if ended else sdf
+    schema, names = kept.schema, kept.columns
     timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
 
     def emit(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame([state.get], columns=names) if state.exists else None
         if state.hasTimedOut:
-            held = pd.DataFrame([state.get], columns=names)
             state.remove()
             yield held
             return
         pdf = pd.concat(list(batches)).sort_values(order, ignore_index=True)
-        if state.exists:
-            pdf = pd.concat([pd.DataFrame([state.get], columns=names), pdf], ignore_index=True)
-        after = pdf[column].shift(-1)
-        change = pdf[column].ne(after) & ~(pdf[column].isna() & after.isna())
-        change.iloc[-1] = False
-        state.update(tuple(v.item() if hasattr(v, "item") else v for v in pdf.iloc[-1]))
-        if idle_ms is not None:
-            state.setTimeoutDuration(idle_ms)
-        yield pdf[change]
+        over = ended is not None and bool(pdf[ended].any())
+        rows = pdf[~pdf[ended].astype(bool)][names] if ended else pdf[names]
+        if held is not None:
+            rows = pd.concat([held, rows], ignore_index=True) if len(rows) else held
+        if len(rows):
+            after = rows[column].shift(-1)
+            change = rows[column].ne(after) & ~(rows[column].isna() & after.isna())
+            change.iloc[-1] = over
+            if not over:
+                state.update(tuple(v.item() if hasattr(v, "item") else v for v in rows.iloc[-1]))
+                if idle_ms is not None:
+                    state.setTimeoutDuration(idle_ms)
+            yield rows[change.to_numpy()]
+        if over and state.exists:
+            state.remove()
 
     return sdf.groupBy(*by).applyInPandasWithState(emit, schema, schema, "append", timeout)
 

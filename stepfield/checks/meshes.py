@@ -227,7 +227,12 @@ def _(spark, sf):
     return M.outer_skin(part_mesh(spark, sf), "ge", 2).select("mesh_id", "sid", "on_surface")
 
 
-@query("w11_skin_layers")
+# With one exposed point enough, a simplex's layer is the least distance (in edges) of its points from the
+# points that touch exactly two regions.
+@query("w11_skin_layers", f"""WITH RECURSIVE {MESH}, {FACES}, {EDGES}, {PREG}, surf AS (SELECT mesh_id, pid FROM preg GROUP BY ALL HAVING count(*) = 2),
+ adj AS (SELECT mesh_id, src, dst FROM edg UNION SELECT mesh_id, dst, src FROM edg),
+ reach(mesh_id, pid, d) AS (SELECT mesh_id, pid, 0 FROM surf UNION SELECT reach.mesh_id, dst, d + 1 FROM reach JOIN adj ON adj.mesh_id = reach.mesh_id AND src = pid WHERE d < 20),
+ near AS (SELECT mesh_id, pid, min(d) AS d FROM reach GROUP BY ALL) SELECT mesh_id, sid, min(d)::INTEGER AS layer FROM corn JOIN near USING (mesh_id, pid) GROUP BY ALL""")
 def _(spark, sf):
     return M.skin_layers(part_mesh(spark, sf), "ge", 1)
 

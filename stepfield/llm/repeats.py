@@ -423,6 +423,16 @@ def _runs(start: np.ndarray, many: np.ndarray) -> np.ndarray:
     return np.repeat(start - first, many) + np.arange(int(many.sum()))
 
 
+def _portions(sizes: np.ndarray, most: int = 1 << 18) -> Iterator[slice]:
+    """Consecutive parts whose sizes add up to about ``most``: a periodic text has its context at very many places."""
+    edges = np.cumsum(sizes)
+    a = 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(edges, (edges[a - 1] if a else 0) + most, side="right")))
+        yield slice(a, b)
+        a = b
+
+
 def _merged(doc, uid, start, end):
     """Union of spans by document."""
     if not len(doc):
@@ -462,8 +472,10 @@ def settled(sent: DataFrame, settle: Callable, n: int) -> DataFrame:
             prints = [slice_hashes(e.data, e.offsets[:-1], e.offsets[1:], k) for k in (0, 1)]
             order, group, later = copies(e.key, e.doc, e.uid, e.many, e.left, e.right, e.far, prints)
             i = order[later]
-            again = np.repeat(i, e.many[i])
-            spans.append(whole(e.doc[again], e.uid[again], e.place[_runs(first[i], e.many[i])], e.left[again], e.right[again], e.near[again], e.far[again], n))
+            for some in _portions(e.many[i]):
+                k = i[some]
+                again = np.repeat(k, e.many[k])
+                spans.append(whole(e.doc[again], e.uid[again], e.place[_runs(first[k], e.many[k])], e.left[again], e.right[again], e.near[again], e.far[again], n))
             # The others are compared within their prefix, if it has several contexts.
             key = e.key[order]
             new = runs_of(key)
@@ -473,12 +485,21 @@ def settled(sent: DataFrame, settle: Callable, n: int) -> DataFrame:
             if not len(e.key):
                 continue
             row, j = settle(e)
-            # Each place of an entry, for each of its windows.
+            if not len(row):
+                continue
+            # Windows side by side are one span at each place of their entry.
+            order = np.lexsort((j, row))
+            row, j = row[order], j[order]
+            new = runs_of(row)
+            new[1:] |= j[1:] != j[:-1] + 1
+            begin = np.flatnonzero(new)
+            row, low, high = row[begin], j[begin], j[np.append(begin[1:], len(j)) - 1]
             first = np.cumsum(e.many) - e.many
-            place = e.place[_runs(first[row], e.many[row])]
-            again = np.repeat(np.arange(len(row)), e.many[row])
-            start = place - j[again]
-            spans.append(_merged(e.doc[row][again], e.uid[row][again], start, start + n))
+            for some in _portions(e.many[row]):
+                k = row[some]
+                place = e.place[_runs(first[k], e.many[k])]
+                again = np.repeat(np.arange(some.start, some.stop), e.many[k])
+                spans.append(_merged(e.doc[row[again]], e.uid[row[again]], place - high[again], place - low[again] + n))
         if spans:
             out = [np.concatenate(x) for x in zip(*spans)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["doc_id", "uid", "start", "end"])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepfield.plans.skewed import demand
+from stepfield.session import cut_lineage
 
 
 class RegionTest:
@@ -64,11 +65,10 @@ def set_plan(rules: DataFrame, materials: DataFrame) -> DataFrame:
     """Value per material (column ``material``): the last rule naming it, else the last general rule.
     A material without a value and a rule without a material are errors."""
     named = rules.filter("material is not null").groupBy("material").agg(F.max_by("value", "ord").alias("_v"))
-    general = rules.filter("material is null").agg(F.max_by("value", "ord").alias("_g"))
-    known = materials.select("material").distinct()
+    general = rules.filter("material is null").agg(F.max_by("value", "ord")).scalar()
+    known = cut_lineage(materials.select("material").distinct())  # a short list, read by all that follows
     demand(named.join(known, "material", "left_anti"), F.lit(True), "a rule names a material that is not used")
-    plan = known.join(named, "material", "left").join(general, how="left").select(
-        "material", F.coalesce("_v", "_g").alias("value"))
+    plan = cut_lineage(known.join(named, "material", "left").select("material", F.coalesce("_v", general).alias("value")))
     demand(plan, "value is null", "a material has no value")
     return plan
 

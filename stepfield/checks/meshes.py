@@ -287,15 +287,22 @@ def _(spark, sf):
     return o.groupBy("mesh_id").agg((F.max("position") + 1).alias("n"), F.sum("sid").alias("s"))
 
 
-@query("j20_refine", f"""WITH {LOC}, {EDGES}, base AS (SELECT mesh_id, max(pid) + 1 AS b, count(*) AS np FROM pts GROUP BY mesh_id)
- SELECT mesh_id, (SELECT count(*) FROM edg WHERE edg.mesh_id = base.mesh_id) + np AS points, (SELECT count(*) * 8 FROM simp WHERE simp.mesh_id = base.mesh_id) AS simplices,
- round((SELECT sum(abs(svol)) FROM vol WHERE vol.mesh_id = base.mesh_id), 4) AS volume, round((SELECT min(abs(svol)) / 8 FROM vol WHERE vol.mesh_id = base.mesh_id), 8) AS least,
- b + (SELECT count(*) FROM edg WHERE edg.mesh_id = base.mesh_id) - 1 AS last FROM base""")
-def _(spark, sf):
-    fine = M.refine(part_mesh(spark, sf), 1)
-    p = fine.points.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("points"), F.max("pid").alias("last"))
-    v = M.volumes(fine).groupBy("mesh_id").agg(F.count(F.lit(1)).alias("simplices"), r(F.sum("volume"), 4).alias("volume"), r(F.min("volume"), 8).alias("least"))
-    return p.join(v, "mesh_id").select("mesh_id", "points", "simplices", "volume", "least", "last")
+@query("j20_refine", f"""WITH {LOC}, {EDGES}, base AS (SELECT mesh_id, max(pid) + 1 AS b FROM pts GROUP BY mesh_id),
+ mid AS (SELECT mesh_id, row_number() OVER (PARTITION BY mesh_id ORDER BY src, dst) - 1 AS k, src, dst FROM edg)
+ SELECT mesh_id, pid, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM pts UNION ALL
+ SELECT mesh_id, b + k, round((p.x + q.x) / 2, 6), round((p.y + q.y) / 2, 6), round((p.z + q.z) / 2, 6)
+ FROM mid JOIN base USING (mesh_id) JOIN pts p USING (mesh_id) JOIN pts q USING (mesh_id) WHERE p.pid = src AND q.pid = dst""")
+def _(spark, sf):
+    p = M.refine(part_mesh(spark, sf), 1).points
+    return p.select("mesh_id", "pid", *[r(F.col("pos")[i]).alias(a) for i, a in enumerate("xyz")])
+
+
+@query("j20_refine_parts", f"""WITH {LOC} SELECT mesh_id, sid AS parent, region, 8::BIGINT AS n, round(abs(svol), 9) AS volume, round(abs(svol) / 8, 12) AS least, round(abs(svol) / 8, 12) AS most FROM vol""")
+def _(spark, sf):
+    """The eight parts of each simplex have an eighth of its volume each."""
+    v = M.volumes(M.refine(part_mesh(spark, sf), 1))
+    return v.groupBy("mesh_id", F.floor(F.col("sid") / 8).alias("parent"), "region").agg(
+        F.count(F.lit(1)).alias("n"), r(F.sum("volume"), 9).alias("volume"), r(F.min("volume"), 12).alias("least"), r(F.max("volume"), 12).alias("most"))
 
 
 @query("j21_interface_mismatch", f"""WITH {MESH}, {FACES}, shell AS (SELECT mesh_id, region AS body, face FROM fac GROUP BY ALL HAVING count(*) = 1),

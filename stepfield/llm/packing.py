@@ -25,6 +25,8 @@ from stepfield.llm.base import stored, texts
 
 #: Pieces of a length that are numbered by one task.
 RANKED_TOGETHER = 2_000
+#: Documents whose ids are held at a time.
+TOGETHER = 500
 
 
 def _bytes_of() -> dict[str, int]:
@@ -69,20 +71,25 @@ def tokenised(docs: DataFrame, path: str, size: int, end_id: int = 0, keep_ids:
     def run(batches: Iterator) -> Iterator:
         enc = encoder(path)
         for batch in batches:
-            rows: list[tuple] = []
-            for at, text in enumerate(batch.column("text")):
-                text = text.as_py() or ""
-                ids = np.array([*enc.encode(text, allowed_special="all"), end_id], "<u4")
-                for piece, (start, length) in enumerate(cuts(len(ids), size)):
-                    part = ids[start:start + length]
-                    rows.append((at, piece, start, length, zlib.crc32(part.tobytes()), part))
-            take, piece, start, length, crc, part = zip(*rows) if rows else ((),) * 6
-            out = [batch.column("doc_id").take(pa.array(take, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                   pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            if keep_ids:
-                out, names = [*out, pa.array([p.astype(np.int32) for p in part], pa.list_(pa.int32()))], [*names, "ids"]
-            yield pa.RecordBatch.from_arrays(out, names)
+            for first in range(0, len(batch), TOGETHER):
+                yield pieces(batch.slice(first, TOGETHER), enc)
+
+    def pieces(batch, enc):
+        columns: list[list] = [[] for _ in range(6)]
+        for at, text in enumerate(batch.column("text")):
+            ids = np.array([*enc.encode(text.as_py() or "", allowed_special="all"), end_id], "<u4")
+            for piece, (start, length) in enumerate(cuts(len(ids), size)):
+                part = ids[start:start + length]
+                for column, v in zip(columns, (at, piece, start, length, zlib.crc32(part.tobytes()))):
+                    column.append(v)
+                if keep_ids:
+                    columns[5].append(part.astype(np.int32))
+        out = [batch.column("doc_id").take(pa.array(columns[0], pa.int64())), pa.array(columns[1], pa.int32())]
+        out += [pa.array(c, pa.int64()) for c in columns[2:5]]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+        if keep_ids:
+            out, names = [*out, pa.array(columns[5], pa.list_(pa.int32()))], [*names, "ids"]
+        return pa.RecordBatch.from_arrays(out, names)
 
     return texts(docs).mapInArrow(run, schema)
 
@@ -134,9 +141,9 @@ def packed(pieces: DataFrame, size: int) -> DataFrame:
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
     slots = spark.createDataFrame(plan(counts, size), "length bigint, low bigint, high bigint, wide bigint, first bigint, at bigint")
     # The rank within a length: numbered per salt, after the counts of the salts before it. A length has as many
-    # salts as it has rows for; the table of lengths has a row for each possible one at most.
-    salts = spark.createDataFrame([(k, -(-n // RANKED_TOGETHER)) for k, n in counts.items()], "length bigint, salts bigint")
-    own = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts"))).drop("salts")
+    # salts as it has rows for (a list with one entry per possible length).
+    salts = F.lit([-(-counts.get(k, 1) // RANKED_TOGETHER) for k in range(size + 1)])
+    own = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.get(salts, F.col("length").cast("int"))))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = own.groupBy("length", "salt").count().withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")

@@ -44,12 +44,11 @@ class Bytes(repeats.Symbols):
             gram[over[over >= starts[:-1]]] = repeats.NONE
         super().__init__(gram, starts)
 
-    def hashes(self, first: np.ndarray, size: int) -> np.ndarray:
-        return repeats.hashed_grams(self.grams, first, size)
+    def prints(self, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+        return [repeats.slice_hashes(self.plain, first, last, k) for k in (0, 1)]
 
     def cut(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
-        return (repeats.gather(self.plain, first, last - first), np.concatenate([[0], np.cumsum(last - first)]),
-                repeats.slice_hashes(self.plain, first, last), repeats.slice_hashes(self.plain, first, last, 1))
+        return repeats.gather(self.plain, first, last - first), np.concatenate([[0], np.cumsum(last - first)]), *self.prints(first, last)
 
 
 def longest_previous(order_lcp: np.ndarray, position: np.ndarray, enough: int) -> np.ndarray:
@@ -88,7 +87,7 @@ def later_copies(e: repeats.Entries) -> tuple[np.ndarray, np.ndarray]:
     around = np.zeros((n, _WIDE), np.uint8)
     col = np.arange(int(size.sum())) - np.repeat(e.offsets[:-1], size) + np.repeat(_LEFT - left, size)
     around[np.repeat(np.arange(n), size), col] = e.data
-    valid = (left[:, None] >= j) & (right[:, None] >= WINDOW - j) & (e.near[:, None] <= j) & (j <= e.far[:, None])
+    valid = (left[:, None] >= j) & (right[:, None] >= WINDOW - j)
     # Windows whose hash occurs once can't be copies and stay out of the suffix order.
     rows, back, marks = [], [], []
     value = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))

@@ -8,8 +8,9 @@ hash is its anchor, so two equal windows have equal anchors at equal places, and
 2. ``contexts``: each document gets its remaining anchors back and sends, for each, the symbols around it. Equal
    contexts of a batch are sent once, for the smallest id; the other copies are settled on the spot. A hot
    passage thus leaves a task once, however many documents hold it.
-3. ``settle`` (the operator's own core) works on the contexts that share a prefix. Prefixes are longer (the anchor and
-   what stands to its right, or to its left) where the short one has more than ``CROWD`` entries.
+3. ``settle`` (the operator's own core) works on the contexts that share a prefix, at most ``CROWD`` of them. An anchor
+   that stands at more places sends no contexts: each window that has it as its anchor goes out as a 128-bit
+   fingerprint with the smallest id of the batch, and is compared with its equals only.
 4. The spans found go back to their documents.
 
 Rows are packed as arrays, one row per batch and bucket, so shuffles move few rows and no group is gathered
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 
 from stepfield.llm.base import byte_view, mix64, partitions, slabs
 
-#: Symbols of an anchor; documents' bytes worked on at a time; entries of an anchor beyond which its prefix grows.
+#: Symbols of an anchor; documents' bytes worked on at a time; places of an anchor beyond which it is crowded.
 K, SLAB, CROWD = 16, 1 << 19, 4096
+#: Documents of a batch beyond which an anchor is crowded at once, so that they need not meet those of other batches.
+LOCAL = 256
 #: Slabs that are combined before rows leave a task, and entries that are settled at a time.
 TOGETHER, SETTLED = 32, 1 << 14
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -42,8 +45,8 @@ class Symbols:
         #: Hash of the K symbols from each place (NONE where the text ends before), n + 1 starts of texts.
         self.grams, self.starts = grams, starts
 
-    def hashes(self, first: np.ndarray, size: int) -> np.ndarray:
-        """Hash of ``size`` symbols from each place in ``first``."""
+    def prints(self, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+        """Two fingerprints of the symbols from first to last (not included; both rise)."""
         raise NotImplementedError
 
     def cut(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -76,14 +79,6 @@ def slice_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: in
     return out
 
 
-def hashed_grams(grams: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
-    """Hash of ``size`` symbols from the grams that cover them."""
-    out = np.zeros(len(first), np.uint64)
-    for at in [*range(0, size - K, K), size - K]:
-        out = mix64(out * np.uint64(_BASE) + grams[first + at])
-    return out
-
-
 def _slide(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     """pick over x[i:i+width] for each i that has all of them."""
     have = 1
@@ -112,6 +107,17 @@ def anchors(grams: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero((most == np.maximum(rank, 1)) & (grams != NONE))
 
 
+def windows(s: Symbols, at: np.ndarray, n: int) -> np.ndarray:
+    """Places, in order, of the windows of n symbols inside one text that have one of the grams ``at`` as their anchor."""
+    if not len(at):
+        return np.zeros(0, np.int64)
+    rank = (s.grams >> np.uint64(32)).astype(np.uint32)
+    own = np.full(len(rank), 0xFFFFFFFF, np.uint32)
+    own[at] = rank[at]
+    place = np.flatnonzero(_slide(rank, n - K + 1, np.minimum) == _slide(own, n - K + 1, np.minimum))
+    return place[place + n <= s.starts[np.searchsorted(s.starts, place, side="right")]]
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays of known kinds, each behind its length; compressed."""
     import pyarrow as pa
@@ -146,8 +152,8 @@ def least_in_run(new: np.ndarray, value: np.ndarray) -> np.ndarray:
     return np.minimum.reduceat(value, np.flatnonzero(new))[np.cumsum(new) - 1]
 
 
-#: Flags of sieve entries: asks whether others exist; bears witness to others; is known to be repeated.
-ASKS, WITNESS, KNOWN = 1, 2, 4
+#: Flags of sieve entries: asks whether others exist; bears witness to others; is known to be repeated, or even crowded.
+ASKS, WITNESS, KNOWN, TOLD = 1, 2, 4, 8
 
 
 def identified(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -181,14 +187,20 @@ def sieve(own: DataFrame, symbols: Callable, n: int, buckets: int) -> DataFrame:
         order = np.lexsort((doc, h))
         h, doc = h[order], doc[order]
         once = runs_of(h)
+        places = np.diff(np.append(np.flatnonzero(once), len(h)))
         once[1:] |= doc[1:] != doc[:-1]
         h, doc = h[once], doc[once]
         new = runs_of(h)
-        many = np.diff(np.append(np.flatnonzero(new), len(h)))[np.cumsum(new) - 1]
+        run = np.cumsum(new) - 1
+        many = np.diff(np.append(np.flatnonzero(new), len(h)))[run]
         flag = np.where(many == 1, ASKS | WITNESS, np.where(new, KNOWN | WITNESS, KNOWN)).astype(np.uint8)
-        # Of a hash that many documents of the batch have, the count goes along for the choice of the prefix.
-        count = np.where(new, np.minimum(many, 65535), 0).astype(np.uint16)
+        # The places of a hash in the batch go along with its first document and tell whether it is crowded.
+        count = np.where(new, np.where(many > LOCAL, 65535, np.minimum(places[run], 65535)), 0).astype(np.uint16)
         bucket = (h >> np.uint64(48)) % np.uint64(buckets)
+        # Of a hash that is crowded already, one entry says so to the others; the rest is spread by document.
+        told = (many > LOCAL) & ~new
+        flag[told] = TOLD
+        bucket[told] = mix64(uids[doc[told]].view(np.uint64)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
         keys, rows = [], []
@@ -213,6 +225,9 @@ def sieve(own: DataFrame, symbols: Callable, n: int, buckets: int) -> DataFrame:
         if not hs:
             return
         h, u, f, c = (np.concatenate(x) for x in (hs, uid, flags, counts))
+        told = (f & TOLD) > 0
+        yield pa.RecordBatch.from_arrays([pa.array(u[told]), pa.array((h[told] | np.uint32(1)).view(np.int32))], ["uid", "h"])
+        h, u, f, c = h[~told], u[~told], f[~told], c[~told]
         order = np.argsort(h, kind="stable")
         h, u, f, c = h[order], u[order], f[order], c[order]
         new = runs_of(h)
@@ -250,20 +265,19 @@ def _sieve_parts(data: bytes) -> list[np.ndarray]:
 
 class Entries:
     """Contexts that came to a bucket: key (of the prefix), ids, uids, anchor places, symbols left and right of
-    the anchor's place, range of window places (how far before the anchor a window may begin), packed bytes."""
+    the anchor's place, packed bytes."""
 
-    KINDS = (np.uint32, np.int64, np.int64, np.int32, np.uint8, np.uint8, np.uint8, np.uint8, np.int32, np.uint8)
+    KINDS = (np.uint32, np.int64, np.int64, np.int32, np.uint8, np.uint8, np.int32, np.uint8)
 
     def __init__(self, parts: list[list[np.ndarray]]):
-        key, doc, uid, many, left, right, near, far, sizes, data, place = ([p[i] for p in parts] for i in range(11))
-        self.key, self.doc, self.uid, self.many, self.left, self.right, self.near, self.far = (
-            np.concatenate(x) for x in (key, doc, uid, many, left, right, near, far))
+        key, doc, uid, many, left, right, sizes, data, place = ([p[i] for p in parts] for i in range(9))
+        self.key, self.doc, self.uid, self.many, self.left, self.right = (np.concatenate(x) for x in (key, doc, uid, many, left, right))
         self.offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
         self.data, self.place = np.concatenate(data), np.concatenate(place)
 
     def only(self, i: np.ndarray) -> Entries:
         first, sizes = np.cumsum(self.many) - self.many, np.diff(self.offsets)
-        return Entries([[self.key[i], self.doc[i], self.uid[i], self.many[i], self.left[i], self.right[i], self.near[i], self.far[i], sizes[i],
+        return Entries([[self.key[i], self.doc[i], self.uid[i], self.many[i], self.left[i], self.right[i], sizes[i],
                          gather(self.data, self.offsets[:-1][i], sizes[i]), self.place[_runs(first[i], self.many[i])]]])
 
     def by_key(self, size: int) -> Iterator[Entries]:
@@ -278,11 +292,10 @@ class Entries:
 
 
 def contexts(own: DataFrame, kept: DataFrame, symbols: Callable, n: int, buckets: int) -> DataFrame:
-    """bucket, entries: packed contexts of the anchors in ``kept``, and spans that need nothing else."""
+    """bucket, entries, windows: packed contexts of the anchors in ``kept``, windows of the crowded ones; spans that need nothing else."""
     import pyarrow as pa
 
     w = n - K + 1
-    half = w // 2
 
     def send(batches: Iterator) -> Iterator:
         for batch in batches:
@@ -294,7 +307,7 @@ def contexts(own: DataFrame, kept: DataFrame, symbols: Callable, n: int, buckets
             for some in _groups(slabs(offsets, SLAB)):
                 yield from _bucketed([around(buf, offsets, ids, uids, h_at, h_all, a, b) for a, b in some], buckets, n)
 
-    def around(buf, offsets, ids, uids, h_at, h_all, a, b) -> list[np.ndarray]:
+    def around(buf, offsets, ids, uids, h_at, h_all, a, b) -> tuple[list[np.ndarray], list[np.ndarray]]:
         s = symbols(buf, offsets[a:b + 1])
         at = anchors(s.grams, s.starts, n)
         doc = np.searchsorted(s.starts, at, side="right") - 1
@@ -304,22 +317,18 @@ def contexts(own: DataFrame, kept: DataFrame, symbols: Callable, n: int, buckets
         plain = _tag(_short(h), doc)
         found = np.isin(plain, wanted) if len(wanted) else np.zeros(len(at), bool)
         crowd = np.isin(plain | np.uint64(1), wanted) if len(wanted) else found
-        take = found | crowd
-        at, doc, h, crowd = at[take], doc[take], h[take], crowd[take]
+        begin = windows(s, at[crowd], n)
+        of = np.searchsorted(s.starts, begin, side="right") - 1
+        many = [*s.prints(begin, begin + n), ids[a + of], uids[a + of], begin - s.starts[of]]
+        take = found & ~crowd
+        at, doc, h = at[take], doc[take], h[take]
         left = np.minimum(at - s.starts[doc], w - 1)
         right = np.minimum(s.starts[doc + 1] - at, n)
         data, cuts, *prints = s.cut(at - left, at + right)
-        key = h.copy()
-        near, far = np.zeros(len(at), np.uint8), np.full(len(at), w - 1, np.uint8)
-        part = [key, ids[a + doc], uids[a + doc], at - s.starts[doc], left, right, near, far, np.diff(cuts), *prints, data]
-        if crowd.any():
-            # A crowded anchor becomes two longer prefixes: with what follows it, and with what precedes it.
-            c = np.flatnonzero(crowd)
-            part = _split(part, crowd, data, cuts, c[right[c] >= K + half], c[left[c] > half], s, at, half)
-        return part
+        return [h, ids[a + doc], uids[a + doc], at - s.starts[doc], left, right, np.diff(cuts), *prints, data], many
 
     joined = own.join(kept, "uid").select("doc_id", "uid", "text", "hs", "rest")
-    return joined.mapInArrow(send, "bucket int, entries binary, spans binary")
+    return joined.mapInArrow(send, "bucket int, entries binary, windows binary, spans binary")
 
 
 def _tag(h: np.ndarray, doc) -> np.ndarray:
@@ -327,19 +336,6 @@ def _tag(h: np.ndarray, doc) -> np.ndarray:
     return np.asarray(doc, np.uint64) << np.uint64(32) | h.astype(np.uint64)
 
 
-def _split(part, crowd, data, cuts, after, before, s: Symbols, at, half):
-    """Replaces crowded entries by their two halves."""
-    from_ = np.concatenate([np.flatnonzero(~crowd), after, before])
-    out = [x[from_] for x in part[:-1]]
-    plain = int((~crowd).sum())
-    a, b = slice(plain, plain + len(after)), slice(plain + len(after), None)
-    out[0][a] = mix64(s.hashes(at[after], K + half) + np.uint64(1))
-    out[7][a] = half
-    out[0][b] = mix64(s.hashes(at[before] - half - 1, K + half + 1) + np.uint64(2))
-    out[6][b] = half + 1
-    return [*out, gather(data, cuts[:-1][from_], out[8])]
-
-
 def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """data[start:start+size] of each, one after the other."""
     total = int(size.sum())
@@ -353,69 +349,83 @@ def _groups(items: Iterator) -> Iterator[list]:
     return iter(lambda: list(itertools.islice(items, TOGETHER)), [])
 
 
-def _bucketed(parts: list[list[np.ndarray]], buckets: int, n: int) -> Iterator:
-    """Equal contexts once, for the smallest id among ``parts``; the rest is settled; packed rows by bucket."""
+def _bucketed(parts: list[tuple[list[np.ndarray], list[np.ndarray]]], buckets: int, n: int) -> Iterator:
+    """Equal contexts and windows once, for the smallest id among ``parts``; the rest is settled; packed rows by bucket."""
     import pyarrow as pa
 
-    key, doc, uid, place, left, right, near, far, size, *prints, data = (np.concatenate(x) for x in zip(*parts))
+    key, doc, uid, place, left, right, size, *prints, data = (np.concatenate(x) for x in zip(*(p for p, _ in parts)))
     cuts = np.concatenate([[0], np.cumsum(size)])
-    order, group, later = copies(key, doc, uid, place, left, right, far, prints)
+    order, group, later = copies(doc, uid, place, key, left, right, *prints)
     gone = order[later]
-    spans = whole(doc[gone], uid[gone], place[gone], left[gone], right[gone], near[gone], far[gone], n)
-    # What stays: one context per (group, uid), with all its places.
-    stay = np.flatnonzero(~later)
-    own = order[stay]
-    head = np.ones(len(stay), bool)
-    head[1:] = (group[stay][1:] != group[stay][:-1]) | (uid[own][1:] != uid[own][:-1])
-    heads = np.flatnonzero(head)
-    many = np.diff(np.append(heads, len(stay))).astype(np.int32)
+    spans = [whole(doc[gone], uid[gone], place[gone], left[gone], right[gone])]
+    own, heads, many = _stay(order, group, later, uid)
     entry = own[heads]
     mixed = mix64(key[entry])
-    bucket = (mixed & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)
     # Within a bucket 32 bits of the key are enough: what is taken for one prefix is compared in full anyway.
     key = np.zeros(len(key), np.uint32)
     key[entry] = mixed >> np.uint64(32)
-    by = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[by], np.arange(buckets + 1, dtype=np.uint64))
-    keys, rows, extra = [], [], []
-    for k in np.flatnonzero(np.diff(edges)):
-        e = by[edges[k]:edges[k + 1]]
+    rows: dict[int, list[bytes]] = {}
+    for k, e in _dealt(mixed & np.uint64(0xFFFFFFFF), buckets):
         i = entry[e]
         places = place[own][_runs(heads[e], many[e])]
-        keys.append(int(k))
-        rows.append(_pack(key[i], doc[i], uid[i], many[e], left[i].astype(np.uint8), right[i].astype(np.uint8), near[i].astype(np.uint8),
-                          far[i].astype(np.uint8), size[i].astype(np.int32), gather(data, cuts[:-1][i], size[i]), places.astype(np.int64)))
-        extra.append(b"")
+        rows[k] = [_pack(key[i], doc[i], uid[i], many[e], left[i].astype(np.uint8), right[i].astype(np.uint8),
+                         size[i].astype(np.int32), gather(data, cuts[:-1][i], size[i]), places.astype(np.int64)), b"", b""]
+    one, two, doc, uid, place = (np.concatenate(x) for x in zip(*(w for _, w in parts)))
+    order, group, later = copies(doc, uid, place, one, two)
+    gone = order[later]
+    spans.append(_merged(doc[gone], uid[gone], place[gone], place[gone] + n))
+    own, heads, many = _stay(order, group, later, uid)
+    entry = own[heads]
+    for k, e in _dealt(one[entry], buckets):
+        i = entry[e]
+        places = place[own][_runs(heads[e], many[e])]
+        rows.setdefault(k, [b"", b"", b""])[1] = _pack(one[i], two[i], doc[i], uid[i], many[e], places.astype(np.int64))
+    spans = _merged(*(np.concatenate(x) for x in zip(*spans)))
     if len(spans[0]):
-        keys.append(int(mix64(spans[1][:1].view(np.uint64))[0] % np.uint64(buckets)))
-        rows.append(b"")
-        extra.append(_pack(*spans))
-    if keys:
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(rows, pa.binary()), pa.array(extra, pa.binary())],
-                                         ["bucket", "entries", "spans"])
+        k = int(mix64(spans[1][:1].view(np.uint64))[0] % np.uint64(buckets))
+        rows.setdefault(k, [b"", b"", b""])[2] = _pack(*spans)
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), *(pa.array(x, pa.binary()) for x in zip(*rows.values()))],
+                                         ["bucket", "entries", "windows", "spans"])
 
 
-def copies(key, doc, uid, place, left, right, far, prints) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order of entries by context, their group in it, and which of them a smaller document has exactly so.
+def _dealt(h: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The buckets that hashes fall into, with the indices of the hashes."""
+    bucket = h % np.uint64(buckets)
+    by = np.argsort(bucket, kind="stable")
+    edges = np.searchsorted(bucket[by], np.arange(buckets + 1, dtype=np.uint64))
+    for k in np.flatnonzero(np.diff(edges)):
+        yield int(k), by[edges[k]:edges[k + 1]]
+
 
-    Equal contexts have equal keys, sides and bytes; a 128-bit fingerprint stands for the bytes.
+def copies(doc, uid, place, *parts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of entries by their parts, their group of equal ones in it, and which of them a smaller document has exactly so.
+
+    Equal contexts have equal keys, sides and bytes, equal windows have equal bytes; a 128-bit fingerprint stands for the bytes.
     """
-    order = np.lexsort((place, uid, doc, prints[1], prints[0], far, right, left, key))
+    order = np.lexsort((place, uid, doc, *parts[::-1]))
     same = np.ones(len(order), bool)
     same[0:1] = False
-    for x in (key, left, right, far, prints[0], prints[1]):
+    for x in parts:
         same[1:] &= x[order][1:] == x[order][:-1]
     group = np.cumsum(~same) - 1
     d = doc[order]
     return order, group, d > d[np.flatnonzero(~same)][group] if len(order) else np.zeros(0, bool)
 
 
-def whole(doc, uid, place, left, right, near, far, n):
-    """Spans of all windows around anchors at ``place``."""
-    low = place.astype(np.int64) - np.minimum(far, left)
-    high = np.minimum(place - near.astype(np.int64), place + right.astype(np.int64) - n)
-    fine = low <= high
-    return _merged(doc[fine], uid[fine], low[fine], high[fine] + n)
+def _stay(order, group, later, uid) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of entries in the order of ``copies``: those that stay, the first of each group and uid among them, how many these have."""
+    stay = np.flatnonzero(~later)
+    own = order[stay]
+    head = np.ones(len(stay), bool)
+    head[1:] = (group[stay][1:] != group[stay][:-1]) | (uid[own][1:] != uid[own][:-1])
+    heads = np.flatnonzero(head)
+    return own, heads, np.diff(np.append(heads, len(stay))).astype(np.int32)
+
+
+def whole(doc, uid, place, left, right):
+    """Spans of all windows around anchors at ``place``: all that is sent with them."""
+    return _merged(doc, uid, place - left.astype(np.int64), place + right.astype(np.int64))
 
 
 def _runs(start: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -451,6 +461,17 @@ def _merged(doc, uid, start, end):
     return [doc[first], uid[first], start[first], so_far[last] - lift[last]]
 
 
+def same_windows(parts: list[list[np.ndarray]], n: int) -> Iterator:
+    """Spans of the windows, packed by ``_bucketed``, that a smaller document has too."""
+    one, two, doc, uid, many, place = (np.concatenate(x) for x in zip(*parts))
+    order, _, later = copies(doc, uid, many, one, two)
+    first, i = np.cumsum(many) - many, order[later]
+    for some in _portions(many[i]):
+        k = i[some]
+        again, at = np.repeat(k, many[k]), place[_runs(first[k], many[k])]
+        yield _merged(doc[again], uid[again], at, at + n)
+
+
 def settled(sent: DataFrame, settle: Callable, n: int) -> DataFrame:
     """doc_id, uid, start, end: spans of windows that start in a document with a smaller id.
 
@@ -459,23 +480,27 @@ def settled(sent: DataFrame, settle: Callable, n: int) -> DataFrame:
     import pyarrow as pa
 
     def group(batches: Iterator) -> Iterator:
-        parts, spans = [], []
+        parts, many, spans = [], [], []
         for batch in batches:
-            for e, s in zip(batch.column("entries"), batch.column("spans")):
+            for e, w, s in zip(batch.column("entries"), batch.column("windows"), batch.column("spans")):
                 if len(e.as_py()):
                     parts.append(_unpack(e.as_py(), *Entries.KINDS, np.int64))
+                if len(w.as_py()):
+                    many.append(_unpack(w.as_py(), np.uint64, np.uint64, np.int64, np.int64, np.int32, np.int64))
                 if len(s.as_py()):
                     spans.append(_unpack(s.as_py(), np.int64, np.int64, np.int64, np.int64))
+        if many:
+            spans += same_windows(many, n)
         for e in Entries(parts).by_key(SETTLED) if parts else ():
             first = np.cumsum(e.many) - e.many
             # Contexts that a smaller document has exactly so lose all their windows.
             prints = [slice_hashes(e.data, e.offsets[:-1], e.offsets[1:], k) for k in (0, 1)]
-            order, group, later = copies(e.key, e.doc, e.uid, e.many, e.left, e.right, e.far, prints)
+            order, group, later = copies(e.doc, e.uid, e.many, e.key, e.left, e.right, *prints)
             i = order[later]
             for some in _portions(e.many[i]):
                 k = i[some]
                 again = np.repeat(k, e.many[k])
-                spans.append(whole(e.doc[again], e.uid[again], e.place[_runs(first[k], e.many[k])], e.left[again], e.right[again], e.near[again], e.far[again], n))
+                spans.append(whole(e.doc[again], e.uid[again], e.place[_runs(first[k], e.many[k])], e.left[again], e.right[again]))
             # The others are compared within their prefix, if it has several contexts.
             key = e.key[order]
             new = runs_of(key)

@@ -1,7 +1,7 @@
 """Substring dedup by prefix-partitioned suffix trees over words.
 
-Suffixes begin at the anchors of ``repeats`` and are partitioned by prefix: the anchor's words, or a prefix about
-twice as long where too many share it. Each partition is small and becomes one subtree: its suffixes in order,
+Suffixes begin at the anchors of ``repeats`` and are partitioned by prefix, the anchor's words; where too many share
+it, ``repeats`` compares their windows by fingerprints instead. Each partition is small and becomes one subtree: its suffixes in order,
 with the depths to which neighbours agree, are the tree's leaves and internal nodes. A window of n words that
 begins j words before an anchor repeats where an internal node of depth n - j holds leaves with the same j words
 on their left: these are the deep nodes whose left extensions are the maximal repeats. Of the leaves that
@@ -50,13 +50,15 @@ class Words(repeats.Symbols):
             gram[over[over >= starts[:-1]]] = repeats.NONE
         super().__init__(gram, starts)
 
-    def hashes(self, first: np.ndarray, size: int) -> np.ndarray:
-        return repeats.hashed_grams(self.grams, first, size)
+    def _bytes(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (self.begins[first], self.ends[last - 1]) if len(first) else (first, last)
+
+    def prints(self, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+        return [repeats.slice_hashes(self.plain, *self._bytes(first, last), k) for k in (0, 1)]
 
     def cut(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
-        a, b = (self.begins[first], self.ends[last - 1]) if len(first) else (first, last)
-        return (repeats.gather(self.plain, a, b - a), np.concatenate([[0], np.cumsum(b - a)]),
-                repeats.slice_hashes(self.plain, a, b), repeats.slice_hashes(self.plain, a, b, 1))
+        a, b = self._bytes(first, last)
+        return repeats.gather(self.plain, a, b - a), np.concatenate([[0], np.cumsum(b - a)]), *self.prints(first, last)
 
 
 def subtrees(e: repeats.Entries) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +80,6 @@ def subtrees(e: repeats.Entries) -> tuple[np.ndarray, np.ndarray]:
         depth[1:] = np.where(differ.any(1), differ.argmax(1), WINDOW)
         depth[1:][key[1:] != key[:-1]] = 0
     doc, left, right, at = e.doc[order], left[order], right[order], at[order]
-    near, far = e.near[order], e.far[order]
     before = np.zeros(len(order), np.uint64)
     rows, back = [], []
     for j in range(_W):
@@ -88,7 +89,7 @@ def subtrees(e: repeats.Entries) -> tuple[np.ndarray, np.ndarray]:
         new = depth < WINDOW - j
         node = np.cumsum(new)
         inner = ~(new & np.append(new[1:], True))
-        valid = np.flatnonzero(inner & (right >= WINDOW - j) & (left >= j) & (near <= j) & (j <= far))
+        valid = np.flatnonzero(inner & (right >= WINDOW - j) & (left >= j))
         if not len(valid):
             continue
         mark = mix64(node[valid].astype(np.uint64) * np.uint64(_BASE)) ^ before[valid]

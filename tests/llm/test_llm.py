@@ -207,6 +207,35 @@ def test_longest_previous(spark, request, monkeypatch, sf, crowd):
     same(rows(spark, "op9_longest_previous", sf), want)
 
 
+def crowded_table(spark, sep):
+    """A passage that most documents hold in differing surroundings, and one that few hold."""
+    rng = np.random.default_rng(5)
+    say = lambda n: sep.join("".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(n))
+    passage, rare = say(60), say(70)
+    texts = [sep.join([say(45), passage if i % 4 else say(20), rare if i % 10 == 3 else "", say(45)]) for i in range(60)]
+    return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+
+
+@pytest.mark.parametrize("kind", ["words", "bytes"])
+@pytest.mark.parametrize("local", [256, 3])
+def test_crowded_prefixes_are_not_gathered(spark, monkeypatch, kind, local):
+    from stepfield.llm import longest_previous, suffix_tree
+    monkeypatch.setattr(repeats, "CROWD", 8)
+    monkeypatch.setattr(repeats, "LOCAL", local, raising=False)
+    docs = crowded_table(spark, " ").repartition(4, "doc_id").cache()
+    symbols, cut = (suffix_tree.Words, str.split) if kind == "words" else (longest_previous.Bytes, str.encode)
+    kept = (suffix_tree.kept_words if kind == "words" else longest_previous.kept_bytes)(docs)
+    want = removed_by_force([r.asDict() for r in docs.collect()], cut, 50)
+    assert {r.doc_id: r.n_removed for r in kept.collect()} == {d: sum(g) for d, _, g in want}
+    own = repeats.identified(docs, [])
+    groups = defaultdict(int)
+    for r in repeats.contexts(own, repeats.sieve(own, symbols, 50, 8), symbols, 50, 8).collect():
+        if r.entries:
+            for key in repeats._unpack(bytes(r.entries), np.uint32)[0].tolist():
+                groups[r.bucket, key] += 1
+    assert groups and max(groups.values()) <= 8
+
+
 def test_longest_previous_factors():
     from stepfield.llm.longest_previous import longest_previous
     rng = np.random.default_rng(0)

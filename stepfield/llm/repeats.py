@@ -165,7 +165,8 @@ def identified(docs: DataFrame, keep: list[str]) -> DataFrame:
 def sieve(own: DataFrame, symbols: Callable, n: int, buckets: int) -> DataFrame:
     """uid, hs: of each document the anchors (short hashes) that another document has too; odd ones are crowded.
 
-    A short hash that fits another anchor of the document as well only sends a context too many.
+    A short hash that fits another anchor of the document as well only sends a context too many, as what both flags fit
+    is sent in both ways.
     """
     import pyarrow as pa
 
@@ -208,7 +209,7 @@ def sieve(own: DataFrame, symbols: Callable, n: int, buckets: int) -> DataFrame:
             part = order[edges[k]:edges[k + 1]]
             used, local = np.unique(doc[part], return_inverse=True)
             keys.append(k)
-            # Within a bucket 31 bits are enough: two anchors taken for one only send contexts in vain.
+            # Within a bucket 31 bits are enough: two anchors taken for one have one flag and only send contexts in vain.
             rows.append(_pack(_short(h[part]), local.astype(np.uint32 if len(used) > 65535 else np.uint16), flag[part], count[part], uids[used].astype(np.int64)))
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(rows, pa.binary())], ["bucket", "entries"])
 
@@ -320,8 +321,8 @@ def contexts(own: DataFrame, kept: DataFrame, symbols: Callable, n: int, buckets
         begin = windows(s, at[crowd], n)
         of = np.searchsorted(s.starts, begin, side="right") - 1
         many = [*s.prints(begin, begin + n), ids[a + of], uids[a + of], begin - s.starts[of]]
-        take = found & ~crowd
-        at, doc, h = at[take], doc[take], h[take]
+        # An anchor that both flags fit (31 bits tell it from another bucket's no better) goes out in both ways.
+        at, doc, h = at[found], doc[found], h[found]
         left = np.minimum(at - s.starts[doc], w - 1)
         right = np.minimum(s.starts[doc + 1] - at, n)
         data, cuts, *prints = s.cut(at - left, at + right)

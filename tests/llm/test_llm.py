@@ -207,12 +207,12 @@ def test_longest_previous(spark, request, monkeypatch, sf, crowd):
     same(rows(spark, "op9_longest_previous", sf), want)
 
 
-def crowded_table(spark, sep):
+def crowded_table(spark, sep, every=10):
     """A passage that most documents hold in differing surroundings, and one that few hold."""
     rng = np.random.default_rng(5)
     say = lambda n: sep.join("".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(n))
     passage, rare = say(60), say(70)
-    texts = [sep.join([say(45), passage if i % 4 else say(20), rare if i % 10 == 3 else "", say(45)]) for i in range(60)]
+    texts = [sep.join([say(45), passage if i % 4 else say(20), rare if i % every == 3 else "", say(45)]) for i in range(60)]
     return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
 
 
@@ -236,6 +236,19 @@ def test_crowded_prefixes_are_not_gathered(spark, monkeypatch, kind, local):
     assert groups and max(groups.values()) <= 8
 
 
+@pytest.mark.parametrize("kind", ["words", "bytes"])
+def test_flags_of_equal_short_hashes(spark, monkeypatch, kind):
+    """Anchors whose short hashes are equal, some crowded and some not: no window is missed."""
+    from stepfield.llm import longest_previous, suffix_tree
+    monkeypatch.setattr(repeats, "CROWD", 20)
+    monkeypatch.setattr(repeats, "_short", lambda h: (h & np.uint64(2)).astype(np.uint32))
+    docs = crowded_table(spark, " ", 5).repartition(4, "doc_id").cache()
+    cut, keep = (str.split, suffix_tree.kept_words) if kind == "words" else (str.encode, longest_previous.kept_bytes)
+    monkeypatch.setattr(repeats, "partitions", lambda spark: 200)
+    want = removed_by_force([r.asDict() for r in docs.collect()], cut, 50)
+    assert {r.doc_id: r.n_removed for r in keep(docs).collect()} == {d: sum(g) for d, _, g in want}
+
+
 def test_longest_previous_factors():
     from stepfield.llm.longest_previous import longest_previous
     rng = np.random.default_rng(0)

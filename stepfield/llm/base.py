@@ -57,12 +57,18 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def sampled(rows: DataFrame, label: str, counts: dict, most: int) -> DataFrame:
     """doc_id and label of at most ``most`` rows of each label: those whose ids have the smallest hashes.
 
-    ``counts`` has the rows of each label (a few labels); hashes far beyond the smallest ones go before the shuffle,
+    ``counts`` has the rows of each label; hashes far beyond the smallest ones go before the shuffle,
     so the tasks that rank a label get some multiple of ``most`` rows, whatever the size of the table.
     """
     h = F.shiftrightunsigned(F.xxhash64("doc_id"), 11)
-    enough = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, 4 * most / n) * 2**53))])
-    near = rows.select("doc_id", label, h.alias("h")).filter(F.col("h") <= enough[F.col(label)])
+    enough = [(k, int(min(1.0, (4 * most + 32) / n) * 2**53)) for k, n in counts.items()]
+    near = rows.select("doc_id", label, h.alias("h"))
+    if len(enough) <= 64:
+        near = near.filter(F.col("h") <= F.create_map(*[F.lit(x) for pair in enough for x in pair])[F.col(label)])
+    else:  # a map is searched entry by entry
+        kind = rows.schema[label].dataType.simpleString()
+        limits = rows.sparkSession.createDataFrame(enough, f"{label} {kind}, enough long")
+        near = near.join(F.broadcast(limits), label).filter("h <= enough").select("doc_id", label, "h")
     order = Window.partitionBy(label).orderBy("h", "doc_id")
     return near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most).select("doc_id", label).distinct()
 

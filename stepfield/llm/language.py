@@ -5,8 +5,8 @@ for each codeword, the logistic losses of its bits at the classifiers' margins,
 classifier did in learning; the codeword with the least loss is the answer, and the share it has of all
 codewords' likelihoods is the score. ``ambiguous`` marks answers whose runner-up is nearly as near.
 
-Learning takes a bounded sample: at most ``PER_LANGUAGE`` rows of each of the ``MAX_LANGUAGES`` most frequent
-languages, chosen by a hash of the id. Every text is read whole, in learning and in prediction.
+Every language is learned, from a bounded sample: ``TOTAL`` rows shared by the languages (one each at least), at most
+``PER_LANGUAGE`` rows each, chosen by a hash of the id. Every text is read whole, in learning and in prediction.
 
 Edge cases: null, empty or letterless texts are ``und`` with score 0; with no labelled row all texts are, and
 with one language all others get it. Rows that share an id are judged each by its own text.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from stepfield.llm.base import byte_view, held_out, sampled, slabs
 
 #: Bounds of the sample that is learned from.
-PER_LANGUAGE, MAX_LANGUAGES = 400, 64
+PER_LANGUAGE, TOTAL = 400, 25_600
 #: Feature cells, longest n-gram, bytes and rows that are counted at a time.
 CELLS, LONGEST, SLAB, ROWS = 4096, 3, 1 << 20, 256
 ROUNDS, RATE, DECAY = 150, 4.0, 1e-5
@@ -60,10 +60,10 @@ def codewords(k: int) -> np.ndarray:
         return np.array(bits, np.float32).reshape(-1, k).T
     rng, best, far = np.random.default_rng(7), None, -1
     n = 15 + int(10 * np.log2(k))
-    for _ in range(200):
+    for _ in range(max(1, min(200, 10**8 // k**2))):  # very many languages have few tries, and long codewords
         code = rng.choice(np.array([-1, 1], np.float32), (k, n))
         code = code[:, np.abs(code.sum(0)) < k]
-        apart = min((code[i] != code[j]).sum() for i in range(k) for j in range(i))
+        apart = min(int((code.shape[1] - code[i] @ code[:i].T).min()) // 2 for i in range(1, k))
         if apart > far:
             best, far = code, apart
     return best
@@ -97,9 +97,8 @@ class Model:
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index of the nearest codeword, its share, whether the second is nearly as near."""
         margin = x @ self.w + self.b
-        loss = np.zeros((len(x), len(self.languages)))
-        for c, row in enumerate(self.code):
-            loss[:, c] = (self.weight * np.logaddexp(0, -row * margin)).sum(1)
+        loss = np.logaddexp(0, -margin) @ (self.weight * (self.code > 0)).T + np.logaddexp(0, margin) @ (self.weight * (self.code < 0)).T
+        loss = loss.astype(np.float64)
         like = np.exp(loss.min(1, keepdims=True) - loss)
         like /= like.sum(1, keepdims=True)
         top = np.sort(like, 1)
@@ -110,11 +109,12 @@ class Model:
 def learn(docs: DataFrame) -> Model:
     """A model from rows (doc_id, text, lang) that are not held out."""
     own = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counts = {r[0]: r[1] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    counts = {r[0]: r[1] for r in own.groupBy("lang").count().collect()}
     if not counts:
         return Model([], np.zeros((0, CELLS), np.float32), np.zeros(0, np.int64))
-    keys = sampled(own.filter(F.col("lang").isin(list(counts))), "lang", counts, PER_LANGUAGE)
-    # At most PER_LANGUAGE ids of each language: sent to the texts, which stay where they are.
+    most = max(1, min(PER_LANGUAGE, TOTAL // len(counts)))
+    keys = sampled(own, "lang", counts, most)
+    # At most ``most`` ids of each language: sent to the texts, which stay where they are.
     sample = own.join(F.broadcast(keys), ["doc_id", "lang"], "left_semi")
 
     def count(batches: Iterator) -> Iterator:
@@ -126,10 +126,11 @@ def learn(docs: DataFrame) -> Model:
                 yield pa.RecordBatch.from_arrays([batch.column("lang").slice(a, b - a), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
 
     # What comes to the driver has a fixed size for each row, and rows that repeat an id can't make it more.
-    rows = sample.mapInArrow(count, "lang string, x binary").limit(2 * PER_LANGUAGE * len(counts)).collect()
+    rows = sample.mapInArrow(count, "lang string, x binary").limit(2 * most * len(counts)).collect()
     languages = sorted(counts)
     x = np.array([np.frombuffer(r.x, np.float16) for r in rows], np.float32).reshape(-1, CELLS)
-    y = np.array([languages.index(r.lang) for r in rows], np.int64)
+    place = {lang: i for i, lang in enumerate(languages)}
+    y = np.array([place[r.lang] for r in rows], np.int64)
     return Model(languages, x, y)
 
 

@@ -345,6 +345,18 @@ def test_language(spark, awkward):
     assert sum(r["lang_pred"] == "und" and r["score"] == 0 for r in odd) == none > 0
 
 
+def test_every_language_is_learned(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(80):
+        vocab = ["".join(chr(0x4E00 + 40 * k + c) for c in rng.integers(0, 40, 5)) for _ in range(30)]
+        rows += [(100 * k + i, " ".join(rng.choice(vocab, 20)), f"l{k:02}") for i in range(12 if k < 64 else 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language.predict(docs, language.learn(docs)).collect()}
+    assert {r.lang_pred for r in got.values()} == {lang for _, _, lang in rows}
+    assert np.mean([got[i].lang_pred == lang for i, _, lang in rows if held(i)]) > 0.9
+
+
 def test_codewords_are_apart():
     for k in (2, 3, 4, 6, 9, 30):
         code = language.codewords(k)

@@ -117,3 +117,16 @@ def mix64(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(27))
     h = h * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
+
+
+def spaced(text: bytes, table: bytes, size: int = 1 << 22) -> Iterator[list[bytes]]:
+    """The words of a text, in lists of those of about ``size`` bytes; ``table`` maps bytes between words to spaces."""
+    if len(text) <= size:
+        yield text.translate(table).split()
+        return
+    plain, at = text.translate(table), 0
+    while at < len(plain):
+        end = plain.find(b" ", at + size)
+        end = len(plain) if end < 0 else end
+        yield plain[at:end].split()
+        at = end

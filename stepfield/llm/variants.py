@@ -33,8 +33,8 @@ from stepfield.llm.base import partitions, spaced, stored
 #: One occurrence of a text's word in so many loses a code point; least length and occurrences of words.
 DROPPED, LENGTH, OFTEN, RATIO = 199, 6, 5, 5
 GROUPS, TOP, LEAF = 24, 6, 24
-#: Words of a task's block, words of a part of a subtree, rows searched at a time, code points compared at a time.
-BLOCK, SUBTREE, ROWS, CELLS = 400_000, 1 << 16, 1 << 18, 1 << 22
+#: Words of a task's block, bytes of text split at a time, words of a part of a subtree, rows searched at a time, code points compared at a time.
+BLOCK, TEXT, SUBTREE, ROWS, CELLS = 400_000, 1 << 22, 1 << 16, 1 << 18, 1 << 22
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 0xC0 else 32 for c in range(256))
 
 
@@ -50,7 +50,7 @@ def count_words(docs: DataFrame, often: int = OFTEN) -> DataFrame:
                 # Every letter asked for is one byte here; all else becomes a space.
                 seed, plain = crc32(f"{'' if doc_id is None else doc_id}:".encode()), (text.as_py() or "").encode("latin-1", "replace")
                 own: Counter = Counter()
-                for words in spaced(plain, _TABLE):
+                for words in spaced(plain, _TABLE, TEXT):
                     own.update(words)
                 for word, n in own.items():
                     size = len(word)
@@ -218,8 +218,9 @@ def near_words(words: DataFrame) -> DataFrame:
         key, part, role = (table.column(c).to_numpy() for c in names[:3])
         bucket = np.cumsum(np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])))
         inside = role == 0
+        place = np.empty(len(own), np.int64)  # the same order of words in all tables
+        place[pc.sort_indices(own).to_numpy()] = np.arange(len(own))
         pairs = [(np.zeros(0, np.int64),) * 2]
-        kind = np.zeros(len(own), np.int64)
         waiting, size = [], 0
         role_of = role[~inside]
 
@@ -228,12 +229,11 @@ def near_words(words: DataFrame) -> DataFrame:
             ok = points.near(a, b)
             pairs.append((a[ok], b[ok]))
 
-        del kind
         for same in (True, False):  # within one subtree each pair is met from both sides
             some = (role_of == 1) == same
             for a, b in search(bucket[inside], ids[inside], bucket[~inside][some], ids[~inside][some], role_of[some], rest):
                 if same:
-                    a, b = a[a < b], b[a < b]
+                    a, b = a[place[a] < place[b]], b[place[a] < place[b]]
                 waiting.append((a, b))
                 size += len(a)
                 if size >= CELLS // 16:
@@ -245,8 +245,6 @@ def near_words(words: DataFrame) -> DataFrame:
         a, b = np.concatenate([a, b]), np.concatenate([b, a])
         if not len(a):
             return None
-        place = np.empty(len(own), np.int64)
-        place[pc.sort_indices(own).to_numpy()] = np.arange(len(own))
         by = np.lexsort((place[b], -n[b], a))
         a, b = a[by], b[by]
         head = np.flatnonzero(np.append(True, a[1:] != a[:-1]))

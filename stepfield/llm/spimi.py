@@ -21,6 +21,7 @@ import itertools
 import marshal
 from collections import Counter
 from collections.abc import Iterator
+from operator import itemgetter
 from zlib import crc32
 
 import numpy as np
@@ -32,9 +33,11 @@ from stepfield.llm.base import byte_view, partitions, spaced, stored
 #: Entries (lang, source, term) of a block; entries of a piece of a run; runs merged at a time; pairs corrected at a time.
 BLOCK, PIECE, FAN, PAIRS = 400_000, 1 << 14, 64, 1 << 19
 DOCUMENTS, RANKS = 3, 200
+#: No byte of UTF-8.
+BETWEEN = b"\xff"
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
-#: A run: its pieces, each a packed list of (lang, term, source, n, documents), in order throughout.
+#: A run: its pieces, each a packed list of (key of lang and term, documents, n by source), in order of keys throughout.
 Run = list[bytes]
 
 
@@ -53,17 +56,19 @@ def _entries(run: Run) -> Iterator[tuple]:
 
 
 def merged(runs: list[Run]) -> Iterator[tuple]:
-    """Entries of sorted runs in order, equal ones summed."""
-    last = None
-    for e in heapq.merge(*map(_entries, runs)):
-        if last is not None and last[:3] == e[:3]:
-            last = (*e[:3], last[3] + e[3], last[4] + e[4])
+    """Entries of sorted runs in order, those of a key summed."""
+    last, documents, n = None, 0, {}
+    for key, more, part in heapq.merge(*map(_entries, runs), key=itemgetter(0)):
+        if key != last:
+            if last is not None:
+                yield last, documents, n
+            last, documents, n = key, more, part
             continue
-        if last is not None:
-            yield last
-        last = e
+        documents += more
+        for source, many in part.items():
+            n[source] = n.get(source, 0) + many
     if last is not None:
-        yield last
+        yield last, documents, n
 
 
 class Runs:
@@ -81,11 +86,11 @@ class Runs:
             self.levels[level] = []
             self.add([_packed(piece) for piece in iter(lambda: list(itertools.islice(longer, PIECE)), [])], level + 1)
 
-    def terms(self) -> Iterator[tuple[str, bytes, list[tuple], int]]:
-        """lang, term, its entries, documents, in order."""
-        for (lang, term), own in itertools.groupby(merged([r for level in self.levels for r in level]), key=lambda e: e[:2]):
-            entries = list(own)
-            yield lang, term, entries, sum(e[4] for e in entries)
+    def terms(self) -> Iterator[tuple[str, str, int, dict[str, int]]]:
+        """lang, term, documents, n by source, in order."""
+        for key, documents, n in merged([r for level in self.levels for r in level]):
+            lang, term = key.split(BETWEEN)
+            yield lang.decode(), term.decode(), documents, n
 
 
 class Block:
@@ -107,13 +112,24 @@ class Block:
     def runs(self, shards: int) -> dict[int, list[tuple]]:
         """Sorted entries by shard; the block is empty then."""
         out: dict[int, list[tuple]] = {}
-        for (lang, source), (n, documents) in self.groups.items():
-            seed = crc32(lang.encode())
+        by: dict[str, dict[bytes, dict[str, int]]] = {}
+        documents: dict[str, Counter] = {}
+        for (lang, source), (n, seen) in self.groups.items():
+            terms = by.setdefault(lang, {})
             for term, many in n.items():
-                out.setdefault(crc32(term, seed) % shards, []).append((lang, term, source, many, documents[term]))
+                if term in terms:
+                    terms[term][source] = many
+                else:
+                    terms[term] = {source: many}
+            documents.setdefault(lang, Counter()).update(seen)
         self.groups, self.size = {}, 0
+        for lang, terms in by.items():
+            front = lang.encode() + BETWEEN
+            seed, seen = crc32(front), documents[lang]
+            for term, n in terms.items():
+                out.setdefault(crc32(term, seed) % shards, []).append((front + term, seen[term], n))
         for entries in out.values():
-            entries.sort()
+            entries.sort(key=itemgetter(0))
         return out
 
 
@@ -149,11 +165,10 @@ def frequencies(docs: DataFrame, least: int = DOCUMENTS) -> DataFrame:
             runs = Runs()
             for _, run in own:
                 runs.add([piece.as_py() for piece in run.values])
-            found = (x for x in enumerate(runs.terms()) if x[1][3] >= least)
+            found = ((i, *x) for i, x in enumerate(runs.terms()) if x[2] >= least)
             for some in iter(lambda: list(itertools.islice(found, 4096)), []):
-                many = [len(entries) for _, (_, _, entries, _) in some]
-                total = np.repeat([sum(e[3] for e in entries) for _, (_, _, entries, _) in some], many)
-                flat = [((shard << 40) + i, lang, term.decode(), e[2], e[3], k == 0) for i, (lang, term, entries, _) in some for k, e in enumerate(entries)]
+                total = np.repeat([sum(n.values()) for *_, n in some], [len(n) for *_, n in some])
+                flat = [((shard << 40) + i, lang, term, source, many, k == 0) for i, lang, term, _, n in some for k, (source, many) in enumerate(n.items())]
                 t, lang, term, source, n, first = zip(*flat)
                 yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(lang, pa.string()), pa.array(term, pa.string()), pa.array(source, pa.string()),
                                                   pa.array(n, pa.int64()), pa.array(total), pa.array(first, pa.bool_())],

@@ -12,6 +12,7 @@ from stepfield.functions.when import at, every
 from stepfield.operators import calls as K
 from stepfield.session import shared_folder
 from stepfield.streaming import live as L
+from stepfield.streaming import ordered as O
 
 BY, ORDER = ["run_id"], ["us", "event_id"]
 W = "(PARTITION BY run_id ORDER BY us, event_id)"
@@ -74,15 +75,19 @@ def _(spark, sf):
     return spark.read.parquet(base + "/out")
 
 
+#: Files of a batch.
+FILES = 4
+
+
 def in_batches(spark, rows, last, clock: str, parts: int = 3):
-    """A stream of the rows in ``parts`` files by their time, then of the rows ``last``, a file per batch."""
+    """A stream of the rows in ``parts`` batches of some files by their time, then of the rows ``last``."""
     path = f"{shared_folder(spark)}/parts-{uuid.uuid4().hex}"
     low, high = rows.agg(F.min(clock), F.max(clock)).first()
     part = F.least(F.floor((F.col(clock) - low) * parts / (high - low + 1)), F.lit(parts - 1))
     for k in range(parts):
-        rows.filter(part == k).coalesce(1).write.mode("append").parquet(path)
-    last.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        rows.filter(part == k).repartition(FILES).write.mode("append").parquet(path)
+    last.repartition(FILES).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(path)
 
 
 @query("st06_last_of_stream", f"""WITH {EVENTS}, n AS (SELECT *, lead(event_type) OVER {W} AS nx FROM ev) SELECT run_id, event_id, event_type FROM n WHERE nx <> event_type OR nx IS NULL""")
@@ -95,6 +100,60 @@ def _(spark, sf):
     return drain(spark, out).select("run_id", "event_id", "event_type")
 
 
+def out_of_order(spark, rows, parts: int = 4, files: int = 3):
+    """A stream of the rows in ``parts`` batches in which many rows come a batch late, and what lateness that is.
+
+    Two batches with a row far in the future (run -1) follow, so that the watermark passes all.
+    """
+    path = f"{shared_folder(spark)}/late-{uuid.uuid4().hex}"
+    low, high = rows.agg(F.min("us"), F.max("us")).first()
+    width = (high - low) // parts + 1
+    came = F.col("us") + F.pmod(F.xxhash64("event_id"), F.lit(width))
+    rows = rows.withColumn("ts", F.timestamp_micros("us")).withColumn("_part", F.floor((came - low) / width))
+    for k in range(parts + 1):
+        rows.filter(F.col("_part") == k).drop("_part").repartition(files).write.mode("append").parquet(path)
+    null = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema if f.name not in ("run_id", "us", "ts", "_part")]
+    for k in (1, 2):
+        at = F.lit(high + 100 * k * width)
+        mark = spark.range(files).select(F.lit(-1).cast(rows.schema["run_id"].dataType).alias("run_id"), at.alias("us"), F.timestamp_micros(at).alias("ts"), *null)
+        mark.select(*rows.drop("_part").columns).repartition(files).write.mode("append").parquet(path)
+    s = spark.readStream.schema(rows.drop("_part").schema).option("maxFilesPerTrigger", files).parquet(path)
+    return s, O.Lateness("ts", f"{2 * width // 10**6 + 1} seconds", max(1, width // 10**6))
+
+
+@query("st01_late_changes", f"""WITH {EVENTS}, n AS (SELECT *, (event_id // 1000 + 1) * 1000 AS nt, lag((event_id // 1000 + 1) * 1000) OVER {W} AS pt FROM ev)
+ SELECT run_id, event_id, 'averages' AS action FROM n WHERE event_id % 1000 = 0 OR pt IS NULL OR pt <> nt""")
+def _(spark, sf):
+    s, late = out_of_order(spark, event_runs(spark, sf).select("run_id", "event_id", "us"))
+    out = O.changes(s, [("averages", every("event_id", 1000))], BY, ORDER, "event_id", late)
+    return drain(spark, out).filter("run_id >= 0").select("run_id", "event_id", "action")
+
+
+@query("st02_late_converge", CONVERGE)
+def _(spark, sf):
+    s, late = out_of_order(spark, event_runs(spark, sf).select("run_id", "event_id", "us", F.round("value", 0).alias("value")))
+    out = drain(spark, O.converge(s, "value", 10.0, BY, ORDER, late))
+    return out.filter("run_id >= 0").select("run_id", "event_id", "converged", r("quality"))
+
+
+@query("st04_late_throttle", THROTTLE)
+def _(spark, sf):
+    s, late = out_of_order(spark, event_runs(spark, sf).select("run_id", "event_id", "us", "time"))
+    out = drain(spark, O.throttle(s.withColumn("time", F.coalesce("time", F.col("us") / 1e6)), "time", 86400.0, BY, ORDER, late))
+    return out.filter("run_id >= 0").select("run_id", "event_id", "us")
+
+
+@query("st06_late_last_of", f"""WITH {EVENTS}, n AS (SELECT *, lead(event_type) OVER {W} AS nx FROM ev) SELECT run_id, event_id, event_type FROM n WHERE nx <> event_type OR nx IS NULL""")
+def _(spark, sf):
+    """Runs go on over several batches, out of order, and a marker for each run comes among its last rows."""
+    rows = event_runs(spark, sf).select("run_id", "event_id", "us", "event_type", F.lit(False).alias("ended"))
+    marks = rows.groupBy("run_id").agg(F.lit(None).cast("bigint").alias("event_id"), (F.max("us") + 1).alias("us"),
+                                       F.lit(None).cast("string").alias("event_type"), F.lit(True).alias("ended"))
+    s, late = out_of_order(spark, rows.unionByName(marks))
+    s = s.withColumn("ended", F.coalesce("ended", F.lit(False)))
+    return drain(spark, O.last_of(s, "event_type", BY, ORDER, late, ended="ended")).filter("run_id >= 0").select("run_id", "event_id", "event_type")
+
+
 _BUCKET = f"WITH {EVENTS}, b AS (SELECT us // 3600000000 * 3600 AS start, event_type, round(avg(value), 5) AS value, count(*) AS n FROM ev GROUP BY ALL)"
 
 

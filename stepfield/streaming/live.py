@@ -47,30 +47,46 @@ def _check_names(schedule):
         raise ValueError(f"actions named twice: {sorted(double)}; join their schedules with |")
 
 
-def scheduled_changes(sdf: DataFrame, schedule: list[tuple[str, When]], by: list[str], order: list[str], var: str) -> DataFrame:
-    """Like ``scheduled``, and an action also fires when its predicted next ``var`` is not the one
-    predicted at the row before: by, order, action."""
+def schema_of(df: DataFrame, names: list[str]) -> str:
+    fields = {f.name: f.dataType.simpleString() for f in df.schema}
+    return ", ".join(f"{c} {fields[c]}" for c in names)
+
+
+def changes_plan(sdf: DataFrame, schedule: list[tuple[str, When]], by: list[str], order: list[str], var: str, more=()):
+    """Rows with what each action's schedule says of them, and the step, state and schema of the scan over them."""
     _check_names(schedule)
     names = [n for n, _ in schedule]
-    plan = sdf.select(*by, *order, *[w.matches().alias(f"_m{i}") for i, (_, w) in enumerate(schedule)],
-                      *[w.next_time(var).cast("double").alias(f"_t{i}") for i, (_, w) in enumerate(schedule)])
-    fields = {f.name: f.dataType.simpleString() for f in sdf.schema}
-    schema = ", ".join(f"{c} {fields[c]}" for c in [*by, *order]) + ", action string"
+    plan = sdf.select(*by, *order, *[c for c in more if c not in (*by, *order)], *[w.matches().alias(f"match{i}") for i, (_, w) in enumerate(schedule)],
+                      *[w.next_time(var).cast("double").alias(f"due{i}") for i, (_, w) in enumerate(schedule)])
 
-    def fire(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values(order, ignore_index=True)
-        last = list(state.get) if state.exists else None
+    def fire(last, pdf):
         out = []
         for i, name in enumerate(names):
-            planned = pdf[f"_t{i}"].fillna(-1.0)
+            planned = pdf[f"due{i}"].fillna(-1.0)
             before = planned.shift(fill_value=-2.0 if last is None else last[i])
-            hit = pdf[pdf[f"_m{i}"] | (planned != before)]
+            hit = pdf[pdf[f"match{i}"] | (planned != before)]
             out.append(hit[[*by, *order]].assign(action=name))
-        state.update(tuple(float(pdf[f"_t{i}"].fillna(-1.0).iloc[-1]) for i in range(len(names))))
-        yield pd.concat(out)
+        return tuple(float(pdf[f"due{i}"].fillna(-1.0).iloc[-1]) for i in range(len(names))), pd.concat(out)
+
+    return plan, fire, ", ".join(f"t{i} double" for i in range(len(names))), schema_of(sdf, [*by, *order]) + ", action string"
+
 
-    state_schema = ", ".join(f"t{i} double" for i in range(len(names)))
-    return plan.groupBy(*by).applyInPandasWithState(fire, schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+def _scan(sdf: DataFrame, step, state_schema: str, schema, by: list[str], order: list[str]) -> DataFrame:
+    """A step (state, rows in order) -> (state, result) over the runs of a stream whose batches come in order."""
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        after, out = step(tuple(state.get) if state.exists else None, pd.concat(list(batches)).sort_values(order, ignore_index=True))
+        if after is not None:
+            state.update(after)
+        yield out
+
+    return sdf.groupBy(*by).applyInPandasWithState(run, schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+
+
+def scheduled_changes(sdf: DataFrame, schedule: list[tuple[str, When]], by: list[str], order: list[str], var: str) -> DataFrame:
+    """Like ``scheduled``, and an action also fires when its predicted next ``var`` is not the one
+    predicted at the row before: by, order, action."""
+    plan, step, state, schema = changes_plan(sdf, schedule, by, order, var)
+    return _scan(plan, step, state, schema, by, order)
 
 
 def dispatch(sdf: DataFrame, checkpoint: str, available_now: bool = False):
@@ -113,14 +129,12 @@ def _blocks(v: np.ndarray, carried: tuple, statistics: int) -> tuple[tuple, list
     return rest, closed, values
 
 
-def converge_stream(sdf: DataFrame, column: str, stop: float, by: list[str], order: list[str], countdown: int = 2, statistics: int = 5) -> DataFrame:
-    """Convergence flag and quality per row, as ``convergence`` gives them on a table."""
-    fields = {f.name: f.dataType.simpleString() for f in sdf.schema}
-    schema = ", ".join(f"{c} {fields[c]}" for c in [*by, *order]) + ", converged boolean, quality double"
+CONVERGE_STATE, THROTTLE_STATE = "low int, n int, dev double, osc double, before double", "last double"
 
-    def detect(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        low, n, dev, osc, before = state.get if state.exists else (0, 0, 0.0, 0.0, None)
-        pdf = pd.concat(list(batches)).sort_values(order, ignore_index=True)
+
+def converge_step(column: str, stop: float, by: list[str], order: list[str], countdown: int = 2, statistics: int = 5):
+    def detect(carried, pdf):
+        low, n, dev, osc, before = carried or (0, 0, 0.0, 0.0, None)
         v = pdf[column].to_numpy(dtype="float64", na_value=np.nan)
         row, high = np.arange(len(v)), ~(v < stop)
         # How long the values have been low; every countdown-th of them converges and opens a new part.
@@ -131,39 +145,68 @@ def converge_stream(sdf: DataFrame, column: str, stop: float, by: list[str], ord
         places = np.flatnonzero(high)
         tail = (n, dev, osc, before)
         for at in np.split(places, np.flatnonzero(np.diff(part[places])) + 1) if len(places) else ():
-            carried = tail if part[at[0]] == 0 else (0, 0.0, 0.0, None)
-            tail, closed, values = _blocks(v[at], carried, statistics)
+            own = tail if part[at[0]] == 0 else (0, 0.0, 0.0, None)
+            tail, closed, values = _blocks(v[at], own, statistics)
             quality[at[closed]] = values
         if done.any() and (not len(places) or part[places[-1]] < part[-1]):
             tail = (0, 0.0, 0.0, None)
-        state.update((int(row[-1] - last[-1]), *tail))
-        yield pdf[[*by, *order]].assign(converged=done, quality=quality)
+        return (int(row[-1] - last[-1]), *tail), pdf[[*by, *order]].assign(converged=done, quality=quality)
 
-    return sdf.groupBy(*by).applyInPandasWithState(
-        detect, schema, "low int, n int, dev double, osc double, before double", "append", GroupStateTimeout.NoTimeout)
+    return detect
 
 
-def throttle_stream(sdf: DataFrame, time: str, seconds: float, by: list[str], order: list[str]) -> DataFrame:
-    """Rows at least ``seconds`` after the row accepted before."""
-    schema = sdf.schema
+def converge_stream(sdf: DataFrame, column: str, stop: float, by: list[str], order: list[str], countdown: int = 2, statistics: int = 5) -> DataFrame:
+    """Convergence flag and quality per row, as ``convergence`` gives them on a table."""
+    schema = schema_of(sdf, [*by, *order]) + ", converged boolean, quality double"
+    return _scan(sdf, converge_step(column, stop, by, order, countdown, statistics), CONVERGE_STATE, schema, by, order)
 
-    def accept(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        pdf = pd.concat(list(batches)).sort_values(order, ignore_index=True)
+
+def throttle_step(time: str, seconds: float):
+    def accept(carried, pdf):
+        last = carried[0] if carried else None
         times = pdf[time].to_numpy(dtype="float64")
         kept = []
-        i = 0
-        if last is not None:
-            i = int(times.searchsorted(last + seconds))
+        i = 0 if last is None else int(times.searchsorted(last + seconds))
         while i < len(times):
             kept.append(i)
             last = float(times[i])
             i = int(times.searchsorted(last + seconds))
-        if last is not None:
-            state.update((last,))
-        yield pdf.iloc[kept]
+        return None if last is None else (last,), pdf.iloc[kept]
+
+    return accept
+
+
+def throttle_stream(sdf: DataFrame, time: str, seconds: float, by: list[str], order: list[str]) -> DataFrame:
+    """Rows at least ``seconds`` after the row accepted before."""
+    return _scan(sdf, throttle_step(time, seconds), THROTTLE_STATE, sdf.schema, by, order)
+
+
+def last_of_step(column: str, schema, ended: str | None = None):
+    """State: the last row seen (null in all columns once its run is over)."""
+    names = schema.names
+    # Whole numbers come as floats where others of their column are null.
+    whole = {f.name for f in schema if f.dataType.typeName() in ("long", "integer", "short", "byte")}
+
+    def plain(name, v):
+        if pd.isna(v):
+            return None
+        return int(v) if name in whole else v.to_pydatetime() if isinstance(v, pd.Timestamp) else v.item() if hasattr(v, "item") else v
 
-    return sdf.groupBy(*by).applyInPandasWithState(accept, schema, "last double", "append", GroupStateTimeout.NoTimeout)
+    def emit(carried, pdf):
+        held = None if carried is None or all(v is None for v in carried) else pd.DataFrame([carried], columns=names)
+        over = ended is not None and bool(pdf[ended].any())
+        rows = pdf[~pdf[ended].astype(bool)][names] if ended else pdf[names]
+        if held is not None:
+            rows = pd.concat([held, rows], ignore_index=True) if len(rows) else held
+        if not len(rows):
+            return carried, rows
+        after = rows[column].shift(-1)
+        change = rows[column].ne(after) & ~(rows[column].isna() & after.isna())
+        change.iloc[-1] = over
+        last = tuple(plain(name, v) for name, v in rows.iloc[-1].items())
+        return (None,) * len(names) if over else last, rows[change.to_numpy()]
+
+    return emit
 
 
 def last_of_stream(sdf: DataFrame, column: str, by: list[str], order: list[str], idle_ms: int | None = None, ended: str | None = None) -> DataFrame:

@@ -305,6 +305,47 @@ def _(spark, sf):
         F.count(F.lit(1)).alias("n"), r(F.sum("volume"), 9).alias("volume"), r(F.min("volume"), 12).alias("least"), r(F.max("volume"), 12).alias("most"))
 
 
+_TRI = "tri AS (SELECT mesh_id, sid, region, v0, v1, v2 FROM simp)"
+_THIRDS = f"""WITH {MESH}, {_TRI},
+ side AS (SELECT DISTINCT mesh_id, least(a, b) AS a, greatest(a, b) AS b FROM (SELECT mesh_id, v0 AS a, v1 AS b FROM tri UNION ALL SELECT mesh_id, v0, v2 FROM tri UNION ALL SELECT mesh_id, v1, v2 FROM tri)),
+ mid AS (SELECT DISTINCT mesh_id, list_sort([v0, v1, v2]) AS t FROM tri)
+ SELECT mesh_id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM pts
+ UNION ALL SELECT mesh_id, round((w * p.x + (3 - w) * q.x) / 3, 6), round((w * p.y + (3 - w) * q.y) / 3, 6), round((w * p.z + (3 - w) * q.z) / 3, 6)
+ FROM side JOIN pts p USING (mesh_id) JOIN pts q USING (mesh_id), (VALUES (1), (2)) t(w) WHERE p.pid = a AND q.pid = b
+ UNION ALL SELECT mesh_id, round((p.x + q.x + s.x) / 3, 6), round((p.y + q.y + s.y) / 3, 6), round((p.z + q.z + s.z) / 3, 6)
+ FROM mid JOIN pts p USING (mesh_id) JOIN pts q USING (mesh_id) JOIN pts s USING (mesh_id) WHERE p.pid = t[1] AND q.pid = t[2] AND s.pid = t[3]"""
+
+
+def _triangles(spark, sf):
+    """The first face of each tetrahedron, as a mesh of triangles in space."""
+    m = part_mesh(spark, sf)
+    return M.Mesh(m.points, m.simplices.withColumn("v", F.slice("v", 1, 3)), 2)
+
+
+@query("j20_subdivide", _THIRDS)
+def _(spark, sf):
+    """Points of triangles in 3 x 3 parts: two on each edge, one inside."""
+    p = M.subdivide(_triangles(spark, sf), 3).points
+    return p.select("mesh_id", *[r(F.col("pos")[i]).alias(a) for i, a in enumerate("xyz")])
+
+
+_AREA = "0.5 * sqrt(pow({u}y*{v}z - {u}z*{v}y, 2) + pow({u}z*{v}x - {u}x*{v}z, 2) + pow({u}x*{v}y - {u}y*{v}x, 2))".format(u="u", v="v")
+
+
+@query("j20_subdivide_parts", f"""WITH {MESH}, {_TRI}, e AS (SELECT t.mesh_id, sid, region, q.x-p.x AS ux, q.y-p.y AS uy, q.z-p.z AS uz, s.x-p.x AS vx, s.y-p.y AS vy, s.z-p.z AS vz
+ FROM tri t JOIN pts p ON p.mesh_id = t.mesh_id AND p.pid = v0 JOIN pts q ON q.mesh_id = t.mesh_id AND q.pid = v1 JOIN pts s ON s.mesh_id = t.mesh_id AND s.pid = v2), a AS (SELECT *, {_AREA} AS area FROM e)
+ SELECT mesh_id, sid AS parent, region, 9::BIGINT AS n, round(area, 9) AS area, round(area / 9, 10) AS least, round(area / 9, 10) AS most FROM a""")
+def _(spark, sf):
+    """The nine parts of each triangle have a ninth of its area each."""
+    m = M.subdivide(_triangles(spark, sf), 3)
+    at = M.corners(m).join(m.points, ["mesh_id", "pid"])
+    tri = at.groupBy("mesh_id", "sid", "region").agg(*[F.max(F.when(F.col("k") == k, F.col("pos"))).alias(f"p{k}") for k in range(3)])
+    sides = {f"{n}{a}": F.col(f"p{k}")[i] - F.col("p0")[i] for k, n in ((1, "u"), (2, "v")) for i, a in enumerate("xyz")}
+    area = tri.withColumns(sides).withColumn("area", F.expr(_AREA))
+    return area.groupBy("mesh_id", F.floor(F.col("sid") / 9).alias("parent"), "region").agg(
+        F.count(F.lit(1)).alias("n"), r(F.sum("area"), 9).alias("area"), r(F.min("area"), 10).alias("least"), r(F.max("area"), 10).alias("most"))
+
+
 @query("j21_interface_mismatch", f"""WITH {MESH}, {FACES}, shell AS (SELECT mesh_id, region AS body, face FROM fac GROUP BY ALL HAVING count(*) = 1),
  touch AS (SELECT DISTINCT mesh_id, body, unnest(face) AS pid FROM shell), com AS (SELECT a.mesh_id, a.body AS body_a, b.body AS body_b, a.pid FROM touch a JOIN touch b ON a.mesh_id = b.mesh_id AND a.pid = b.pid AND a.body < b.body),
  bod AS (SELECT DISTINCT mesh_id, body_a, body_b FROM com),

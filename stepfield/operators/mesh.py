@@ -459,6 +459,50 @@ def _refine_once(mesh: Mesh) -> Mesh:
     return Mesh(points, simplices, d, None)
 
 
+def lattice(n: int, dim: int) -> list[tuple[int, ...]]:
+    """Weights (dim + 1 whole numbers that add up to n) of the lattice points of a simplex."""
+    return [(*w, n - sum(w)) for w in itertools.product(range(n + 1), repeat=dim) if sum(w) <= n]
+
+
+def lattice_parts(n: int, dim: int) -> list[list[tuple[int, ...]]]:
+    """The n^dim equal parts of a line or triangle, by the weights of their corners."""
+    up = [[w, *(tuple(v + (i == k) - (i == dim) for i, v in enumerate(w)) for k in range(dim))] for w in lattice(n, dim) if w[-1] > 0]
+    if dim == 1:
+        return up
+    down = [[(a + 1, b, c - 1), (a + 1, b + 1, c - 2), (a, b + 1, c - 1)] for a, b, c in lattice(n, dim) if c > 1]
+    return up + down
+
+
+def subdivide(mesh: Mesh, n: int) -> Mesh:
+    """Split each line or triangle into n^dim equal parts, for any n of 1 or more.
+
+    A new point is known by its sorted parents with whole weights, so simplices that share an edge meet in the same
+    points. Old points keep their ids, new ones follow in the order of their parents. Positions may have more axes than the
+    mesh has dimensions. Periodic data are lost.
+    """
+    d = mesh.dim
+    if d not in (1, 2):
+        raise ValueError("only lines and triangles can be split into n parts along each edge")
+    if n < 1:
+        raise ValueError("n must be 1 or more")
+    points, weights = mesh.points.select("mesh_id", "pid", "pos"), lattice(n, d)
+    parent = lambda w: F.array_sort(F.array(*[F.struct(F.col("v")[k].alias("pid"), F.lit(x).alias("weight")) for k, x in enumerate(w) if x]))
+    rows = mesh.simplices.select("mesh_id", "sid", "region", F.posexplode(F.array(*[parent(w) for w in weights])).alias("k", "key"))
+    new = rows.filter(F.size("key") > 1).select("mesh_id", "key").distinct()
+    top = points.groupBy("mesh_id").agg((F.max("pid") + 1).alias("_base"))
+    ids = dense_ids(new, ["mesh_id"], ["key"], "_n").join(top, "mesh_id").select("mesh_id", "key", (F.col("_base") + F.col("_n")).alias("id"))
+    ends = ids.select("mesh_id", F.col("id").alias("new"), F.explode("key").alias("p")).select("mesh_id", "new", "p.pid", "p.weight")
+    axes = matched(ends, points, ["mesh_id", "pid"], "a simplex with an unknown point").select("mesh_id", "new", "weight", F.posexplode("pos").alias("a", "x"))
+    sums = axes.groupBy("mesh_id", "new", "a").agg((F.sum(F.col("weight") * F.col("x")) / n).alias("x"))
+    made = sums.groupBy("mesh_id", F.col("new").alias("pid")).agg(F.transform(F.array_sort(F.collect_list(F.struct("a", "x"))), lambda p: p["x"]).alias("pos"))
+    found = lookup(rows, ids, ["mesh_id", "key"], "left").withColumn("id", F.coalesce("id", F.col("key")[0]["pid"]))
+    local = found.groupBy("mesh_id", "sid", "region").agg(*[F.max(F.when(F.col("k") == k, F.col("id"))).alias(f"_{k}") for k in range(len(weights))])
+    at = {w: F.col(f"_{k}") for k, w in enumerate(weights)}
+    parts = lattice_parts(n, d)
+    simplices = local.select("mesh_id", "sid", "region", F.posexplode(F.array(*[F.array(*[at[w] for w in part]) for part in parts])).alias("j", "v"))
+    return Mesh(points.unionByName(made), simplices.select("mesh_id", (F.col("sid") * len(parts) + F.col("j")).alias("sid"), "region", "v"), d, None)
+
+
 # Queries on broken meshes
 
 def interface_mismatch(mesh: Mesh) -> DataFrame:

@@ -10,6 +10,7 @@ from stepfield.checks.base import EDGES, FACES, LOC, MESH, SNAP, epoch_us, event
 from stepfield.checks.probing import part_grid
 from stepfield.operators import mesh as M
 from stepfield.session import shared_folder
+from stepfield.sources import grid_blocks as GB
 from stepfield.sources import grids as GR
 from stepfield.sources import meshes as ME
 from stepfield.sources import runs as RU
@@ -122,6 +123,21 @@ def _(spark, sf):
     return both.select("run_id", "id", F.col("site")[0].alias("pid"), r(F.col("value")[0], 4).alias("a"))
 
 
+@query("s06_save_index", f"{WS} SELECT run_id, subfield, id, step, stage, time, id AS row, count(*) AS sites FROM snap GROUP BY ALL")
+def _(spark, sf):
+    """What is stored, from the index alone; two appends."""
+    path, _ = _store(spark, sf)
+    return SN.save_index(spark, path).select("run_id", "subfield", "id", "step", "stage", "time", "row", "sites")
+
+
+@query("s09_read_positions", f"WITH {MESH} SELECT DISTINCT mesh_id, pid, round(x * 0.5, 6) AS x, round(y * 0.5, 6) AS y, round(z * 0.5, 6) AS z FROM pts JOIN (SELECT DISTINCT mesh_id, pid FROM corn WHERE region = 1) USING (mesh_id, pid)")
+def _(spark, sf):
+    """Sites of a stored subfield with their positions."""
+    path, m = _store(spark, sf)
+    pos = SN.read_positions(spark, path, m.points, "m", "m_1", factor=0.5)
+    return pos.select("mesh_id", F.col("site")[0].alias("pid"), *[r(F.col("pos")[i]).alias(a) for i, a in enumerate("xyz")])
+
+
 @query("s17_export_by_id", "SELECT event_id % 10 AS id, event_id AS site, value FROM events")
 def _(spark, sf):
     path = scratch(spark)
@@ -313,3 +329,33 @@ def _(spark, sf):
     GR.write_grids(g, path, (0.5, 1.0, 2.0))
     out = GR.read_grids(spark, path + "/grid_id=*", r"grid_id=([^/]+)/")
     return out.select("grid_id", "ix", "iy", "iz", r("x"), r("z"), F.col("v")[0].alias("a"), F.col("v")[1].alias("b"))
+
+
+def _blocks(spark, sf, **only):
+    """The parts as two binary grids of layers of 10 x 20 nodes, read by ranges of a few records."""
+    path = scratch(spark)
+    g = part_grid(spark, sf).withColumns({"x": 1 + 0.5 * F.col("ix"), "y": F.col("iy") * 1.0, "z": 2.0 * F.col("iz")})
+    whole = g.groupBy("iz").count().filter("count = 200").select("iz").agg(F.max("iz")).first()[0]
+    g = g.filter(F.col("iz") <= whole)
+    two = g.withColumn("grid_id", F.explode(F.array(F.lit("g0"), F.lit("g1")))).withColumn("v", F.when(F.col("grid_id") == "g1", F.transform("v", lambda c: -c)).otherwise(F.col("v")))
+    GB.write_grid_blocks(two, path, (0.5, 1.0, 2.0))
+    return GB.read_grid_blocks(spark, path, split=1 << 12, **only)
+
+
+_WHOLE = "full_layers AS (SELECT max(iz) AS top FROM (SELECT p_partkey // 200 AS iz FROM part GROUP BY 1 HAVING count(*) = 200))"
+_NODES = """SELECT {id} AS grid_id, p_partkey % 10 AS ix, p_partkey % 200 // 10 AS iy, p_partkey // 200 AS iz, round(1 + 0.5 * (p_partkey % 10), 6)::DOUBLE AS x, round(2.0 * (p_partkey // 200), 6)::DOUBLE AS z,
+ {sign} * p_retailprice AS a, {sign} * p_size::DOUBLE AS b FROM part, full_layers WHERE p_partkey // 200 <= top"""
+
+
+@query("s16_grid_blocks", f"WITH {_WHOLE} {_NODES.format(id="'g0'", sign=1)} UNION ALL {_NODES.format(id="'g1'", sign=-1)}")
+def _(spark, sf):
+    """Binary grids, written and read again; one file is read by many tasks."""
+    out = _blocks(spark, sf)
+    return out.select("grid_id", "ix", "iy", "iz", r("x"), r("z"), F.col("v")[0].alias("a"), F.col("v")[1].alias("b"))
+
+
+@query("s16_grid_layers", f"WITH {_WHOLE} SELECT grid_id, iz, count(*) AS n, round(sum(a), 4) AS a FROM ({_NODES.format(id="'g1'", sign=-1)}) WHERE iz <= 2 GROUP BY ALL")
+def _(spark, sf):
+    """Some layers of one grid: other files and records are not read."""
+    out = _blocks(spark, sf, grids=["g1"], layers=(0, 2))
+    return out.groupBy("grid_id", "iz").agg(F.count(F.lit(1)).alias("n"), r(F.sum(F.col("v")[0]), 4).alias("a"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import unquote
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,44 +13,91 @@ from stepfield.functions.text import fixed
 from stepfield.functions.units import general
 from stepfield.operators.snapshots import CLOCK, KEY, convert, saves, site_positions
 from stepfield.plans.ordered import Ordered
-from stepfield.plans.skewed import demand, lookup
+from stepfield.plans.skewed import lookup, matched
+from stepfield.session import cut_lineage
 
 COLUMNS = ["run_id", "mesh_id", "field", "subfield", "id", *CLOCK, "site", "value"]
 
 
+#: What the index knows of a save: its key, its clock and the files that hold its rows.
+INDEX = ["run_id", "mesh_id", "field", "subfield", "id", *CLOCK]
+
+
 def append_snapshots(snap: DataFrame, path: str, catalog: DataFrame, factors: DataFrame, points: DataFrame, width: int) -> None:
     """Append to a store partitioned by run and field, values times the factor of their unit. Fields
-    that the catalog does not know and runs without a mesh are errors."""
-    known = catalog.select("run_id", "field", "subfield").distinct()
-    kinds = snap.select("run_id", "mesh_id", "field", "subfield").distinct()
-    demand(kinds.join(known, ["run_id", "field", "subfield"], "left_anti"), F.lit(True), "unknown field")
-    demand(kinds.join(points.select("mesh_id").distinct(), "mesh_id", "left_anti"), F.lit(True), "no mesh for the run")
+    that the catalog does not know and runs without a mesh stop the job.
+
+    An append is three tables: its rows, the index of its saves (with the files that hold each), and last its name in the list of
+    what is published. Readers see what is published only, so an append that fails leaves the store as it was.
+    """
+    spark, batch = snap.sparkSession, "a" + uuid.uuid4().hex
+    known = catalog.select("run_id", "field", "subfield").distinct().withColumn("_known", F.lit(True))
+    meshes = points.select("mesh_id").distinct().withColumn("_mesh", F.lit(True))
     si = convert(snap, catalog, factors, width).select(*COLUMNS)
+    si = matched(matched(si, known, ["run_id", "field", "subfield"], "unknown field"), meshes, ["mesh_id"], "no mesh for the run")
+    si = si.withColumn("value", F.when(F.col("_known") & F.col("_mesh"), F.col("value"))).select(*COLUMNS)
     # Rows of one save lie together; a big save still spreads over many files.
     out = si.repartitionByRange("run_id", "field", "id", F.col("site")[0]).sortWithinPartitions("run_id", "field", "id")
-    out.write.mode("append").partitionBy("run_id", "field").parquet(path)
+    rows = f"{path}/rows/batch={batch}"
+    out.write.partitionBy("run_id", "field").parquet(rows)
+    if not _there(spark, rows):
+        return
+    kept = spark.read.parquet(rows).select(*[F.col(c).cast("string") if c == "run_id" else F.col(c) for c in INDEX], F.col("_metadata.file_path").alias("file"))
+    index = kept.groupBy(*INDEX, "file").agg(F.count(F.lit(1)).alias("sites"))
+    index.write.parquet(f"{path}/index/batch={batch}")
+    spark.createDataFrame([(batch,)], "batch string").coalesce(1).write.mode("append").parquet(f"{path}/published")
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    """Whether a written table has any file of rows."""
+    try:
+        return bool(spark.read.parquet(path).columns)
+    except AnalysisException as e:
+        if e.getCondition() == "UNABLE_TO_INFER_SCHEMA":
+            return False
+        raise
+
+
+def _published(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """The appends of a table that are published; the list has one row per append, so others' folders are pruned."""
+    done = spark.read.schema("batch string").parquet(f"{path}/published").distinct()
+    return spark.read.parquet(f"{path}/{table}").join(done, "batch", "left_semi")
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).withColumn("run_id", F.col("run_id").cast("string")).select(*COLUMNS)
+    return _published(spark, path, "rows").withColumn("run_id", F.col("run_id").cast("string")).select(*COLUMNS)
+
+
+def save_index(spark: SparkSession, path: str, field: str | None = None, subfield: str | None = None) -> DataFrame:
+    """Every save of the store (KEY and clock) with its row number per subfield (from 0), its sites and its files; no rows are read."""
+    index = _published(spark, path, "index").withColumn("run_id", F.col("run_id").cast("string"))
+    for name, value in (("field", field), ("subfield", subfield)):
+        index = index if value is None else index.filter(F.col(name) == value)
+    whole = index.groupBy(*INDEX).agg(F.sum("sites").alias("sites"), F.collect_set("file").alias("files"))
+    return lookup(whole, saves(whole).select(*KEY, "row"), KEY)
+
+
+def _of_saves(spark: SparkSession, path: str, chosen: DataFrame) -> DataFrame:
+    """Rows of the chosen saves of an index; only the files that hold them are opened."""
+    chosen = cut_lineage(chosen)
+    files = [unquote(r.file) for r in chosen.select(F.explode("files").alias("file")).distinct().collect()]  # as many as the reader has to list
+    if not files:
+        return read_store(spark, path).limit(0).withColumn("row", F.lit(None).cast("bigint"))
+    rows = spark.read.option("basePath", f"{path}/rows").parquet(*files).withColumn("run_id", F.col("run_id").cast("string"))
+    return lookup(rows.select(*COLUMNS), chosen.select(*KEY, "row"), KEY)
 
 
 def read_snapshot(spark: SparkSession, path: str, field: str, subfield: str, first: int, last: int | None = None) -> DataFrame:
-    """Saves number ``first`` (to ``last``) of a subfield; only its partitions are read."""
-    snap = read_store(spark, path).filter((F.col("field") == field) & (F.col("subfield") == subfield))
-    rows = saves(snap).filter(F.col("row").between(first, first if last is None else last)).select(*KEY, "row")
-    return lookup(snap, rows, KEY)
+    """Saves number ``first`` (to ``last``) of a subfield; only the files that hold them are opened."""
+    index = save_index(spark, path, field, subfield)
+    return _of_saves(spark, path, index.filter(F.col("row").between(first, first if last is None else last)))
 
 
 def read_subfield(spark: SparkSession, path: str, field: str, subfield: str, id: int | None = None, row: int | None = None) -> DataFrame:
     """One save by id (which wins) or by row number, the first one by default."""
-    snap = read_store(spark, path).filter((F.col("field") == field) & (F.col("subfield") == subfield))
-    if id is not None:
-        return snap.filter(F.col("id") == id)
-    if row:
-        return read_snapshot(spark, path, field, subfield, row).drop("row")
-    first = snap.groupBy("run_id").agg(F.min("id").alias("id"))
-    return lookup(snap, first, ["run_id", "id"]).select(*COLUMNS)
+    index = save_index(spark, path, field, subfield)
+    chosen = index.filter(F.col("id") == id if id is not None else F.col("row") == (row or 0))
+    return _of_saves(spark, path, chosen).drop("row").select(*COLUMNS)
 
 
 def read_positions(spark: SparkSession, path: str, points: DataFrame, field: str, subfield: str, factor: float = 1.0) -> DataFrame:

@@ -21,7 +21,9 @@ from stepfield.llm import repeats
 from stepfield.llm.base import mix64
 
 WINDOW = 50
-_LEFT = WINDOW - repeats.K
+#: Bytes of an anchor.
+K = 24
+_LEFT = WINDOW - K
 _WIDE = _LEFT + WINDOW
 _BASE = 0x9E3779B97F4A7C15
 #: Contexts whose windows are hashed at a time.
@@ -29,17 +31,21 @@ _ROWS = 1 << 14
 
 
 class Bytes(repeats.Symbols):
+    K = K
+
     def __init__(self, buf: np.ndarray, offsets: np.ndarray):
         self.plain = buf[offsets[0]:offsets[-1]]
         starts = offsets - offsets[0]
         n = len(self.plain)
-        room = np.zeros((n // 8 + 3) * 8, np.uint8)
+        room = np.zeros((n // 8 + K // 8 + 1) * 8, np.uint8)
         room[:n] = self.plain
         eight = np.empty(len(room) - 8, np.uint64)  # the eight bytes from each place
         for k in range(8):
             eight[k::8] = room[k:k + len(eight)].view("<u8") if k == 0 else np.frombuffer(room[k:k + len(eight)].tobytes(), "<u8")
-        gram = mix64(mix64(eight[:n]) + eight[8:8 + n] * np.uint64(_BASE))
-        for back in range(1, repeats.K):
+        gram = mix64(eight[:n])
+        for k in range(8, K, 8):
+            gram = mix64(gram + eight[k:k + n] * np.uint64(_BASE))
+        for back in range(1, K):
             over = starts[1:] - back
             gram[over[over >= starts[:-1]]] = repeats.NONE
         super().__init__(gram, starts)
@@ -133,9 +139,9 @@ def kept_bytes(docs: DataFrame) -> DataFrame:
     def cut(batches: Iterator) -> Iterator:
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for doc_id, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("spans").to_pylist()):
-                text, parts, at = text.as_py().encode(), [], 0
-                gone = repeats.of_document(doc_id, spans)
+            for doc_id, text, spans, late in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans", "late"))):
+                text, parts, at = text.encode(), [], 0
+                gone = repeats.of_document(doc_id, spans, late, len(text), WINDOW)
                 for a, b in gone:
                     parts.append(text[at:a])
                     at = b

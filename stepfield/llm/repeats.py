@@ -13,6 +13,9 @@ hash is its anchor, so two equal windows have equal anchors at equal places, and
    fingerprint with the smallest id of the batch, and is compared with its equals only.
 4. The spans found go back to their documents.
 
+Before all that, texts that a smaller document has whole, told by a 128-bit hash, are set apart: they lose all their windows
+and witness nothing that the first copy does not.
+
 Rows are packed as arrays, one row per batch and bucket, so shuffles move few rows and no group is gathered
 beyond its bucket. Documents are known by doc_id and a hash of id and text: rows with one id and different texts
 stay apart. Rows without doc_id neither lose text nor count as earlier copies.
@@ -27,10 +30,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepfield.llm.base import byte_view, mix64, partitions, slabs
+from stepfield.llm.base import byte_view, mix64, partitions, slabs, stored
 
-#: Symbols of an anchor; documents' bytes worked on at a time; places of an anchor beyond which it is crowded.
-K, SLAB, CROWD = 16, 1 << 19, 4096
+#: Documents' bytes worked on at a time; places of an anchor beyond which it is crowded.
+SLAB, CROWD = 1 << 19, 4096
 #: Documents of a batch beyond which an anchor is crowded at once, so that they need not meet those of other batches.
 LOCAL = 256
 #: Slabs that are combined before rows leave a task, and entries that are settled at a time.
@@ -41,6 +44,9 @@ NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 class Symbols:
     """A slab of texts as symbols: gram hashes by place, the places where each text begins, and ways to cut contexts."""
 
+    #: Symbols of an anchor: the fewer, the more of them recur by chance in a larger corpus; the more, the more anchors there are.
+    K = 16
+
     def __init__(self, grams: np.ndarray, starts: np.ndarray):
         #: Hash of the K symbols from each place (NONE where the text ends before), n + 1 starts of texts.
         self.grams, self.starts = grams, starts
@@ -88,9 +94,9 @@ def _slide(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     return pick(x[:len(x) - (width - have)], x[width - have:]) if have < width else x
 
 
-def anchors(grams: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-    """Places that are the least gram of some window of n symbols inside one text."""
-    w = n - K + 1
+def anchors(grams: np.ndarray, starts: np.ndarray, n: int, k: int) -> np.ndarray:
+    """Places that are the least gram (of k symbols) of some window of n symbols inside one text."""
+    w = n - k + 1
     if len(grams) < n:
         return np.zeros(0, np.int64)
     rank = (grams >> np.uint64(32)).astype(np.uint32)
@@ -114,7 +120,7 @@ def windows(s: Symbols, at: np.ndarray, n: int) -> np.ndarray:
     rank = (s.grams >> np.uint64(32)).astype(np.uint32)
     own = np.full(len(rank), 0xFFFFFFFF, np.uint32)
     own[at] = rank[at]
-    place = np.flatnonzero(_slide(rank, n - K + 1, np.minimum) == _slide(own, n - K + 1, np.minimum))
+    place = np.flatnonzero(_slide(rank, n - s.K + 1, np.minimum) == _slide(own, n - s.K + 1, np.minimum))
     return place[place + n <= s.starts[np.searchsorted(s.starts, place, side="right")]]
 
 
@@ -158,7 +164,7 @@ ASKS, WITNESS, KNOWN, TOLD = 1, 2, 4, 8
 
 def identified(docs: DataFrame, keep: list[str]) -> DataFrame:
     """doc_id, uid, text, rest: uid tells rows with one id and different texts apart, rest has the columns to keep."""
-    rest = F.struct(*keep) if keep else F.lit(0)
+    rest = F.struct(*(keep or ["doc_id"]))  # never a constant, which only some plans would fold away
     return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), F.coalesce("text", F.lit("")).alias("text"), rest.alias("rest"))
 
 
@@ -169,9 +175,11 @@ def sieve(own: DataFrame, symbols: Callable, n: int, buckets: int) -> DataFrame:
     is sent in both ways.
     """
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     def split(batches: Iterator) -> Iterator:
         for batch in batches:
+            batch = batch.filter(pc.and_(pc.is_valid(batch.column("doc_id")), pc.is_null(batch.column("late_uid"))))
             buf, offsets = byte_view(batch.column("text"))
             uids = batch.column("uid").to_numpy()
             for some in _groups(slabs(offsets, SLAB)):
@@ -181,10 +189,10 @@ def sieve(own: DataFrame, symbols: Callable, n: int, buckets: int) -> DataFrame:
         hs, docs = [], []
         for a, b in some:
             s = symbols(buf, offsets[a:b + 1])
-            at = anchors(s.grams, s.starts, n)
+            at = anchors(s.grams, s.starts, n, s.K)
             hs.append(s.grams[at])
             docs.append(np.searchsorted(s.starts, at, side="right") - 1 + a)
-        h, doc = np.concatenate(hs) & ~np.uint64(1), np.concatenate(docs).astype(np.uint32)
+        h, doc = mix64(np.concatenate(hs)) & ~np.uint64(1), np.concatenate(docs).astype(np.uint32)
         order = np.lexsort((doc, h))
         h, doc = h[order], doc[order]
         once = runs_of(h)
@@ -197,7 +205,7 @@ def sieve(own: DataFrame, symbols: Callable, n: int, buckets: int) -> DataFrame:
         flag = np.where(many == 1, ASKS | WITNESS, np.where(new, KNOWN | WITNESS, KNOWN)).astype(np.uint8)
         # The places of a hash in the batch go along with its first document and tell whether it is crowded.
         count = np.where(new, np.where(many > LOCAL, 65535, np.minimum(places[run], 65535)), 0).astype(np.uint16)
-        bucket = (h >> np.uint64(48)) % np.uint64(buckets)
+        bucket = _spot(h, buckets) >> np.uint64(32)
         # Of a hash that is crowded already, one entry says so to the others; the rest is spread by document.
         told = (many > LOCAL) & ~new
         flag[told] = TOLD
@@ -210,7 +218,7 @@ def sieve(own: DataFrame, symbols: Callable, n: int, buckets: int) -> DataFrame:
             used, local = np.unique(doc[part], return_inverse=True)
             keys.append(k)
             # Within a bucket 31 bits are enough: two anchors taken for one have one flag and only send contexts in vain.
-            rows.append(_pack(_short(h[part]), local.astype(np.uint32 if len(used) > 65535 else np.uint16), flag[part], count[part], uids[used].astype(np.int64)))
+            rows.append(_pack(_steps(_short(h[part], buckets)), local.astype(np.uint32 if len(used) > 65535 else np.uint16), flag[part], count[part], uids[used].astype(np.int64)))
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(rows, pa.binary())], ["bucket", "entries"])
 
     def meet(batches: Iterator) -> Iterator:
@@ -239,14 +247,28 @@ def sieve(own: DataFrame, symbols: Callable, n: int, buckets: int) -> DataFrame:
         out = h[stay] | (total[stay] > CROWD).astype(np.uint32)
         yield pa.RecordBatch.from_arrays([pa.array(u[stay]), pa.array(out.view(np.int32))], ["uid", "h"])
 
-    packed = own.select("uid", "text").filter(F.col("doc_id").isNotNull()).mapInArrow(split, "bucket int, entries binary")
+    packed = own.mapInArrow(split, "bucket int, entries binary")
     met = packed.groupBy("bucket").applyInArrow(_whole(meet, {"uid": "int64", "h": "int32"}), "uid bigint, h int")
     return met.groupBy("uid").agg(F.collect_set("h").alias("hs"))
 
 
-def _short(h: np.ndarray) -> np.ndarray:
-    """31 bits of a hash, enough to tell the anchors of one document apart, and a free last bit."""
-    return ((h >> np.uint64(1)) << np.uint64(1)).astype(np.uint32)
+def _spot(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket (above bit 32) and place within it of mixed hashes; both rise with the hash."""
+    return (h >> np.uint64(32)) * np.uint64(buckets)
+
+
+def _short(h: np.ndarray, buckets: int) -> np.ndarray:
+    """31 bits of a mixed hash, enough to tell the anchors of one document apart, and a free last bit."""
+    return (_spot(h, buckets) & np.uint64(0xFFFFFFFE)).astype(np.uint32)
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """What each value has more than the one before, first bytes together: rising values pack well."""
+    return np.ascontiguousarray(np.diff(x, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T)
+
+
+def _from_steps(x: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(x.reshape(4, -1).T).view(np.uint32).ravel(), dtype=np.uint32)
 
 
 def _whole(fn: Callable, columns: dict[str, str]) -> Callable:
@@ -259,7 +281,8 @@ def _whole(fn: Callable, columns: dict[str, str]) -> Callable:
 
 
 def _sieve_parts(data: bytes) -> list[np.ndarray]:
-    short, local, flag, count, used = _unpack(data, np.uint32, np.uint8, np.uint8, np.uint16, np.int64)
+    steps, local, flag, count, used = _unpack(data, np.uint8, np.uint8, np.uint8, np.uint16, np.int64)
+    short = _from_steps(steps)
     wide = len(local) // max(1, len(short))
     return [short, local.view(np.uint32 if wide == 4 else np.uint16), flag, count, used]
 
@@ -296,8 +319,6 @@ def contexts(own: DataFrame, kept: DataFrame, symbols: Callable, n: int, buckets
     """bucket, entries, windows: packed contexts of the anchors in ``kept``, windows of the crowded ones; spans that need nothing else."""
     import pyarrow as pa
 
-    w = n - K + 1
-
     def send(batches: Iterator) -> Iterator:
         for batch in batches:
             buf, offsets = byte_view(batch.column("text"))
@@ -310,12 +331,12 @@ def contexts(own: DataFrame, kept: DataFrame, symbols: Callable, n: int, buckets
 
     def around(buf, offsets, ids, uids, h_at, h_all, a, b) -> tuple[list[np.ndarray], list[np.ndarray]]:
         s = symbols(buf, offsets[a:b + 1])
-        at = anchors(s.grams, s.starts, n)
+        at = anchors(s.grams, s.starts, n, s.K)
         doc = np.searchsorted(s.starts, at, side="right") - 1
-        h = s.grams[at] & ~np.uint64(1)
+        h = mix64(s.grams[at]) & ~np.uint64(1)
         # Which of a document's anchors are kept, and which of those are crowded.
         wanted = np.sort(np.concatenate([_tag(h_all[h_at[i]:h_at[i + 1]], i - a) for i in range(a, b)]))
-        plain = _tag(_short(h), doc)
+        plain = _tag(_short(h, buckets), doc)
         found = np.isin(plain, wanted) if len(wanted) else np.zeros(len(at), bool)
         crowd = np.isin(plain | np.uint64(1), wanted) if len(wanted) else found
         begin = windows(s, at[crowd], n)
@@ -323,12 +344,12 @@ def contexts(own: DataFrame, kept: DataFrame, symbols: Callable, n: int, buckets
         many = [*s.prints(begin, begin + n), ids[a + of], uids[a + of], begin - s.starts[of]]
         # An anchor that both flags fit (31 bits tell it from another bucket's no better) goes out in both ways.
         at, doc, h = at[found], doc[found], h[found]
-        left = np.minimum(at - s.starts[doc], w - 1)
+        left = np.minimum(at - s.starts[doc], n - s.K)
         right = np.minimum(s.starts[doc + 1] - at, n)
         data, cuts, *prints = s.cut(at - left, at + right)
         return [h, ids[a + doc], uids[a + doc], at - s.starts[doc], left, right, np.diff(cuts), *prints, data], many
 
-    joined = own.join(kept, "uid").select("doc_id", "uid", "text", "hs", "rest")
+    joined = own.join(kept, "uid").select("doc_id", "uid", "text", "hs", "rest", "late_uid", "late_id")
     return joined.mapInArrow(send, "bucket int, entries binary, windows binary, spans binary")
 
 
@@ -533,20 +554,36 @@ def settled(sent: DataFrame, settle: Callable, n: int) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(_whole(group, dict.fromkeys(["doc_id", "uid", "start", "end"], "int64")), "doc_id bigint, uid bigint, start bigint, end bigint")
 
 
+def later_texts(docs: DataFrame) -> DataFrame:
+    """late_uid, late_id: the rows whose whole text a row with a smaller doc_id has; stored."""
+    ids = docs.filter(F.col("doc_id").isNotNull()).select(
+        "doc_id", F.xxhash64("doc_id", "text").alias("uid"), *(F.xxhash64(F.lit(k), F.coalesce("text", F.lit(""))).alias(f"text{k}") for k in (1, 2)))
+    first = ids.groupBy("text1", "text2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("last > first")
+    late = ids.join(first, ["text1", "text2"]).filter("doc_id > first").select(F.col("uid").alias("late_uid"), F.col("doc_id").alias("late_id")).distinct()
+    return stored(docs.sparkSession, late, "later-texts")
+
+
 def repeated_spans(docs: DataFrame, symbols: Callable, settle: Callable, n: int, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, text, rest (a struct of the columns in ``keep``), spans: every row with the spans (doc_id, start, end, in symbols, sorted) to remove from it."""
+    """doc_id, text, rest (a struct of the columns in ``keep``), spans, late: every row with the spans (doc_id, start, end, in symbols,
+    sorted) to remove from it; of a late one all its windows go."""
     own = identified(docs, keep or [])
+    late = later_texts(docs)
     buckets = 2 * partitions(docs.sparkSession)
-    kept = sieve(own, symbols, n, buckets)
-    # Both joins use this one exchange of the texts (with the same columns, or it would be made twice).
-    dealt = own.repartition("uid")
+    # All three passes use this one exchange of the texts: what only some of them need (columns, filters, anti joins) would be
+    # pushed below it and make it anew, so rows are told apart within the passes.
+    is_late = (F.col("uid") == F.col("late_uid")) & F.col("doc_id").between(F.col("late_id"), F.col("late_id"))
+    dealt = own.repartition("uid").join(late, is_late, "left")
+    kept = sieve(dealt, symbols, n, buckets)
     spans = settled(contexts(dealt, kept, symbols, n, buckets), settle, n)
     spans = spans.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("doc_id", "start", "end"))).alias("spans"))
-    return dealt.join(spans, "uid", "left").select("doc_id", "text", "rest", "spans")
+    out = dealt.join(spans, "uid", "left")
+    return out.select("doc_id", "text", "rest", "spans", F.col("late_uid").isNotNull().alias("late"))
 
 
-def of_document(doc_id, spans) -> list[tuple[int, int]]:
-    """The union of a document's sorted spans; a span of another document with the same uid isn't its own."""
+def of_document(doc_id, spans, late: bool, size: int, n: int) -> list[tuple[int, int]]:
+    """The union of the sorted spans of a document of ``size`` symbols; a span of another document with the same uid isn't its own."""
+    if late:
+        return [(0, size)] if size >= n else []
     out: list[list[int]] = []
     for s in spans or []:
         if s["doc_id"] != doc_id:

@@ -23,7 +23,7 @@ from stepfield.llm import repeats
 from stepfield.llm.base import mix64
 
 WINDOW = 50
-_W = WINDOW - repeats.K + 1
+_W = WINDOW - repeats.Symbols.K + 1
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -41,11 +41,11 @@ class Words(repeats.Symbols):
         starts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
         gram = repeats.slice_hashes(self.plain, self.begins, self.ends)
         size = 1
-        while size < repeats.K:
+        while size < self.K:
             short = gram[:max(0, len(gram) - size)] * np.uint64(_BASE) + gram[size:]
             gram = mix64(np.concatenate([short, np.zeros(len(gram) - len(short), np.uint64)]))
             size *= 2
-        for back in range(1, repeats.K):
+        for back in range(1, self.K):
             over = starts[1:] - back
             gram[over[over >= starts[:-1]]] = repeats.NONE
         super().__init__(gram, starts)
@@ -112,10 +112,10 @@ def kept_words(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     def cut(batches: Iterator) -> Iterator:
         for batch in batches:
             kept, all_words, gone = [], [], []
-            for doc_id, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("spans").to_pylist()):
-                words = text.as_py().encode().split()
+            for doc_id, text, spans, late in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans", "late"))):
+                words = text.encode().split()
                 all_words.append(len(words))
-                for a, b in reversed(repeats.of_document(doc_id, spans)):
+                for a, b in reversed(repeats.of_document(doc_id, spans, late, len(words), WINDOW)):
                     del words[a:b]
                 gone.append(all_words[-1] - len(words))
                 kept.append(b" ".join(words).decode())

@@ -10,6 +10,7 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
 import data  # noqa: E402
@@ -227,7 +228,7 @@ def test_crowded_prefixes_are_not_gathered(spark, monkeypatch, kind, local):
     kept = (suffix_tree.kept_words if kind == "words" else longest_previous.kept_bytes)(docs)
     want = removed_by_force([r.asDict() for r in docs.collect()], cut, 50)
     assert {r.doc_id: r.n_removed for r in kept.collect()} == {d: sum(g) for d, _, g in want}
-    own = repeats.identified(docs, [])
+    own = repeats.identified(docs, []).withColumn("late_uid", F.lit(None).cast("bigint")).withColumn("late_id", F.lit(None).cast("bigint"))
     groups = defaultdict(int)
     for r in repeats.contexts(own, repeats.sieve(own, symbols, 50, 8), symbols, 50, 8).collect():
         if r.entries:
@@ -241,7 +242,7 @@ def test_flags_of_equal_short_hashes(spark, monkeypatch, kind):
     """Anchors whose short hashes are equal, some crowded and some not: no window is missed."""
     from stepfield.llm import longest_previous, suffix_tree
     monkeypatch.setattr(repeats, "CROWD", 20)
-    monkeypatch.setattr(repeats, "_short", lambda h: (h & np.uint64(2)).astype(np.uint32))
+    monkeypatch.setattr(repeats, "_short", lambda h, buckets: (h & np.uint64(2)).astype(np.uint32))
     docs = crowded_table(spark, " ", 5).repartition(4, "doc_id").cache()
     cut, keep = (str.split, suffix_tree.kept_words) if kind == "words" else (str.encode, longest_previous.kept_bytes)
     monkeypatch.setattr(repeats, "partitions", lambda spark: 200)

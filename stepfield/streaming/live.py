@@ -170,7 +170,7 @@ def throttle_step(time: str, seconds: float):
         while i < len(times):
             kept.append(i)
             last = float(times[i])
-            i = int(times.searchsorted(last + seconds))
+            i = max(i + 1, int(times.searchsorted(last + seconds)))
         return None if last is None else (last,), pdf.iloc[kept]
 
     return accept

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from stepfield.checks.base import EVENTS, LOC, MESH, SNAP, epoch_us, event_runs, part_mesh, query, r, snapshots, subfield_where, table, xyz_out
@@ -177,14 +178,71 @@ def _(spark, sf):
     return out.select("iz", "ix", "iy", r("re", 1), r("im", 1))
 
 
-@query("a26_fit_oscillation")
+# Oscillations: two columns of each run of events, time in days. The SQL takes the same steps, with one common table per pass.
+
+def _det(m):
+    (a, b, c), (d, e, f), (g, h, i) = m
+    return f"({a}*({e}*{i}-{f}*{h}) - {b}*({d}*{i}-{f}*{g}) + {c}*({d}*{h}-{e}*{g}))"
+
+
+_NORMAL = [["n", "s1", "c1"], ["s1", "ss", "sc"], ["c1", "sc", "cc"]]
+
+
+def _solved(right, det="dt"):
+    return [f"({_det([[right[i] if j == p else _NORMAL[i][j] for j in range(3)] for i in range(3)])} / {det})" for p in range(3)]
+
+
+_FIT_SUMS = ("count(*)::DOUBLE AS n, sum(s) AS s1, sum(c) AS c1, sum(s*s) AS ss, sum(s*c) AS sc, sum(c*c) AS cc, "
+             + ", ".join(f"sum(y{k}) AS p{k}, sum(y{k}*y{k}) AS pp{k}, sum(y{k}*s) AS ps{k}, sum(y{k}*c) AS pc{k}" for k in (0, 1)))
+_FIT_MORE = ("sum(u*s) AS us, sum(u*c) AS uc, sum(u*s*s) AS uss, sum(u*s*c) AS usc, sum(u*c*c) AS ucc, sum(u*u*s*s) AS vss, sum(u*u*s*c) AS vsc, "
+             "sum(u*u*c*c) AS vcc, " + ", ".join(f"sum(y{k}*u*s) AS qs{k}, sum(y{k}*u*c) AS qc{k}" for k in (0, 1)))
+_FIT_FOUND = ", ".join(f"{e} AS n{v}{k}" for k in (0, 1) for v, e in zip("oab", _solved([f"p{k}", f"ps{k}", f"pc{k}"])))
+_FIT_ERROR = " + ".join(f"pp{k} - (no{k}*p{k} + na{k}*ps{k} + nb{k}*pc{k})" for k in (0, 1))
+_FIT_DET = f"CASE WHEN abs({_det(_NORMAL)}) > 1e-9 * n THEN {_det(_NORMAL)} END AS dt"
+
+
+def _fit_sql(frequency=None, rounds=6):
+    start = ("greatest(coalesce(flips, 0), 1) * 0.5 / nullif(t1 - t0, 0)" if frequency is None else f"{frequency}::DOUBLE")
+    sql = f"""WITH {EVENTS}, v AS MATERIALIZED (SELECT run_id, us, event_id, (us - 1704067200000000) / 86400e6 AS t, value - avg(value) OVER (PARTITION BY run_id) AS y0, ln(1 + value) AS y1 FROM ev),
+ sm AS (SELECT run_id, us, event_id, coalesce(lag(y0, 2) OVER w, lag(y0) OVER w, y0) + 4 * coalesce(lag(y0) OVER w, y0) + 6 * y0 + 4 * coalesce(lead(y0) OVER w, y0)
+   + coalesce(lead(y0, 2) OVER w, lead(y0) OVER w, y0) AS m FROM v WINDOW w AS (PARTITION BY run_id ORDER BY us, event_id)),
+ fl AS (SELECT run_id, count(*) FILTER (m * l < 0) AS flips FROM (SELECT run_id, m, lag(m) OVER (PARTITION BY run_id ORDER BY us, event_id) AS l FROM sm) GROUP BY run_id),
+ st AS (SELECT run_id, t0, {start} AS f0 FROM (SELECT run_id, min(t) AS t0, max(t) AS t1 FROM v GROUP BY run_id) JOIN fl USING (run_id)),
+ z AS (SELECT run_id, t0, f0, y0, y1, f, sin(2 * pi() * f * (t - t0)) AS s, cos(2 * pi() * f * (t - t0)) AS c
+   FROM (SELECT *, f0 * (1 + 0.6 * (k / 12e0 - 1)) AS f FROM st JOIN v USING (run_id), range(25) q(k) WHERE f0 > 0)),
+ zs AS (SELECT run_id, t0, f0, f, {_FIT_SUMS} FROM z GROUP BY run_id, t0, f0, f), zd AS (SELECT *, {_FIT_DET} FROM zs), zf AS (SELECT *, {_FIT_FOUND} FROM zd),
+ g0 AS MATERIALIZED (SELECT run_id, t0, f0 * 0.05e0 AS h, arg_min(f, {_FIT_ERROR}) AS f, 1e308 AS e, 0e0 AS d, {", ".join(f"NULL::DOUBLE AS {v}{k}" for k in (0, 1) for v in "oab")} FROM zf WHERE dt IS NOT NULL GROUP BY run_id, t0, f0)"""
+    slopes = {k: [f"(na{k}*uc - nb{k}*us)", f"(na{k}*usc - nb{k}*uss)", f"(na{k}*ucc - nb{k}*usc)"] for k in (0, 1)}
+    along = " + ".join(f"na{k}*qc{k} - nb{k}*qs{k} - (no{k}*{x[0]} + na{k}*{x[1]} + nb{k}*{x[2]})" for k, x in slopes.items())
+    across = " + ".join(f"na{k}*na{k}*vcc - 2*na{k}*nb{k}*vsc + nb{k}*nb{k}*vss - ({' + '.join(a + '*' + b for a, b in zip(x, _solved(x)))})" for k, x in slopes.items())
+    for i in range(1, rounds + 2):
+        kept = ", ".join(f"CASE WHEN x.e1 <= o.e THEN x.n{v}{k} ELSE o.{v}{k} END AS {v}{k}" for k in (0, 1) for v in "oab")
+        sql += f""",
+ w{i} AS (SELECT run_id, y0, y1, t - t0 AS u, sin(2 * pi() * (f + d) * (t - t0)) AS s, cos(2 * pi() * (f + d) * (t - t0)) AS c FROM g{i - 1} JOIN v USING (run_id)),
+ x{i} AS (SELECT *, {along} AS al, {across} AS ac, {_FIT_ERROR} AS e1 FROM (SELECT *, {_FIT_FOUND} FROM (SELECT *, {_FIT_DET} FROM (SELECT run_id, {_FIT_SUMS}, {_FIT_MORE} FROM w{i} GROUP BY run_id)))),
+ g{i} AS MATERIALIZED (SELECT o.run_id, o.t0, o.h, CASE WHEN x.e1 <= o.e THEN o.f + o.d ELSE o.f END AS f, CASE WHEN x.e1 <= o.e THEN x.e1 ELSE o.e END AS e,
+   CASE WHEN x.e1 <= o.e THEN greatest(-least(o.h, (o.f + o.d) / 2), least(least(o.h, (o.f + o.d) / 2), CASE WHEN ac > 0 THEN al / (ac * 2 * pi()) ELSE 0 END)) ELSE o.d / 2 END AS d, {kept}
+   FROM g{i - 1} o JOIN x{i} x USING (run_id))"""
+    rows = " UNION ALL ".join(f"SELECT run_id, '{name}' AS \"column\", f, o{k} AS o, a{k} AS a, b{k} AS b, t0 FROM g{rounds + 1} WHERE o0 IS NOT NULL" for k, name in ((0, "a"), (1, "b")))
+    return sql + f""" SELECT run_id, "column", round(f, 4) + 0 AS frequency, round(o, 3) + 0 AS "offset", round(sqrt(a*a + b*b), 3) + 0 AS amplitude, round(atan2(b, a) - 2 * pi() * f * t0, 2) + 0 AS phase FROM ({rows})"""
+
+
+def fitted_events(spark, sf, frequency=None):
+    ev = event_runs(spark, sf)
+    mean = ev.groupBy("run_id").agg(F.avg("value").alias("mean"))
+    rows = ev.join(mean, "run_id").select("run_id", "us", "event_id", ((F.col("us") - 1704067200000000) / 86400e6).alias("t"), (F.col("value") - F.col("mean")).alias("a"), F.log1p("value").alias("b"))
+    out = SP.fit_oscillation(rows, ["run_id"], "t", ["a", "b"], ["us", "event_id"], frequency)
+    return out.select("run_id", "column", r("frequency", 4), r("offset", 3), r("amplitude", 3), r("phase", 2))
+
+
+@query("a26_fit_oscillation", _fit_sql())
+def _(spark, sf):
+    return fitted_events(spark, sf)
+
+
+@query("a26_fit_daily", _fit_sql(1.0))
 def _(spark, sf):
-    from stepfield.plans.ordered import dense_ids
-    ev = dense_ids(event_runs(spark, sf), ["run_id"], ["us", "event_id"], "n")
-    wave = ev.select("run_id", "us", "event_id", (F.col("n") * 0.02).alias("t"), (F.col("value") * 0.0 + 3 * F.sin(2 * math.pi * (1.0 + F.col("run_id") % 5 * 0.2) * F.col("n") * 0.02 + 0.5) + 0.0).alias("a"),
-                     (1.5 + 0.5 * F.sin(2 * math.pi * (1.0 + F.col("run_id") % 5 * 0.2) * F.col("n") * 0.02 - 1.0)).alias("b"))
-    out = SP.fit_oscillation(wave, ["run_id"], "t", ["a", "b"], ["us", "event_id"])
-    return out.select("run_id", "column", r("frequency", 3), r("offset", 2), r("amplitude", 2))
+    return fitted_events(spark, sf, 1.0)
 
 
 # User functions and formulas
@@ -197,6 +255,17 @@ def _(spark, sf):
     return K.site_wise(snapshots(spark, sf), energy, {"k": 2.5}, {"total": r(F.sum("e"), 5), "n": F.count(F.lit(1))}, ["run_id", "subfield", "id"])
 
 
+@query("f01_batch_aggregate", f"""WITH {MESH}, {SNAP} SELECT run_id, subfield, id, round(sum(q), 5) AS total, round(min(q), 6) AS least, round(max(q), 6) AS most
+ FROM (SELECT *, a*(2*a + b) + b*(3*b - c) + c*(c + a) AS q FROM snap) GROUP BY ALL""")
+def _(spark, sf):
+    def energy(value):
+        q = np.einsum("ni,ij,nj->n", value, np.array([[2.0, 1.0, 0.0], [0.0, 3.0, -1.0], [1.0, 0.0, 1.0]]), value)
+        return {"total": q, "least": q, "most": q}
+
+    out = K.batch_aggregate(snapshots(spark, sf), energy, ["value"], {"total": "sum", "least": "min", "most": "max"}, ["run_id", "subfield", "id"])
+    return out.select("run_id", "subfield", "id", r("total", 5), r("least"), r("most"))
+
+
 @query("f02_set_from_pos", f"WITH {MESH} SELECT mesh_id, pid, round(CASE WHEN x > 3 THEN 0 ELSE x * 2 + y END, 6) AS value FROM pts")
 def _(spark, sf):
     out = K.set_from_pos(part_mesh(spark, sf).points, lambda pos: pos.map(lambda p: "none" if p[0] > 3 else p[0] * 2 + p[1]))

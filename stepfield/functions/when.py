@@ -14,10 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+NEAR = 2.0 ** -52
+
+
 def is_integer(q) -> Column:
-    """True when ``q`` is an integer up to one unit in the last place."""
+    """True when ``q`` is at most ``NEAR`` away from a whole number."""
     q = F.col(q) if isinstance(q, str) else q
-    return (F.rint(q) - q) * 0.5 + 1.0 == 1.0
+    return F.abs(q - F.rint(q)) <= NEAR
 
 
 class When:

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def site_wise(df: DataFrame, fn: Callable[..., dict[str, Column]], params: dict | None = None,
@@ -21,6 +25,48 @@ def site_wise(df: DataFrame, fn: Callable[..., dict[str, Column]], params: dict
     return out.groupBy(*by).agg(*[c.alias(k) for k, c in accumulate.items()])
 
 
+def as_numpy(column: pa.Array) -> np.ndarray:
+    """Numbers of an Arrow column; a list column becomes a matrix as wide as its longest list, NaN where a list is shorter or missing."""
+    if not pa.types.is_list(column.type):
+        return column.to_numpy(zero_copy_only=False)
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    out = np.full((len(column), lengths.max(initial=0)), np.nan)
+    out[np.arange(out.shape[1]) < lengths[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
+MERGES = {"sum": F.sum, "min": F.min, "max": F.max}
+
+
+def batch_aggregate(df: DataFrame, fn: Callable[..., dict[str, np.ndarray]], columns: list[str], results: dict[str, str], by: list[str]) -> DataFrame:
+    """Aggregates of a function that is no column expression, in two phases.
+
+    ``fn`` gets the ``columns`` of a batch as numpy arrays and returns named arrays with one number per row; ``results``
+    tells how each is merged: ``sum``, ``min`` or ``max``. A batch is reduced per key within its task, so that at most one row
+    per key and batch is shuffled and no group is gathered. NaN and null count as missing: a key with nothing else gives null.
+    NULL is a key like any other.
+    """
+    if not by:
+        raise ValueError("by names at least one column")
+    if wrong := {how for how in results.values() if how not in MERGES}:
+        raise ValueError(f"unknown ways to merge: {sorted(wrong)}")
+    if both := set(by) & set(results):
+        raise ValueError(f"names of keys and results clash: {sorted(both)}")
+    schema = T.StructType([df.schema[k] for k in by] + [T.StructField(n, T.DoubleType()) for n in results])
+
+    def partial(batches):
+        for batch in batches:
+            made = fn(*[as_numpy(batch.column(c)) for c in columns])
+            numbers = {n: pa.array(np.asarray(made[n], dtype=np.float64), from_pandas=True) for n in results}
+            rows = pa.table({**{k: batch.column(k) for k in by}, **numbers})
+            found = rows.group_by(by).aggregate(list(results.items()))
+            found = found.select([*by, *[f"{n}_{how}" for n, how in results.items()]]).rename_columns([*by, *results])
+            yield from found.combine_chunks().to_batches()
+
+    parts = df.select(*dict.fromkeys([*by, *columns])).mapInArrow(partial, schema)
+    return parts.groupBy(*by).agg(*[MERGES[how](n).alias(n) for n, how in results.items()])
+
+
 def of_position(fn: Callable[[pd.Series], pd.Series], returns: str = "double"):
     """Arrow function of a position column."""
     def call(pos: pd.Series) -> pd.Series:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -104,54 +105,113 @@ def fft(df: DataFrame, axes: dict[str, tuple[float, float, int]], keys: list[str
 
 
 def fit_oscillation(df: DataFrame, by: list[str], time: str, columns: list[str], order: list[str], frequency: float | None = None,
-                    grid: int = 24, rounds: int = 7, **kw) -> DataFrame:
-    """Fit c + a·sin(2πft + p) to several columns with one frequency per run.
+                    grid: int = 24, rounds: int = 6, **kw) -> DataFrame:
+    """Least-squares fit of c + a·sin(2πft + p) to several columns with one frequency per run.
 
-    The start is half the number of sign changes of the smoothed first column over the duration. For
-    each of ``grid`` frequencies around it the best c, a, p follow from sums over the rows; the range is
-    narrowed ``rounds`` times around the best one. Rows are only ever summed, never gathered.
+    The start is ``frequency``, or half the number of sign changes (at least one) of the smoothed first column over the
+    duration. One pass tries ``grid`` + 1 frequencies up to 60 % away from it. From the best one, each of ``rounds`` passes
+    takes a Gauss-Newton step of the frequency, with the best c, a and p for it solved from sums over the rows; a step that
+    makes the error larger is taken back and halved. Rows are only ever summed, never gathered.
+
+    Rows with a missing key, time or value take no part. A run whose rows do not fix c, a and p gives no row.
     """
-    span = df.groupBy(*by).agg(F.min(time).alias("_t0"), F.max(time).alias("_t1"))
+    ys = [f"_y{k}" for k in range(len(columns))]
+    rows = cut_lineage(df.select(*by, *order, F.col(time).cast("double").alias("_t"), *[F.col(c).cast("double").alias(y) for c, y in zip(columns, ys)])
+                       .dropna(subset=[*by, "_t", *ys]))
+    start = rows.groupBy(*by).agg(F.min("_t").alias("_t0"), F.max("_t").alias("_t1"))
     if frequency is None:
-        smooth = R.smooth5(df, columns[0], by, order, out="_s", **kw)
-        flips = R.sign_flips(smooth, "_s", by, order, **kw)
-        centre = flips.join(span, by).withColumn("_f", F.greatest(F.col("flips"), F.lit(1)) * 0.5 / F.nullif(F.col("_t1") - F.col("_t0"), F.lit(0.0))).filter("_f is not null")
+        flips = R.sign_flips(R.smooth5(rows, ys[0], by, order, out="_s", **kw), "_s", by, order, **kw)
+        start = start.join(flips, by).withColumn("_f", F.greatest(F.col("flips"), F.lit(1)) * 0.5 / F.nullif(F.col("_t1") - F.col("_t0"), F.lit(0.0)))
     else:
-        centre = span.withColumn("_f", F.lit(float(frequency)))
-    centre = cut_lineage(centre.select(*by, "_f", (F.col("_f") * 0.6).alias("_half"), "_t0"))
-    best = None
-    for _ in range(rounds):
-        offsets = F.explode(F.array(*[F.lit(-1.0 + 2.0 * k / grid) for k in range(grid + 1)]))
-        tried = centre.withColumn("_o", offsets).select(*by, "_t0", "_half", (F.col("_f") + F.col("_half") * F.col("_o")).alias("_f")).filter("_f > 0")
-        best = cut_lineage(_best_frequency(df, tried, by, time, columns, grid))
-        centre = best.select(*by, "_f", (F.col("_half") * 3.0 / grid).alias("_half"), "_t0")
-    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_c{k}").alias("offset"),
+        start = start.withColumn("_f", F.lit(float(frequency)))
+    rows = rows.select(*by, "_t", *ys)
+    state = cut_lineage(_scan_frequencies(rows, start.filter("_f > 0").select(*by, "_t0", "_f"), by, ys, grid))
+    for _ in range(rounds + 1):
+        state = cut_lineage(_step_frequency(rows, state, by, ys))
+    fits = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_c{k}").alias("offset"),
                                         F.hypot(F.col(f"_a{k}"), F.col(f"_b{k}")).alias("amplitude"), F.atan2(F.col(f"_b{k}"), F.col(f"_a{k}")).alias("phase"))
                                for k, c in enumerate(columns)]))
-    return best.select(*by, F.col("_f").alias("frequency"), "_t0", rows.alias("r")).select(
+    return state.filter("_c0 is not null").select(*by, F.col("_f").alias("frequency"), "_t0", fits.alias("r")).select(
         *by, "frequency", "r.column", "r.offset", "r.amplitude",
         (F.col("r.phase") - 2.0 * math.pi * F.col("frequency") * F.col("_t0")).alias("phase"))
 
 
-def _best_frequency(df, tried, by, time, columns, grid):
-    rows = df.select(*by, time, *columns).join(tried, by)
-    w = 2.0 * math.pi * F.col("_f") * (F.col(time) - F.col("_t0"))
-    rows = rows.withColumns({"_sn": F.sin(w), "_cs": F.cos(w)})
-    s, c = F.col("_sn"), F.col("_cs")
-    sums = {"n": F.count(F.lit(1)).cast("double"), "s": F.sum(s), "c": F.sum(c), "ss": F.sum(s * s), "sc": F.sum(s * c), "cc": F.sum(c * c)}
-    for k, y in enumerate(columns):
-        v = F.col(y)
-        sums.update({f"y{k}": F.sum(v), f"ys{k}": F.sum(v * s), f"yc{k}": F.sum(v * c), f"yy{k}": F.sum(v * v)})
-    total = rows.groupBy(*by, "_f", "_half", "_t0").agg(*[e.alias("_" + n) for n, e in sums.items()])
-    m = [[F.col("_n"), F.col("_s"), F.col("_c")], [F.col("_s"), F.col("_ss"), F.col("_sc")], [F.col("_c"), F.col("_sc"), F.col("_cc")]]
-    total = total.withColumn("_det", g.det(m)).filter(F.abs("_det") > 1e-9 * F.col("_n"))
-    error = F.lit(0.0)
-    solved = {}
-    for k in range(len(columns)):
-        right = [F.col(f"_y{k}"), F.col(f"_ys{k}"), F.col(f"_yc{k}")]
-        x = [g.det([[right[i] if j == p else m[i][j] for j in range(3)] for i in range(3)]) / F.col("_det") for p in range(3)]
-        solved.update({f"_c{k}": x[0], f"_a{k}": x[1], f"_b{k}": x[2]})
-        error = error + F.col(f"_yy{k}") - (x[0] * right[0] + x[1] * right[1] + x[2] * right[2])
-    names = ["_f", "_half", "_t0", *solved]
-    ready = total.withColumns({**solved, "_error": error})
-    return ready.groupBy(*by).agg(F.min_by(F.struct(*names), F.struct("_error", "_f")).alias("_b")).select(*by, "_b.*")
+def _normal_sums(s, c, ys: list[str]) -> dict:
+    """Sums of the normal equations for offset, sine and cosine that depend on the frequency."""
+    sums = {"s": F.sum(s), "c": F.sum(c), "ss": F.sum(s * s), "sc": F.sum(s * c), "cc": F.sum(c * c)}
+    for y in ys:
+        sums.update({f"{y}s": F.sum(F.col(y) * s), f"{y}c": F.sum(F.col(y) * c)})
+    return sums
+
+
+def _fixed_sums(ys: list[str]) -> dict:
+    sums = {"n": F.count(F.lit(1)).cast("double")}
+    for y in ys:
+        sums.update({f"{y}1": F.sum(y), f"{y}{y}": F.sum(F.col(y) * F.col(y))})
+    return sums
+
+
+def _solve(at, ys: list[str]):
+    """Matrix, its determinant (NULL where it is singular), solutions per column and the error left; ``at`` gives a sum by name."""
+    m = [[at("n"), at("s"), at("c")], [at("s"), at("ss"), at("sc")], [at("c"), at("sc"), at("cc")]]
+    det = F.when(F.abs(g.det(m)) > 1e-9 * at("n"), g.det(m))
+    found = [_cramer(m, det, [at(f"{y}1"), at(f"{y}s"), at(f"{y}c")]) for y in ys]
+    left = [at(f"{y}{y}") - (x[0] * at(f"{y}1") + x[1] * at(f"{y}s") + x[2] * at(f"{y}c")) for y, x in zip(ys, found)]
+    return m, det, found, reduce(lambda p, q: p + q, left)
+
+
+def _cramer(m, det, right) -> list:
+    return [g.det([[right[i] if j == p else m[i][j] for j in range(3)] for i in range(3)]) / det for p in range(3)]
+
+
+def _scan_frequencies(rows: DataFrame, start: DataFrame, by: list[str], ys: list[str], grid: int) -> DataFrame:
+    """Best of the frequencies around the start, all of them tried in one pass; no step taken yet."""
+    tries = [F.col("_f") * (1.0 + 0.6 * (2.0 * k / grid - 1.0)) for k in range(grid + 1)]
+    sums = dict(_fixed_sums(ys))
+    for k, f in enumerate(tries):
+        w = 2.0 * math.pi * f * (F.col("_t") - F.col("_t0"))
+        sums.update({f"{name}_{k}": e for name, e in _normal_sums(F.sin(w), F.cos(w), ys).items()})
+    total = rows.join(start, by).groupBy(*by, "_t0", "_f").agg(*[e.alias(n) for n, e in sums.items()])
+    names, fixed = list(_normal_sums(F.lit(0), F.lit(0), ys)), list(_fixed_sums(ys))
+    each = F.array(*[F.struct(f.alias("f"), *[F.col(n) for n in fixed], *[F.col(f"{n}_{k}").alias(n) for n in names]) for k, f in enumerate(tries)])
+    errors = F.transform(each, lambda z: F.struct(_solve(lambda n: z[n], ys)[3].alias("e"), z["f"].alias("f")))
+    best = F.array_min(F.filter(errors, lambda z: z["e"].isNotNull()))
+    empty = [F.lit(None).cast("double").alias(f"_{v}{k}") for k in range(len(ys)) for v in "cab"]
+    return total.select(*by, "_t0", (F.col("_f") * 1.2 / grid).alias("_h"), best.alias("_b")).filter("_b is not null").select(
+        *by, "_t0", "_h", F.col("_b.f").alias("_f"), F.lit(float("inf")).alias("_e"), F.lit(0.0).alias("_d"), *empty)
+
+
+def _step_frequency(rows: DataFrame, state: DataFrame, by: list[str], ys: list[str]) -> DataFrame:
+    """Judge the proposed frequency ``_f + _d`` from one pass over the rows, and propose the next one.
+
+    The slope of the model by frequency is 2πu(a·cos − b·sin). The part of it that offset, sine and cosine can
+    explain is taken out, so the step is that of all unknowns together.
+    """
+    u = F.col("_t") - F.col("_t0")
+    w = 2.0 * math.pi * (F.col("_f") + F.col("_d")) * u
+    waves = rows.join(state.select(*by, "_t0", "_f", "_d"), by).select(*by, *ys, u.alias("_u"), F.sin(w).alias("_s"), F.cos(w).alias("_c"))
+    u, s, c = F.col("_u"), F.col("_s"), F.col("_c")
+    sums = {**_fixed_sums(ys), **_normal_sums(s, c, ys), "us": F.sum(u * s), "uc": F.sum(u * c), "uss": F.sum(u * s * s), "usc": F.sum(u * s * c),
+            "ucc": F.sum(u * c * c), "vss": F.sum(u * u * s * s), "vsc": F.sum(u * u * s * c), "vcc": F.sum(u * u * c * c)}
+    for y in ys:
+        sums.update({f"{y}us": F.sum(F.col(y) * u * s), f"{y}uc": F.sum(F.col(y) * u * c)})
+    total = waves.groupBy(*by).agg(*[e.alias(n) for n, e in sums.items()])
+    at, width = F.col, 2.0 * math.pi
+    m, det, found, error = _solve(at, ys)
+    solved = {"_det": det, "_error": error, **{f"_n{v}{k}": x for k, xs in enumerate(found) for v, x in zip("cab", xs)}}
+    total = total.withColumns(solved)
+    along = across = F.lit(0.0)
+    for k, y in enumerate(ys):
+        o, a, b = (F.col(f"_n{v}{k}") for v in "cab")
+        slope = [a * at("uc") - b * at("us"), a * at("usc") - b * at("uss"), a * at("ucc") - b * at("usc")]
+        along = along + a * at(f"{y}uc") - b * at(f"{y}us") - (o * slope[0] + a * slope[1] + b * slope[2])
+        inside = reduce(lambda p, q: p + q, [v * x for v, x in zip(slope, _cramer(m, F.col("_det"), slope))])
+        across = across + a * a * at("vcc") - 2.0 * a * b * at("vsc") + b * b * at("vss") - inside
+    total = total.withColumn("_step", F.when(across > 0, along / (across * width)).otherwise(0.0))
+    both = state.join(total.select(*by, "_error", "_step", *[n for n in solved if n.startswith("_n")]), by)
+    take = F.coalesce(F.col("_error") <= F.col("_e"), F.lit(False))
+    bound = F.least(F.col("_h"), (F.col("_f") + F.col("_d")) / 2)
+    keep = {f"_{v}{k}": F.when(take, F.col(f"_n{v}{k}")).otherwise(F.col(f"_{v}{k}")).alias(f"_{v}{k}") for k in range(len(ys)) for v in "cab"}
+    return both.select(*by, "_t0", "_h", F.when(take, F.col("_f") + F.col("_d")).otherwise(F.col("_f")).alias("_f"),
+                       F.when(take, F.col("_error")).otherwise(F.col("_e")).alias("_e"),
+                       F.when(take, F.greatest(-bound, F.least(bound, F.col("_step")))).otherwise(F.col("_d") / 2).alias("_d"), *keep.values())

@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepfield.functions import geometry as g
 from stepfield.operators import runs as R
 from stepfield.session import cut_lineage
 
@@ -136,49 +134,60 @@ def fit_oscillation(df: DataFrame, by: list[str], time: str, columns: list[str],
         (F.col("r.phase") - 2.0 * math.pi * F.col("frequency") * F.col("_t0")).alias("phase"))
 
 
-def _normal_sums(s, c, ys: list[str]) -> dict:
+# The formulas are built as SQL text: one expression each for the session, not one call per operation.
+
+def _normal_sums(s: str, c: str, ys: list[str]) -> dict[str, str]:
     """Sums of the normal equations for offset, sine and cosine that depend on the frequency."""
-    sums = {"s": F.sum(s), "c": F.sum(c), "ss": F.sum(s * s), "sc": F.sum(s * c), "cc": F.sum(c * c)}
+    sums = {"s": f"sum({s})", "c": f"sum({c})", "ss": f"sum({s} * {s})", "sc": f"sum({s} * {c})", "cc": f"sum({c} * {c})"}
     for y in ys:
-        sums.update({f"{y}s": F.sum(F.col(y) * s), f"{y}c": F.sum(F.col(y) * c)})
+        sums.update({f"{y}s": f"sum({y} * {s})", f"{y}c": f"sum({y} * {c})"})
     return sums
 
 
-def _fixed_sums(ys: list[str]) -> dict:
-    sums = {"n": F.count(F.lit(1)).cast("double")}
+def _fixed_sums(ys: list[str]) -> dict[str, str]:
+    sums = {"n": "double(count(1))"}
     for y in ys:
-        sums.update({f"{y}1": F.sum(y), f"{y}{y}": F.sum(F.col(y) * F.col(y))})
+        sums.update({f"{y}1": f"sum({y})", f"{y}{y}": f"sum({y} * {y})"})
     return sums
 
 
-def _solve(at, ys: list[str]):
-    """Matrix, its determinant (NULL where it is singular), solutions per column and the error left; ``at`` gives a sum by name."""
-    m = [[at("n"), at("s"), at("c")], [at("s"), at("ss"), at("sc")], [at("c"), at("sc"), at("cc")]]
-    det = F.when(F.abs(g.det(m)) > 1e-9 * at("n"), g.det(m))
-    found = [_cramer(m, det, [at(f"{y}1"), at(f"{y}s"), at(f"{y}c")]) for y in ys]
-    left = [at(f"{y}{y}") - (x[0] * at(f"{y}1") + x[1] * at(f"{y}s") + x[2] * at(f"{y}c")) for y, x in zip(ys, found)]
-    return m, det, found, reduce(lambda p, q: p + q, left)
+def _det(m) -> str:
+    (a, b, c), (d, e, f), (g, h, i) = m
+    return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+
+def _normal(at: str = "") -> list[list[str]]:
+    return [[at + "n", at + "s", at + "c"], [at + "s", at + "ss", at + "sc"], [at + "c", at + "sc", at + "cc"]]
+
+
+def _cramer(m, det: str, right) -> list[str]:
+    return [f"({_det([[right[i] if j == p else m[i][j] for j in range(3)] for i in range(3)])} / {det})" for p in range(3)]
+
+
+def _solve(ys: list[str], at: str = ""):
+    """Determinant (NULL where it is singular), solutions per column and the error left, for sums named with ``at`` before."""
+    m = _normal(at)
+    det = f"(CASE WHEN abs({_det(m)}) > 1e-9D * {at}n THEN {_det(m)} END)"
+    found = [_cramer(m, det, [f"{at}{y}1", f"{at}{y}s", f"{at}{y}c"]) for y in ys]
+    left = [f"{at}{y}{y} - ({x[0]} * {at}{y}1 + {x[1]} * {at}{y}s + {x[2]} * {at}{y}c)" for y, x in zip(ys, found)]
+    return det, found, " + ".join(left)
 
 
-def _cramer(m, det, right) -> list:
-    return [g.det([[right[i] if j == p else m[i][j] for j in range(3)] for i in range(3)]) / det for p in range(3)]
+def _named(texts: dict[str, str]) -> list:
+    return [F.expr(text).alias(name) for name, text in texts.items()]
 
 
 def _scan_frequencies(rows: DataFrame, start: DataFrame, by: list[str], ys: list[str], grid: int) -> DataFrame:
-    """Best of the frequencies around the start, all of them tried in one pass; no step taken yet."""
-    tries = [F.col("_f") * (1.0 + 0.6 * (2.0 * k / grid - 1.0)) for k in range(grid + 1)]
-    sums = dict(_fixed_sums(ys))
-    for k, f in enumerate(tries):
-        w = 2.0 * math.pi * f * (F.col("_t") - F.col("_t0"))
-        sums.update({f"{name}_{k}": e for name, e in _normal_sums(F.sin(w), F.cos(w), ys).items()})
-    total = rows.join(start, by).groupBy(*by, "_t0", "_f").agg(*[e.alias(n) for n, e in sums.items()])
-    names, fixed = list(_normal_sums(F.lit(0), F.lit(0), ys)), list(_fixed_sums(ys))
-    each = F.array(*[F.struct(f.alias("f"), *[F.col(n) for n in fixed], *[F.col(f"{n}_{k}").alias(n) for n in names]) for k, f in enumerate(tries)])
-    errors = F.transform(each, lambda z: F.struct(_solve(lambda n: z[n], ys)[3].alias("e"), z["f"].alias("f")))
-    best = F.array_min(F.filter(errors, lambda z: z["e"].isNotNull()))
+    """Best of the frequencies around the start, all of them tried in one pass; no step taken yet. The rows of one
+    frequency are summed where they are made, so only sums are shuffled."""
+    tries = ", ".join(f"{1.0 + 0.6 * (2.0 * k / grid - 1.0)!r}D" for k in range(grid + 1))
+    each = rows.join(start, by).select(*by, "_t0", F.col("_f").alias("_f0"), *ys, "_t", F.explode(F.expr(f"transform(array({tries}), x -> x * _f)")).alias("_f"))
+    waves = each.select(*by, "_t0", "_f0", "_f", *ys, *_named({"s": "sin(2D * pi() * _f * (_t - _t0))", "c": "cos(2D * pi() * _f * (_t - _t0))"}))
+    total = waves.groupBy(*by, "_t0", "_f0", "_f").agg(*_named({**_fixed_sums(ys), **_normal_sums("s", "c", ys)}))
+    errors = total.select(*by, "_t0", "_f0", "_f", F.expr(_solve(ys)[2]).alias("_e")).filter("_e IS NOT NULL")
+    best = errors.groupBy(*by, "_t0", "_f0").agg(F.min(F.struct("_e", "_f"))["_f"].alias("_f"))
     empty = [F.lit(None).cast("double").alias(f"_{v}{k}") for k in range(len(ys)) for v in "cab"]
-    return total.select(*by, "_t0", (F.col("_f") * 1.2 / grid).alias("_h"), best.alias("_b")).filter("_b is not null").select(
-        *by, "_t0", "_h", F.col("_b.f").alias("_f"), F.lit(float("inf")).alias("_e"), F.lit(0.0).alias("_d"), *empty)
+    return best.select(*by, "_t0", (F.col("_f0") * 1.2 / grid).alias("_h"), "_f", F.lit(float("inf")).alias("_e"), F.lit(0.0).alias("_d"), *empty)
 
 
 def _step_frequency(rows: DataFrame, state: DataFrame, by: list[str], ys: list[str]) -> DataFrame:
@@ -187,31 +196,25 @@ def _step_frequency(rows: DataFrame, state: DataFrame, by: list[str], ys: list[s
     The slope of the model by frequency is 2πu(a·cos − b·sin). The part of it that offset, sine and cosine can
     explain is taken out, so the step is that of all unknowns together.
     """
-    u = F.col("_t") - F.col("_t0")
-    w = 2.0 * math.pi * (F.col("_f") + F.col("_d")) * u
-    waves = rows.join(state.select(*by, "_t0", "_f", "_d"), by).select(*by, *ys, u.alias("_u"), F.sin(w).alias("_s"), F.cos(w).alias("_c"))
-    u, s, c = F.col("_u"), F.col("_s"), F.col("_c")
-    sums = {**_fixed_sums(ys), **_normal_sums(s, c, ys), "us": F.sum(u * s), "uc": F.sum(u * c), "uss": F.sum(u * s * s), "usc": F.sum(u * s * c),
-            "ucc": F.sum(u * c * c), "vss": F.sum(u * u * s * s), "vsc": F.sum(u * u * s * c), "vcc": F.sum(u * u * c * c)}
+    w = "2D * pi() * (_f + _d) * (_t - _t0)"
+    waves = rows.join(state.select(*by, "_t0", "_f", "_d"), by).select(*by, *ys, *_named({"u": "_t - _t0", "s": f"sin({w})", "c": f"cos({w})"}))
+    sums = {**_fixed_sums(ys), **_normal_sums("s", "c", ys), "us": "sum(u * s)", "uc": "sum(u * c)", "uss": "sum(u * s * s)", "usc": "sum(u * s * c)",
+            "ucc": "sum(u * c * c)", "vss": "sum(u * u * s * s)", "vsc": "sum(u * u * s * c)", "vcc": "sum(u * u * c * c)"}
     for y in ys:
-        sums.update({f"{y}us": F.sum(F.col(y) * u * s), f"{y}uc": F.sum(F.col(y) * u * c)})
-    total = waves.groupBy(*by).agg(*[e.alias(n) for n, e in sums.items()])
-    at, width = F.col, 2.0 * math.pi
-    m, det, found, error = _solve(at, ys)
+        sums.update({f"{y}us": f"sum({y} * u * s)", f"{y}uc": f"sum({y} * u * c)"})
+    det, found, error = _solve(ys)
     solved = {"_det": det, "_error": error, **{f"_n{v}{k}": x for k, xs in enumerate(found) for v, x in zip("cab", xs)}}
-    total = total.withColumns(solved)
-    along = across = F.lit(0.0)
+    along, across = [], []
     for k, y in enumerate(ys):
-        o, a, b = (F.col(f"_n{v}{k}") for v in "cab")
-        slope = [a * at("uc") - b * at("us"), a * at("usc") - b * at("uss"), a * at("ucc") - b * at("usc")]
-        along = along + a * at(f"{y}uc") - b * at(f"{y}us") - (o * slope[0] + a * slope[1] + b * slope[2])
-        inside = reduce(lambda p, q: p + q, [v * x for v, x in zip(slope, _cramer(m, F.col("_det"), slope))])
-        across = across + a * a * at("vcc") - 2.0 * a * b * at("vsc") + b * b * at("vss") - inside
-    total = total.withColumn("_step", F.when(across > 0, along / (across * width)).otherwise(0.0))
-    both = state.join(total.select(*by, "_error", "_step", *[n for n in solved if n.startswith("_n")]), by)
-    take = F.coalesce(F.col("_error") <= F.col("_e"), F.lit(False))
-    bound = F.least(F.col("_h"), (F.col("_f") + F.col("_d")) / 2)
-    keep = {f"_{v}{k}": F.when(take, F.col(f"_n{v}{k}")).otherwise(F.col(f"_{v}{k}")).alias(f"_{v}{k}") for k in range(len(ys)) for v in "cab"}
-    return both.select(*by, "_t0", "_h", F.when(take, F.col("_f") + F.col("_d")).otherwise(F.col("_f")).alias("_f"),
-                       F.when(take, F.col("_error")).otherwise(F.col("_e")).alias("_e"),
-                       F.when(take, F.greatest(-bound, F.least(bound, F.col("_step")))).otherwise(F.col("_d") / 2).alias("_d"), *keep.values())
+        o, a, b = (f"_n{v}{k}" for v in "cab")
+        slope = [f"({a} * uc - {b} * us)", f"({a} * usc - {b} * uss)", f"({a} * ucc - {b} * usc)"]
+        along.append(f"{a} * {y}uc - {b} * {y}us - ({o} * {slope[0]} + {a} * {slope[1]} + {b} * {slope[2]})")
+        inside = " + ".join(f"{v} * {x}" for v, x in zip(slope, _cramer(_normal(), "_det", slope)))
+        across.append(f"{a} * {a} * vcc - 2D * {a} * {b} * vsc + {b} * {b} * vss - ({inside})")
+    total = waves.groupBy(*by).agg(*_named(sums)).select("*", *_named(solved))
+    total = total.select(*by, *[n for n in solved if n != "_det"], *_named({"_along": " + ".join(along), "_across": " + ".join(across)}))
+    step = "CASE WHEN _across > 0 THEN _along / (_across * 2D * pi()) ELSE 0D END"
+    take, bound = "coalesce(_error <= _e, false)", "least(_h, (_f + _d) / 2)"
+    after = {"_f": f"if({take}, _f + _d, _f)", "_e": f"if({take}, _error, _e)", "_d": f"if({take}, greatest(-{bound}, least({bound}, {step})), _d / 2)",
+             **{f"_{v}{k}": f"if({take}, _n{v}{k}, _{v}{k})" for k in range(len(ys)) for v in "cab"}}
+    return state.join(total, by).select(*by, "_t0", "_h", *_named(after))

@@ -63,7 +63,7 @@ _APPLIED = """app AS (SELECT run_id, mesh_id, subfield, id, probe, sum(weight *
 @query("j16_apply_matrix", f"WITH {LOC}, {SNAP}, {PROBE}, {_APPLIED} SELECT run_id, subfield, id, probe, round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS c FROM app")
 def _(spark, sf):
     m = part_mesh(spark, sf)
-    return P.apply_matrix(P.probe_matrix(part_probes(spark, sf), m), snapshots(spark, sf, m), 3).select("run_id", "subfield", "id", "probe", *xyz_out())
+    return P.apply_matrix(P.probe_matrix(part_probes(spark, sf), m), snapshots(spark, sf, m), 3, 4).select("run_id", "subfield", "id", "probe", *xyz_out())
 
 
 @query("j17_probe", f"""WITH {LOC}, {SNAP}, {PROBE}, {_APPLIED} SELECT s.run_id, s.subfield, s.id, prb.probe, round(sqrt(a*a+b*b+c*c), 6) AS value

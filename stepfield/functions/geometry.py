@@ -105,14 +105,32 @@ def in_centre(verts) -> list[Column]:
 def circum_radius(verts) -> Column:
     """From the edge products; a flat simplex gives NULL."""
     d = len(verts) - 1
-    if d == 1:
-        return length(sub(verts[1], verts[0])) / 2.0
-    edge = lambda i, j: length(sub(verts[i], verts[j]))
-    if d == 2:
-        return over(edge(0, 1) * edge(1, 2) * edge(0, 2), 4.0 * volume(verts))
-    p, q, r = edge(0, 1) * edge(2, 3), edge(0, 2) * edge(1, 3), edge(0, 3) * edge(1, 2)
+    return radius_of(edge_products(lambda i, j: length(sub(verts[i], verts[j])), d), volume(verts), d)
+
+
+def edge_products(edge, dim: int) -> list[Column]:
+    """What the circumscribed radius needs of the edge lengths ``edge(i, j)``, i < j: in three dimensions the products of
+    opposite edges, in two the product of all, in one the length."""
+    if dim == 1:
+        return [edge(0, 1)]
+    if dim == 2:
+        return [edge(0, 1) * edge(1, 2) * edge(0, 2)]
+    return [edge(0, 1) * edge(2, 3), edge(0, 2) * edge(1, 3), edge(0, 3) * edge(1, 2)]
+
+
+def radius_of(products: list[Column], volume, dim: int) -> Column:
+    if dim == 1:
+        return products[0] / 2.0
+    if dim == 2:
+        return over(products[0], 4.0 * volume)
+    p, q, r = products
     square = (p + q + r) * (p + q - r) * (p - q + r) * (q + r - p)
-    return over(F.sqrt(F.greatest(square, F.lit(0.0))), 24.0 * volume(verts))
+    return over(F.sqrt(F.greatest(square, F.lit(0.0))), 24.0 * volume)
+
+
+def shell_size(verts) -> Column:
+    """Sum of the sizes of all faces."""
+    return total(_facets(verts))
 
 
 def circum_centre(verts) -> list[Column]:
@@ -130,9 +148,19 @@ def circum_centre(verts) -> list[Column]:
 
 def quality(verts) -> Column:
     """d · in-radius / circum-radius: 1 for a regular simplex, 0 for a flat one."""
-    r = circum_radius(verts)
-    ratio = F.abs((len(verts) - 1.0) * in_radius(verts) / r)
-    return F.when(volume(verts) == 0, F.lit(0.0)).otherwise(F.when(r == 0, F.lit(0.0)).otherwise(ratio))
+    d = len(verts) - 1
+    return _quality(volume(verts), in_radius(verts), circum_radius(verts), d)
+
+
+def quality_of(volume: str, shell: str, products: list[Column], dim: int) -> Column:
+    """``quality`` from columns with the volume, ``shell_size`` and ``edge_products``."""
+    v = F.col(volume)
+    return _quality(v, over(dim * 1.0 * v, F.col(shell)), radius_of(products, v, dim), dim)
+
+
+def _quality(volume, inner_radius, outer_radius, dim: int) -> Column:
+    ratio = F.abs(dim * 1.0 * inner_radius / outer_radius)
+    return F.when(volume == 0, F.lit(0.0)).otherwise(F.when(outer_radius == 0, F.lit(0.0)).otherwise(ratio))
 
 
 def clamp(x, lo=-1.0, hi=1.0) -> Column:

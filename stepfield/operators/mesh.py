@@ -193,6 +193,8 @@ def _histogram(rows: DataFrame, value: str, low, high, bins: int, clamp: bool =
     place = F.when(F.col(value) == high, bins - 1).when(high == low, 0).otherwise(place)
     if clamp:
         place = F.greatest(F.least(place, F.lit(bins - 1)), F.lit(0))
+    # A bin that can't be null takes no filter, which would repeat the whole expression of the value below the sums.
+    place = F.coalesce(place, F.lit(-1))
     counted = rows.groupBy("mesh_id", place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     base = counted.groupBy("mesh_id").agg(F.sum("n").alias("_all"))
     grid = base.select("mesh_id", "_all", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
@@ -215,7 +217,12 @@ def edge_stats(mesh: Mesh, bins: int = 10) -> DataFrame:
 
 
 def qualities(mesh: Mesh) -> DataFrame:
-    return located(mesh).select("mesh_id", "sid", "region", g.quality(vertices(mesh.dim)).alias("quality"))
+    d, v = mesh.dim, vertices(mesh.dim)
+    # Sizes become columns first: within one expression each would be written out at every use.
+    rows = located(mesh).withColumns({"_volume": g.volume(v), "_shell": g.shell_size(v), **{f"_e{i}{j}": g.length(g.sub(v[i], v[j]))
+                                      for i, j in itertools.combinations(range(d + 1), 2)}})
+    rows = rows.withColumns({f"_p{k}": p for k, p in enumerate(g.edge_products(lambda i, j: F.col(f"_e{i}{j}"), d))})
+    return rows.select("mesh_id", "sid", "region", g.quality_of("_volume", "_shell", [F.col(f"_p{k}") for k in range(3 if d == 3 else 1)], d).alias("quality"))
 
 
 def quality_hist(mesh: Mesh, bins: int = 10, clamp: bool = False) -> DataFrame:

@@ -141,20 +141,25 @@ def probe_matrix(probes: DataFrame, mesh: M.Mesh) -> DataFrame:
     return locate(probes, mesh).select("mesh_id", "probe", entries.alias("e")).select("mesh_id", "probe", "e.*")
 
 
-def apply_matrix(matrix: DataFrame, snap: DataFrame, width: int) -> DataFrame:
+def apply_matrix(matrix: DataFrame, snap: DataFrame, width: int, entries: int | None = None) -> DataFrame:
     """Probe every save: sum of weight times value per probe. A probe in a simplex with a vertex
-    where the subfield is undefined gives no row."""
-    whole = matrix.groupBy("mesh_id", "probe").agg(F.count(F.lit(1)).alias("_need"))
+    where the subfield is undefined gives no row.
+
+    ``entries`` is the number of rows that each probe has in the matrix (dim + 1 for ``probe_matrix``); they are counted if it isn't given.
+    """
     rows = node(snap).select(*KEY, *CLOCK, "pid", *[v.alias(f"_{i}") for i, v in enumerate(parts("value", width))])
     sums = rows.join(matrix, ["mesh_id", "pid"]).groupBy(*KEY, *CLOCK, "probe").agg(
         F.count(F.lit(1)).alias("_got"), *[F.sum(F.col("weight") * F.col(f"_{i}")).alias(f"_{i}") for i in range(width)])
-    return lookup(sums, whole, ["mesh_id", "probe"]).filter("_got = _need").select(
-        *KEY, *CLOCK, "probe", F.array(*[f"_{i}" for i in range(width)]).alias("value"))
+    if entries is None:
+        sums = lookup(sums, matrix.groupBy("mesh_id", "probe").agg(F.count(F.lit(1)).alias("_need")), ["mesh_id", "probe"]).filter("_got = _need")
+    else:
+        sums = sums.filter(F.col("_got") == entries)
+    return sums.select(*KEY, *CLOCK, "probe", F.array(*[f"_{i}" for i in range(width)]).alias("value"))
 
 
 def probe(snap: DataFrame, mesh: M.Mesh, probes: DataFrame, width: int, vec=None) -> DataFrame:
     """Field values at positions for every save; NULL outside. ``vec`` maps the value column to another."""
-    found = apply_matrix(probe_matrix(probes, mesh), snap, width)
+    found = apply_matrix(probe_matrix(probes, mesh), snap, width, mesh.dim + 1)
     each = snap.groupBy(*KEY).agg(*[F.max(c).alias(c) for c in CLOCK])
     grid = probes.join(each, "mesh_id")
     out = grid.join(found.drop(*CLOCK), [*KEY, "probe"], "left")

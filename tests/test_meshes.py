@@ -242,3 +242,14 @@ def test_bary_and_normals(spark):
     v = [[F.lit(float(x)) for x in p] for p in ((0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1))]
     row = spark.range(1).select(*g.bary([F.lit(0.1), F.lit(0.2), F.lit(0.3)], v), *g.face_normal(v, 0), *g.face_normal(v, 3)).first()
     assert all(abs(a - b) < 1e-12 for a, b in zip(row, (0.4, 0.1, 0.2, 0.3, 0.5, 0.5, 0.5, 0.0, 0.0, -0.5)))
+
+
+def test_matrix_with_known_and_counted_entries(spark):
+    from stepfield.operators import probe as P
+
+    matrix = spark.createDataFrame([(1, 7, 1, 0.25), (1, 7, 2, 0.75), (1, 8, 2, 0.5), (1, 8, 3, 0.5)], "mesh_id int, probe long, pid long, weight double")
+    save = ("run", 1, "m", "m_1", 0, 0, 0, 0.0)
+    snap = spark.createDataFrame([(*save, [1], [4.0]), (*save, [2], [8.0])],
+                                 "run_id string, mesh_id int, field string, subfield string, id long, step long, stage long, time double, site array<long>, value array<double>")
+    for entries in (2, None):
+        assert [(r.probe, r.value) for r in P.apply_matrix(matrix, snap, 1, entries).collect()] == [(7, [7.0])]

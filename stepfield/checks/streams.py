@@ -13,6 +13,7 @@ from stepfield.operators import calls as K
 from stepfield.session import shared_folder
 from stepfield.streaming import live as L
 from stepfield.streaming import ordered as O
+from stepfield.streaming import restart as RS
 
 BY, ORDER = ["run_id"], ["us", "event_id"]
 W = "(PARTITION BY run_id ORDER BY us, event_id)"
@@ -75,6 +76,41 @@ def _(spark, sf):
     return spark.read.parquet(base + "/out")
 
 
+# Stages are weeks; a stage converges with two values below 60 in a row. The stream stops after the first three fifths of the time.
+_WEEK = 7 * 86400 * 10**6
+_STAGES = f"""{EVENTS}, p AS (SELECT *, us // {_WEEK} AS stage FROM ev), cut AS (SELECT min(us) + (max(us) - min(us)) * 3 // 5 AS c FROM ev),
+ low AS (SELECT *, coalesce(value < 60, false) AS low, lag(coalesce(value < 60, false)) OVER (PARTITION BY run_id, stage ORDER BY us, event_id) AS before FROM @),
+ hit AS (SELECT *, low AND coalesce(before, false) AS hit FROM low)"""
+
+
+def stopped_stages(spark, sf, go_on: bool):
+    """Checkpoint and result of the stage stream after its first part, or after a restart with the rest too, and the plan of stages."""
+    base = f"{shared_folder(spark)}/stages-{uuid.uuid4().hex}"
+    rows = event_runs(spark, sf).select("run_id", "us", "event_id", "value", F.floor(F.col("us") / _WEEK).alias("stage"))
+    low, high = rows.agg(F.min("us"), F.max("us")).first()
+    cut = low + (high - low) * 3 // 5
+    for part in (F.col("us") < cut, F.col("us") >= cut)[:1 + go_on]:
+        rows.filter(part).write.mode("append").parquet(base + "/in")
+        s = spark.readStream.schema(rows.schema).parquet(base + "/in")
+        L.run_to_end(RS.stages_converged(s, "stage", "value", 60.0, BY, ORDER), base + "/out", base + "/checkpoint")
+    return base + "/checkpoint", spark.read.parquet(base + "/out"), rows.select("run_id", "stage")
+
+
+@query("st05_stages", f"WITH {_STAGES.replace('@', 'p')} SELECT run_id, us, event_id, stage FROM hit WHERE hit QUALIFY row_number() OVER (PARTITION BY run_id, stage ORDER BY us, event_id) = 1")
+def _(spark, sf):
+    """Stopped and started again, the stream gives what an unbroken one gives."""
+    return stopped_stages(spark, sf, True)[1].select("run_id", "us", "event_id", "stage")
+
+
+@query("st05_resume_points", f"""WITH {_STAGES.replace('@', 'p, cut WHERE us < c')}, st AS (SELECT * FROM (SELECT run_id, stage, bool_or(hit) AS converged, max(us) AS last FROM hit GROUP BY run_id, stage)
+ QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY stage DESC) = 1)
+ SELECT p.run_id, any_value(st.stage) AS stage, any_value(converged) AS converged, any_value(last) AS last,
+ min(CASE WHEN st.stage IS NULL OR p.stage > st.stage OR (p.stage = st.stage AND NOT converged) THEN p.stage END) AS go_on FROM p LEFT JOIN st USING (run_id) GROUP BY p.run_id""")
+def _(spark, sf):
+    checkpoint, _, plan = stopped_stages(spark, sf, False)
+    return RS.resume_points(plan, RS.saved_stages(spark, checkpoint, BY), BY)
+
+
 #: Files of a batch.
 FILES = 4
 

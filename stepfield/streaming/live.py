@@ -17,6 +17,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from stepfield.functions.when import When
 from stepfield.operators.calls import ACTIONS
 
+#: A call of an action that has returned.
+CALLS = "batch bigint, action string"
+
 
 def run_to_end(sdf: DataFrame, path: str, checkpoint: str, fmt: str = "parquet") -> None:
     """Process all that is there into a file sink (exactly once per checkpoint) and stop."""
@@ -89,13 +92,28 @@ def scheduled_changes(sdf: DataFrame, schedule: list[tuple[str, When]], by: list
     return _scan(plan, step, state, schema, by, order)
 
 
-def dispatch(sdf: DataFrame, checkpoint: str, available_now: bool = False):
-    """Call the registered action (see ``register_action``) on its rows of each batch."""
+def dispatch(sdf: DataFrame, checkpoint: str, available_now: bool = False, log: str | None = None):
+    """Call the registered action (see ``register_action``) on its rows of each batch.
+
+    After a failure Spark repeats the batch. With ``log`` (a folder that belongs to this checkpoint) each call that has
+    returned is written down, and the repeated batch skips it; the one that failed is called again.
+    """
+    spark = sdf.sparkSession
+    if log is not None:
+        spark.createDataFrame([], CALLS).write.mode("append").parquet(log)
+
     def handle(batch: DataFrame, batch_id: int) -> None:
+        done = set()
+        if log is not None:
+            done = {r.action for r in spark.read.schema(CALLS).parquet(log).filter(F.col("batch") == batch_id).collect()}
         batch = batch.persist()
         try:
-            for row in batch.select("action").distinct().collect():
-                ACTIONS[row.action](batch.filter(F.col("action") == row.action), batch_id)
+            for name in sorted(r.action for r in batch.select("action").distinct().collect()):
+                if name in done:
+                    continue
+                ACTIONS[name](batch.filter(F.col("action") == name), batch_id)
+                if log is not None:
+                    spark.createDataFrame([(batch_id, name)], CALLS).coalesce(1).write.mode("append").parquet(log)
         finally:
             batch.unpersist()
 

@@ -126,7 +126,8 @@ def learn(docs: DataFrame) -> Model:
                 yield pa.RecordBatch.from_arrays([batch.column("lang").slice(a, b - a), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
 
     # What comes to the driver has a fixed size for each row, and rows that repeat an id can't make it more.
-    rows = sample.mapInArrow(count, "lang string, x binary").limit(2 * most * len(counts)).collect()
+    # Their order is one of content, so the model depends neither on the files nor on the tasks.
+    rows = sample.mapInArrow(count, "lang string, x binary").orderBy(F.xxhash64("x", "lang"), "x", "lang").limit(2 * most * len(counts)).collect()
     languages = sorted(counts)
     x = np.array([np.frombuffer(r.x, np.float16) for r in rows], np.float32).reshape(-1, CELLS)
     place = {lang: i for i, lang in enumerate(languages)}

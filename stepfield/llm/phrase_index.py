@@ -120,7 +120,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> tuple[
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, within: int) -> DataFrame:
-    """item_id, doc_id, sig, pos, other: places where an item's two rarest terms stand at most ``within`` words apart.
+    """item_id, doc_id, sig, pos, other: places where the two rarest of an item's terms that occur stand at most ``within`` words apart.
 
     Positions are cut into cells of ``within`` words; a posting meets those of its own cell and the two beside
     it, so no document's postings are paired in full.
@@ -130,7 +130,8 @@ def proximity_matches(docs: DataFrame, items: DataFrame, within: int) -> DataFra
     index = stored(docs.sparkSession, build_index(docs, every.select("term").distinct()), "postings")
     freq = index.groupBy("term").agg(F.count(F.lit(1)).alias("freq"))
     order = Window.partitionBy("item_id").orderBy("freq", "term")
-    rare = every.join(freq, "term", "left").na.fill(0, ["freq"]).withColumn("r", F.row_number().over(order)).filter("r <= 2")
+    # Terms that no document has can't stand near others; the rank is one of those that the documents have.
+    rare = every.join(freq, "term").withColumn("r", F.row_number().over(order)).filter("r <= 2")
     cell = F.floor(F.col("pos") / within)
     a = index.join(rare.filter("r = 1").select("item_id", "term"), "term").select(
         "item_id", "doc_id", "sig", "pos", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))

@@ -177,7 +177,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
                     ["quality", "chunks", "snippet"])
 
     kind = labels.schema["quality"].dataType.simpleString()
-    rows = sample.mapInArrow(cut, f"quality {kind}, chunks binary, snippet boolean").limit(8 * PER_LABEL).collect()
+    # The order is one of content, so the model depends neither on the files nor on the tasks; of rows beyond the bound (many that share
+    # an id), those of the least hashes stay.
+    cuts = sample.mapInArrow(cut, f"quality {kind}, chunks binary, snippet boolean")
+    rows = cuts.orderBy(F.xxhash64("chunks", "quality", "snippet"), "chunks", "quality", "snippet").limit(8 * PER_LABEL).collect()
     y = np.array([float(r.quality) for r in rows], np.float32)
     if len(set(y)) < 2:
         return model

@@ -9,7 +9,8 @@ k rows for each query leave it.
 Edge cases: vectors that are null, empty or hold null or non-finite components take no part, neither as query
 nor as candidate; vectors of different length don't meet. Rows that share a vec_id are candidates of their own, and
 none of them is a candidate of its own id; a query id that is repeated is answered for the least of its
-vectors. Rows without vec_id take no part. Scores must stay below 2^53 to be exact.
+vectors. Rows without vec_id take no part. A component of 2^53 or more (as an integer), or a pair whose products add up to
+2^53 or more in size, can't be scored exactly and stops the job.
 """
 
 from __future__ import annotations
@@ -17,13 +18,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepfield.llm.base import partitions, stored
 
 #: Cells of a component, rows of a block of candidates and of queries, exact vectors read at a time.
 CELLS, BLOCK, QUERIES, STEP = 64, 2048, 512, 16
+#: Doubles hold whole numbers below this one exactly.
+EXACT = 2.0 ** 53
+
+
+def _integer(c: Column) -> Column:
+    scaled = 256 * c.cast("double")
+    far = F.raise_error(F.lit("a component of 2^53 or more can't be scored exactly")).cast("long")
+    return F.when(F.abs(scaled) < EXACT, F.floor(scaled).cast("long")).otherwise(far)
 
 
 def integers(vectors: DataFrame) -> DataFrame:
@@ -31,7 +40,7 @@ def integers(vectors: DataFrame) -> DataFrame:
     x = F.col("embedding")
     good = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     return vectors.filter(F.col("vec_id").isNotNull() & good).select(
-        "vec_id", F.size(x).alias("dim"), F.transform(x, lambda c: F.floor(256 * c.cast("double")).cast("long")).alias("v"))
+        "vec_id", F.size(x).alias("dim"), F.transform(x, _integer).alias("v"))
 
 
 def _matrix(batch, dim: int) -> np.ndarray:
@@ -65,6 +74,12 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
 def best_of_block(q: np.ndarray, q_ids: np.ndarray, ids: np.ndarray, exact: np.ndarray, low: np.ndarray, wide: np.ndarray,
                   cells: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, vec_id, score) of each query's k best in a block; ties to smaller ids."""
+    size, other = np.abs(q.astype(np.float64)), np.abs(exact.astype(np.float64))
+    if size.max(0, initial=0) @ other.max(0, initial=0) >= EXACT:
+        most = size @ other.T
+        most[q_ids[:, None] == ids[None, :]] = 0
+        if most.max(initial=0) >= EXACT:
+            raise OverflowError("a score of 2^53 or more can't be exact")
     # A component's integer lies in [low + cell * wide, low + cell * wide + wide - 1].
     corner = low + cells.astype(np.float64) * wide
     reach = wide - 1.0

@@ -10,6 +10,7 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
@@ -95,6 +96,13 @@ def test_proximity(spark):
     assert sorted((r.doc_id, abs(r.pos - r.other)) for r in got) == [(1, 3), (2, 1)]
 
 
+def test_proximity_with_a_term_that_no_document_has(spark):
+    docs = spark.createDataFrame([(1, "alpha x beta x"), (2, "beta x alpha")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "alpha beta never"), (8, "never either"), (9, None)], "item_id long, text string")
+    got = phrase_index.proximity_matches(docs, items, 4).collect()
+    assert sorted((r.item_id, r.doc_id, abs(r.pos - r.other)) for r in got) == [(7, 1, 2), (7, 2, 2)]
+
+
 def test_chat_round_trip(spark, awkward):
     given = defaultdict(list)
     for r in table(spark, awkward, "conversations"):
@@ -413,3 +421,31 @@ def test_given_tables(spark):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     for name in (n for n in NAMES if n in SQL):
         assert compare.compare(spark, con, name, SMALL).startswith("ok"), name
+
+
+def test_vectors_out_of_range(spark):
+    def best(*rows):
+        table = spark.createDataFrame([(i, list(v)) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+        return {(r.query_id, r.vec_id): r.score for r in vector_search.search(table, table.filter("vec_id = 0"), 2).collect()}
+
+    # Large components count exactly as long as the products do, and a query's own product doesn't matter.
+    far = 2.0 ** 30
+    assert best((far, 1.0), (0.0, 2.0), (1 / 256, 0.0)) == {(0, 1): 512 * 256, (0, 2): 2 ** 38}
+    for rows in (((3e38, 1.0), (1.0, 2.0)), ((1.0, 2.0), (-2.0 ** 45, 0.0)), ((far, 1.0), (far, 1.0))):
+        with pytest.raises(PySparkException, match="exact"):
+            best(*rows)
+
+
+@pytest.mark.parametrize("model", ["quality", "language"])
+def test_models_do_not_depend_on_the_layout(spark, model):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(sf + "/documents.parquet"), spark.read.parquet(sf + "/labels.parquet")
+
+    def weights(rows):
+        if model == "quality":
+            return quality.learn(rows, labels).p
+        m = language.learn(rows)
+        return {"w": m.w, "b": m.b}
+
+    one, other = weights(docs.coalesce(1)), weights(docs.repartition(5, "text").sortWithinPartitions(F.desc("doc_id")))
+    assert all(np.array_equal(one[k], other[k]) for k in one)

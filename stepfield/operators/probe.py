@@ -22,8 +22,8 @@ from stepfield.session import cut_lineage
 def bracket(table: DataFrame, queries: DataFrame, by: list[str], x: str, payload: list[str], rows_per_task=None) -> DataFrame:
     """Add to each query the nearest table rows at or below (``lo``) and at or above (``hi``) its ``x``.
 
-    One ordered scan over the union of both; ``x`` must be unique in a run of the table, and
-    ``queries`` may hold any number of equal ``x``.
+    One ordered scan over the union of both. Of table rows with equal ``x`` the one with the least payload counts for queries
+    below them and the one with the greatest payload for those at or above; ``queries`` may hold any number of equal ``x``.
     """
     point = F.struct(F.col(x), *payload)
     extra = [c for c in queries.columns if c not in [*by, x]]
@@ -34,7 +34,7 @@ def bracket(table: DataFrame, queries: DataFrame, by: list[str], x: str, payload
     tie = F.xxhash64(*queries.columns)
     q = queries.select(*by, F.col(x).alias("_x"), F.lit(2).alias("_kind"), F.lit(None).cast(t.schema["_point"].dataType).alias("_point"),
                        packed.cast(t.schema["_query"].dataType).alias("_query"), tie.alias("_tie"))
-    scan = Ordered(t.unionByName(q), by, ["_x", "_kind", "_tie"], rows_per_task)
+    scan = Ordered(t.unionByName(q), by, ["_x", "_kind", "_tie", "_point"], rows_per_task)
     scan.running(lo=("last", F.col("_point"))).running(backwards=True, hi=("last", F.col("_point")))
     hi = F.when(F.col("lo")[x] == F.col("_x"), F.col("lo")).otherwise(F.col("hi"))
     return scan.df.filter("_kind = 2").select(*by, F.col("_x").alias(x), *[F.col("_query")[c].alias(c) for c in extra], "lo", hi.alias("hi"))

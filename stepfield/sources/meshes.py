@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,8 +129,32 @@ def gmsh_report(spark: SparkSession, path, folder: str | None = None) -> DataFra
     return kinds.unionByName(unused.select("mesh_id", F.lit("unused nodes").alias("what"), "n"))
 
 
-def write_mesh_store(mesh: M.Mesh, path: str) -> None:
-    """Parquet store: points, oriented simplices, interface faces with their two regions, periodic rows."""
+#: What is known of a published version of a mesh store: its number, its folder and the tables in it.
+VERSIONS = "number bigint, version string, tables array<string>"
+
+
+def mesh_versions(spark: SparkSession, path: str) -> list:
+    """Published versions of a mesh store, the newest first; one row for each time it was written."""
+    try:
+        return spark.read.schema(VERSIONS).parquet(f"{path}/published").orderBy(F.desc("number"), F.desc("version")).collect()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return []
+        raise
+
+
+def write_mesh_store(mesh: M.Mesh, path: str, replace: bool = False) -> None:
+    """Parquet store: points, oriented simplices, interface faces with their two regions, periodic rows.
+
+    A version is written to a folder of its own and published last, so that readers see all of its tables or none, and a write that
+    fails leaves the store as it was. A store that exists is refused unless ``replace`` asks for a new version; the older ones
+    stay for those who read them.
+    """
+    spark = mesh.points.sparkSession
+    known = mesh_versions(spark, path)
+    if known and not replace:
+        raise ValueError(f"{path} holds a mesh store already")
+    version = "v" + uuid.uuid4().hex
     fixed = M.fix_orientation(mesh)
     parts = {"points": mesh.points, "simplices": fixed.simplices, "surfaces": M.interfaces(mesh)}
     if mesh.periodic is not None:
@@ -136,16 +163,21 @@ def write_mesh_store(mesh: M.Mesh, path: str) -> None:
         pad = F.concat("pids", F.array_repeat(F.lit(-1).cast("bigint"), F.lit(top) - F.size("pids")))
         parts["periodic"] = width.select("mesh_id", "gid", pad.alias("pids"))
     for name, df in parts.items():
-        df.repartitionByRange("mesh_id", df.columns[1]).write.mode("overwrite").parquet(f"{path}/{name}")
+        df.repartitionByRange("mesh_id", df.columns[1]).write.parquet(f"{path}/{version}/{name}")
+    number = 1 + (known[0].number if known else 0)
+    spark.createDataFrame([(number, version, list(parts))], VERSIONS).coalesce(1).write.mode("append").parquet(f"{path}/published")
 
 
 def read_mesh_store(spark: SparkSession, path: str, dim: int = 3, periodic: bool = True) -> M.Mesh:
-    """A mesh store; the padding -1 of periodic groups is removed."""
-    groups = None
-    if periodic:
-        rows = spark.read.parquet(path + "/periodic")
+    """The newest version of a mesh store; the padding -1 of periodic groups is removed. Without periodic rows there are no groups."""
+    known = mesh_versions(spark, path)
+    if not known:
+        raise ValueError(f"{path} holds no mesh store")
+    folder, groups = f"{path}/{known[0].version}", None
+    if periodic and "periodic" in known[0].tables:
+        rows = spark.read.parquet(folder + "/periodic")
         groups = rows.select("mesh_id", "gid", F.explode(F.filter("pids", lambda x: x != -1)).alias("pid"))
-    return M.Mesh(spark.read.parquet(path + "/points"), spark.read.parquet(path + "/simplices"), dim, groups)
+    return M.Mesh(spark.read.parquet(folder + "/points"), spark.read.parquet(folder + "/simplices"), dim, groups)
 
 
 def mesh_lines(mesh: M.Mesh, title: str = "mesh file version 1.0") -> DataFrame:

@@ -101,3 +101,35 @@ def test_weights(spark):
             SH.weighted_positions(spark.createDataFrame([(1, wrong)], kind), m.points, 1).collect()
     with pytest.raises(ValueError):
         SH.order_sites(m, 0)
+
+
+def test_mesh_store_versions(spark, tmp_path):
+    from stepfield.sources import meshes as ME
+
+    path, a, b = str(tmp_path / "store"), below(spark), above(spark, "other")
+    points = lambda: {r.pid for r in ME.read_mesh_store(spark, path).points.collect()}
+    with pytest.raises(ValueError, match="no mesh store"):
+        ME.read_mesh_store(spark, path)
+    ME.write_mesh_store(a, path)
+    assert points() == {0, 1, 2, 3, 4} and ME.read_mesh_store(spark, path).periodic is None
+    with pytest.raises(ValueError, match="already"):
+        ME.write_mesh_store(b, path)
+    # A write that stops after its first table is never seen.
+    broken = M.Mesh(b.points.filter("pid <> 104"), b.simplices, 3)
+    with pytest.raises(PySparkException):
+        ME.write_mesh_store(broken, path, replace=True)
+    assert points() == {0, 1, 2, 3, 4} and len(ME.mesh_versions(spark, path)) == 1
+    ME.write_mesh_store(M.Mesh(b.points, b.simplices, 3, spark.createDataFrame([(1, 0, 100), (1, 0, 103)], "mesh_id int, gid long, pid long")), path, replace=True)
+    assert points() == {100, 101, 102, 103, 104} and ME.read_mesh_store(spark, path).periodic.count() == 2
+    assert [r.number for r in ME.mesh_versions(spark, path)] == [2, 1]
+
+
+@pytest.mark.parametrize("rows_per_task", [None, 3])
+def test_equal_places_of_a_table(spark, rows_per_task):
+    from stepfield.operators import probe as P
+
+    table = spark.createDataFrame([(1, x, y) for x, y in ((0.0, 0.0), (1.0, 5.0), (1.0, 2.0), (1.0, 3.0), (2.0, 7.0), (2.0, 7.0))], "run int, x double, y double")
+    asked = spark.createDataFrame([(1, x) for x in (-1.0, 0.5, 1.0, 1.0, 1.5, 2.0, 3.0)], "run int, x double")
+    got = sorted((r.x, r.out) for r in P.interp1(asked.repartition(4), table.repartition(3), ["run"], "x", "y", "out", rows_per_task).collect())
+    # A jump: the least value at its left, the greatest at and right of it.
+    assert got == [(-1.0, 0.0), (0.5, 1.0), (1.0, 5.0), (1.0, 5.0), (1.5, 6.0), (2.0, 7.0), (3.0, 7.0)]

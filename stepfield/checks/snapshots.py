@@ -9,6 +9,7 @@ from stepfield.checks.meshes import PROPS, region_names
 from stepfield.operators import mesh as M
 from stepfield.operators import rules as R
 from stepfield.operators import snapshots as S
+from stepfield.plans.skewed import lookup
 
 OUT = ["run_id", "subfield", "id"]
 ABC = "round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS c"
@@ -140,7 +141,7 @@ def _(spark, sf):
     s = snapshots(spark, sf, m)
     pos = S.site_positions(s, m.points, factor=1e-3)
     sites = s.select("mesh_id", "subfield", "site").distinct()
-    return sites.join(pos, ["mesh_id", "site"]).select("mesh_id", "subfield", pid(), r(F.col("pos")[0], 8).alias("x"), r(F.col("pos")[1], 8).alias("y"))
+    return lookup(sites, pos, ["mesh_id", "site"]).select("mesh_id", "subfield", pid(), r(F.col("pos")[0], 8).alias("x"), r(F.col("pos")[1], 8).alias("y"))
 
 
 @query("j02_to_point_order", f"""{WS}, k AS (SELECT DISTINCT run_id, mesh_id, subfield, id FROM snap)
@@ -294,7 +295,7 @@ def _(spark, sf):
     v = S.subfield_volumes(m, subfield_where(spark, m))
     amount = S.to_amount(snapshots(spark, sf, m), v, 3)
     back = S.to_density(amount, v, 3).select(*S.KEY, "site", F.col("value").alias("_back"))
-    return amount.join(back, [*S.KEY, "site"]).select(*OUT, pid(), r(F.col("value")[0], 7).alias("a"), r(F.col("_back")[0]).alias("back"))
+    return lookup(amount, back, [*S.KEY, "site"]).select(*OUT, pid(), r(F.col("value")[0], 7).alias("a"), r(F.col("_back")[0]).alias("back"))
 
 
 @query("w12_row_ids", f"{WS} SELECT run_id, subfield, id, row_number() OVER (PARTITION BY run_id, subfield ORDER BY id) - 1 AS row FROM (SELECT DISTINCT run_id, subfield, id FROM snap)")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from stepfield.checks.base import EDGES, FACES, LOC, MESH, SNAP, epoch_us, event_runs, part_mesh, query, r, snapshots, table, xyz_out
 from stepfield.checks.probing import part_grid
 from stepfield.operators import mesh as M
+from stepfield.plans.skewed import lookup
 from stepfield.session import shared_folder
 from stepfield.sources import grid_blocks as GB
 from stepfield.sources import grids as GR
@@ -164,7 +165,8 @@ def _(spark, sf):
 @query("s20_append_sites", f"""{WS} SELECT printf('%g %.6f %.6f %.6f', s.time, x, y, z) AS line, count(*) AS n FROM snap s JOIN pts USING (mesh_id, pid) GROUP BY ALL""")
 def _(spark, sf):
     m = part_mesh(spark, sf)
-    s = snapshots(spark, sf, m).withColumn("pid", F.col("site")[0]).join(m.points, ["mesh_id", "pid"])
+    s = snapshots(spark, sf, m).withColumn("pid", F.col("site")[0])
+    s = lookup(s, m.points, ["mesh_id", "pid"])
     path = scratch(spark)
     SN.append_sites(s.filter("id < 1"), path)
     SN.append_sites(s.filter("id >= 1"), path)

@@ -10,6 +10,7 @@ from stepfield.checks.probing import PROBE, part_probes
 from stepfield.operators import interfaces as I
 from stepfield.operators import mesh as M
 from stepfield.operators import shapes as SH
+from stepfield.plans.skewed import lookup
 
 # Two bodies of the part mesh's cubes: below the layer z = 4, and from there on with the cubes cut along other diagonals. The
 # second has ids of its own (5 * pid + 7), and its points are off by up to 0.00002.
@@ -31,10 +32,10 @@ def two_bodies(spark, sf):
     low = body(cubes.filter(F.col("c") % 8 < 4), base, {})
     high = body(cubes.filter(F.col("c") % 8 >= 4), base + 81, {81: -81})
     used = lambda s: s.select("mesh_id", F.explode("v").alias("pid")).distinct()
-    points = whole.points.join(used(low), ["mesh_id", "pid"], "left_semi")
+    points = lookup(whole.points, used(low), ["mesh_id", "pid"], "left_semi")
     off = (F.col("pid") * 13 % 5 - 2) * 1e-5
     # Positions follow the id by the rule of the part mesh; the second body may use points that no cube of that mesh has.
-    moved = whole.points.join(used(high), ["mesh_id", "pid"], "left_semi").select(
+    moved = lookup(whole.points, used(high), ["mesh_id", "pid"], "left_semi").select(
         "mesh_id", (F.col("pid") * 5 + 7).alias("pid"), F.transform("pos", lambda x: x + off).alias("pos"))
     return M.Mesh(points, low, 3), M.Mesh(moved, high.withColumn("v", F.transform("v", lambda p: p * 5 + 7)), 3)
 

@@ -33,7 +33,7 @@ def same_points(a: DataFrame, b: DataFrame, dim: int, tolerance: float) -> DataF
         "mesh_id", F.col("pid").alias("pid_a"), *[F.col(f"x{i}").alias(f"a{i}") for i in axes], *[(c + F.col("_s")[i]).alias(f"c{i}") for i, c in enumerate(cell)])
     own = M.xyz(b, dim).select("mesh_id", F.col("pid").alias("pid_b"), *[F.col(f"x{i}").alias(f"b{i}") for i in axes], *[c.alias(f"c{i}") for i, c in enumerate(cell)])
     apart = reduce(lambda x, y: x + y, [(F.col(f"a{i}") - F.col(f"b{i}")) * (F.col(f"a{i}") - F.col(f"b{i}")) for i in axes])
-    pairs = near.join(own, ["mesh_id", *[f"c{i}" for i in axes]]).filter(apart <= tolerance * tolerance).select("mesh_id", "pid_a", "pid_b")
+    pairs = lookup(near, own, ["mesh_id", *[f"c{i}" for i in axes]]).filter(apart <= tolerance * tolerance).select("mesh_id", "pid_a", "pid_b")
     message = "a point with several partners: the tolerance is too large"
     for one, other in (("pid_a", "pid_b"), ("pid_b", "pid_a")):
         kind = dict(pairs.dtypes)[other]

@@ -82,7 +82,7 @@ def neighbours(mesh: Mesh) -> DataFrame:
     table = face_table(mesh).filter("n > 1")
     pairs = table.filter("n = 2").select("mesh_id", "face", "sid_a", "sid_b")
     crowd = table.filter("n > 2").select("mesh_id", "face", "sid_a")
-    more = faces(mesh).join(crowd, ["mesh_id", "face"]).filter("sid > sid_a").select(
+    more = lookup(faces(mesh), crowd, ["mesh_id", "face"]).filter("sid > sid_a").select(
         "mesh_id", "face", "sid_a", F.col("sid").alias("sid_b"))
     return pairs.unionByName(more)
 
@@ -157,10 +157,16 @@ def site_volumes(mesh: Mesh) -> DataFrame:
     own = rows.groupBy("mesh_id", "pid").agg(F.sum("volume").alias("volume"))
     if mesh.periodic is None:
         return own
-    tagged = own.join(mesh.periodic, ["mesh_id", "pid"], "left")
+    tagged = lookup(own, mesh.periodic, ["mesh_id", "pid"], "left")
     shared = tagged.filter("gid is not null").groupBy("mesh_id", "gid").agg(F.sum("volume").alias("_sum"))
-    return tagged.join(shared, ["mesh_id", "gid"], "left").select(
-        "mesh_id", "pid", F.coalesce("_sum", "volume").alias("volume"))
+    return of_group(tagged, shared, ["mesh_id"]).select("mesh_id", "pid", F.coalesce("_sum", "volume").alias("volume"))
+
+
+def of_group(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Left lookup by ``keys`` and ``gid``; rows without a group are spread by their ``pid``."""
+    rows = rows.withColumns({"_in": F.col("gid").isNotNull(), "_at": F.coalesce("gid", "pid")})
+    table = table.withColumns({"_in": F.lit(True), "_at": F.col("gid")}).drop("gid")
+    return lookup(rows, table, [*keys, "_in", "_at"], "left").drop("_in", "_at")
 
 
 def region_volumes(mesh: Mesh) -> DataFrame:
@@ -212,7 +218,8 @@ def edge_stats(mesh: Mesh, bins: int = 10) -> DataFrame:
     """Histogram of the edge lengths over [min, max] with mean, population deviation and range."""
     lengths = edge_lengths(mesh)
     summary = edge_summary(mesh)
-    ranged = lengths.join(summary.select("mesh_id", "low", "high"), "mesh_id")
+    # One row per mesh; every edge has one.
+    ranged = lengths.join(F.broadcast(summary.select("mesh_id", "low", "high")), "mesh_id")
     return _histogram(ranged, "length", F.col("low"), F.col("high"), bins).join(summary, "mesh_id")
 
 
@@ -275,14 +282,14 @@ def mesh_info(mesh: Mesh) -> DataFrame:
 def check_mesh(mesh: Mesh, listed_surfaces: DataFrame | None = None) -> DataFrame:
     """Problems found: points no simplex uses, and faces that neither join two simplices nor are in
     the list of surfaces (mesh_id, face). Without a list the computed surfaces count."""
-    unused = mesh.points.join(corners(mesh), ["mesh_id", "pid"], "left_anti").select(
+    unused = lookup(mesh.points, corners(mesh), ["mesh_id", "pid"], "left_anti").select(
         "mesh_id", F.lit("unused point").alias("problem"), F.array("pid").alias("ids"))
     odd = face_table(mesh).filter("n <> 2").select("mesh_id", "face", "n")
     if listed_surfaces is None:
         odd = odd.filter("n > 2")
     else:
         known = listed_surfaces.select("mesh_id", F.array_sort("face").alias("face")).distinct()
-        odd = odd.join(known, ["mesh_id", "face"], "left_anti")
+        odd = lookup(odd, known, ["mesh_id", "face"], "left_anti")
     return unused.unionByName(odd.select("mesh_id", F.lit("face not shared by two").alias("problem"),
                                          F.col("face").alias("ids")))
 
@@ -356,7 +363,7 @@ def outer_skin(mesh: Mesh, compare: str = "ge", n: int = 1) -> DataFrame:
     hit = _surface_points(mesh).withColumn("_s", F.lit(1))
     counted = lookup(corners(mesh), hit, ["mesh_id", "pid"], "left").groupBy("mesh_id", "sid").agg(
         F.count("_s").alias("on_surface"))
-    return mesh.simplices.join(counted.filter(_COMPARE[compare](F.col("on_surface"), n)), ["mesh_id", "sid"])
+    return lookup(mesh.simplices, counted.filter(_COMPARE[compare](F.col("on_surface"), n)), ["mesh_id", "sid"])
 
 
 def skin_layers(mesh: Mesh, compare: str = "ge", n: int = 1) -> DataFrame:
@@ -369,10 +376,9 @@ def skin_layers(mesh: Mesh, compare: str = "ge", n: int = 1) -> DataFrame:
         seen = lookup(left, front.withColumn("_f", F.lit(1)), ["mesh_id", "pid"], "left")
         hit = seen.groupBy("mesh_id", "sid").agg(F.count("_f").alias("_n")).filter(_COMPARE[compare](F.col("_n"), n))
         hit = cut_lineage(hit.select("mesh_id", "sid", F.lit(layer).alias("layer")))
-        fresh = (left.join(hit, ["mesh_id", "sid"], "left_semi").select("mesh_id", "pid").distinct()
-                 .join(front, ["mesh_id", "pid"], "left_anti"))
+        fresh = lookup(lookup(left, hit, ["mesh_id", "sid"], "left_semi").select("mesh_id", "pid").distinct(), front, ["mesh_id", "pid"], "left_anti")
         front = cut_lineage(fresh)
-        left = cut_lineage(left.join(hit, ["mesh_id", "sid"], "left_anti"))
+        left = cut_lineage(lookup(left, hit, ["mesh_id", "sid"], "left_anti"))
         done = hit if done is None else done.unionByName(hit)
         layer += 1
         if layer % 50 == 0:
@@ -445,7 +451,7 @@ def refine(mesh: Mesh, level: int = 1) -> Mesh:
 def _refine_once(mesh: Mesh) -> Mesh:
     d = mesh.dim
     top = mesh.points.groupBy("mesh_id").agg((F.max("pid") + 1).alias("_base"))
-    mids = dense_ids(edges(mesh), ["mesh_id"], ["src", "dst"], "_n").join(top, "mesh_id").select(
+    mids = dense_ids(edges(mesh), ["mesh_id"], ["src", "dst"], "_n").join(F.broadcast(top), "mesh_id").select(
         "mesh_id", F.array("src", "dst").alias("pair"), (F.col("_base") + F.col("_n")).alias("mid"))
     p = xyz(mesh.points, d)
     ends = mids.select("mesh_id", "mid", F.explode("pair").alias("pid"))
@@ -497,7 +503,7 @@ def subdivide(mesh: Mesh, n: int) -> Mesh:
     rows = mesh.simplices.select("mesh_id", "sid", "region", F.posexplode(F.array(*[parent(w) for w in weights])).alias("k", "key"))
     new = rows.filter(F.size("key") > 1).select("mesh_id", "key").distinct()
     top = points.groupBy("mesh_id").agg((F.max("pid") + 1).alias("_base"))
-    ids = dense_ids(new, ["mesh_id"], ["key"], "_n").join(top, "mesh_id").select("mesh_id", "key", (F.col("_base") + F.col("_n")).alias("id"))
+    ids = dense_ids(new, ["mesh_id"], ["key"], "_n").join(F.broadcast(top), "mesh_id").select("mesh_id", "key", (F.col("_base") + F.col("_n")).alias("id"))
     ends = ids.select("mesh_id", F.col("id").alias("new"), F.explode("key").alias("p")).select("mesh_id", "new", "p.pid", "p.weight")
     axes = matched(ends, points, ["mesh_id", "pid"], "a simplex with an unknown point").select("mesh_id", "new", "weight", F.posexplode("pos").alias("a", "x"))
     sums = axes.groupBy("mesh_id", "new", "a").agg((F.sum(F.col("weight") * F.col("x")) / n).alias("x"))
@@ -520,12 +526,12 @@ def interface_mismatch(mesh: Mesh) -> DataFrame:
     touch = shell.select("mesh_id", "body", F.explode("face").alias("pid")).distinct()
     a = touch.withColumnRenamed("body", "body_a")
     b = touch.withColumnRenamed("body", "body_b")
-    common = a.join(b, ["mesh_id", "pid"]).filter("body_a < body_b")
+    common = lookup(a, b, ["mesh_id", "pid"]).filter("body_a < body_b")
     bodies = common.select("mesh_id", "body_a", "body_b").distinct().withColumn("body", F.explode(F.array("body_a", "body_b")))
-    sided = shell.join(bodies, ["mesh_id", "body"]).select(
+    sided = shell.join(F.broadcast(bodies), ["mesh_id", "body"]).select(
         "mesh_id", "body_a", "body_b", F.col("body").alias("side"), "face")
     keys = ["mesh_id", "body_a", "body_b"]
-    whole = (sided.withColumn("pid", F.explode("face")).join(common, [*keys, "pid"], "left_semi")
+    whole = (lookup(sided.withColumn("pid", F.explode("face")), common, [*keys, "pid"], "left_semi")
              .groupBy(*keys, "side", "face").count().filter(F.col("count") == d).drop("count"))
     return whole.groupBy(*keys, "face").agg(F.count(F.lit(1)).alias("_n"), F.max("side").alias("side")).filter("_n = 1").drop("_n")
 
@@ -556,7 +562,7 @@ def partition_ids(points: DataFrame, pieces: int | None = None, sizes: list[int]
     """Contiguous blocks of node ids: ``pieces`` blocks of equal (rounded up) size, or the given sizes,
     which must add up to the number of nodes."""
     n = points.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("_n"))
-    rows = points.join(n, "mesh_id")
+    rows = points.join(F.broadcast(n), "mesh_id")
     if sizes is None:
         return rows.withColumn("part", F.floor(F.col("pid") / F.ceil(F.col("_n") / pieces)).cast("int")).drop("_n")
     demand(n, F.col("_n") != sum(sizes), "the sizes do not add up to the number of nodes")
@@ -587,7 +593,7 @@ def mirror(mesh: Mesh, directions: list[int], e1: float = 1e-6, e2: float = 1e-6
         x = F.col("pos")[axis]
         ext = mesh.points.groupBy("mesh_id").agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"), (F.max("pid") + 1).alias("_np"))
         plane, other = ("_hi", "_lo") if direction == 1 else ("_lo", "_hi")
-        rows = mesh.points.join(ext, "mesh_id").withColumn("_m", 2 * F.col(plane) - x)
+        rows = mesh.points.join(F.broadcast(ext), "mesh_id").withColumn("_m", 2 * F.col(plane) - x)
         rows = rows.withColumn("_weld", F.abs(x - F.col("_m")) < e1)
         free = dense_ids(rows.filter(~F.col("_weld")), ["mesh_id"], ["pid"], "_k")
         free = free.withColumn("new_pid", F.col("_np") + F.col("_k"))
@@ -597,7 +603,7 @@ def mirror(mesh: Mesh, directions: list[int], e1: float = 1e-6, e2: float = 1e-6
         points = mesh.points.select("mesh_id", "pid", "pos").unionByName(
             free.select("mesh_id", F.col("new_pid").alias("pid"), image.alias("pos")))
         ns = mesh.simplices.groupBy("mesh_id").agg((F.max("sid") + 1).alias("_ns"))
-        copy = remap(mesh.simplices, mapping, ["mesh_id"], mesh.dim).join(ns, "mesh_id").select(
+        copy = remap(mesh.simplices, mapping, ["mesh_id"], mesh.dim).join(F.broadcast(ns), "mesh_id").select(
             "mesh_id", (F.col("sid") + F.col("_ns")).alias("sid"), "region", "v")
         simplices = mesh.simplices.select("mesh_id", "sid", "region", "v").unionByName(copy)
         periodic = None
@@ -605,7 +611,7 @@ def mirror(mesh: Mesh, directions: list[int], e1: float = 1e-6, e2: float = 1e-6
             pairs = free.filter(F.abs(x - F.col(other)) < e2).select("mesh_id", F.col("pid").alias("src"), F.col("new_pid").alias("dst"))
             if mesh.periodic is not None:
                 first = mesh.periodic.groupBy("mesh_id", "gid").agg(F.min("pid").alias("src"))
-                links = mesh.periodic.join(first, ["mesh_id", "gid"]).select("mesh_id", "src", F.col("pid").alias("dst"))
+                links = lookup(mesh.periodic, first, ["mesh_id", "gid"]).select("mesh_id", "src", F.col("pid").alias("dst"))
                 moved = lookup(links.withColumnRenamed("src", "pid"), mapping, ["mesh_id", "pid"]).select(
                     "mesh_id", F.col("new_pid").alias("src"), F.col("dst").alias("pid"))
                 moved = lookup(moved, mapping, ["mesh_id", "pid"]).select("mesh_id", "src", F.col("new_pid").alias("dst"))

@@ -119,9 +119,9 @@ def locate(probes: DataFrame, mesh: M.Mesh, slack: float = 1e-12) -> DataFrame:
     levels = shapes.select("mesh_id", "_lv").distinct()
     for a in axes:
         shapes = shapes.withColumn(f"_c{a}", F.explode(F.sequence(_cell(F.col(f"lo{a}"), F.col("_lv")), _cell(F.col(f"hi{a}"), F.col("_lv")))))
-    asked = probes.select("mesh_id", "probe", *[p.alias(f"p{a}") for a, p in enumerate(parts("pos", d))]).join(levels, "mesh_id")
+    asked = probes.select("mesh_id", "probe", *[p.alias(f"p{a}") for a, p in enumerate(parts("pos", d))]).join(F.broadcast(levels), "mesh_id")
     asked = asked.withColumns({f"_c{a}": _cell(F.col(f"p{a}"), F.col("_lv")) for a in axes})
-    pairs = asked.join(shapes, ["mesh_id", "_lv", *[f"_c{a}" for a in axes]])
+    pairs = lookup(asked, shapes, ["mesh_id", "_lv", *[f"_c{a}" for a in axes]])
     pairs = pairs.filter(reduce(lambda x, y: x & y, [F.col(f"p{a}").between(F.col(f"lo{a}"), F.col(f"hi{a}")) for a in axes]))
     # Weights are linear in the position: one row of the inverse edge matrix per vertex but the first.
     pairs = pairs.withColumns({f"w{k + 1}": reduce(lambda x, y: x + y, [F.col(f"g{k}{a}") * (F.col(f"p{a}") - F.col(f"o{a}")) for a in axes]) for k in axes})
@@ -148,7 +148,7 @@ def apply_matrix(matrix: DataFrame, snap: DataFrame, width: int, entries: int |
     ``entries`` is the number of rows that each probe has in the matrix (dim + 1 for ``probe_matrix``); they are counted if it isn't given.
     """
     rows = node(snap).select(*KEY, *CLOCK, "pid", *[v.alias(f"_{i}") for i, v in enumerate(parts("value", width))])
-    sums = rows.join(matrix, ["mesh_id", "pid"]).groupBy(*KEY, *CLOCK, "probe").agg(
+    sums = lookup(rows, matrix, ["mesh_id", "pid"]).groupBy(*KEY, *CLOCK, "probe").agg(
         F.count(F.lit(1)).alias("_got"), *[F.sum(F.col("weight") * F.col(f"_{i}")).alias(f"_{i}") for i in range(width)])
     if entries is None:
         sums = lookup(sums, matrix.groupBy("mesh_id", "probe").agg(F.count(F.lit(1)).alias("_need")), ["mesh_id", "probe"]).filter("_got = _need")
@@ -161,8 +161,8 @@ def probe(snap: DataFrame, mesh: M.Mesh, probes: DataFrame, width: int, vec=None
     """Field values at positions for every save; NULL outside. ``vec`` maps the value column to another."""
     found = apply_matrix(probe_matrix(probes, mesh), snap, width, mesh.dim + 1)
     each = snap.groupBy(*KEY).agg(*[F.max(c).alias(c) for c in CLOCK])
-    grid = probes.join(each, "mesh_id")
-    out = grid.join(found.drop(*CLOCK), [*KEY, "probe"], "left")
+    grid = probes.join(F.broadcast(each), "mesh_id")
+    out = lookup(grid, found.drop(*CLOCK), [*KEY, "probe"], "left")
     return out.withColumn("value", vec(F.col("value"))) if vec else out
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepfield.plans.skewed import demand
+from stepfield.plans.skewed import demand, lookup
 from stepfield.session import cut_lineage
 
 
@@ -51,7 +51,7 @@ def where_region(sites: DataFrame, region_props: DataFrame, test) -> DataFrame:
         F.count(F.lit(1)).alias("_n"), *[F.coalesce(F.sum(f"_p{i}"), F.lit(0)).alias(f"_p{i}") for i in range(len(props))])
     counts = {p: F.col(f"_p{i}") for i, p in enumerate(props)}
     counts[None] = F.col("_n")
-    return sites.join(seen.filter(test.build(counts)).select("mesh_id", "pid"), ["mesh_id", "pid"], "left_semi")
+    return lookup(sites, seen.filter(test.build(counts)).select("mesh_id", "pid"), ["mesh_id", "pid"], "left_semi")
 
 
 def rules_frame(spark: SparkSession, rules: list[tuple]) -> DataFrame:

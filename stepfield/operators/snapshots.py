@@ -113,10 +113,10 @@ def saves(snap: DataFrame) -> DataFrame:
 def convert(snap: DataFrame, catalog: DataFrame, factors: DataFrame, width: int, divide: bool = False) -> DataFrame:
     """Multiply (or divide) the values of a field by the factor of its unit: catalog (run_id, field,
     subfield, unit) ⋈ factors (unit, factor)."""
-    known = matched(catalog, factors.select("unit", "factor"), ["unit"], "a unit without a factor")
+    known = matched(catalog, factors.select("unit", "factor"), ["unit"], "a unit without a factor", few=True)
     table = known.select("run_id", "field", "subfield", "factor")
     op = (lambda v: v / F.col("factor")) if divide else (lambda v: v * F.col("factor"))
-    return matched(snap, table, ["run_id", "field", "subfield"], "a field that the catalog does not know").withColumn(
+    return matched(snap, table, ["run_id", "field", "subfield"], "a field that the catalog does not know", few=True).withColumn(
         "value", F.array(*[op(v) for v in parts("value", width)])).select(snap.columns)
 
 
@@ -141,10 +141,10 @@ def site_positions(sites: DataFrame, points: DataFrame, dim: int = 3, factor: fl
 def to_point_order(snap: DataFrame, points: DataFrame, width: int) -> DataFrame:
     """A value for every point of the mesh in each save, zeros where the subfield is undefined."""
     each = snap.select(*KEY).distinct()
-    grid = points.select("mesh_id", "pid").join(each, "mesh_id")
+    grid = points.select("mesh_id", "pid").join(F.broadcast(each), "mesh_id")
     have = node(snap).select(*KEY, "pid", "value")
     zeros = F.array(*[F.lit(0.0)] * width)
-    return grid.join(have, [*KEY, "pid"], "left").withColumn("value", F.coalesce("value", zeros))
+    return lookup(grid, have, [*KEY, "pid"], "left").withColumn("value", F.coalesce("value", zeros))
 
 
 def realign(snap: DataFrame, perm_saved: DataFrame, perm_now: DataFrame) -> DataFrame:
@@ -155,7 +155,7 @@ def realign(snap: DataFrame, perm_saved: DataFrame, perm_now: DataFrame) -> Data
     demand(counts, "not (count <=> now)", "the permutations differ in length")
     a = perm_saved.select("mesh_id", F.col("new_pid").alias("pid"), "orig_pid")
     b = perm_now.select("mesh_id", F.col("new_pid").alias("now_pid"), "orig_pid")
-    table = a.join(b, ["mesh_id", "orig_pid"]).select("mesh_id", "pid", "now_pid")
+    table = lookup(a, b, ["mesh_id", "orig_pid"]).select("mesh_id", "pid", "now_pid")
     found = matched(node(snap), table, ["mesh_id", "pid"], "a site that the permutations do not have")
     return found.withColumn("site", F.array("now_pid")).select(snap.columns)
 
@@ -166,7 +166,7 @@ def combine(snap: DataFrame, terms: list[tuple[float, int]], width: int) -> Data
     """Sum of coefficient times snapshot row, per site. Rows count the saves from 0."""
     table = F.create_map(*[x for c, r in terms for x in (F.lit(r).cast("bigint"), F.lit(float(c)))])
     rows = saves(snap).withColumn("_c", table[F.col("row")]).filter("_c is not null").select(*KEY, "_c")
-    return lookup(snap, rows, KEY).groupBy("run_id", "mesh_id", "field", "subfield", "site").agg(
+    return snap.join(F.broadcast(rows), KEY).groupBy("run_id", "mesh_id", "field", "subfield", "site").agg(
         _summed(width, F.col("_c")).alias("value"))
 
 
@@ -181,8 +181,7 @@ def variation(snap: DataFrame, t0: float, width: int) -> DataFrame:
 
 
 def _paired(a: DataFrame, b: DataFrame) -> DataFrame:
-    both = a.select(*KEY, "site", F.col("value").alias("_a")).join(
-        b.select(*KEY, "site", F.col("value").alias("_b")), [*KEY, "site"], "full")
+    both = lookup(a.select(*KEY, "site", F.col("value").alias("_a")), b.select(*KEY, "site", F.col("value").alias("_b")), [*KEY, "site"], "full")
     paired = F.col("_a").isNotNull() & F.col("_b").isNotNull()
     return both.withColumns({c: need(F.col(c), "the two fields have different sites", "array<double>", paired) for c in ("_a", "_b")})
 
@@ -211,12 +210,12 @@ def scale(snap: DataFrame, k: float, width: int) -> DataFrame:
 def push(restricted: DataFrame, full: DataFrame) -> DataFrame:
     """Write the values of a restricted field into the full one."""
     new = restricted.select(*KEY, "site", F.col("value").alias("_new"))
-    return full.join(new, [*KEY, "site"], "left").withColumn("value", F.coalesce("_new", "value")).select(full.columns)
+    return lookup(full, new, [*KEY, "site"], "left").withColumn("value", F.coalesce("_new", "value")).select(full.columns)
 
 
 def pull(full: DataFrame, restricted: DataFrame) -> DataFrame:
     """The values of a full field at the sites of a restricted one."""
-    return full.join(restricted.select(*KEY, "site"), [*KEY, "site"], "left_semi")
+    return lookup(full, restricted.select(*KEY, "site"), [*KEY, "site"], "left_semi")
 
 
 # Integrals and norms
@@ -227,7 +226,7 @@ def subfield_volumes(mesh: M.Mesh, where: DataFrame) -> DataFrame:
     rows = M.volumes(mesh).select("mesh_id", "region", F.explode(F.array(*[f"v{k}" for k in range(d + 1)])).alias("pid"),
                                   (F.col("volume") / float(d + 1)).alias("volume"))
     per = rows.groupBy("mesh_id", "region", "pid").agg(F.sum("volume").alias("volume"))
-    return per.join(where, ["mesh_id", "region"]).groupBy("mesh_id", "subfield", "pid").agg(F.sum("volume").alias("volume"))
+    return per.join(F.broadcast(where), ["mesh_id", "region"]).groupBy("mesh_id", "subfield", "pid").agg(F.sum("volume").alias("volume"))
 
 
 def integrate(snap: DataFrame, vols: DataFrame, width: int, periodic: DataFrame | None = None) -> DataFrame:
@@ -237,8 +236,8 @@ def integrate(snap: DataFrame, vols: DataFrame, width: int, periodic: DataFrame
     rows = node(snap)
     if periodic is not None:
         lead = periodic.groupBy("mesh_id", "gid").agg(F.min("pid").alias("_lead"))
-        followers = periodic.join(lead, ["mesh_id", "gid"]).filter("pid <> _lead").select("mesh_id", "pid")
-        rows = rows.join(followers, ["mesh_id", "pid"], "left_anti")
+        followers = lookup(periodic, lead, ["mesh_id", "gid"]).filter("pid <> _lead").select("mesh_id", "pid")
+        rows = lookup(rows, followers, ["mesh_id", "pid"], "left_anti")
     on = ["mesh_id", "pid"] + (["subfield"] if "subfield" in vols.columns else [])
     sums = lookup(rows, vols, on).groupBy(*KEY, *CLOCK).agg(
         *[F.sum(v * F.col("volume")).alias(f"_{i}") for i, v in enumerate(parts("value", width))])
@@ -247,7 +246,7 @@ def integrate(snap: DataFrame, vols: DataFrame, width: int, periodic: DataFrame
 
 def average(snap: DataFrame, mesh: M.Mesh, where: DataFrame, width: int) -> DataFrame:
     """Integral over the volume of the subfield's regions."""
-    size = (M.region_volumes(mesh).join(where, ["mesh_id", "region"])
+    size = (M.region_volumes(mesh).join(F.broadcast(where), ["mesh_id", "region"])
             .groupBy("mesh_id", "subfield").agg(F.sum("volume").alias("_v")))
     return integrate(snap, subfield_volumes(mesh, where), width).join(size, ["mesh_id", "subfield"]).select(
         *KEY, *CLOCK, "comp", (F.col("integral") / F.nullif("_v", F.lit(0.0))).alias("average"))
@@ -256,12 +255,12 @@ def average(snap: DataFrame, mesh: M.Mesh, where: DataFrame, width: int) -> Data
 def max_angle(snap: DataFrame, mesh: M.Mesh, where: DataFrame, width: int = 3) -> DataFrame:
     """Largest angle (degrees) between the vectors at two nodes of one simplex; zero vectors are skipped."""
     pair = F.explode(M._subsets(F.col("v"), mesh.dim, 2)).alias("e")
-    links = mesh.simplices.select("mesh_id", "region", pair).join(where, ["mesh_id", "region"]).select(
+    links = mesh.simplices.select("mesh_id", "region", pair).join(F.broadcast(where), ["mesh_id", "region"]).select(
         "mesh_id", "subfield", F.col("e")[0].alias("src"), F.col("e")[1].alias("dst")).distinct()
     rows = node(snap).select(*KEY, "pid", *[v.alias(f"c{i}") for i, v in enumerate(parts("value", width))])
     a = rows.select(*KEY, F.col("pid").alias("src"), *[F.col(f"c{i}").alias(f"a{i}") for i in range(width)])
     b = rows.select(*KEY, F.col("pid").alias("dst"), *[F.col(f"c{i}").alias(f"b{i}") for i in range(width)])
-    both = a.join(links, ["mesh_id", "subfield", "src"]).join(b, [*KEY, "dst"])
+    both = lookup(lookup(a, links, ["mesh_id", "subfield", "src"]), b, [*KEY, "dst"])
     turn = g.angle([F.col(f"a{i}") for i in range(width)], [F.col(f"b{i}") for i in range(width)])
     return both.groupBy(*KEY).agg(F.degrees(F.max(turn)).alias("max_angle"))
 
@@ -284,10 +283,10 @@ def norms(snap: DataFrame, width: int) -> DataFrame:
 
 def equalize_periodic(snap: DataFrame, periodic: DataFrame, width: int) -> DataFrame:
     """Replace the values on periodic images by their mean."""
-    rows = node(snap).join(periodic, ["mesh_id", "pid"], "left")
+    rows = lookup(node(snap), periodic, ["mesh_id", "pid"], "left")
     mean = rows.filter("gid is not null").groupBy(*KEY, "gid").agg(
         F.array(*[F.avg(v) for v in parts("value", width)]).alias("_mean"))
-    return rows.join(mean, [*KEY, "gid"], "left").withColumn("value", F.coalesce("_mean", "value")).select(snap.columns)
+    return M.of_group(rows, mean, KEY).withColumn("value", F.coalesce("_mean", "value")).select(snap.columns)
 
 
 def uniaxial_energy(axis: list[float], k1: float, k2: float = 0.0, value="value") -> Column:
@@ -392,11 +391,11 @@ def defined_regions(snap: DataFrame, mesh: M.Mesh) -> DataFrame:
     touch = M.point_region_rows(mesh).filter("region >= 1")
     have = node(snap).select("run_id", "mesh_id", "subfield", "pid").distinct()
     fields = have.select("run_id", "mesh_id", "subfield").distinct()
-    sites = touch.join(fields, "mesh_id")
+    sites = touch.join(F.broadcast(fields), "mesh_id")
     keys = ["run_id", "mesh_id", "subfield"]
-    flagged = sites.join(have.withColumn("_d", F.lit(True)), [*keys, "pid"], "left").withColumn("_d", F.coalesce("_d", F.lit(False)))
+    flagged = lookup(sites, have.withColumn("_d", F.lit(True)), [*keys, "pid"], "left").withColumn("_d", F.coalesce("_d", F.lit(False)))
     full = flagged.groupBy(*keys, "region").agg(F.min("_d").alias("_all")).filter("_all").drop("_all")
-    seen = flagged.join(full.withColumn("_r", F.lit(True)), [*keys, "region"], "left")
+    seen = flagged.join(F.broadcast(full.withColumn("_r", F.lit(True))), [*keys, "region"], "left")
     per_site = seen.groupBy(*keys, "pid").agg(F.max("_d").alias("_d"), F.max(F.coalesce("_r", F.lit(False))).alias("_r"))
     demand(per_site, "_d <> _r", "a subfield is defined in a part of a region only")
     return full

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stepfield.operators import mesh as M
 from stepfield.plans.ordered import dense_ids
-from stepfield.plans.skewed import need
+from stepfield.plans.skewed import lookup, need
 from stepfield.sources.lines import file_stem, numbered_lines, tokens
 
 _ROW = ["mesh_id", "line", "t"]
@@ -125,7 +125,7 @@ def gmsh_report(spark: SparkSession, path, folder: str | None = None) -> DataFra
     mark = lambda s: F.max(F.when(F.col("value").startswith(s), F.col("line")))
     rows = _blocks(lines, _counts(lines, {"e0": mark("$ELM"), "e1": mark("$ENDELM")}))
     kinds = rows.filter("line > e0 + 1 and line < e1").filter(_number(1) != 4).groupBy("mesh_id", F.concat(F.lit("type "), F.get("t", F.lit(1))).alias("what")).agg(F.count(F.lit(1)).alias("n"))
-    unused = mesh.points.join(M.corners(mesh), ["mesh_id", "pid"], "left_anti").groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n"))
+    unused = lookup(mesh.points, M.corners(mesh), ["mesh_id", "pid"], "left_anti").groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n"))
     return kinds.unionByName(unused.select("mesh_id", F.lit("unused nodes").alias("what"), "n"))
 
 
@@ -197,7 +197,7 @@ def mesh_lines(mesh: M.Mesh, title: str = "mesh file version 1.0") -> DataFrame:
         3: faces.select("mesh_id", "place", F.concat(F.lit("\t"), F.least("region_a", "region_b").cast("string"), F.lit(" "), F.greatest("region_a", "region_b").cast("string"), F.lit("\t"), text("face")).alias("line")),
     }
     if mesh.periodic is not None:
-        groups = mesh.periodic.join(mapping, ["mesh_id", "pid"]).groupBy("mesh_id", "gid").agg(F.sort_array(F.collect_list("new_pid")).alias("pids"))
+        groups = lookup(mesh.periodic, mapping, ["mesh_id", "pid"]).groupBy("mesh_id", "gid").agg(F.sort_array(F.collect_list("new_pid")).alias("pids"))
         groups = dense_ids(groups, ["mesh_id"], ["gid"], "place")
         blocks[4] = groups.select("mesh_id", "place", F.concat(F.lit("\t"), F.col("place").cast("string"), F.lit("\t"), text("pids")).alias("line"))
     out = None

@@ -34,7 +34,7 @@ def append_snapshots(snap: DataFrame, path: str, catalog: DataFrame, factors: Da
     known = catalog.select("run_id", "field", "subfield").distinct().withColumn("_known", F.lit(True))
     meshes = points.select("mesh_id").distinct().withColumn("_mesh", F.lit(True))
     si = convert(snap, catalog, factors, width).select(*COLUMNS)
-    si = matched(matched(si, known, ["run_id", "field", "subfield"], "unknown field"), meshes, ["mesh_id"], "no mesh for the run")
+    si = matched(matched(si, known, ["run_id", "field", "subfield"], "unknown field", few=True), meshes, ["mesh_id"], "no mesh for the run", few=True)
     si = si.withColumn("value", F.when(F.col("_known") & F.col("_mesh"), F.col("value"))).select(*COLUMNS)
     # Rows of one save lie together; a big save still spreads over many files.
     out = si.repartitionByRange("run_id", "field", "id", F.col("site")[0]).sortWithinPartitions("run_id", "field", "id")
@@ -74,7 +74,7 @@ def save_index(spark: SparkSession, path: str, field: str | None = None, subfiel
     for name, value in (("field", field), ("subfield", subfield)):
         index = index if value is None else index.filter(F.col(name) == value)
     whole = index.groupBy(*INDEX).agg(F.sum("sites").alias("sites"), F.collect_set("file").alias("files"))
-    return lookup(whole, saves(whole).select(*KEY, "row"), KEY)
+    return whole.join(saves(whole).select(*KEY, "row"), KEY)
 
 
 def _of_saves(spark: SparkSession, path: str, chosen: DataFrame) -> DataFrame:
@@ -84,7 +84,7 @@ def _of_saves(spark: SparkSession, path: str, chosen: DataFrame) -> DataFrame:
     if not files:
         return read_store(spark, path).limit(0).withColumn("row", F.lit(None).cast("bigint"))
     rows = spark.read.option("basePath", f"{path}/rows").parquet(*files).withColumn("run_id", F.col("run_id").cast("string"))
-    return lookup(rows.select(*COLUMNS), chosen.select(*KEY, "row"), KEY)
+    return rows.select(*COLUMNS).join(F.broadcast(chosen.select(*KEY, "row")), KEY)
 
 
 def read_snapshot(spark: SparkSession, path: str, field: str, subfield: str, first: int, last: int | None = None) -> DataFrame:
@@ -124,7 +124,7 @@ def dump_snapshots(snap: DataFrame, points: DataFrame, width: int) -> DataFrame:
     """Text of snapshots as rows (KEY, position in the block, line): a header block per save of a
     subfield, then index, site, position and value per site."""
     pos = site_positions(snap, points)
-    rows = snap.join(pos, ["mesh_id", "site"])
+    rows = lookup(snap, pos, ["mesh_id", "site"])
     rows = Ordered(rows, KEY, ["site"]).position("_n").df
     vec = lambda c, n: F.concat(F.lit("("), F.concat_ws(" ", *[general(F.col(c)[i]) for i in range(n)]), F.lit(")"))
     body = rows.select(*KEY, F.col("_n").alias("place"), F.format_string(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stepfield.checks.base import EDGES, FACES, LOC, MESH, QUAL, part_mesh, query, r, table, xyz_out
+from stepfield.checks.base import EDGES, FACES, LOC, MESH, QUAL, part_mesh, query, r, spread, table, xyz_out
 from stepfield.checks.meshes import damaged, ids
 from stepfield.checks.probing import PROBE, part_probes
 from stepfield.operators import interfaces as I
@@ -22,7 +22,8 @@ TOLERANCE = 1e-3
 def two_bodies(spark, sf):
     whole = part_mesh(spark, sf)
     c = F.floor(F.col("p_partkey") / 4).cast("bigint")
-    cubes = table(spark, sf, "part").select((F.col("p_partkey") % 4).alias("mesh_id"), c.alias("c"), F.lit(1).alias("region"))
+    part = table(spark, sf, "part")
+    cubes = spread(part.select((F.col("p_partkey") % 4).alias("mesh_id"), c.alias("c"), F.lit(1).alias("region")), part.count())
     base = (F.floor(F.col("c") / 64) * 81 + F.floor(F.col("c") % 64 / 8) * 9 + F.col("c") % 8).cast("bigint")
 
     def body(rows, start, turn):

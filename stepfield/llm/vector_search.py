@@ -3,8 +3,8 @@
 Vectors are integers floor(256 x). The file has two parts: quantised cells (a byte per component) and the exact
 vectors, in blocks of rows. A scan of the cells gives every candidate an upper and a lower bound for every query
 of a block of queries; exact vectors are then read in the order of their upper bounds until the kth best exact
-score is at least every bound not yet read. Each block of candidates meets each block of queries once, and only
-k rows for each query leave it.
+score is at least every bound not yet read. Each block of candidates meets each block of queries once: a group holds some blocks
+of both (``GROUP`` bytes of each), and only k rows for each query leave it.
 
 Edge cases: vectors that are null, empty or hold null or non-finite components take no part, neither as query
 nor as candidate; vectors of different length don't meet. Rows that share a vec_id are candidates of their own, and
@@ -25,6 +25,8 @@ from stepfield.llm.base import partitions, stored
 
 #: Cells of a component, rows of a block of candidates and of queries, exact vectors read at a time.
 CELLS, BLOCK, QUERIES, STEP = 64, 2048, 512, 16
+#: Bytes of the file, and of the queries, that one group holds (some more, where hashing deals the blocks unevenly).
+GROUP = 64 << 20
 #: Doubles hold whole numbers below this one exactly.
 EXACT = 2.0 ** 53
 
@@ -119,23 +121,37 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     asked = integers(queries).groupBy("vec_id", "dim").agg(F.min("v").alias("v"))
     asked = stored(spark, blocks(asked, QUERIES), "va-queries").select(
         "dim", F.col("ids").alias("q_ids"), F.col("exact").alias("q"))
-    # Query blocks are numbered; each goes once to every slice of the file, and each file block to every query block.
-    slices = partitions(spark)
-    asked = asked.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    file = file.withColumn("slice", F.pmod(F.xxhash64("ids"), F.lit(slices)).cast("int"))
-
-    def run(batches: Iterator) -> Iterator:
-        for batch in batches:
-            for r in batch.to_pylist():
-                take = lambda name, kind: np.frombuffer(r[name], kind)
-                dim = r["dim"]
-                q_ids = take("q_ids", np.int64)
+    # A grid of groups: file blocks are dealt to its rows, query blocks to its columns, and each block goes along its row or column.
+    blocks_in, held = file.agg(F.count("*"), F.sum(F.length("exact") + F.length("cells"))).first()
+    wanted = asked.agg(F.sum(F.length("q"))).first()[0]
+    down = max(1, -(-(held or 0) // GROUP), min(partitions(spark), blocks_in))
+    across = max(1, -(-(wanted or 0) // GROUP))
+    dealt = lambda ids, n: F.pmod(F.xxhash64(ids), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    file = file.withColumn("down", dealt("ids", down)).withColumn("across", every(across))
+    asked = asked.withColumn("across", dealt("q_ids", across)).withColumn("down", every(down))
+    names = ["query_id", "vec_id", "score"]
+
+    def run(own: pa.Table, queries: pa.Table) -> pa.Table:
+        take = lambda r, name, kind: np.frombuffer(r[name].as_py(), kind)
+        rows = lambda t: [{n: t.column(n)[i] for n in t.column_names} for i in range(t.num_rows)]
+        out = [np.zeros((0, 3), np.int64)]
+        for a in rows(queries):
+            dim, q_ids = a["dim"].as_py(), take(a, "q_ids", np.int64)
+            q, best = take(a, "q", np.int64).reshape(-1, dim), np.zeros((0, 3), np.int64)
+            for r in rows(own):
                 row, vec, score = best_of_block(
-                    take("q", np.int64).reshape(-1, dim), q_ids, take("ids", np.int64), take("exact", np.int64).reshape(-1, dim),
-                    take("low", np.int64), take("wide", np.int64), take("cells", np.uint8).reshape(-1, dim), k)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(vec), pa.array(score.astype(np.int64))], ["query_id", "vec_id", "score"])
-
-    found = file.join(asked, ["dim", "slice"]).select("dim", "ids", "exact", "low", "wide", "cells", "q_ids", "q").mapInArrow(
-        run, "query_id bigint, vec_id bigint, score bigint")
+                    q, q_ids, take(r, "ids", np.int64), take(r, "exact", np.int64).reshape(-1, dim),
+                    take(r, "low", np.int64), take(r, "wide", np.int64), take(r, "cells", np.uint8).reshape(-1, dim), k)
+                best = np.concatenate([best, np.stack([q_ids[row], vec, score.astype(np.int64)], 1)])
+                best = best[np.lexsort((best[:, 1], -best[:, 2], best[:, 0]))]
+                first = np.searchsorted(best[:, 0], best[:, 0])
+                best = best[np.arange(len(best)) - first < k]
+            out.append(best)
+        found = np.concatenate(out)
+        return pa.table([pa.array(np.ascontiguousarray(found[:, i])) for i in range(3)], names)
+
+    keys = ["dim", "down", "across"]
+    found = file.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(run, "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

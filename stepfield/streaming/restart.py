@@ -59,9 +59,14 @@ def saved_stages(spark: SparkSession, checkpoint: str, by: list[str], lateness:
     With ``lateness`` these are the rows that the watermark has passed; later ones still wait in the checkpoint.
     """
     reader = spark.read.format("statestore")
-    state = (reader if lateness is None else reader.option("stateVarName", "carried")).load(checkpoint)
-    held = F.col("value") if lateness is not None else F.col("value")["groupState"]
-    return state.filter(held["stage"].isNotNull()).select(*[F.col("key")[k].alias(k) for k in by], *[held[c].alias(c) for c in ("stage", "converged", "last")])
+    if lateness is None:
+        state = reader.load(checkpoint)
+        held, run = F.col("value")["groupState"], [F.col("key")[k].alias(k) for k in by]
+    else:
+        state = reader.option("stateVarName", "carried").load(checkpoint)
+        held = F.col("list_element")
+        run = [held[f"by{i}"].alias(k) for i, k in enumerate(by)]
+    return state.filter(held["stage"].isNotNull()).select(*run, *[held[c].alias(c) for c in ("stage", "converged", "last")])
 
 
 def resume_points(plan: DataFrame, saved: DataFrame, by: list[str]) -> DataFrame:

@@ -87,3 +87,19 @@ def test_a_slice_at_a_time(spark, rows, tmp_path):
 
     got = drain(spark, rows, lambda s: O.scan(s, sized, L.THROTTLE_STATE, s.schema, ["run"], ["i"], LATE), tmp_path)
     assert len(got) == len(rows) and max(r.v for r in got) < 40
+
+
+def test_runs_share_the_calls_to_the_state(spark, tmp_path):
+    """Forty runs wait in three places (two buckets, one more for the null run); nulls of one run leave the ids of the others whole."""
+    schema, top = "run bigint, i bigint, t double, at timestamp", 2**60
+    rows = [(None if k == 7 else top + k, None if k == 8 else top + 100 * k + j, 1e6 + 3600.0 * j, None) for j in range(20) for k in range(40)]
+    late = O.Lateness("at", "1 day", 6 * 3600, buckets=2)
+    for part in (rows[:400], rows[400:], [(-1, 1, 1e8, None)], [(-1, 2, 2e8, None)]):
+        spark.createDataFrame(part, schema).withColumn("at", F.timestamp_seconds("t")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(0.02)
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    L.run_to_end(O.throttle(s, "t", 7000.0, ["run"], ["t"], late), f"{tmp_path}/out", f"{tmp_path}/cp")
+    got = spark.read.schema(schema).parquet(f"{tmp_path}/out").filter("run is null or run <> -1").collect()
+    assert sorted((str(r.run), str(r.i), r.t) for r in got) == sorted((str(r[0]), str(r[1]), r[2]) for r in rows if (r[2] - 1e6) % 7200 == 0)
+    held = spark.read.format("statestore").option("stateVarName", "carried").load(f"{tmp_path}/cp").filter("not list_element.by0 <=> -1")
+    assert held.count() == 40 and held.select("key").distinct().count() == 3

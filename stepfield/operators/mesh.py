@@ -46,7 +46,8 @@ def located(mesh: Mesh) -> DataFrame:
     """Simplices with the coordinates of vertex k on axis a in column ``x<k><a>``."""
     d = mesh.dim
     rows = matched(corners(mesh), xyz(mesh.points, d), ["mesh_id", "pid"], "a simplex with an unknown point")
-    return rows.groupBy("mesh_id", "sid", "region").agg(*[
+    # The corners of a simplex come from different tasks of the join: summing there first would hold a wide row for nearly every corner.
+    return rows.repartition("mesh_id", "sid", "region").groupBy("mesh_id", "sid", "region").agg(*[
         F.max(F.when(F.col("k") == k, F.col(f"x{a}"))).alias(f"x{k}{a}") for k in range(d + 1) for a in range(d)
     ] + [F.max(F.when(F.col("k") == k, F.col("pid"))).alias(f"v{k}") for k in range(d + 1)])
 

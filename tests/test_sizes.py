@@ -56,3 +56,16 @@ def test_points_without_a_group_keep_their_volume(spark):
     periodic = spark.createDataFrame([(0, 3, 0), (0, 3, 1)], "mesh_id bigint, gid bigint, pid bigint")
     got = {r.pid: round(r.volume * 24, 6) for r in M.site_volumes(M.Mesh(points, simplices, 3, periodic)).collect()}
     assert got == {0: 2.0, 1: 2.0, 2: 1.0, 3: 1.0}
+
+
+def summed_before_shuffle(text, keys):
+    """Whether rows are aggregated below an exchange by these keys."""
+    lines = text.splitlines()
+    at = [i for i, line in enumerate(lines) if "Exchange hashpartitioning(" + ", ".join(f"{k}#" for k in keys) in "".join(c for c in line if not c.isdigit()).replace("L,", ",")]
+    return [("Aggregate" in lines[i + 1]) for i in at]
+
+
+def test_corners_meet_before_they_are_summed(spark, tmp_path):
+    # A task of the join holds nearly every corner of other simplices; a sum there is as long as its rows.
+    m = base.part_mesh(spark, write(spark, tmp_path))
+    assert summed_before_shuffle(plan(M.located(m)), ["mesh_id", "sid", "region"]) == [False]

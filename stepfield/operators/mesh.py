@@ -375,7 +375,8 @@ def skin_layers(mesh: Mesh, compare: str = "ge", n: int = 1) -> DataFrame:
     done, layer = None, 0
     while front.limit(1).count():
         seen = lookup(left, front.withColumn("_f", F.lit(1)), ["mesh_id", "pid"], "left")
-        hit = seen.groupBy("mesh_id", "sid").agg(F.count("_f").alias("_n")).filter(_COMPARE[compare](F.col("_n"), n))
+        # Counted where the corners of a simplex have met, as in ``located``.
+        hit = seen.repartition("mesh_id", "sid").groupBy("mesh_id", "sid").agg(F.count("_f").alias("_n")).filter(_COMPARE[compare](F.col("_n"), n))
         hit = cut_lineage(hit.select("mesh_id", "sid", F.lit(layer).alias("layer")))
         fresh = lookup(lookup(left, hit, ["mesh_id", "sid"], "left_semi").select("mesh_id", "pid").distinct(), front, ["mesh_id", "pid"], "left_anti")
         front = cut_lineage(fresh)

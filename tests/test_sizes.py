@@ -69,3 +69,11 @@ def test_corners_meet_before_they_are_summed(spark, tmp_path):
     # A task of the join holds nearly every corner of other simplices; a sum there is as long as its rows.
     m = base.part_mesh(spark, write(spark, tmp_path))
     assert summed_before_shuffle(plan(M.located(m)), ["mesh_id", "sid", "region"]) == [False]
+
+
+def test_corners_meet_before_a_layer_counts_them(spark, tmp_path, monkeypatch):
+    m, stored, keep = base.part_mesh(spark, write(spark, tmp_path)), [], M.cut_lineage
+    monkeypatch.setattr(M, "cut_lineage", lambda df: stored.append(plan(df)) or keep(df))
+    assert M.skin_layers(m).count() == 6 * 400
+    found = [b for text in stored if "count(_f" in text for b in summed_before_shuffle(text, ["mesh_id", "sid"])]
+    assert found and not any(found)

@@ -90,6 +90,35 @@ def test_groups_by_brute_force(spark, hot):
     assert sum(map(len, by.values())) <= len(by) + max(1, 0.03 * len(rows))
 
 
+def test_links_apart_from_the_fullest_text_are_found(spark):
+    # Versions of one text that are too far from it and from each other, each with a near one of its own that changes its own words.
+    rng = random.Random(21)
+    base, rows = say(rng, 300), []
+    for _ in range(150):
+        own = changed(rng, base, 6)
+        rows += [" ".join(own), " ".join(changed(rng, own, 4))]
+    want = plain_groups(rows)
+    assert len(set(want)) > 100
+    got = {r.doc_id: r.label for r in similar.groups(frame(spark, list(enumerate(rows)))).collect()}
+    assert len({(want[i], got[i]) for i in got}) == len(set(want)) == len(set(got.values()))
+
+
+def test_every_pair_that_can_reach_the_similarity_is_verified(spark):
+    rng, sets = random.Random(4), []
+    for k in range(120):
+        base = sets[rng.randrange(len(sets))] if sets and k % 3 else set()
+        keep = set(rng.sample(sorted(base), int(len(base) * rng.choice([0.85, 0.95, 1]))))
+        sets.append(keep | {rng.randrange(400 if k % 2 else 1 << 32) for _ in range(rng.choice([1, 2, 5, 9]) + (0 if base else 30))})
+    label = [i // 2 * 2 for i in range(len(sets))]
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if label[i] != label[j] and alike(sets[i], sets[j]) >= 0.8}
+    rows = [(i, np.array(sorted(x), np.uint32).tobytes()) for i, x in enumerate(sets)]
+    table = spark.createDataFrame(rows, "copy long, set binary").repartition(3)
+    pairs = similar.apart(table, spark.createDataFrame(list(enumerate(label)), "copy long, label long"))
+    tried = {(r.src, r.dst) for r in pairs.collect()}
+    assert len(want) > 50 and want <= tried and all(label[i] != label[j] for i, j in tried)
+    assert {(r.src, r.dst) for r in similar.verified(pairs, table).collect()} == want
+
+
 def test_rows_that_share_an_id_stay(spark):
     rng = random.Random(5)
     a, b, c = (" ".join(say(rng, 50)) for _ in range(3))

@@ -184,14 +184,45 @@ def _(spark, sf):
     return SN.get_attr(spark, path)
 
 
+#: Files of a folder; folders are taken one after another, so the driver lists no more at once.
+FILES = 1 << 16
+
+
+def text_files(docs, path: str) -> list[str]:
+    """Writes the texts of each doc_id to a file ``doc_id=...``, a separator behind each, and returns the folders. Tasks write the files themselves: Spark's writer makes
+    a folder for each, and moves it once more at the end."""
+    def put(batches):
+        import pyarrow as pa
+
+        system, top = GB.open_system(path)
+        last, out, folders = None, None, set()
+        for batch in batches:
+            for k, name, text in zip(*(batch.column(c).to_pylist() for c in ("folder", "name", "text"))):
+                if (k, name) != last:
+                    if out:
+                        out.close()
+                    if k not in folders:
+                        system.create_dir(f"{top}/{k}", recursive=True)
+                    folders.add(k)
+                    last, out = (k, name), system.open_output_stream(f"{top}/{k}/doc_id={name}")
+                out.write(text + b"\x01")
+        if out:
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(folders), pa.int64())], ["folder"])
+
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    folder = F.pmod(F.xxhash64("doc_id"), F.lit(docs.count() // FILES + 1))
+    rows = docs.select("doc_id", folder.alias("folder"), name.alias("name"), F.col("text").cast("binary").alias("text"))
+    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("folder", "name", "text")
+    return [f"{path}/{r.folder}" for r in rows.mapInArrow(put, "folder bigint").distinct().collect()]
+
+
 @query("s21_attach_files", "SELECT doc_id, sha256(text) AS sha2, strlen(text)::BIGINT AS length, md5(text) AS content FROM documents WHERE text <> ''")
 def _(spark, sf):
     """Each text as a file of its own; what is kept is put together again from small chunks."""
     path = scratch(spark)
-    docs = table(spark, sf, "documents").filter("text <> ''")
-    files = docs.repartitionByRange("doc_id").select("doc_id", F.concat_ws("", "text").alias("value"))
-    files.write.partitionBy("doc_id").option("lineSep", "\x01").text(path + "/in")
-    SN.attach_files(spark, path + "/in/doc_id=*/*", path, chunk=1000)
+    for folder in text_files(table(spark, sf, "documents").filter("text <> ''"), path + "/in"):
+        SN.attach_files(spark, folder, path, chunk=1000)
     # Each file ends with the writer's separator.
     kept = SN.attached_files(spark, path).groupBy("path", "length", "sha2").agg(F.array_sort(F.collect_list(F.struct("chunk", F.hex("content").alias("h")))).alias("c"))
     whole = F.unhex(F.array_join(F.transform("c", lambda x: x["h"]), ""))

@@ -169,14 +169,24 @@ def append_sites(df: DataFrame, path: str, width: int = 3) -> None:
     site_lines(df, width).select("line").write.mode("append").text(path)
 
 
+#: What opening a file counts as when files are dealt to tasks; Spark's 4 MB would give a few small files to each.
+OPEN_COST = 1 << 16
+
+
 def attach_files(spark: SparkSession, glob: str, store: str, chunk: int = 1 << 20) -> None:
     """Keep source files next to the data as numbered chunks, each with the hash of the whole file; empty files
-    are passed over by the reader."""
+    are passed over by the reader. ``glob`` may name folders: those of very many files are listed much faster than their files are one by one."""
     files = spark.read.format("binaryFile").load(glob)
     places = F.sequence(F.lit(0).cast("bigint"), F.floor(F.greatest(F.col("length") - 1, F.lit(0)) / chunk))
     rows = files.select("path", "length", F.sha2("content", 256).alias("sha2"), "content", F.explode(places).alias("chunk"))
     part = F.substring(F.col("content"), (F.col("chunk") * chunk + 1).cast("int"), F.lit(chunk))
-    rows.select("path", "length", "sha2", "chunk", part.alias("content")).write.mode("append").parquet(store + "/_files")
+    name = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(OPEN_COST))
+    try:
+        rows.select("path", "length", "sha2", "chunk", part.alias("content")).write.mode("append").parquet(store + "/_files")
+    finally:
+        spark.conf.set(name, before)
 
 
 def attached_files(spark: SparkSession, store: str) -> DataFrame:

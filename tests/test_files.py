@@ -1,8 +1,11 @@
+import os
+import pathlib
 import struct
 
 import pytest
 from pyspark.sql import functions as F
 
+from stepfield.checks import QUERIES, stores
 from stepfield.sources import grids as GR
 from stepfield.sources import runs as RU
 from stepfield.sources import snapshots as SN
@@ -138,3 +141,28 @@ def test_attached_files_come_back_from_chunks(spark, tmp_path):
     rows = sorted(SN.attached_files(spark, str(tmp_path / "s")).collect(), key=lambda r: (r.path, r.chunk))
     assert b"".join(bytes(r.content) for r in rows if r.path.endswith("f.txt")) == b"0123456789" * 10 + b"end"
     assert len([r for r in rows if r.path.endswith("f.txt")]) == 11 and {r.length for r in rows} == {103}
+
+
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    os.mkdir(tmp_path / "in")
+    for i in range(1000):
+        put(tmp_path / "in" / f"f{i}.txt", str(i))
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    SN.attach_files(spark, str(tmp_path / "in"), str(tmp_path / "s"))
+    rows = SN.attached_files(spark, str(tmp_path / "s"))
+    assert {(r.path.rsplit("/", 1)[1], bytes(r.content)) for r in rows.collect()} == {(f"f{i}.txt", str(i).encode()) for i in range(1000)}
+    assert len(rows.inputFiles()) <= 16 and spark.conf.get("spark.sql.files.openCostInBytes") == before
+
+
+def test_texts_are_written_to_bounded_folders(spark, tmp_path, monkeypatch):
+    texts = [(i % 90, f"t{i % 45}") for i in range(180)] + [(None, "x")]
+    spark.createDataFrame(texts, "doc_id long, text string").repartition(7).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(stores, "FILES", 50)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    folders = stores.text_files(docs, f"{tmp_path}/in")
+    got = {f: p.read_bytes() for folder in folders for f in os.listdir(folder) for p in [pathlib.Path(folder, f)]}
+    assert len(folders) == 4 and len(got) == 91
+    assert all(got[f"doc_id={i}"] == f"t{i % 45}\x01".encode() * 2 for i in range(90))
+    assert got["doc_id=__HIVE_DEFAULT_PARTITION__"] == b"x\x01"
+    docs.filter("doc_id is not null").write.parquet(f"{tmp_path}/sf/documents.parquet")
+    assert QUERIES["s21_attach_files"](spark, f"{tmp_path}/sf").count() == 90

@@ -126,7 +126,7 @@ def _(spark, sf):
     names = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
     q = table(spark, sf, "lineitem").select(F.lit(0).alias("grid_id"), F.struct(*names).alias("point"),
                                             F.array((F.col("l_quantity") - 5) / 4.0, F.col("l_discount") * 250 - 2, F.col("l_tax") * 10).alias("pos"))
-    out = P.grid_interp(q.distinct(), part_grid(spark, sf), part_lattice(spark, sf), 2)
+    out = P.grid_interp(q, part_grid(spark, sf), part_lattice(spark, sf), 2, once=True)
     return out.select("point.*", r(F.col("value")[0], 4).alias("a"), r(F.col("value")[1], 5).alias("b"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -13,7 +14,7 @@ from stepfield.functions.vec import parts
 from stepfield.operators import mesh as M
 from stepfield.operators.snapshots import CLOCK, KEY, node
 from stepfield.plans.ordered import Ordered
-from stepfield.plans.skewed import lookup, matched
+from stepfield.plans.skewed import lookup, matched, need
 from stepfield.session import cut_lineage
 
 
@@ -166,26 +167,43 @@ def probe(snap: DataFrame, mesh: M.Mesh, probes: DataFrame, width: int, vec=None
     return out.withColumn("value", vec(F.col("value"))) if vec else out
 
 
-def grid_interp(points: DataFrame, grid: DataFrame, spec: Lattice, width: int) -> DataFrame:
+def grid_interp(points: DataFrame, grid: DataFrame, spec: Lattice, width: int, once: bool = False) -> DataFrame:
     """Multilinear interpolation of a regular grid (grid_id, ix.., v) at points (grid_id, point, pos),
-    clamped to the grid."""
+    clamped to the grid. Rows of one point are added up; with ``once`` those of one position count once.
+
+    A point meets its cell, which has the values of all its nodes, so it is one row and not one for each node.
+    """
     d = len(spec.axes)
+    on, base = ["i" + n for n in spec.names], [f"_c{a}" for a in range(d)]
     rows = points.select("grid_id", "point", *[p.alias(f"_p{a}") for a, p in enumerate(parts("pos", d))])
+    rel = []
     for a, (low, high, n) in enumerate(spec.axes):
         step = (high - low) / (n - 1) if n > 1 else 1.0
-        rel = F.least(F.greatest((F.col(f"_p{a}") - low) / step, F.lit(0.0)), F.lit(float(n - 1)))
-        rows = rows.withColumn(f"_r{a}", rel)
-        base = F.floor(f"_r{a}")
-        ends = F.array(F.struct(base.cast("bigint").alias("i"), (1.0 - (F.col(f"_r{a}") - base)).alias("w")),
-                       F.struct((base + 1).cast("bigint").alias("i"), (F.col(f"_r{a}") - base).alias("w")))
-        rows = rows.withColumn(f"_e{a}", F.explode(F.filter(ends, lambda e: e["w"] > 0)))
-    weight = reduce(lambda x, y: x * y, [F.col(f"_e{a}.w") for a in range(d)])
-    index = [F.col(f"_e{a}.i").alias("i" + spec.names[a]) for a in range(d)]
-    asked = rows.select("grid_id", "point", *index, weight.alias("_w"))
-    on = ["grid_id", *["i" + n for n in spec.names]]
-    sums = matched(asked, grid.select(*on, "v"), on, "a grid node is missing").groupBy("grid_id", "point").agg(
-        *[F.sum(F.col("_w") * v).alias(f"_{i}") for i, v in enumerate(parts("v", width))])
-    return sums.select("grid_id", "point", F.array(*[f"_{i}" for i in range(width)]).alias("value"))
+        rel.append(F.least(F.greatest((F.col(f"_p{a}") - low) / step, F.lit(0.0)), F.lit(float(n - 1))))
+    rows = rows.withColumns({c: F.floor(x).cast("bigint") for c, x in zip(base, rel)})
+    ends = list(itertools.product((0, 1), repeat=d))
+    of = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), *[(F.col(c) - o).cast("bigint").alias(b) for c, b, o in zip(on, base, end)]) for k, end in enumerate(ends)]))
+    nodes = grid.select("grid_id", *[v.alias(f"_v{i}") for i, v in enumerate(parts("v", width))], *on).select("grid_id", *[f"_v{i}" for i in range(width)], of.alias("_of"))
+    nodes = nodes.select("grid_id", "_of.*", *[f"_v{i}" for i in range(width)]).filter(reduce(lambda x, y: x & y, [F.col(c) >= 0 for c in base]))
+    cells = nodes.groupBy("grid_id", *base).agg(
+        *[F.count(F.when(F.col("k") == k, 1)).alias(f"_n{k}") for k in range(len(ends))],
+        *[F.sum(F.when(F.col("k") == k, F.col(f"_v{i}"))).alias(f"_{k}_{i}") for k in range(len(ends)) for i in range(width)])
+    met = lookup(rows, cells, ["grid_id", *base], "left")
+    sums = [[] for _ in range(width)]
+    for k, end in enumerate(ends):
+        w = [x - F.col(c) if o else 1.0 - (x - F.col(c)) for x, c, o in zip(rel, base, end)]
+        used, weight = reduce(lambda x, y: x & y, [x > 0 for x in w]), reduce(lambda x, y: x * y, w)
+        for i in range(width):
+            v = need(F.col(f"_{k}_{i}"), "a grid node is missing", "double", F.col(f"_n{k}") > 0)
+            sums[i].append(F.when(used, weight * v))
+    values = [F.when(F.coalesce(*t).isNotNull(), reduce(lambda x, y: x + y, [F.coalesce(x, F.lit(0.0)) for x in t])).alias(f"_{i}") for i, t in enumerate(sums)]
+    # Rows of a point are dealt out once: both sums below are within such a share.
+    share = F.pmod(F.hash("grid_id", "point"), F.lit(1 << 20)).alias("_share")
+    found = met.select(share, "grid_id", "point", *[f"_p{a}" for a in range(d)], *values).repartition("_share")
+    if once:
+        found = found.dropDuplicates(["_share", "grid_id", "point", *[f"_p{a}" for a in range(d)]])
+    out = found.groupBy("_share", "grid_id", "point").agg(*[F.sum(f"_{i}").alias(f"_{i}") for i in range(width)])
+    return out.select("grid_id", "point", F.array(*[f"_{i}" for i in range(width)]).alias("value"))
 
 
 def snap_to_lattice(df: DataFrame, spec: Lattice, order: list[str], value: str = "value", keys=()) -> DataFrame:

@@ -1,10 +1,16 @@
 """Steps whose size is not seen in the files: no side that grows is broadcast, and no task takes a whole file's simplices."""
 
+import itertools
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from stepfield.checks import base
+from stepfield.functions.sequences import Lattice
 from stepfield.operators import mesh as M
+from stepfield.operators import probe as P
 from stepfield.operators import snapshots as S
 from stepfield.plans.skewed import lookup, matched
 
@@ -77,3 +83,40 @@ def test_corners_meet_before_a_layer_counts_them(spark, tmp_path, monkeypatch):
     assert M.skin_layers(m).count() == 6 * 400
     found = [b for text in stored if "count(_f" in text for b in summed_before_shuffle(text, ["mesh_id", "sid"])]
     assert found and not any(found)
+
+
+def test_points_of_a_grid_stay_one_row(spark):
+    spec, rng = Lattice(((0.0, 4.0, 3), (1.0, 1.0, 1), (-1.0, 2.0, 4))), random.Random(6)
+    nodes = {(i, 0, k): [float(i * 7 + k), float(i - 3 * k)] for i in range(3) for k in range(4)}
+    del nodes[2, 0, 3]
+    nodes[1, 0, 1][1] = None
+    rows = [(0, *n, v) for n, v in nodes.items()] + [(0, 0, 0, 0, [100.0, None])]  # a node that comes twice is added up
+    grid = spark.createDataFrame(rows, "grid_id int, ix bigint, iy bigint, iz bigint, v array<double>")
+    at = [[rng.choice([-1.0, 0.0, 0.5, 2.0, 3.0]), rng.uniform(-9, 9), rng.choice([-5.0, -1.0, -0.25, 0.0, 0.75, 1.0])] for _ in range(40)]
+    points = [(0, i % 30, p) for i, p in enumerate(at)] + [(0, 3, at[3]), (0, 5, at[5])]
+
+    def value(p):
+        x = [min(max(a, 0.0), m) for a, m in ((p[0] / 2, 2.0), (p[1] - 1, 0.0), (p[2] + 1, 3.0))]
+        sums = [[], []]
+        for end in itertools.product((0, 1), repeat=3):
+            w = [a - math.floor(a) if o else 1 - (a - math.floor(a)) for a, o in zip(x, end)]
+            if min(w) > 0:
+                for r in rows:
+                    if r[1:4] == tuple(math.floor(a) + o for a, o in zip(x, end)):
+                        for s, v in zip(sums, r[4]):
+                            s += [math.prod(w) * v] if v is not None else []
+        return [sum(s) if s else None for s in sums]
+
+    for once in (False, True):
+        asked = points[:40] if once else points
+        want = {i: [value(p) for _, j, p in asked if j == i] for i in range(30)}
+        out = P.grid_interp(spark.createDataFrame(points, "grid_id int, point int, pos array<double>").repartition(3), grid, spec, 2, once)
+        got = {r.point: r.value for r in out.collect()}
+        for i, values in want.items():
+            for k in range(2):
+                parts = [v[k] for v in values if v[k] is not None]
+                assert got[i][k] == (pytest.approx(sum(parts)) if parts else None)
+        # Only the grid's nodes are multiplied.
+        assert plan(out).split("Initial Plan")[0].count("Generate explode") == 1
+    with pytest.raises(Exception, match="a grid node is missing"):
+        P.grid_interp(spark.createDataFrame([(0, 1, [4.0, 1.0, 2.0])], "grid_id int, point int, pos array<double>"), grid, spec, 2).collect()

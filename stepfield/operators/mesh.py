@@ -52,12 +52,32 @@ def located(mesh: Mesh) -> DataFrame:
     ] + [F.max(F.when(F.col("k") == k, F.col("pid"))).alias(f"v{k}") for k in range(d + 1)])
 
 
+def placed(mesh: Mesh, per: int) -> DataFrame:
+    """mesh_id, block, sid, region, v and corners (the positions of v); a block is ``per`` numbers of simplices.
+
+    Positions go once to each block that uses a point, instead of once to each corner: neighbours in number share most of theirs.
+    """
+    block = F.floor(F.col("sid") / per).alias("block")
+    used = corners(mesh).select("mesh_id", block, "pid").distinct()
+    found = matched(used, mesh.points.select("mesh_id", "pid", "pos"), ["mesh_id", "pid"], "a simplex with an unknown point")
+    at = found.groupBy("mesh_id", "block").agg(F.map_from_entries(F.collect_list(F.struct("pid", "pos"))).alias("at"))
+    own = mesh.simplices.groupBy("mesh_id", block).agg(F.collect_list(F.struct("sid", "region", "v")).alias("s"))
+    both = lookup(own, at, ["mesh_id", "block"])
+    parts = F.transform("s", lambda x: F.struct(x["sid"], x["region"], x["v"], F.transform(x["v"], lambda i: F.element_at("at", i)).alias("corners")))
+    return both.select("mesh_id", "block", F.inline(parts))
+
+
 def vertices(dim: int) -> list[list[Column]]:
     """The vertices of a row of ``located`` for the geometry functions."""
     return [[F.col(f"x{k}{a}") for a in range(dim)] for k in range(dim + 1)]
 
 
-def volumes(mesh: Mesh) -> DataFrame:
+def volumes(mesh: Mesh, per: int | None = None) -> DataFrame:
+    """mesh_id, sid, region, v0.., volume. With ``per`` the positions are sent by blocks (``placed``), for meshes whose neighbours have near numbers; simplices are unique there."""
+    d = mesh.dim
+    if per:
+        return placed(mesh, per).select("mesh_id", "sid", "region", *[F.col("v")[k].alias(f"v{k}") for k in range(d + 1)],
+                                        g.volume([[F.col("corners")[k][a] for a in range(d)] for k in range(d + 1)]).alias("volume"))
     return located(mesh).select("mesh_id", "sid", "region", *[f"v{k}" for k in range(mesh.dim + 1)],
                                 g.volume(vertices(mesh.dim)).alias("volume"))
 
@@ -442,6 +462,16 @@ _HALVES = {
 }
 
 
+#: Simplices that are dealt out together, and new points of a block, which share a table of their parents' positions.
+NEAR, NEW = 48, 64
+
+
+def _near(rows: DataFrame):
+    """Rows by simplex. They meet before they are summed, as they come from different tasks, and neighbours in number stay together."""
+    rows = rows.withColumn("_near", F.floor(F.col("sid") / NEAR)).repartition("mesh_id", "_near")
+    return rows.groupBy("mesh_id", "_near", "sid", "region")
+
+
 def refine(mesh: Mesh, level: int = 1) -> Mesh:
     """Split each simplex into 2^dim parts at its edge mid-points, ``level`` times. Old points keep
     their ids; mid-points, one per edge, follow in the order of the edges. Periodic data are lost."""
@@ -461,13 +491,15 @@ def _refine_once(mesh: Mesh) -> Mesh:
         F.array(*[F.avg(f"x{a}") for a in range(d)]).alias("pos"))
     points = mesh.points.select("mesh_id", "pid", "pos").unionByName(
         middle.select("mesh_id", F.col("mid").alias("pid"), "pos"))
-    rows = mesh.simplices.select("mesh_id", "sid", "region", "v",
+    rows = mesh.simplices.select("mesh_id", "sid", "region", *[F.col("v")[i].alias(f"v{i}") for i in range(d + 1)],
                                  F.posexplode(_subsets(F.col("v"), d, 2)).alias("k", "pair"))
-    rows = lookup(rows, mids, ["mesh_id", "pair"])
+    # The corners go with one pair.
+    rows = rows.withColumns({f"v{i}": F.when(F.col("k") == 0, F.col(f"v{i}")) for i in range(d + 1)})
+    rows = lookup(rows, mids, ["mesh_id", "pair"]).drop("pair")
     n_pairs = d * (d + 1) // 2
-    local = rows.groupBy("mesh_id", "sid", "region").agg(
-        F.first("v").alias("v"), *[F.max(F.when(F.col("k") == k, F.col("mid"))).alias(f"m{k}") for k in range(n_pairs)])
-    names = [F.col("v")[i] for i in range(d + 1)] + [F.col(f"m{k}") for k in range(n_pairs)]
+    local = _near(rows).agg(
+        *[F.max(f"v{i}").alias(f"v{i}") for i in range(d + 1)], *[F.max(F.when(F.col("k") == k, F.col("mid"))).alias(f"m{k}") for k in range(n_pairs)])
+    names = [F.col(f"v{i}") for i in range(d + 1)] + [F.col(f"m{k}") for k in range(n_pairs)]
     small = F.array(*[F.array(*[names[i] for i in s]) for s in _HALVES[d]])
     simplices = local.select("mesh_id", "sid", "region", F.posexplode(small).alias("j", "v")).select(
         "mesh_id", (F.col("sid") * len(_HALVES[d]) + F.col("j")).alias("sid"), "region", "v")
@@ -501,21 +533,31 @@ def subdivide(mesh: Mesh, n: int) -> Mesh:
     if n < 1:
         raise ValueError("n must be 1 or more")
     points, weights = mesh.points.select("mesh_id", "pid", "pos"), lattice(n, d)
-    parent = lambda w: F.array_sort(F.array(*[F.struct(F.col("v")[k].alias("pid"), F.lit(x).alias("weight")) for k, x in enumerate(w) if x]))
-    rows = mesh.simplices.select("mesh_id", "sid", "region", F.posexplode(F.array(*[parent(w) for w in weights])).alias("k", "key"))
-    new = rows.filter(F.size("key") > 1).select("mesh_id", "key").distinct()
-    top = points.groupBy("mesh_id").agg((F.max("pid") + 1).alias("_base"))
-    ids = dense_ids(new, ["mesh_id"], ["key"], "_n").join(F.broadcast(top), "mesh_id").select("mesh_id", "key", (F.col("_base") + F.col("_n")).alias("id"))
-    ends = ids.select("mesh_id", F.col("id").alias("new"), F.explode("key").alias("p")).select("mesh_id", "new", "p.pid", "p.weight")
-    axes = matched(ends, points, ["mesh_id", "pid"], "a simplex with an unknown point").select("mesh_id", "new", "weight", F.posexplode("pos").alias("a", "x"))
-    sums = axes.groupBy("mesh_id", "new", "a").agg((F.sum(F.col("weight") * F.col("x")) / n).alias("x"))
-    made = sums.groupBy("mesh_id", F.col("new").alias("pid")).agg(F.transform(F.array_sort(F.collect_list(F.struct("a", "x"))), lambda p: p["x"]).alias("pos"))
-    found = lookup(rows, ids, ["mesh_id", "key"], "left").withColumn("id", F.coalesce("id", F.col("key")[0]["pid"]))
-    local = found.groupBy("mesh_id", "sid", "region").agg(*[F.max(F.when(F.col("k") == k, F.col("id"))).alias(f"_{k}") for k in range(len(weights))])
-    at = {w: F.col(f"_{k}") for k, w in enumerate(weights)}
+    inner = [w for w in weights if max(w) < n]
+    sides, key = [f"v{i}" for i in range(d + 1)], ["a", "wa", "b", "wb", "c"]
+    tri = mesh.simplices.select("mesh_id", "sid", "region", *[F.col("v")[i].alias(c) for i, c in enumerate(sides)])
+    if inner:
+        sort = lambda w: F.array_sort(F.array(*[F.struct(F.col(f"v{k}").alias("pid"), F.lit(x).alias("weight")) for k, x in enumerate(w) if x]))
+        rows = tri.select("*", F.posexplode(F.array(*[sort(w) for w in inner])).alias("k", "key"))
+        # A parent's weight follows from the others', so two weights tell whether there is a third parent.
+        rows = rows.select("mesh_id", "sid", "region", "k", *[F.when(F.col("k") == 0, F.col(c)).alias(c) for c in sides], F.col("key")[0]["pid"].alias("a"),
+                           F.col("key")[0]["weight"].alias("wa"), F.col("key")[1]["pid"].alias("b"), F.col("key")[1]["weight"].alias("wb"), F.coalesce(F.get("key", F.lit(2))["pid"], F.lit(0)).alias("c"))
+        top = points.groupBy("mesh_id").agg((F.max("pid") + 1).alias("_base"))
+        ids = dense_ids(rows.select("mesh_id", *key).distinct(), ["mesh_id"], key, "_n").join(F.broadcast(top), "mesh_id").select("mesh_id", *key, (F.col("_base") + F.col("_n")).alias("id"))
+        # New points that follow each other share parents, as neighbours share corners.
+        left = F.lit(n) - F.col("wa") - F.col("wb")
+        of = ids.select("mesh_id", F.col("id").alias("sid"), F.when(left > 0, F.array("wa", "wb", left)).otherwise(F.array("wa", "wb")).alias("region"),
+                        F.when(left > 0, F.array("a", "b", "c")).otherwise(F.array("a", "b")).alias("v"))
+        part = lambda i, a: F.get("region", F.lit(i)) * F.get(F.get("corners", F.lit(i)), a)
+        pos = F.transform(F.col("corners")[0], lambda x, a: (part(0, a) + part(1, a) + F.coalesce(part(2, a), F.lit(0.0))) / n)
+        made = placed(Mesh(points, of, d), NEW).select("mesh_id", F.col("sid").alias("pid"), pos.alias("pos"))
+        tri = lookup(rows, ids, ["mesh_id", *key]).drop(*key)
+        points = points.unionByName(made)
+    local = _near(tri).agg(*[F.max(c).alias(c) for c in sides], *[F.max(F.when(F.col("k") == k, F.col("id"))).alias(f"_{k}") for k in range(len(inner))])
+    at = {w: F.col(f"_{inner.index(w)}") if w in inner else F.col(f"v{w.index(n)}") for w in weights}
     parts = lattice_parts(n, d)
     simplices = local.select("mesh_id", "sid", "region", F.posexplode(F.array(*[F.array(*[at[w] for w in part]) for part in parts])).alias("j", "v"))
-    return Mesh(points.unionByName(made), simplices.select("mesh_id", (F.col("sid") * len(parts) + F.col("j")).alias("sid"), "region", "v"), d, None)
+    return Mesh(points, simplices.select("mesh_id", (F.col("sid") * len(parts) + F.col("j")).alias("sid"), "region", "v"), d, None)
 
 
 # Queries on broken meshes

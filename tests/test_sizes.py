@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from stepfield.checks import base
+from stepfield.checks import QUERIES, base
 from stepfield.functions.sequences import Lattice
 from stepfield.operators import mesh as M
 from stepfield.operators import probe as P
@@ -120,3 +120,38 @@ def test_points_of_a_grid_stay_one_row(spark):
         assert plan(out).split("Initial Plan")[0].count("Generate explode") == 1
     with pytest.raises(Exception, match="a grid node is missing"):
         P.grid_interp(spark.createDataFrame([(0, 1, [4.0, 1.0, 2.0])], "grid_id int, point int, pos array<double>"), grid, spec, 2).collect()
+
+
+@pytest.mark.parametrize(("n", "dim"), [(1, 2), (2, 2), (3, 2), (4, 2), (1, 1), (3, 1)])
+def test_new_points_follow_their_parents(spark, n, dim):
+    pos = {0: (0.0, 0.0, 1.0), 5: (3.0, 0.0, 2.0), 2: (0.0, 6.0, 0.0), 9: (3.0, 6.0, 9.0)}
+    v = {100: [5, 0, 2], 7: [9, 2, 5], 8: [2, 9, 5]} if dim == 2 else {100: [5, 0], 7: [5, 2], 8: [2, 9]}
+    points = spark.createDataFrame([(1, i, list(p)) for i, p in pos.items()], "mesh_id bigint, pid bigint, pos array<double>")
+    simplices = spark.createDataFrame([(1, s, 4, x) for s, x in v.items()], "mesh_id bigint, sid bigint, region int, v array<bigint>")
+    out = M.subdivide(M.Mesh(points, simplices, dim), n)
+    got = {r.pid: tuple(r.pos) for r in out.points.collect()}
+    keys = {tuple(sorted((x[k], w) for k, w in enumerate(ws) if w)) for x in v.values() for ws in M.lattice(n, dim)}
+    ids = {key: 10 + i for i, key in enumerate(sorted(k for k in keys if len(k) > 1))} | {((p, n),): p for p in pos}
+    assert got == {ids[k]: pytest.approx(tuple(sum(w * pos[p][a] for p, w in k) / n for a in range(3))) for k in keys}
+    want = {(s * n**dim + j, 4, *(ids[tuple(sorted((x[k], w) for k, w in enumerate(ws) if w))] for ws in part)) for s, x in v.items() for j, part in enumerate(M.lattice_parts(n, dim))}
+    assert {(r.sid, r.region, *r.v) for r in out.simplices.collect()} == want
+
+
+@pytest.mark.parametrize("name", ["j20_refine_parts", "j20_subdivide_parts"])
+def test_parts_share_the_positions_of_their_block(spark, tmp_path, name):
+    out = QUERIES[name](spark, write(spark, tmp_path))
+    text = plan(out)
+    # No position goes with a corner of its own, and the rows of a simplex are not summed before they meet.
+    assert summed_before_shuffle(text, ["mesh_id", "_near"]) and not any(summed_before_shuffle(text, ["mesh_id", "_near"]))
+    assert not summed_before_shuffle(text, ["mesh_id", "sid", "region"])
+    assert out.count() == 6 * 400
+
+
+def test_blocks_place_corners(spark, tmp_path):
+    m = base.part_mesh(spark, write(spark, tmp_path))
+    want = {(r.mesh_id, r.sid): [r[f"x{k}{a}"] for k in range(4) for a in range(3)] for r in M.located(m).collect()}
+    got = {(r.mesh_id, r.sid): [x for p in r.corners for x in p] for r in M.placed(m, 50).collect()}
+    assert got == want and len(want) == 6 * 400
+    lost = M.Mesh(m.points.filter("pid <> 91"), m.simplices)
+    with pytest.raises(Exception, match="a simplex with an unknown point"):
+        M.placed(lost, 50).collect()

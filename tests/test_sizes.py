@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stepfield.checks import QUERIES, base
 from stepfield.functions.sequences import Lattice
+from stepfield.operators import graph as G
 from stepfield.operators import mesh as M
 from stepfield.operators import probe as P
 from stepfield.operators import snapshots as S
@@ -155,3 +156,33 @@ def test_blocks_place_corners(spark, tmp_path):
     lost = M.Mesh(m.points.filter("pid <> 91"), m.simplices)
     with pytest.raises(Exception, match="a simplex with an unknown point"):
         M.placed(lost, 50).collect()
+
+
+def plain_components(edges):
+    label = {x: x for e in edges for x in e}
+    while any(label[a] != label[b] for a, b in edges):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    return label
+
+
+def test_components_keep_to_what_hangs_on_no_smaller_node(spark, monkeypatch):
+    stored, keep = [], G.cut_lineage
+    monkeypatch.setattr(G, "cut_lineage", lambda df: stored.append(keep(df)) or stored[-1])
+    # Stars, some of them joined by a node, as rows of orders and their parts are.
+    edges = [(i // 20, 1000 + i) for i in range(2000)] + [(3, 1000), (8, 1981)]
+    got = {r.node: r.component for r in G.components(spark.createDataFrame(edges, "src long, dst long").repartition(4)).collect()}
+    assert got == plain_components(edges)
+    assert sum(df.count() > 100 for df in stored) == 3
+
+
+def test_components_by_brute_force(spark):
+    rng = random.Random(2)
+    graphs = [[(rng.randrange(300), rng.randrange(300)) for _ in range(n)] for n in (40, 140, 300)]
+    graphs += [[(i, i + 1) for i in range(60)], [(i * 37 % 101, (i + 1) * 37 % 101) for i in range(70)], [(i, 500) for i in range(30)] + [(7, 7), (900, 900)]]
+    rows = [(k, a, b) for k, g in enumerate(graphs) for a, b in g]
+    edges = spark.createDataFrame(rows, "k int, src long, dst long").repartition(5)
+    alone = spark.createDataFrame([(0, 4000), (3, 2), (9, 1)], "k int, node long")
+    want = {(k, x): c for k, g in enumerate(graphs) for x, c in plain_components(g).items()} | {(0, 4000): 4000, (9, 1): 1}
+    out = G.components(edges, ["k"], alone).collect()
+    assert len(out) == len(want) and {(r.k, r.node): r.component for r in out} == want
